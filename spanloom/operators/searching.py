@@ -8,6 +8,7 @@ from spanloom.model import Standoff
 from spanloom.operators import ranges
 from spanloom.operators.selecting import comments, entities, type_filter
 from spanloom.operators.spans import contains_spans
+from spanloom.session import cut_lineage
 from spanloom.operators.textual import search_tokens, text_occurrences, whitespace_tokens
 
 ANY = "ANY"
@@ -164,43 +165,50 @@ def concordance(matches: DataFrame, docs: DataFrame, n=50) -> DataFrame:
 
 
 # J10
-KEY_LENGTH = 4
+def first_tokens(text):
+    """The search tokens a marked text can begin with, where it stands at token boundaries of a document.
+
+    A leading run of non-word characters is one token, or all but its last character when nothing else is in the word.
+    """
+    word = F.regexp_extract(text, "^\\S+", 0)
+    run = F.regexp_extract(word, "(?U)^\\W+", 0)
+    core = F.regexp_extract(word, "(?U)^.*\\w", 0)
+    short = F.substr(run, F.lit(1), F.length(run) - 1)
+    alone = (run == word) & (F.length(run) > 1)
+    return F.when(run == "", F.array(core)).when(alone, F.array(run, short)).otherwise(F.array(run))
 
 
 def unmarked_mentions(docs: DataFrame, textbounds: DataFrame, restrict=(), ignore=()) -> DataFrame:
     """Token sequences equal to some marked text that no single annotation covers.
 
-    A candidate starts at a token and has the length of a marked text with the same first characters, so the number of
-    candidates grows with the tokens, not with tokens times marked texts.
+    A candidate starts at a token that can open a marked text and has the length of such a text, so candidates grow with
+    the tokens, not with tokens times marked texts. Only candidates of several tokens go back to the document text.
     """
-    marked = type_filter(textbounds, restrict, ignore).filter(F.length("text") > 0).select("text").distinct()
-    lengths = marked.groupBy(F.substring("text", 1, KEY_LENGTH).alias("key")).agg(
-        F.collect_set(F.length("text")).alias("lengths")
+    marked = type_filter(textbounds, restrict, ignore).filter(F.rlike("text", F.lit("^\\S"))).select("text").distinct()
+    lengths = (
+        marked.withColumn("token", F.explode(first_tokens(F.col("text"))))
+        .groupBy("token")
+        .agg(F.collect_set(F.length("text")).alias("lengths"))
     )
     toks = search_tokens(whitespace_tokens(docs))
-    texts = docs.select("doc_id", F.col("text").alias("_text"))
-    heads = toks.select("doc_id", "start").join(texts, "doc_id")
-    key_sizes = F.sequence(F.lit(1), F.lit(KEY_LENGTH))
-    heads = heads.select(
-        "doc_id", "start", F.explode(key_sizes).alias("key_size"), "_text"
-    ).withColumn("key", F.substr("_text", (F.col("start") + 1).cast("int"), F.col("key_size")))
-    heads = heads.filter(F.length("key") == F.col("key_size")).drop("_text")
-    # A key shorter than the full length stands for a marked text of exactly that length.
     tries = (
-        heads.join(lengths, "key")
-        .withColumn("length", F.explode("lengths"))
-        .filter((F.col("key_size") == KEY_LENGTH) | (F.col("length") == F.col("key_size")))
-        .select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
+        toks.select("doc_id", "start", F.col("text").alias("token"))
+        .join(lengths, "token")
+        .select("doc_id", "start", "token", F.explode("lengths").alias("length"))
+        .withColumn("end", F.col("start") + F.col("length"))
+    )
+    single = tries.filter(F.col("length") == F.length("token")).select(
+        "doc_id", "start", "end", F.col("token").alias("text")
     )
     ends = toks.select("doc_id", "end").distinct()
-    whole = tries.join(ends, ["doc_id", "end"], "left_semi")
-    sized = whole.join(texts, "doc_id").select(
+    several = tries.filter(F.col("length") > F.length("token")).join(ends, ["doc_id", "end"], "left_semi")
+    several = several.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").select(
         "doc_id",
         "start",
         "end",
-        F.substr("_text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("text"),
+        F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length")).alias("text"),
     )
-    candidates = sized.join(marked, "text", "left_semi")
+    candidates = single.unionByName(several).join(marked, "text", "left_semi")
     inside = F.exists(
         "outer.spans", lambda s: (s["start"] <= F.col("inner.start")) & (s["end"] > F.col("inner.start"))
     ) & F.exists("outer.spans", lambda s: (s["start"] < F.col("inner.end")) & (s["end"] >= F.col("inner.end")))
@@ -213,6 +221,8 @@ def partially_marked(docs, textbounds, restrict=(), ignore=(), ratio=3, keep=5)
     unmarked = unmarked_mentions(docs, textbounds, restrict, ignore).select(
         "doc_id", "start", "end", "text", F.lit(False).alias("tagged")
     )
+    # Used several times below; written once instead of tokenizing the documents each time.
+    unmarked = cut_lineage(unmarked)
     tagged = type_filter(textbounds, restrict, ignore).select(
         "doc_id",
         F.col("start").cast("long").alias("start"),

@@ -238,7 +238,7 @@ def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
     seen = fingerprint(current)
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        wide = cut_lineage(star(both, large=True))
+        wide = star(both, large=True)
         both = wide.unionByName(wide.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         current = cut_lineage(star(both, large=False))
         now = fingerprint(current)

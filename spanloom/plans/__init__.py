@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from spanloom.plans import annotations, texts  # noqa: F401
+from spanloom.plans import annotations, checks, texts  # noqa: F401
 from spanloom.plans.registry import ORACLES, PLANS  # noqa: F401

@@ -222,12 +222,12 @@ def _(t):
 
 @plan("j19_search_entities", over_standoff(
     r"""SELECT w.doc_id, w.ann_id, w.st AS start, w.en AS "end" FROM tw w WHERE type IN ('Place','Org')
- AND regexp_matches(text, '(?i)\b\w*e\w*\b') AND EXISTS (SELECT 1 FROM tw x WHERE x.doc_id=w.doc_id
+ AND regexp_matches(text, '(?i)e') AND EXISTS (SELECT 1 FROM tw x WHERE x.doc_id=w.doc_id
  AND x.ann_id<>w.ann_id AND x.type='Person' AND x.st>=w.st AND x.en<=w.en)"""))
 def _(t):
     so = standoff(t.documents)
     so = so.with_tables(textbounds=widened(so.textbounds, t.documents))
-    found = searching.search_entities(so, "\\b\\w*e\\w*\\b", ["Place", "Org"], nested=["Person"], mode="regex")
+    found = searching.search_entities(so, "e", ["Place", "Org"], nested=["Person"], mode="regex")
     return searching.order_matches(found).select("doc_id", "ann_id", "start", "end")
 
 
