@@ -287,6 +287,10 @@ def number_all_roles(events: DataFrame) -> DataFrame:
     return events.withColumn("args", add_arguments(F.array().cast(ARGS), F.col("args")))
 
 
+def _has_role(role):
+    return lambda a: a["role"] == role
+
+
 # V16
 def split_events(so: Standoff, ids: DataFrame, roles) -> Standoff:
     """Splits events on roles: one event per combination of the roles' arguments.
@@ -302,19 +306,20 @@ def split_events(so: Standoff, ids: DataFrame, roles) -> Standoff:
     fixed = F.filter("args", lambda a: ~a["role"].isin(*roles))
     combos = args.withColumn("_combo", fixed).withColumn("_order", F.array().cast("array<int>"))
     for role in reversed(roles):
-        having = F.filter("args", lambda a, r=role: a["role"] == r)
-        few = F.raise_error(F.concat(F.lit(f"cannot split on {role}: too few arguments in "), F.col("ann_id")))
-        combos = combos.withColumn("_choice", F.when(F.size(having) < 2, few.cast(ARGS)).otherwise(having))
+        having = F.filter("args", _has_role(role))
+        if args.filter(F.size(having) < 2).limit(1).count():
+            raise ValueError(f"cannot split on {role}: an event has fewer than two such arguments")
+        combos = combos.withColumn("_choice", having)
         combos = combos.select("*", F.posexplode("_choice").alias("_pos", "_arg"))
         combos = combos.withColumns(
             {"_combo": F.concat("_combo", F.array("_arg")), "_order": F.concat("_order", F.array("_pos"))}
         ).drop("_choice", "_pos", "_arg")
     rank = F.row_number().over(Window.partitionBy("doc_id", "ann_id").orderBy("_order"))
-    combos = combos.withColumn("_rank", rank).select(
-        "doc_id", F.col("ann_id").alias("_from"), "line_no", "type", "trigger", F.col("_combo").alias("args"), "_rank"
+    combos = combos.withColumn("_nth", rank).select(
+        "doc_id", F.col("ann_id").alias("_from"), "line_no", "type", "trigger", F.col("_combo").alias("args"), "_nth"
     )
     combos = cut_lineage(combos)
-    first = combos.filter("_rank = 1").select(
+    first = combos.filter("_nth = 1").select(
         "doc_id", F.col("_from").alias("ann_id"), "line_no", "type", "trigger", "args"
     )
     named = so.relations.select("doc_id", F.explode(F.array("arg1", "arg2")).alias("_from")).join(
@@ -322,15 +327,15 @@ def split_events(so: Standoff, ids: DataFrame, roles) -> Standoff:
     )
     if named.limit(1).count():
         raise ValueError("a relation names an event to be split")
-    rest = combos.filter("_rank > 1").withColumn("_place", F.col("line_no"))
-    copies = cut_lineage(new_ids(so.events, rest, "E", ["_place", "_from", "_rank"]))
+    rest = combos.filter("_nth > 1").withColumn("_place", F.col("line_no"))
+    copies = cut_lineage(new_ids(so.events, rest, "E", ["_place", "_from", "_nth"]))
     last = _next_line(so)
-    lined = row_numbers(copies, ["doc_id"], "_place", "_n", tie=["_from", "_rank"]).join(last, "doc_id", "left")
+    lined = row_numbers(copies, ["doc_id"], "_place", "_n", tie=["_from", "_nth"]).join(last, "doc_id", "left")
     lined = lined.withColumn("line_no", F.coalesce("last_line", F.lit(0)) + F.col("_n"))
     events = _replace_rows(so.events, first, ["doc_id", "ann_id"]).unionByName(lined.select(*so.events.columns))
 
     by_source = copies.groupBy("doc_id", "_from").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "ann_id"))).alias("_new")
+        F.array_sort(F.collect_list(F.struct("_nth", "ann_id"))).alias("_new")
     )
     users = events.select("doc_id", "ann_id", F.posexplode("args").alias("_pos", "a")).select(
         "doc_id", "ann_id", "_pos", "a.role", F.col("a.arg").alias("_from")
@@ -340,7 +345,7 @@ def split_events(so: Standoff, ids: DataFrame, roles) -> Standoff:
     )
     extra = extra.groupBy("doc_id", "ann_id").agg(
         F.array_sort(
-            F.collect_list(F.struct("_pos", F.col("n._rank").alias("k"), "role", F.col("n.ann_id").alias("arg")))
+            F.collect_list(F.struct("_pos", F.col("n._nth").alias("k"), "role", F.col("n.ann_id").alias("arg")))
         ).alias("_extra")
     )
     more = F.transform("_extra", lambda x: F.struct(x["role"].alias("role"), x["arg"].alias("arg")))
@@ -547,6 +552,10 @@ def concat_documents(docs: DataFrame, so: Standoff, group, order) -> tuple:
     return joined, out.map(move)
 
 
+def _picking(columns):
+    return lambda x: F.struct(*[x[c].alias(c) for c in columns])
+
+
 # V20
 def render_documents(docs: DataFrame, so: Standoff, issues=None, tokens=None, sentences=None) -> DataFrame:
     """One row per document with its annotations, issues, token and sentence offsets as ordered arrays.
@@ -582,7 +591,7 @@ def render_documents(docs: DataFrame, so: Standoff, issues=None, tokens=None, se
     out = docs.select("doc_id", "text")
     for name, (df, columns) in parts.items():
         rows = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", *columns))).alias(name))
-        rows = rows.withColumn(name, F.transform(name, lambda x, c=tuple(columns): F.struct(*[x[i].alias(i) for i in c])))
+        rows = rows.withColumn(name, F.transform(name, _picking(columns)))
         out = out.join(rows, "doc_id", "left").withColumn(
             name, F.coalesce(name, F.array().cast(rows.schema[name].dataType))
         )
