@@ -135,3 +135,19 @@ def previous_row(df, keys, order, columns, prefix="prev_", chunk=DEFAULT_CHUNK):
     for column in columns:
         spread = spread.withColumn(prefix + column, F.lag(column).over(window))
     return spread.filter(F.col("_home") == chunk_no).drop("_home")
+
+
+def last_before(df, keys, order, value, out, chunk=DEFAULT_CHUNK):
+    """Adds the last non-null ``value`` among the rows strictly before each row, without one task per key.
+
+    The last value of each chunk is carried over to the following chunks on a table of one row per chunk.
+    """
+    with_chunk = df.withColumn("_chunk", bucket_of(F.col(order), chunk))
+    place = F.when(F.col(value).isNotNull(), F.col(order))
+    ends = with_chunk.groupBy(*keys, "_chunk").agg(F.max_by(value, place).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = with_chunk.join(carried, [*keys, "_chunk"])
+    found = F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("_carried"))
+    return joined.withColumn(out, found).drop("_chunk", "_carried")

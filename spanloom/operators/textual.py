@@ -176,35 +176,34 @@ def treebank_text(docs: DataFrame) -> DataFrame:
     return sized.withColumn("spaced", final).drop("brackets")
 
 
+def place_solid(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds the text offset of a position counted in non-blank characters (column ``solid``)."""
+    words = whitespace_tokens(docs)
+    before = Window.partitionBy("doc_id").orderBy("token_no").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.select(
+        "doc_id",
+        F.col("start").alias("_word_start"),
+        F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("long").alias("_solid"),
+        F.length("text").alias("_len_word"),
+    ).withColumn("_solid_end", F.col("_solid") + F.col("_len_word"))
+    found = points_in_intervals(rows, words, ["doc_id"], "solid", "_solid", "_solid_end")
+    start = (F.col("_word_start") + F.col("solid") - F.col("_solid")).cast("long")
+    return found.withColumn("start", start).drop("_word_start", "_solid", "_len_word", "_solid_end")
+
+
 def treebank_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, token_no, start, end, text) of treebank-like tokens.
 
-    A token never spans a blank, so it lies in one whitespace token. Both tables count non-blank characters from the
-    start of the document, and the range join on that count gives the offset in the text.
+    A token never spans a blank, so its place among the non-blank characters of the document gives its offset.
     """
     pieces = F.filter(F.split("spaced", "\\s+"), lambda t: t != "")
     parts = treebank_text(docs.select("doc_id", "text")).select(
         "doc_id", F.posexplode(pieces).alias("token_no", "text")
     )
-    parts = running_offsets(parts, "doc_id", "token_no", "text", sep=0).withColumnsRenamed(
-        {"start": "solid", "end": "solid_end"}
-    )
-    words = whitespace_tokens(docs)
-    before = Window.partitionBy("doc_id").orderBy("token_no").rowsBetween(Window.unboundedPreceding, -1)
-    words = words.select(
-        "doc_id",
-        F.col("start").alias("word_start"),
-        F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("long").alias("word_solid"),
-        F.length("text").alias("word_len"),
-    ).withColumn("word_solid_end", F.col("word_solid") + F.col("word_len"))
-    placed = points_in_intervals(parts, words, ["doc_id"], "solid", "word_solid", "word_solid_end")
-    start = F.col("word_start") + F.col("solid") - F.col("word_solid")
+    parts = running_offsets(parts, "doc_id", "token_no", "text", sep=0).drop("end").withColumnRenamed("start", "solid")
+    placed = place_solid(parts, docs)
     return placed.select(
-        "doc_id",
-        "token_no",
-        start.cast("long").alias("start"),
-        (start + F.length("text")).cast("long").alias("end"),
-        "text",
+        "doc_id", "token_no", "start", (F.col("start") + F.length("text")).cast("long").alias("end"), "text"
     )
 
 

@@ -200,11 +200,11 @@ def _(t):
 
 def _tiers(t):
     a = articles(t)
-    return a.filter("page_id % 2 = 0"), a.filter("page_id % 2 = 1 AND last_scraped IS NOT NULL")
+    return a.filter("url LIKE 'https:%'"), a.filter("url NOT LIKE 'https:%' AND last_scraped IS NOT NULL")
 
 
 @plan("s26_get_all_tiered", sql(
-    """SELECT page_id, tier FROM (SELECT *, 0 AS tier FROM art WHERE page_id%2=0 UNION ALL SELECT *, 1 FROM art WHERE page_id%2=1)
+    """SELECT page_id, tier FROM (SELECT *, 0 AS tier FROM art WHERE url LIKE 'https:%' UNION ALL SELECT *, 1 FROM art WHERE url NOT LIKE 'https:%')
 WHERE last_scraped IS NOT NULL ORDER BY tier, url LIMIT 150""").replace("page_id, tier FROM", "page_id, tier::BIGINT AS tier FROM", 1))
 def _(t):
     hot, cold = _tiers(t)
@@ -212,23 +212,23 @@ def _(t):
 
 
 @plan("j01_filter_known", sql(
-    """SELECT url, 'unknown' AS state FROM pages WHERE url NOT IN (SELECT url FROM art WHERE page_id%2=0)
-UNION ALL SELECT url, 'unscraped' FROM pages WHERE url NOT IN (SELECT url FROM art WHERE page_id%2=0 AND last_scraped IS NOT NULL)"""))
+    """SELECT url, 'unknown' AS state FROM pages WHERE url NOT IN (SELECT url FROM art WHERE url LIKE 'https:%')
+UNION ALL SELECT url, 'unscraped' FROM pages WHERE url NOT IN (SELECT url FROM art WHERE url LIKE 'https:%' AND last_scraped IS NOT NULL)"""))
 def _(t):
-    store = articles(t).filter("page_id % 2 = 0")
+    store = articles(t).filter("url LIKE 'https:%'")
     unknown = A.filter_known(t.pages, store).withColumn("state", F.lit("unknown"))
     return unknown.unionByName(A.filter_known(t.pages, store, True).withColumn("state", F.lit("unscraped")))
 
 
-@plan("j02_data_for", sql("SELECT page_id, url, title FROM art WHERE url IN (SELECT url FROM pages WHERE page_id%4=1)"))
+@plan("j02_data_for", sql("SELECT page_id, url, title FROM art WHERE url IN (SELECT url FROM pages WHERE url LIKE '%#%')"))
 def _(t):
-    return A.data_for(t.pages.filter("page_id % 4 = 1"), articles(t)).select("page_id", "url", "title")
+    return A.data_for(t.pages.filter("url LIKE '%#%'"), articles(t)).select("page_id", "url", "title")
 
 
 @plan("j02_was_scraped", sql(
-    "SELECT url, page_id%2=0 AND last_scraped IS NOT NULL AS was_scraped FROM art"))
+    "SELECT url, url LIKE 'https:%' AND last_scraped IS NOT NULL AS was_scraped FROM art"))
 def _(t):
-    return A.was_scraped(t.pages, articles(t).filter("page_id % 2 = 0"))
+    return A.was_scraped(t.pages, articles(t).filter("url LIKE 'https:%'"))
 
 
 @plan("j04_attach_labels", sql(
@@ -242,22 +242,23 @@ def _(t):
 @plan("k01_upsert", """
 SELECT o_custkey AS url, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY o_custkey""")
 def _(t):
-    rows = t.orders.select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"))
-    table = A.latest(rows.filter("version % 2 = 0"), ["url"], [F.desc("version")])
-    new = rows.join(table.select("url", F.col("version").alias("old")), "url", "left").filter(
+    rows = t.orders.select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"),
+                          "o_orderstatus")
+    table = A.latest(rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"), ["url"], [F.desc("version")])
+    new = rows.drop("o_orderstatus").join(table.select("url", F.col("version").alias("old")), "url", "left").filter(
         "old IS NULL OR version >= old").drop("old")
     return A.upsert(table, new)
 
 
-@plan("k02_delete", sql("SELECT page_id, url FROM art WHERE url NOT IN (SELECT url FROM pages WHERE page_id%3=1)"))
+@plan("k02_delete", sql("SELECT page_id, url FROM art WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE '%?%')"))
 def _(t):
-    return A.delete(articles(t), t.pages.filter("page_id % 3 = 1")).select("page_id", "url")
+    return A.delete(articles(t), t.pages.filter("url LIKE '%?%'")).select("page_id", "url")
 
 
 @plan("k03_move_ready", sql(
-    """SELECT 'hot' AS tier, page_id, length(content) AS size FROM art WHERE page_id%2=0 AND (last_scraped IS NULL OR label_relevance IS NULL)
-UNION ALL SELECT 'cold', page_id, least(length(content), 6000) FROM art WHERE page_id%2=0 AND last_scraped IS NOT NULL AND label_relevance IS NOT NULL
-UNION ALL SELECT 'cold', page_id, length(content) FROM art WHERE page_id%2=1 AND last_scraped IS NOT NULL"""))
+    """SELECT 'hot' AS tier, page_id, length(content) AS size FROM art WHERE url LIKE 'https:%' AND (last_scraped IS NULL OR label_relevance IS NULL)
+UNION ALL SELECT 'cold', page_id, least(length(content), 6000) FROM art WHERE url LIKE 'https:%' AND last_scraped IS NOT NULL AND label_relevance IS NOT NULL
+UNION ALL SELECT 'cold', page_id, length(content) FROM art WHERE url NOT LIKE 'https:%' AND last_scraped IS NOT NULL"""))
 def _(t):
     hot, cold = _tiers(t)
     cold, hot = A.move_ready(hot, cold)
@@ -385,20 +386,20 @@ def _(t):
 
 
 @plan("u17_irrelevant_urls", """
-SELECT url FROM pages WHERE regexp_matches(url, '^.*/(fr|de)/.*') AND url NOT IN (SELECT url FROM pages WHERE page_id%3=0)
- AND url NOT IN (SELECT url FROM pages WHERE page_id%4=0) ORDER BY url LIMIT 20""")
+SELECT url FROM pages WHERE regexp_matches(url, '^.*/(fr|de)/.*') AND url NOT IN (SELECT url FROM pages WHERE url LIKE '%?%')
+ AND url NOT IN (SELECT url FROM pages WHERE url LIKE '%#%') ORDER BY url LIMIT 20""")
 def _(t):
-    return D.irrelevant_urls(t.pages, t.pages.filter("page_id % 3 = 0"), t.pages.filter("page_id % 4 = 0"), 20, SECTIONS)
+    return D.irrelevant_urls(t.pages, t.pages.filter("url LIKE '%?%'"), t.pages.filter("url LIKE '%#%'"), 20, SECTIONS)
 
 
 @plan("j18_confirmation_set", sql(
-    """SELECT page_id, url, 'found' AS label FROM art WHERE page_id%2=0 AND page_id%3<>0 AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN
+    """SELECT page_id, url, 'found' AS label FROM art WHERE url LIKE 'https:%' AND url NOT LIKE '%?%' AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN
  ('thther.example.org','www.ththhe.example.com','blog.tionsh.example.net')
-UNION ALL SELECT page_id, url, 'IRRELEVANTE' FROM art WHERE page_id%3<>0 AND regexp_matches(url, '^.*/(fr|de)/.*') AND url NOT IN
- (SELECT url FROM art WHERE page_id%2=0 AND page_id%3<>0 AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN
+UNION ALL SELECT page_id, url, 'IRRELEVANTE' FROM art WHERE url NOT LIKE '%?%' AND regexp_matches(url, '^.*/(fr|de)/.*') AND url NOT IN
+ (SELECT url FROM art WHERE url LIKE 'https:%' AND url NOT LIKE '%?%' AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN
  ('thther.example.org','www.ththhe.example.com','blog.tionsh.example.net'))"""))
 def _(t):
-    positives = t.pages.filter("page_id % 2 = 0").select("url", F.lit("found").alias("label"))
-    training = t.pages.filter("page_id % 3 = 0").select("url")
+    positives = t.pages.filter("url LIKE 'https:%'").select("url", F.lit("found").alias("label"))
+    training = t.pages.filter("url LIKE '%?%'").select("url")
     out = D.confirmation_set(positives, training, t.pages.select("url"), articles(t), DOMAINS, sections=SECTIONS)
     return out.select("page_id", "url", "label")
