@@ -548,10 +548,8 @@ def _(t):
   FROM (SELECT doc_id, generate_subscripts(ws,1) AS i, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n\t]+') AS ws FROM documents)))"""))
 def _(t):
     words = F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")
-    marked = F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[A-Z][a-z]{3,}\\z")), F.concat(F.lit('<category="Big"> '), w, F.lit(" </category>"))).otherwise(w))
+    marked = F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[A-Z][a-z]{3,}\\z")), F.concat(F.lit('<category="Big">'), w, F.lit("</category>"))).otherwise(w))
     lines = t.documents.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("Title"), F.array_join(marked, " ")).alias("line"))
-    # Blanks inside a tag move outside, next to the one already there.
-    lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("line", ' (<category="Big">) ', "$1 "), " (</category>) ", " $1"))
     _, mentions, categories = markup.read_inline_tags(lines)
     return mentions.join(categories.select("doc_id", F.col("target").alias("ann_id"), "value"), ["doc_id", "ann_id"]).select(
         "doc_id", "start", "end", "text", "value")
