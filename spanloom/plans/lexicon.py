@@ -233,8 +233,9 @@ def _(t):
 # Logs: each user's events alternate between the start and the end of an action.
 LOG_SQL = """lg AS (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('click','view') THEN 'spanSelected' WHEN event_type='purchase' THEN 'createSpan'
   ELSE 'getDocument' END AS action, CASE WHEN event_id%2=0 THEN 'START' ELSE 'FINISH' END AS state FROM events),
-pr AS (SELECT * FROM (SELECT *, max(CASE WHEN state='START' THEN event_id END) OVER (PARTITION BY user_id, action ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sid FROM lg)
-  WHERE state='FINISH' AND sid IS NOT NULL),
+pr AS (SELECT * FROM (SELECT *, max(CASE WHEN state='START' THEN event_id END) OVER (PARTITION BY user_id, action ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sid,
+  max(CASE WHEN state='FINISH' THEN event_id END) OVER (PARTITION BY user_id, action ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fid FROM lg)
+  WHERE state='FINISH' AND sid IS NOT NULL AND (fid IS NULL OR sid > fid)),
 sp AS (SELECT * FROM (SELECT *, max(CASE WHEN action='spanSelected' THEN event_id END) OVER w AS sel, max(CASE WHEN action='createSpan' THEN event_id END) OVER w AS earlier
   FROM pr WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE action='createSpan' AND sel IS NOT NULL AND (earlier IS NULL OR sel>earlier)),
 sec AS (SELECT sp.user_id, sp.event_id, (epoch_us(sp.ts) - epoch_us(b.ts))/1e6 AS seconds FROM sp JOIN pr p ON p.event_id=sp.sel JOIN events b ON b.event_id=p.sid)"""
