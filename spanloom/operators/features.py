@@ -1,7 +1,7 @@
 """Text features: TF-IDF as a table and as vectors, and masked token rows."""
 
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import TYPE_ACCENTS, language_model_text
@@ -23,13 +23,14 @@ def ngram_terms(tokens, low=1, high=3):
     """Array of the n-grams of a token array, as blank-separated terms."""
     parts = []
     for n in range(low, high + 1):
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        starts = F.sequence(F.lit(0), F.size(tokens) - n)
         parts.append(F.when(F.size(tokens) >= n, _grams(tokens, starts, n)).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
 
 def _grams(tokens, starts, n):
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    """Single lookups by place; cutting slices would copy the whole array for every n-gram."""
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]))
 
 
 # M01
@@ -37,28 +38,31 @@ def tfidf(docs: DataFrame, key="doc_id", text="text", ngram=NGRAMS, max_features
           fit_on: DataFrame = None) -> DataFrame:
     """(key, term, tf, idf, weight): L2-normalized weights of the most frequent terms.
 
-    A document's terms are counted before the shuffle. The vocabulary has at most ``max_features`` rows, so it is
-    broadcast. ``plus_one`` picks the smoothed form with one added, the other form has none. ``fit_on`` restricts what
-    the vocabulary and document frequencies come from, such as a training part.
+    Texts are spread by key once; counting a document's terms and its norm then need no further shuffle. Term totals and
+    document frequencies are combined per task before they move. The vocabulary has at most ``max_features`` rows, so it
+    is broadcast, and other terms drop out before anything is counted per document. ``plus_one`` picks the smoothed form
+    with one added, the other form has none. ``fit_on`` restricts what the vocabulary comes from, such as a training
+    part.
     """
-    def counts(df):
-        terms = df.select(key, word_tokens(F.col(text)).alias("tokens")).select(
-            key, F.explode(ngram_terms(F.col("tokens"), *ngram)).alias("term")
-        )
-        return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    def terms(df):
+        # The tokens are a column of their own: inside the n-gram lambda they would be cut anew for every n-gram.
+        spread = df.select(key, text).repartition(key).select(key, word_tokens(F.col(text)).alias("tokens"))
+        return spread.select(key, ngram_terms(F.col("tokens"), *ngram).alias("terms"))
 
     fitted = docs if fit_on is None else fit_on
-    tf = counts(docs)
-    df = (tf if fit_on is None else counts(fitted)).groupBy("term").agg(
-        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    totals = terms(fitted).select(F.explode_outer(F.concat(once, each)).alias("t")).filter("t IS NOT NULL").groupBy(F.col("t.term").alias("term")).agg(
+        F.sum("t.n").alias("total"), F.sum("t.d").alias("df")
     )
-    vocabulary = df.orderBy(F.desc("total"), "term").limit(max_features)
     n = fitted.count()
     idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + (1.0 if plus_one else 0.0)
-    vocabulary = vocabulary.select("term", idf.alias("idf"))
-    raw = tf.join(F.broadcast(vocabulary), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", "tf", "idf", (F.col("raw") / F.col("norm")).alias("weight"))
+    vocabulary = totals.orderBy(F.desc("total"), "term").limit(max_features).select("term", idf.alias("idf"))
+    known = terms(docs).select(key, F.explode_outer("terms").alias("term")).join(F.broadcast(vocabulary), "term")
+    counted = known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    raw = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
+    return counted.select(key, "term", "tf", "idf", (raw / norm).alias("weight"))
 
 
 class Vectorizer:

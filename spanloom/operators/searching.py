@@ -197,18 +197,23 @@ def unmarked_mentions(docs: DataFrame, textbounds: DataFrame, restrict=(), ignor
         .select("doc_id", "start", "token", F.explode("lengths").alias("length"))
         .withColumn("end", F.col("start") + F.col("length"))
     )
-    single = tries.filter(F.col("length") == F.length("token")).select(
+    # Few tokens open a marked text; written once, so the documents are tokenized once.
+    tries = cut_lineage(tries)
+    candidates = tries.filter(F.col("length") == F.length("token")).select(
         "doc_id", "start", "end", F.col("token").alias("text")
     )
-    ends = toks.select("doc_id", "end").distinct()
-    several = tries.filter(F.col("length") > F.length("token")).join(ends, ["doc_id", "end"], "left_semi")
-    several = several.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").select(
-        "doc_id",
-        "start",
-        "end",
-        F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length")).alias("text"),
-    )
-    candidates = single.unionByName(several).join(marked, "text", "left_semi")
+    several = tries.filter(F.col("length") > F.length("token"))
+    if several.limit(1).count():
+        ends = toks.select("doc_id", "end").distinct()
+        several = several.join(ends, ["doc_id", "end"], "left_semi")
+        several = several.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").select(
+            "doc_id",
+            "start",
+            "end",
+            F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length")).alias("text"),
+        )
+        candidates = candidates.unionByName(several)
+    candidates = candidates.join(marked, "text", "left_semi")
     inside = F.exists(
         "outer.spans", lambda s: (s["start"] <= F.col("inner.start")) & (s["end"] > F.col("inner.start"))
     ) & F.exists("outer.spans", lambda s: (s["start"] < F.col("inner.end")) & (s["end"] >= F.col("inner.end")))

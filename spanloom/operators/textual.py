@@ -1,7 +1,7 @@
 """Lines, occurrences, tokens and sentences of documents, all with character offsets.
 
-Each document text is one row, so its pieces are bounded by that row; only (document, position, length) is shuffled for
-the running offsets, never the text itself.
+Each document text is one row, so its pieces are bounded by that row. Texts are spread by document before they are cut
+into pieces: the shuffle then moves the compact text once, and the running offsets over the many pieces need none.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import BRACKET_ESCAPES, match_pattern, replace_all, split_token
 from spanloom.operators.ranges import points_in_intervals
+from spanloom.session import cut_lineage
 
 # Fixed value: end of a sentence after a first non-blank character: terminal marks before space, a newline, text end.
 SENTENCE = "(?s)\\S.*?(?::?(?::?[.!?。！？]+(?=\\s+))|:?(?=\\n+)|:?(?=\\s*\\z))"
@@ -110,6 +111,19 @@ def until_stable(col, rules, rounds):
     return F.aggregate(F.sequence(F.lit(0), rounds), start, step)["cur"]
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) spread by document, as the windows over a document's pieces need it."""
+    return docs.select("doc_id", "text").repartition("doc_id")
+
+
+def numbered_pieces(df: DataFrame, keep, array, number, piece) -> DataFrame:
+    """One row per element of an array that is costly to make.
+
+    The outer form keeps the planner from also testing the array for emptiness beforehand, which would make it twice.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(number, piece)).filter(F.col(number).isNotNull())
+
+
 # W01
 def running_offsets(df: DataFrame, doc, order, text, sep=1) -> DataFrame:
     """Adds start and end of each piece of a document, pieces being ``sep`` characters apart."""
@@ -122,7 +136,7 @@ def running_offsets(df: DataFrame, doc, order, text, sep=1) -> DataFrame:
 # S03
 def lines_with_offsets(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, start, end) of the lines of each document."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = numbered_pieces(by_document(docs), ["doc_id"], F.split("text", "\n"), "line_no", "line")
     return running_offsets(lines, "doc_id", "line_no", "line")
 
 
@@ -137,7 +151,7 @@ def occurrences(docs: DataFrame, pattern: str) -> DataFrame:
     pairs = F.filter(
         F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull()
     )
-    rows = docs.select("doc_id", F.posexplode(pairs).alias("occ_no", "p")).select(
+    rows = numbered_pieces(by_document(docs), ["doc_id"], pairs, "occ_no", "p").select(
         "doc_id", "occ_no", F.col("p.gap").alias("gap"), F.col("p.hit").alias("text")
     )
     before = Window.partitionBy("doc_id").orderBy("occ_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -197,9 +211,7 @@ def treebank_tokens(docs: DataFrame) -> DataFrame:
     A token never spans a blank, so its place among the non-blank characters of the document gives its offset.
     """
     pieces = F.filter(F.split("spaced", "\\s+"), lambda t: t != "")
-    parts = treebank_text(docs.select("doc_id", "text")).select(
-        "doc_id", F.posexplode(pieces).alias("token_no", "text")
-    )
+    parts = numbered_pieces(treebank_text(by_document(docs)), ["doc_id"], pieces, "token_no", "text")
     parts = running_offsets(parts, "doc_id", "token_no", "text", sep=0).drop("end").withColumnRenamed("start", "solid")
     placed = place_solid(parts, docs)
     return placed.select(
@@ -224,7 +236,7 @@ def search_tokens(token_table: DataFrame) -> DataFrame:
         F.col("start").alias("token_start"),
         split_token(F.col("text")).alias("parts"),
     )
-    rows = parts.select("doc_id", "token_no", "token_start", "parts", F.posexplode("parts").alias("part_no", "text"))
+    rows = numbered_pieces(parts, ["doc_id", "token_no", "token_start", "parts"], F.col("parts"), "part_no", "text")
     passed = F.aggregate(
         F.slice("parts", F.lit(1), F.col("part_no")), F.lit(0), lambda acc, p: acc + F.length(p)
     )
@@ -254,13 +266,13 @@ def regex_sentences(docs: DataFrame) -> DataFrame:
     solo = F.transform(
         F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
     )
-    joined = docs.select("doc_id", F.array_join(solo, "\n").alias("joined"))
+    joined = by_document(docs).select("doc_id", F.array_join(solo, "\n").alias("joined"))
     breaks = F.length("joined") - F.length(F.replace("joined", F.lit("\n"), F.lit("")))
     sized = joined.withColumns({"breaks": breaks, "refined": apply_rules(F.col("joined"), SPLIT_FIRST)})
     for rule in SPLIT_IN_BRACKETS:
         sized = sized.withColumn("refined", until_stable(F.col("refined"), [rule], F.col("breaks") + 1))
     refined = apply_rules(F.col("refined"), SPLIT_LAST)
-    lines = sized.select("doc_id", F.posexplode(F.split(refined, "\n")).alias("line_no", "line"))
+    lines = numbered_pieces(sized, ["doc_id"], F.split(refined, "\n"), "line_no", "line")
     lines = running_offsets(lines, "doc_id", "line_no", "line").filter("end > start")
 
     before = Window.partitionBy("doc_id").orderBy("occ_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -285,7 +297,8 @@ def regex_sentences(docs: DataFrame) -> DataFrame:
     whole = docs.filter(~F.rlike("text", F.lit("\\S"))).select(
         "doc_id", F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end")
     )
-    spans = spans.select("doc_id", "start", "end").unionByName(whole)
+    # Used three times below; the corrections above are not worth repeating.
+    spans = cut_lineage(spans.select("doc_id", "start", "end").unionByName(whole))
     return _with_own_newlines(docs, spans)
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.model import Standoff, textbound
+from spanloom.operators.textual import by_document, numbered_pieces, occurrences
+from spanloom.session import cut_lineage
 
 # Types by word length modulo 4, and the word pattern.
-WORD = "^[A-Z][a-z]{3,}\\z"
+WORD = "(?<![^ ])[A-Z][a-z]{3,}(?![^ ])"
 TYPES = ["Action", "Person", "Place", "Org"]
 ENTITY_TYPES = ["Person", "Place", "Org"]
 
@@ -21,25 +23,19 @@ def by_start():
 
 def token_rows(docs):
     """(doc_id, i, w, st): the text split at single blanks."""
-    toks = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    toks = numbered_pieces(by_document(docs), ["doc_id"], F.split("text", " "), "i", "w")
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return toks.withColumn("st", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0)).cast("long"))
 
 
 def textbounds(docs):
-    words = token_rows(docs).filter(F.rlike("w", F.lit(WORD)))
-    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.length("w") % 4 + 1).cast("int"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("st"))
-    words = words.withColumn("n", number)
+    words = occurrences(docs, WORD)
+    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.length("text") % 4 + 1).cast("int"))
+    number = F.col("occ_no") + 1
     return words.select(
         *textbound(
-            F.col("doc_id"),
-            F.concat(F.lit("T"), F.col("n").cast("string")),
-            F.col("n"),
-            kind,
-            F.col("st"),
-            F.col("st") + F.length("w"),
-            F.col("w"),
+            F.col("doc_id"), F.concat(F.lit("T"), number.cast("string")), number, kind, F.col("start"), F.col("end"),
+            F.col("text"),
         )
     )
 
@@ -51,7 +47,8 @@ def _numbered(df, prefix):
 
 
 def standoff(docs) -> Standoff:
-    t = textbounds(docs)
+    # Written once, as annotation tables would be; every other table is read off it.
+    t = cut_lineage(textbounds(docs))
     nb = t.select(
         "doc_id",
         F.col("ann_id").alias("tid"),

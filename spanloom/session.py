@@ -1,6 +1,7 @@
 """Session set-up and the one way this package cuts lineage."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize reliably, so a lost executor re-reads the files instead of the whole history."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write as a table in the shared checkpoint folder and go on from there.
+
+    A lost executor re-reads files instead of repeating the whole history, readers take only the columns they need, and
+    the planner knows the real size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
