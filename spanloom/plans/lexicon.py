@@ -615,3 +615,50 @@ def _(t):
     from spanloom.sources.tables import from_json_rows, to_json_rows
 
     return from_json_rows(to_json_rows(t.documents), "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+@plan("c21_url_key", """
+SELECT page_id, concat(substring(h,1,8),'-',substring(h,9,4),'-3',substring(h,14,3),'-',
+ substring('89ab89ab89ab89ab', CAST(concat('0x',substring(h,17,1)) AS BIGINT)+1, 1), substring(h,18,3),'-',substring(h,21,12)) AS key
+FROM (SELECT page_id, md5(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)""")
+def _(t):
+    from spanloom.functions.urls import url_key
+
+    return t.pages.select("page_id", url_key(F.col("url")).alias("key"))
+
+
+@plan("c22_timestamps", "SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) AS older_us FROM events")
+def _(t):
+    from spanloom.functions.times import format_ts, parse_ts
+
+    stored = t.events.select("event_id", format_ts(F.col("ts").cast("timestamp")).alias("s"))
+    older = F.regexp_replace("s", "([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    return stored.select("event_id", F.unix_micros(parse_ts(F.col("s"))).alias("us"), F.unix_micros(parse_ts(older)).alias("older_us"))
+
+
+def _file_lines(t):
+    """Some documents as one joined file, the others as two partial files."""
+    lines = S.standoff_lines(standoff(t.documents))
+    part = F.when(F.rlike("line", F.lit("^T")), F.lit("a1")).otherwise(F.lit("a2"))
+    joined = t.labels.select("doc_id", F.lit(True).alias("_joined"))
+    return lines.join(joined, "doc_id", "left").select(
+        "doc_id", F.when(F.col("_joined"), F.lit("ann")).otherwise(part).alias("suffix"), "line_no", "line")
+
+
+PARTS_SQL = """pl AS (SELECT doc_id, 'a1' AS suffix, count(*) AS n FROM t GROUP BY doc_id UNION ALL SELECT doc_id, 'a2', count(*) FROM (
+  SELECT doc_id FROM r UNION ALL SELECT doc_id FROM r UNION ALL SELECT doc_id FROM e UNION ALL SELECT doc_id FROM a UNION ALL SELECT doc_id FROM n
+  UNION ALL SELECT doc_id FROM nm) GROUP BY doc_id)"""
+
+
+@plan("s04_resolve_files", over_standoff("SELECT doc_id, suffix, sum(n)::BIGINT AS n FROM (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'ann' ELSE suffix END AS suffix, n FROM pl) GROUP BY doc_id, suffix", PARTS_SQL))
+def _(t):
+    files = _file_lines(t)
+    # The joined documents also have a stale partial file, which must not be read.
+    stale = files.filter("suffix = 'ann'").withColumn("suffix", F.lit("a1"))
+    return S.resolve_files(files.unionByName(stale)).groupBy("doc_id", "suffix").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan("k05_merge_partials", over_standoff("SELECT CAST(doc_id AS varchar) AS doc_id, sum(n)::BIGINT AS n FROM pl WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id", PARTS_SQL))
+def _(t):
+    files = _file_lines(t).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return S.merge_partials(files).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
