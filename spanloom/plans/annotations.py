@@ -221,12 +221,14 @@ def _(t):
 
 
 @plan("j19_search_entities", over_standoff(
-    r"""SELECT w.doc_id, w.ann_id, w.st AS start, w.en AS "end" FROM tw w WHERE type IN ('Place','Org')
- AND regexp_matches(text, '(?i)e') AND EXISTS (SELECT 1 FROM tw x WHERE x.doc_id=w.doc_id
- AND x.ann_id<>w.ann_id AND x.type='Person' AND x.st>=w.st AND x.en<=w.en)"""))
+    r"""SELECT w.doc_id, w.ann_id, w.st AS start, w.en AS "end" FROM tx w WHERE type IN ('Place','Org')
+ AND regexp_matches(text, '(?i)e') AND EXISTS (SELECT 1 FROM tx x WHERE x.doc_id=w.doc_id
+ AND x.ann_id<>w.ann_id AND x.type='Person' AND x.st>=w.st AND x.en<=w.en)""",
+    "tx AS (SELECT * FROM tw WHERE type<>'Person' UNION ALL SELECT doc_id, ann_id, type, st, en, text FROM t WHERE type='Person')"))
 def _(t):
     so = standoff(t.documents)
-    so = so.with_tables(textbounds=widened(so.textbounds, t.documents))
+    wide = widened(so.textbounds.filter("type <> 'Person'"), t.documents)
+    so = so.with_tables(textbounds=wide.unionByName(so.textbounds.filter("type = 'Person'")))
     found = searching.search_entities(so, "e", ["Place", "Org"], nested=["Person"], mode="regex")
     return searching.order_matches(found).select("doc_id", "ann_id", "start", "end")
 
