@@ -4,7 +4,7 @@ A plain window over a document, or a join on the document id alone, sends the wh
 here cut the offset axis into chunks first, so that the unit of work is (document, chunk).
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET = 1024

@@ -4,12 +4,12 @@ Schema rules are a few rows known on the driver, so Spark sees their true size a
 check only depends on types, it is decided once per distinct combination of types and then joined back.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import role_base, span_text
 from spanloom.model import Standoff
-from spanloom.operators.selecting import arg_counts, comments, duplicate_triggers, references
+from spanloom.operators.selecting import arg_counts, duplicate_triggers, references
 from spanloom.operators.spans import overlaps
 from spanloom.sources.schema import ANY, Schema
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import diffing, editing, selecting, textual, verifying
+from spanloom.operators import diffing, editing, textual, verifying
 from spanloom.plans.derived import over_standoff, second_textbounds, standoff, textbounds, widened
 from spanloom.plans.registry import plan
 from spanloom.sources.schema import parse_schema

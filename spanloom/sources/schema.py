@@ -4,8 +4,6 @@ import pathlib
 import re
 from dataclasses import dataclass, field
 
-from spanloom.model import ID_PREFIX  # noqa: F401
-
 # Section names and their aliases, wildcards, reserved keys, special relation types.
 SECTIONS = ["entities", "relations", "events", "attributes"]
 SECTION_ALIAS = {"spans": "entities"}
