@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import ngram_join
+from spanloom.llm import decontaminate, mixing, ngram_join, sharding
 from spanloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -28,3 +28,46 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_
 """)
 def _(t):
     return ngram_join.ngram_components(t.documents).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_mix_sources", r"""
+WITH quality AS (SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS w
+  FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+sized AS (
+  SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    -ln((('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+      / coalesce(q.w, 1.0)::DOUBLE AS draw
+  FROM documents d LEFT JOIN quality q USING (doc_id)),
+src AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM sized GROUP BY source),
+leveled AS (
+  SELECT *, source_size * 3::DOUBLE AS most,
+    (sum(source_size) OVER () - coalesce(sum(source_size * 3::DOUBLE) OVER before, 0))
+      / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM src WINDOW before AS (ORDER BY source_size * 3::DOUBLE / w, source NULLS LAST
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+final AS (SELECT min_by(level, most / w) AS level FROM leveled WHERE most > level * w),
+targets AS (
+  SELECT source, source_size, CASE WHEN l.most <= l.level * l.w THEN l.most ELSE f.level * l.w END AS target
+  FROM leveled l, final f),
+epochs AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+running AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id) AS upto FROM sized)
+SELECT r.doc_id, r.size, e.source_size, e.target, (r.size * (e.epochs
+    + CASE WHEN e.target > e.epochs * e.source_size
+           AND r.upto - r.size / 2 <= e.target - e.epochs * e.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM running r JOIN epochs e ON r.source IS NOT DISTINCT FROM e.source
+""")
+def _(t):
+    return mixing.mix_plan(t.documents, t.labels).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_hash_tree_shards")
+def _(t):
+    return sharding.assign_shards(t.documents)
+
+
+@query("op2_template_decontamination")
+def _(t):
+    return decontaminate.contaminated(t.documents, t.benchmark)
