@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import arrays as A
-from spanloom.llm.tables import components, fresh, is_small
+from spanloom.llm.tables import components, fresh, with_bound
 from spanloom.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 80
 FLUSH_ENTRIES = 1 << 20
-BUCKETS_PER_PARTITION = 4
+BLOCK_COLUMNS = ["bucket", "high", "low", "classes", "repeats"]
 BROADCAST_IDS = 1_000_000
 U = np.uint64
 
@@ -120,40 +120,56 @@ def _digests(width):
     def run(batches):
         for batch in batches:
             sizes, classes = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=U)
+            sketches = [None] * len(batch)
             for i, elements in _each_set(batch, width):
                 sizes[i] = len(elements)
-                classes[i] = _class_of(elements) if len(elements) else 0
+                if len(elements):
+                    classes[i], sketches[i] = _class_of(elements), _sketch(elements)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes),
                     pa.array(A.as_long(classes), mask=sizes == 0),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "class"],
+                ["doc_id", "n_shingles", "class", "sketch"],
             )
 
     return run
 
 
-def _signature_blocks(width, percent, buckets):
-    """Rows (bucket, signatures, classes): many entries packed per row, a class once per task."""
+def _bucket_labels(spark, parts):
+    """For each shuffle partition one number that Spark's hash sends there, so that buckets fill partitions evenly."""
+    numbers = spark.range(parts * 16).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+    rows = numbers.groupBy("part").agg(F.min("id").alias("label")).collect()  # one row per partition
+    return np.array(sorted(r["label"] for r in rows), dtype=np.int64)
+
+
+def _signature_blocks(width, percent, labels):
+    """Rows (bucket, names, classes, repeats): many entries packed per row, a class once per task.
+
+    A signature is stored as 40 bits; together with its bucket that is more than 45, and two signatures that fall together
+    only make one more candidate to reject.
+    """
 
     def packed(parts):
         signatures = np.concatenate([p[0] for p in parts])
-        classes = np.repeat(np.array([p[1] for p in parts], dtype=U), [len(p[0]) for p in parts])
-        bucket = (signatures % U(buckets)).astype(np.int64)
+        classes = np.array([p[1] for p in parts], dtype=U)
+        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        bucket = (signatures % U(len(labels))).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        signatures, classes, bucket = signatures[order], classes[order], bucket[order]
+        names, owner, bucket = (signatures >> U(24))[order], owner[order], bucket[order]
+        rows = [[], [], [], [], []]
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(at[1:], len(bucket))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[at]),
-                pa.array([signatures[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                pa.array([classes[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-            ],
-            ["bucket", "signatures", "classes"],
-        )
+        for a, b in zip(at, np.append(at[1:], len(bucket))):
+            first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+            rows[0].append(labels[bucket[a]])
+            rows[1].append((names[a:b] >> U(8)).astype("<u4").tobytes())
+            rows[2].append((names[a:b] & U(255)).astype("u1").tobytes())
+            rows[3].append(classes[owner[a:b][first]].tobytes())
+            rows[4].append(np.diff(np.append(first, b - a)).astype("<u2").tobytes())
+        kinds = [pa.int64()] + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], BLOCK_COLUMNS)
 
     def run(batches):
         seen, parts, held = set(), [], 0
@@ -165,8 +181,10 @@ def _signature_blocks(width, percent, buckets):
                 if one in seen:
                     continue
                 seen.add(one)
-                parts.append((_signatures(elements, percent), one))
-                held += len(parts[-1][0])
+                found = _signatures(elements, percent)
+                for a in range(0, len(found), 1 << 15):  # repeats are 16 bits wide
+                    parts.append((found[a : a + (1 << 15)], one))
+                held += len(found)
                 if held >= FLUSH_ENTRIES:
                     yield packed(parts)
                     parts, held = [], 0
@@ -180,8 +198,10 @@ def _shared_signatures(batches):
     """Signatures with two classes or more; of signatures with the same classes only one is kept."""
     signatures, classes = [], []
     for batch in batches:
-        signatures += [np.frombuffer(x, dtype=U) for x in batch.column("signatures").to_pylist()]
-        classes += [np.frombuffer(x, dtype=U) for x in batch.column("classes").to_pylist()]
+        for bucket, high, low, who, repeats in zip(*(batch.column(c).to_pylist() for c in BLOCK_COLUMNS)):
+            name = (np.frombuffer(high, dtype="<u4").astype(U) << U(8)) | np.frombuffer(low, dtype="u1")
+            signatures.append(name | (U(bucket) << U(40)))
+            classes.append(np.repeat(np.frombuffer(who, dtype=U), np.frombuffer(repeats, dtype="<u2")))
     if not signatures:
         return
     s, c = np.concatenate(signatures), np.concatenate(classes)
@@ -208,15 +228,16 @@ def _shared_signatures(batches):
     chosen[kept] = True
     chosen = np.repeat(chosen, size)
     least = np.repeat(c[at], size)
-    for i in range(0, int(chosen.sum()), 1 << 16):
-        rows = np.flatnonzero(chosen)[i : i + (1 << 16)]
+    rows = np.flatnonzero(chosen)
+    for i in range(0, len(rows), 1 << 16):
+        part = rows[i : i + (1 << 16)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(A.as_long(x[rows])) for x in (s, c, least)], ["signature", "class", "center"]
+            [pa.array(A.as_long(x[part])) for x in (s, c, least)], ["signature", "class", "center"]
         )
 
 
 def _sketch_bits(size):
-    return 1 << int(np.ceil(np.log2(max(64, min(8 * size, 4096 + size)))))
+    return 1 << int(np.ceil(np.log2(max(64, min(8 * size, 1024 + size)))))
 
 
 def _sketch(elements):
@@ -229,24 +250,47 @@ def _sketch(elements):
 def _sets(width):
     def run(batches):
         for batch in batches:
-            n = len(batch)
-            sets, sketches = [b""] * n, [b""] * n
-            for i, elements in _each_set(batch, width):
-                sets[i], sketches[i] = elements.tobytes(), _sketch(elements) if len(elements) else b""
-            for a in range(0, n, 256):
-                part = slice(a, min(a + 256, n))
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                wanted, names, sets = part.column("class").to_pylist(), [], []
+                for i, elements in _each_set(part, width):
+                    # A repeated doc_id may also bring another text.
+                    if len(elements) and int(A.as_long(_class_of(elements)[None])[0]) == wanted[i]:
+                        names.append(wanted[i])
+                        sets.append(elements.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("class")[part.start : part.stop],
-                        pa.array(sets[part], pa.binary()),
-                        pa.array(sketches[part], pa.binary()),
-                    ],
-                    ["class", "elements", "sketch"],
+                    [pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["class", "elements"]
                 )
 
     return run
 
 
+def _near(percent, size_x, size_y, table_x, table_y):
+    """Whether sizes and sketches (equally long rows of words) allow a link. The number of bins with different parity
+    never exceeds the number of differing elements, so no link is rejected."""
+    differ = np.bitwise_count(table_x ^ table_y).sum(axis=-1, dtype=np.int64)
+    near = differ * (100 + percent) <= (size_x + size_y) * (100 - percent)
+    return near & (np.minimum(size_x, size_y) * 100 >= np.maximum(size_x, size_y) * percent)
+
+
+def _words_of(sketch, bits):
+    return _folded(np.frombuffer(sketch, dtype=U), bits)
+
+
+def _possible(percent):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+            for n, m, x, y in zip(*columns):
+                bits = min(len(x), len(y)) * 8
+                keep.append(bool(_near(percent, n, m, _words_of(x, bits), _words_of(y, bits))))
+            pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield pairs.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(percent):
     def run(batches):
         for batch in batches:
@@ -265,16 +309,25 @@ def _linked(percent):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent) -> DataFrame:
-    """Pairs (a, b) of classes whose complete sets reach the similarity. One set travels with each pair."""
+def _links(pairs: DataFrame, texts: DataFrame, owners: DataFrame, width, percent) -> DataFrame:
+    """Pairs (a, b) of classes whose complete sets reach the similarity. One set travels with each pair.
+
+    Only texts of classes in ``pairs`` are read again, one document for each class.
+    """
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = cut_lineage(owners.select("class", "doc_id").join(involved, "class", "left_semi"))
+    found = texts.join(with_bound(wanted, BROADCAST_IDS), "doc_id").select("class", "text")
+    sets = cut_lineage(found.mapInArrow(_sets(width), "class long, elements binary"))
+    if sets.count() > wanted.count():  # some doc_id stands on several rows
+        sets = cut_lineage(sets.dropDuplicates(["class"]))
     left = sets.select(F.col("class").alias("a"), F.col("elements").alias("elements_a"))
     right = sets.select(F.col("class").alias("b"), F.col("elements").alias("elements_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "elements_a", "elements_b")
-    return both.mapInArrow(_linked(percent), "a long, b long")
+    return cut_lineage(both.mapInArrow(_linked(percent), "a long, b long").distinct())
 
 
 def _folded(sketch, bits):
-    while len(sketch) * 8 > bits:
+    while len(sketch) * 64 > bits:
         half = len(sketch) // 2
         sketch = sketch[:half] ^ sketch[half:]
     return sketch
@@ -283,24 +336,19 @@ def _folded(sketch, bits):
 def _open_pairs(percent):
     """Pairs of classes in different components under one signature whose sketches allow a link.
 
-    The popcount of two parity sketches' difference never exceeds the number of differing elements, so no link is lost.
     Rows come sorted by (signature, component); a component's rows are compared with the rows after it in blocks.
     """
 
     def pairs_of(classes, component, size, sketch):
         bits = min(len(x) * 8 for x in sketch)
-        table = np.stack([_folded(np.frombuffer(x, dtype=np.uint8), bits) for x in sketch]).view(U)
+        table = np.stack([_words_of(x, bits) for x in sketch])
         at = np.flatnonzero(np.append(True, component[1:] != component[:-1]))
         end = np.repeat(np.append(at[1:], len(component)), np.diff(np.append(at, len(component))))
         for i in range(len(classes)):
             rest = slice(int(end[i]), None)
             if end[i] >= len(classes):
                 break
-            differ = np.bitwise_count(table[rest] ^ table[i]).sum(axis=1, dtype=np.int64)
-            total = size[rest] + size[i]
-            near = differ * (100 + percent) <= total * (100 - percent)
-            near &= np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * percent
-            hit = np.flatnonzero(near) + rest.start
+            hit = np.flatnonzero(_near(percent, size[rest], size[i], table[rest], table[i])) + rest.start
             if len(hit):
                 a, b = np.minimum(classes[hit], classes[i]), np.maximum(classes[hit], classes[i])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -308,7 +356,7 @@ def _open_pairs(percent):
     def run(batches):
         now, held = None, []
         for batch in batches:
-            columns = [batch.column(c) for c in ("signature", "class", "component", "n_shingles", "sketch")]
+            columns = [batch.column(c) for c in ("signature", "class", "component", "n", "sketch")]
             signature = columns[0].to_numpy()
             at = np.flatnonzero(np.append(True, signature[1:] != signature[:-1])) if len(signature) else []
             for a, b in zip(at, np.append(at[1:], len(signature))):
@@ -339,49 +387,46 @@ def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Data
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = cut_lineage(texts.mapInArrow(_digests(width), "doc_id long, n_shingles long, class long"))
+    digests = cut_lineage(
+        texts.mapInArrow(_digests(width), "doc_id long, n_shingles long, class long, sketch binary")
+    )
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = texts.select("text").mapInArrow(
-        _signature_blocks(width, percent, parts * BUCKETS_PER_PARTITION),
-        "bucket long, signatures binary, classes binary",
+        _signature_blocks(width, percent, _bucket_labels(spark, parts)),
+        "bucket long, high binary, low binary, classes binary, repeats binary",
     )
     entries = cut_lineage(
         blocks.repartition(parts, "bucket").mapInArrow(_shared_signatures, "signature long, class long, center long")
     )
 
-    # One document stands for each class that shares a signature; only its text is read again.
-    involved = entries.select("class").distinct()
-    owners = digests.filter("class IS NOT NULL").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
-    )
-    chosen = cut_lineage(owners.join(involved, "class").filter("doc_id IS NOT NULL"))
-    wanted = chosen.select("doc_id", "class")
-    if is_small(wanted, BROADCAST_IDS):
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "doc_id").select("class", "text").mapInArrow(
-        _sets(width), "class long, elements binary, sketch binary"
+    # One document stands for each class that shares a signature.
+    involved = with_bound(entries.select("class").distinct(), BROADCAST_IDS)
+    owners = digests.filter("doc_id IS NOT NULL").join(involved, "class", "left_semi").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    sets = cut_lineage(sets.dropDuplicates(["class"]) if _repeats(digests) else sets)
-
+    owners = cut_lineage(owners)
+    left = owners.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = owners.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     stars = entries.filter("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
-    links = cut_lineage(_links(stars, sets, percent))
-    first = components(links)
+    stars = stars.join(left, "a").join(right, "b").mapInArrow(_possible(percent), "a long, b long")
+    first = components(_links(cut_lineage(stars), texts, owners, width, percent))
 
     placed = entries.join(first.withColumnRenamed("node", "class"), "class", "left").select(
         "signature", "class", F.coalesce("root", "class").alias("component")
     )
-    mixed = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter("low < high").select("signature")
-    members = placed.join(mixed, "signature").join(chosen.select("class", "n_shingles"), "class")
-    members = members.join(sets.select("class", "sketch"), "class")
-    members = members.select("signature", "class", "component", "n_shingles", "sketch")
+    mixed = placed.groupBy("signature").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
+    )
+    # The least class of a signature was compared with all others, so two classes are settled.
+    mixed = mixed.filter("low < high AND members > 2").select("signature")
+    members = placed.join(mixed, "signature").join(owners, "class")
+    members = members.select("signature", "class", "component", "n", "sketch")
     ordered = members.repartition("signature").sortWithinPartitions("signature", "component", "class")
     more = cut_lineage(ordered.mapInArrow(_open_pairs(percent), "a long, b long").distinct())
     if not more.isEmpty():
-        first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
-            _links(more, sets, percent)
-        ))
+        found = _links(more, texts, owners, width, percent)
+        first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     grouped = digests.join(first.withColumnRenamed("node", "class"), "class", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "class"))
@@ -391,11 +436,6 @@ def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Data
     )
 
 
-def _repeats(digests):
-    """Whether some doc_id stands on more than one row, so that its text is found more than once."""
-    return not digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-
-
 def one_per_component(documents: DataFrame, width=WIDTH, percent=PERCENT) -> DataFrame:
     """``documents`` with one row per component kept: a row of its least doc_id.
 

@@ -1,11 +1,18 @@
 """The registered queries: each applies one operator, with production parameters, to its whole table."""
 
-from pyspark.sql import functions as F
+import pathlib
 
-from spanloom.llm import decontaminate, mixing, ngram_join, sharding
+from spanloom.llm import decontaminate, langid, mixing, ngram_join, sharding, token_files
 from spanloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+def byte_bpe_definition():
+    """JSON text of the public byte-level tokenizer."""
+    import public_tokenizers
+
+    return pathlib.Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
 @query("op1_ngram_jaccard_join", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -71,3 +78,14 @@ def _(t):
 @query("op2_template_decontamination")
 def _(t):
     return decontaminate.contaminated(t.documents, t.benchmark)
+
+
+@query("op8_token_files")
+def _(t):
+    folder = token_files.write_token_files(t.documents, byte_bpe_definition())
+    return token_files.read_token_files(t.spark, folder)
+
+
+@query("op9_language_kernel")
+def _(t):
+    return langid.predict(t.documents, langid.fit(t.documents))
