@@ -2,7 +2,9 @@
 
 import pathlib
 
-from spanloom.llm import decontaminate, langid, mixing, ngram_join, sharding, token_files
+from pyspark.sql import functions as F
+
+from spanloom.llm import decontaminate, langid, mixing, neighbours, ngram_join, sharding, token_files
 from spanloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -80,6 +82,11 @@ def _(t):
     return decontaminate.contaminated(t.documents, t.benchmark)
 
 
+@query("op7_multiprobe_neighbours")
+def _(t):
+    return neighbours.search(t.embeddings, F.col("vec_id") % 20 == 0)
+
+
 @query("op8_token_files")
 def _(t):
     folder = token_files.write_token_files(t.documents, byte_bpe_definition())
