@@ -4,7 +4,8 @@ import pathlib
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, mixing, neighbours, ngram_join, sharding, token_files
+from spanloom.llm import decontaminate, langid, main_text, mixing, neighbours, ngram_join, sharding, token_files
+from spanloom.llm import toxicity, url_filter
 from spanloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -96,3 +97,18 @@ def _(t):
 @query("op9_language_kernel")
 def _(t):
     return langid.predict(t.documents, langid.fit(t.documents))
+
+
+@query("op4_tag_path_text")
+def _(t):
+    return main_text.extract(t.pages)
+
+
+@query("op6_toxicity_chain")
+def _(t):
+    return toxicity.predict(t.documents, toxicity.fit(t.documents, t.labels))
+
+
+@query("op10_url_words")
+def _(t):
+    return url_filter.judge(t.pages)
