@@ -2,8 +2,9 @@
 probabilities of the categories before it. While training, those probabilities are out-of-fold predictions, so that a
 later model never leans on how well an earlier one knows its own training rows.
 
-Features are the distinct words of the whole text (runs of letters, A-Z lower-cased), hashed; a bounded vocabulary keeps
-the bins with the highest document frequency in the sample, chosen without looking at labels. Models are fitted on a
+Features are the distinct words of the whole text (runs of letters, A-Z lower-cased) and their beginnings, hashed; a
+bounded vocabulary keeps the bins with the highest document frequency in the sample, but for those in a fifth of all
+documents or more, chosen without looking at labels. Models are fitted on a
 bounded sample of labelled documents, at most ``PER_CLASS`` for each combination of labels, weighted back to their true
 shares. Only word bins of the sample reach the driver; all documents are scored inside tasks.
 """
@@ -18,12 +19,14 @@ from spanloom.llm import arrays as A
 from spanloom.llm.langid import draw_of
 from spanloom.llm.tables import is_small
 
-PER_CLASS = 2500
+PER_CLASS = 1500
 BITS = 20
-VOCABULARY = 8192
+BEGINNINGS = (4, 6, 8)  # bytes
+VOCABULARY = 16384
+COMMON = 0.2
 FOLDS = 4
-STEPS = 150
-PENALTY = 2e-4
+STEPS = 100
+PENALTY = 2e-2
 BROADCAST_IDS = 1_000_000
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -34,13 +37,16 @@ CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
 
 def word_bins(data, offsets, kept=None):
-    """(row, bin) of the distinct word bins of every text; ``kept`` marks the bins to look at."""
+    """(row, bin) of the distinct bins of words and beginnings of every text; ``kept`` marks the bins to look at."""
     start, end, row = A.runs(_LETTER[data], offsets)
-    bins = (A.span_hashes(A.LOWER[data], start, end) >> np.uint64(64 - BITS)).astype(np.int64)
-    if kept is not None:
-        inside = kept[bins]
-        bins, row = bins[inside], row[inside]
-    both = np.unique((row << BITS) | bins)
+    low, found = A.LOWER[data], []
+    for size in (0, *BEGINNINGS):
+        longer = end - start > size
+        first, last = start[longer], start[longer] + size if size else end
+        bins = A.mix(A.span_hashes(low, first, last) + np.uint64(size)) >> np.uint64(64 - BITS)
+        both = (row[longer] << BITS) | bins.astype(np.int64)
+        found.append(both if kept is None else both[kept[both & ((1 << BITS) - 1)]])
+    both = np.unique(np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
@@ -73,29 +79,36 @@ def _sigmoid(x):
 
 def _logistic(words, extra, target, weight):
     """(word weights, weights of the columns of ``extra``, bias): logistic regression by accelerated gradient steps."""
-    scale = 1 / np.sqrt(np.maximum(words.dot(np.ones(words.shape[1])), 1))
-    n = words.shape[1] + extra.shape[1] + 1
-    theta = np.zeros(n)
-    ahead, t = theta.copy(), 1.0
     weight = weight / weight.sum()
-    split = words.shape[1], words.shape[1] + extra.shape[1]
-    # The curvature is at most a quarter of the mean squared length of a row.
-    rate = 4.0 / (1.0 + 1.0 + (extra**2).sum(axis=1).max(initial=0.0))
+    cut = words.shape[1], words.shape[1] + extra.shape[1]
+
+    def outputs(v):
+        return words.dot(v[: cut[0]]) + extra @ v[cut[0] : cut[1]] + v[cut[1]]
+
+    def slopes(r):
+        return np.concatenate([words.back(r), extra.T @ r, [r.sum()]])
+
+    penalty = np.full(cut[1] + 1, PENALTY)
+    penalty[cut[0] :] = [PENALTY / 10] * extra.shape[1] + [0.0]
+    direction = np.random.default_rng(0).normal(size=cut[1] + 1)
+    for _ in range(8):  # largest curvature by power iteration
+        direction = slopes(weight * outputs(direction))
+        steepest = np.linalg.norm(direction)
+        direction = direction / steepest
+    rate = 1 / (0.3 * steepest + PENALTY)
+    theta = np.zeros(cut[1] + 1)
+    ahead, t = theta.copy(), 1.0
     for _ in range(STEPS):
-        w, e, b = ahead[: split[0]], ahead[split[0] : split[1]], ahead[split[1]]
-        error = weight * (_sigmoid(words.dot(w) * scale + extra @ e + b) - target)
-        slope = np.concatenate([words.back(error * scale) + PENALTY * w, extra.T @ error + PENALTY * e, [error.sum()]])
-        new = ahead - rate * slope
+        new = ahead - rate * (slopes(weight * (_sigmoid(outputs(ahead)) - target)) + penalty * ahead)
         faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / faster * (new - theta)
         theta, t = new, faster
-    return theta[: split[0]], theta[split[0] : split[1]], theta[split[1]]
+    return theta[: cut[0]], theta[cut[0] : cut[1]], theta[cut[1]]
 
 
 def _applied(model, words, extra):
     w, e, b = model
-    scale = 1 / np.sqrt(np.maximum(words.dot(np.ones(words.shape[1])), 1))
-    return _sigmoid(words.dot(w) * scale + extra @ e + b)
+    return _sigmoid(words.dot(w) + extra @ e + b)
 
 
 class Chain:
@@ -164,15 +177,18 @@ def fit(documents: DataFrame, labels: DataFrame, chain=CHAIN, per_class=PER_CLAS
     if n < 2 * FOLDS or (targets.min(axis=0) == targets.max(axis=0)).any():
         return None
     bins = [np.frombuffer(x, dtype="<i4") for x in sample["bins"]]
-    owner = np.repeat(np.arange(n), [len(x) for x in bins])
-    bins = np.concatenate(bins)
-    frequency = np.bincount(bins, minlength=1 << BITS)
-    order = np.lexsort((np.arange(1 << BITS), -frequency))[:VOCABULARY]
-    order = order[frequency[order] >= 2]
-    place = np.full(1 << BITS, -1, dtype=np.int64)
+    frequency = np.bincount(np.concatenate(bins), minlength=1 << BITS)
+    usual = (frequency >= 3) & (frequency <= max(3, COMMON * n))
+    order = np.lexsort((np.arange(1 << BITS), -np.where(usual, frequency, 0)))[:VOCABULARY]
+    order = order[usual[order]]
+    if not len(order):
+        return None
+    place = np.full(1 << BITS, -1, dtype=np.int32)
     place[order] = np.arange(len(order))
-    inside = place[bins] >= 0
-    rows_of, columns = owner[inside], place[bins[inside]]
+    bins = [place[x] for x in bins]
+    bins = [x[x >= 0] for x in bins]
+    rows_of = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in bins])
+    columns = np.concatenate(bins)
     drawn = np.bincount(marks, minlength=1 << len(chain))
     weight = np.array([counts[m] / drawn[m] for m in marks])
     fold = np.arange(n) % FOLDS
