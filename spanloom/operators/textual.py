@@ -1,15 +1,15 @@
 """Lines, occurrences, tokens and sentences of documents, all with character offsets.
 
-Each document text is one row, so its pieces are bounded by that row. Texts are spread by document before they are cut
-into pieces: the shuffle then moves the compact text once, and the running offsets over the many pieces need none.
+Each document text is one row, and so are its pieces until they are exploded: arrays of pieces and of their offsets are
+made inside the row, so neither texts nor pieces are shuffled.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.offsets import exclusive_sums, sentence_bounds, solid_places
 from spanloom.functions.text import BRACKET_ESCAPES, match_pattern, replace_all, split_token
 from spanloom.operators.ranges import points_in_intervals
-from spanloom.session import cut_lineage
 
 # Fixed value: end of a sentence after a first non-blank character: terminal marks before space, a newline, text end.
 SENTENCE = "(?s)\\S.*?(?::?(?::?[.!?。！？]+(?=\\s+))|:?(?=\\n+)|:?(?=\\s*\\z))"
@@ -111,11 +111,6 @@ def until_stable(col, rules, rounds):
     return F.aggregate(F.sequence(F.lit(0), rounds), start, step)["cur"]
 
 
-def by_document(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) spread by document, as the windows over a document's pieces need it."""
-    return docs.select("doc_id", "text").repartition("doc_id")
-
-
 def numbered_pieces(df: DataFrame, keep, array, number, piece) -> DataFrame:
     """One row per element of an array that is costly to make.
 
@@ -133,33 +128,51 @@ def running_offsets(df: DataFrame, doc, order, text, sep=1) -> DataFrame:
     return df.withColumn("start", start.cast("long")).withColumn("end", (F.col("start") + length).cast("long"))
 
 
+def _exploded(df, keep, arrays, number):
+    """One row per element of arrays of equal length, which become columns of their own names."""
+    rows = numbered_pieces(df, keep, F.arrays_zip(*arrays), number, "_piece")
+    return rows.select(*keep, number, *[F.col(f"_piece.{a}").alias(a) for a in arrays])
+
+
+def split_with_offsets(docs: DataFrame, separator: str, number, piece, start) -> DataFrame:
+    """The pieces of each text between a separator of one character, with their starts."""
+    cut = docs.select("doc_id", F.split("text", separator).alias(piece))
+    placed = cut.withColumn(start, exclusive_sums(F.transform(piece, lambda x: F.length(x) + 1)))
+    return _exploded(placed, ["doc_id"], [piece, start], number)
+
+
 # S03
 def lines_with_offsets(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, start, end) of the lines of each document."""
-    lines = numbered_pieces(by_document(docs), ["doc_id"], F.split("text", "\n"), "line_no", "line")
-    return running_offsets(lines, "doc_id", "line_no", "line")
+    rows = split_with_offsets(docs, "\n", "line_no", "line", "start")
+    return rows.withColumn("end", F.col("start") + F.length("line"))
 
 
-# C12
-def occurrences(docs: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, occ_no, start, end, text) of the non-overlapping matches of a pattern that matches at least one character.
+def _with_occurrences(docs, pattern, start="start", hit="text", source="text"):
+    """Adds arrays of the starts and texts of the matches of a pattern.
 
-    The text between matches comes from a split on the same pattern; running lengths of both give the offsets.
+    What lies between matches comes from a split on the same pattern; running lengths of both give the starts.
     """
-    gaps = F.transform(F.split("text", pattern, -1), F.length)
-    hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    pairs = F.filter(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull()
-    )
-    rows = numbered_pieces(by_document(docs), ["doc_id"], pairs, "occ_no", "p").select(
-        "doc_id", "occ_no", F.col("p.gap").alias("gap"), F.col("p.hit").alias("text")
+    cut = docs.withColumns(
+        {
+            "_gaps": F.transform(F.split(source, pattern, -1), F.length),
+            "_hits": F.regexp_extract_all(source, F.lit(pattern), F.lit(0)),
+        }
     )
-    before = Window.partitionBy("doc_id").orderBy("occ_no").rowsBetween(Window.unboundedPreceding, -1)
-    passed = F.coalesce(F.sum(F.col("gap") + F.length("text")).over(before), F.lit(0))
-    return (
-        rows.withColumn("start", (passed + F.col("gap")).cast("long"))
-        .withColumn("end", (F.col("start") + F.length("text")).cast("long"))
-        .select("doc_id", "occ_no", "start", "end", "text")
+    gaps = F.slice("_gaps", F.lit(1), F.size("_hits"))  # without what follows the last match
+    passed = exclusive_sums(F.zip_with(gaps, F.transform("_hits", F.length), lambda g, h: g + h))
+    placed = cut.withColumn("_passed", passed)
+    starts = F.zip_with("_passed", gaps, lambda p, g: p + g)
+    return placed.withColumn(start, starts).withColumn(hit, F.col("_hits")).drop("_gaps", "_hits", "_passed")
+
+
+# C12
+def occurrences(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, occ_no, start, end, text) of the non-overlapping matches of a pattern that matches at least one character."""
+    found = _with_occurrences(docs.select("doc_id", F.col("text").alias("_text")), pattern, source="_text")
+    rows = _exploded(found, ["doc_id"], ["start", "text"], "occ_no")
+    return rows.select(
+        "doc_id", "occ_no", "start", (F.col("start") + F.length("text")).cast("long").alias("end"), "text"
     )
 
 
@@ -210,12 +223,13 @@ def treebank_tokens(docs: DataFrame) -> DataFrame:
 
     A token never spans a blank, so its place among the non-blank characters of the document gives its offset.
     """
-    pieces = F.filter(F.split("spaced", "\\s+"), lambda t: t != "")
-    parts = numbered_pieces(treebank_text(by_document(docs)), ["doc_id"], pieces, "token_no", "text")
-    parts = running_offsets(parts, "doc_id", "token_no", "text", sep=0).drop("end").withColumnRenamed("start", "solid")
-    placed = place_solid(parts, docs)
-    return placed.select(
-        "doc_id", "token_no", "start", (F.col("start") + F.length("text")).cast("long").alias("end"), "text"
+    found = _with_occurrences(docs.select("doc_id", "text"), "\\S+", "_starts", "_words")
+    cut = treebank_text(found).withColumn("token", F.filter(F.split("spaced", "\\s+"), lambda t: t != ""))
+    lengths = F.transform("_words", F.length), F.transform("token", F.length)
+    placed = cut.withColumn("start", solid_places("_starts", *lengths))
+    rows = _exploded(placed, ["doc_id"], ["token", "start"], "token_no").filter("start >= 0")
+    return rows.select(
+        "doc_id", "token_no", "start", (F.col("start") + F.length("token")).alias("end"), F.col("token").alias("text")
     )
 
 
@@ -260,73 +274,30 @@ def regex_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_no, start, end): sentence ends by pattern, corrected, with the text's own newlines kept.
 
     The corrections run on the sentences written one per line and never change its length, so a position there maps
-    back to the text by the sentence it falls in.
+    back to the text by the sentence it falls in. A newline of the text ends a sentence; one that no sentence touches is
+    an empty sentence of its own.
     """
-    found = occurrences(docs, SENTENCE)
-    solo = F.transform(
-        F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
-    )
-    joined = by_document(docs).select("doc_id", F.array_join(solo, "\n").alias("joined"))
+    found = _with_occurrences(docs.select("doc_id", "text"), SENTENCE, "_starts", "_sentences")
+    solo = F.transform("_sentences", lambda s: F.replace(s, F.lit("\n"), F.lit(" ")))
+    joined = found.withColumn("joined", F.array_join(solo, "\n"))
     breaks = F.length("joined") - F.length(F.replace("joined", F.lit("\n"), F.lit("")))
     sized = joined.withColumns({"breaks": breaks, "refined": apply_rules(F.col("joined"), SPLIT_FIRST)})
     for rule in SPLIT_IN_BRACKETS:
         sized = sized.withColumn("refined", until_stable(F.col("refined"), [rule], F.col("breaks") + 1))
-    refined = apply_rules(F.col("refined"), SPLIT_LAST)
-    lines = numbered_pieces(sized, ["doc_id"], F.split(refined, "\n"), "line_no", "line")
-    lines = running_offsets(lines, "doc_id", "line_no", "line").filter("end > start")
-
-    before = Window.partitionBy("doc_id").orderBy("occ_no").rowsBetween(Window.unboundedPreceding, -1)
-    places = found.select(
-        "doc_id",
-        F.col("start").alias("sent_start"),
-        F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long").alias("place"),
-        F.length("text").alias("sent_len"),
-    ).withColumn("place_end", F.col("place") + F.col("sent_len") + 1)
-
-    edges = lines.select(
-        "doc_id",
-        "line_no",
-        F.explode(F.array(F.col("start"), F.col("end") - 1)).alias("at"),
-    )
-    mapped = points_in_intervals(edges, places, ["doc_id"], "at", "place", "place_end").select(
-        "doc_id", "line_no", (F.col("sent_start") + F.col("at") - F.col("place")).alias("offset")
-    )
-    spans = mapped.groupBy("doc_id", "line_no").agg(
-        F.min("offset").alias("start"), (F.max("offset") + 1).alias("end")
-    )
-    whole = docs.filter(~F.rlike("text", F.lit("\\S"))).select(
-        "doc_id", F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end")
-    )
-    # Used three times below; the corrections above are not worth repeating.
-    spans = cut_lineage(spans.select("doc_id", "start", "end").unionByName(whole))
-    return _with_own_newlines(docs, spans)
-
-
-def _with_own_newlines(docs, spans):
-    """Cut sentences at the newlines of the text; a newline no sentence touches is an empty sentence of its own."""
-    newlines = occurrences(docs, "\\n").select("doc_id", F.col("start").alias("newline"))
-    inside = points_in_intervals(newlines, spans, ["doc_id"], "newline", "start", "end")
-    cuts = inside.groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_list("newline")).alias("cuts"))
-    pieces = spans.join(cuts, ["doc_id", "start", "end"], "left").withColumn(
-        "cuts", F.coalesce("cuts", F.array().cast("array<bigint>"))
-    )
-    starts = F.concat(F.array("start"), F.transform("cuts", lambda c: c + 1))
-    ends = F.concat(F.col("cuts"), F.array("end"))
-    pieces = pieces.select(
-        "doc_id", F.explode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("s")
-    ).select("doc_id", "s.start", "s.end")
-    touched = inside.select("doc_id", "newline").unionByName(
-        spans.select("doc_id", F.col("end").alias("newline"))
-    )
-    alone = newlines.join(touched, ["doc_id", "newline"], "left_anti").select(
-        "doc_id", F.col("newline").alias("start"), F.col("newline").alias("end")
-    )
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    return (
-        pieces.unionByName(alone)
-        .withColumn("sentence_no", F.row_number().over(order) - 1)
-        .select("doc_id", "sentence_no", "start", "end")
+    lines = F.split(apply_rules(F.col("refined"), SPLIT_LAST), "\n")
+    bounds = sentence_bounds(
+        "_starts",
+        F.transform("_sentences", F.length),
+        F.transform(lines, F.length),
+        F.transform(F.split("text", "\n"), F.length),
+        F.length("text"),
+        ~F.rlike("text", F.lit("\\S")),
     )
+    at = F.transform(F.sequence(F.lit(1), F.size("bounds"), F.lit(2)), lambda i: F.struct(
+        F.get("bounds", i - 1).alias("start"), F.get("bounds", i).alias("end")))
+    pairs = F.when(F.size("bounds") > 0, at)
+    rows = numbered_pieces(sized.select("doc_id", bounds.alias("bounds")), ["doc_id"], pairs, "sentence_no", "s")
+    return rows.select("doc_id", "sentence_no", "s.start", "s.end")
 
 
 def sentences(docs: DataFrame, mode="regex") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.model import Standoff, textbound
-from spanloom.operators.textual import by_document, numbered_pieces, occurrences
+from spanloom.operators.textual import occurrences, split_with_offsets
 from spanloom.session import cut_lineage
 
 # Types by word length modulo 4, and the word pattern.
@@ -23,9 +23,7 @@ def by_start():
 
 def token_rows(docs):
     """(doc_id, i, w, st): the text split at single blanks."""
-    toks = numbered_pieces(by_document(docs), ["doc_id"], F.split("text", " "), "i", "w")
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return toks.withColumn("st", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0)).cast("long"))
+    return split_with_offsets(docs, " ", "i", "w", "st")
 
 
 def textbounds(docs):
