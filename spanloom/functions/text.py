@@ -1,9 +1,13 @@
 """Column functions over text: cleaning, norm forms, n-grams, spans. All are built-in expressions."""
 
+import html
 import re
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters folded by the post cleaner; ñ becomes two letters and is handled apart.
 POST_ACCENTS = ("úùüóòíìéèáà", "uuuooiieeaa")
@@ -40,7 +44,6 @@ BRACKET_ESCAPES = {"(": "-LRB-", ")": "-RRB-", "[": "-LSB-", "]": "-RSB-", "{":
 XML_ESCAPES = {**BRACKET_ESCAPES, "/": "\\/", "*": "\\*"}
 
 # The HTML entities that occur in article text.
-HTML_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def replace_all(col: Column, mapping: dict, invert=False) -> Column:
@@ -69,9 +72,20 @@ def to_ascii(col: Column) -> Column:
 
 
 # C04
+def drop_tags(col: Column) -> Column:
+    return F.regexp_replace(col, "(?s)<[^>]*>", "")
+
+
+@F.arrow_udf(T.StringType())
+def unescaped(texts: pa.Array) -> pa.Array:
+    """Named and numeric character references resolved; a no-break space becomes a blank."""
+    found = [x if x is None or "&" not in x else html.unescape(x).replace("\xa0", " ") for x in texts.to_pylist()]
+    return pa.array(found, pa.string())
+
+
 def strip_tags(col: Column) -> Column:
-    """Text of an HTML fragment: tags dropped, entities resolved (the ampersand last)."""
-    return replace_all(F.regexp_replace(col, "(?s)<[^>]*>", ""), HTML_ENTITIES)
+    """Text of an HTML fragment: tags dropped, character references resolved."""
+    return unescaped(drop_tags(col))
 
 
 # C05
@@ -188,10 +202,13 @@ def id_space(col: Column) -> Column:
 
 
 # C23
-def natural_key(col: Column, width=20) -> Column:
-    """Sort key under which runs of digits compare as numbers (up to ``width`` digits)."""
-    padded = F.regexp_replace(F.lower(col), "([0-9]+)", "0" * width + "$1")
-    return F.regexp_replace(padded, "0*([0-9]{%d})" % width, "$1")
+def natural_key(col: Column) -> Column:
+    """Sort key under which runs of digits compare as numbers: each is led by its length without leading zeros."""
+    def keyed(run):
+        number = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(F.rlike(run, F.lit("^[0-9]")), F.concat(F.format_string("%010d", F.length(number)), number)).otherwise(run)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(col), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), keyed), "")
 
 
 # C24
@@ -245,6 +262,26 @@ def text_match(col: Column, text: str, mode="word", match_case=False, match_empt
     return F.lit(False) if pattern is None else F.rlike(col, F.lit(pattern))
 
 
+def _checked(pattern):
+    """``pattern`` if the engine that will run it accepts it, else None; made to match one character at least.
+
+    A named group holds what follows the start of a match; if nothing has been consumed at its end, the engine goes on to
+    another way to match.
+    """
+    spark = SparkSession.active()
+    probe = spark.createDataFrame([("",), ("a B 1_.-",)], "text string")
+    try:
+        hits = probe.select(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits")).collect()
+    except SparkRuntimeException:
+        return None
+    if not any("" in r["hits"] for r in hits):
+        return pattern
+    flags, body = re.match(r"(\(\?[a-zA-Z]+\))?(.*)", pattern, re.S).groups()
+    if re.search(r"\\[1-9]", body):
+        return None
+    return f"{flags or ''}(?=(?<rest>[\\s\\S]*))(?:{body})(?!\\k<rest>\\z)"
+
+
 def match_pattern(text: str, mode="word", match_case=False):
     """The regular expression behind :func:`text_match`, or None when ``text`` is not a valid one."""
     flags = "(?U)" if match_case else "(?iuU)"
@@ -253,11 +290,7 @@ def match_pattern(text: str, mode="word", match_case=False):
     if mode == "substring":
         return flags + quoted(text)
     if mode == "regex":
-        try:
-            re.compile(text)
-        except re.error:
-            return None
-        return flags + text
+        return _checked(flags + text)
     raise ValueError(f"unknown match mode {mode!r}")
 
 

@@ -18,7 +18,6 @@ ARTICLE_SCHEMA = (
 )
 
 # Fixed value: characters of content kept in the cold tier.
-COLD_CONTENT = 6000
 
 
 # F01
@@ -202,11 +201,19 @@ def latest(df: DataFrame, keys, order) -> DataFrame:
 
 # K01
 def upsert(table: DataFrame, new: DataFrame, version="version") -> DataFrame:
-    """``table`` with the rows of ``new`` added or put in place by url; the highest version of a url wins.
+    """``table`` with the rows of ``new`` added or put in place by url.
 
-    Only the urls of ``new`` are joined to the table, whose rows are not regrouped.
+    Of several new rows of a url the highest version counts. If the table has the version column, too, a stored row only
+    gives way to one of at least its own version (null counts as the lowest); else the last write wins. Only the urls of
+    ``new`` are joined to the table, whose rows are not regrouped.
     """
-    winners = latest(new, ["url"], [F.desc(version)]).select(*table.columns)
+    winners = latest(new, ["url"], [F.desc_nulls_last(version)])
+    if version in table.columns:
+        stored = table.select("url", F.struct(F.col(version)).alias("_stored"))
+        winners = winners.join(stored, "url", "left").filter(
+            F.col("_stored").isNull() | (F.struct(F.col(version)) >= F.col("_stored"))
+        )
+    winners = winners.select(*table.columns)
     return table.join(winners.select("url"), "url", "left_anti").unionByName(winners)
 
 
@@ -216,12 +223,15 @@ def delete(table: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 # K03
-def move_ready(hot: DataFrame, cold: DataFrame, require_service=False):
-    """(new cold, new hot): ready rows replace those of the same url in the cold tier, content cut, and leave the hot one.
+def move_ready(hot: DataFrame, cold: DataFrame, require_service=False, content=None):
+    """(new cold, new hot): ready rows replace those of the same url in the cold tier and leave the hot one.
+
+    ``content`` cuts the text of the moved rows to so many characters; without it the whole text is kept.
 
     Write the cold tier first: if that fails, the rows are still hot, and running the move again gives the same result.
     """
     ready = with_flags(hot, require_service).filter("is_ready").select(*cold.columns)
-    ready = ready.withColumn("content", F.substring("content", 1, COLD_CONTENT))
+    if content is not None:
+        ready = ready.withColumn("content", F.substring("content", 1, content))
     moved = cold.join(ready.select("url"), "url", "left_anti").unionByName(ready)
     return moved, hot.join(ready.select("url"), "url", "left_anti")

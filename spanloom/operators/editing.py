@@ -504,6 +504,14 @@ def concat_documents(docs: DataFrame, so: Standoff, group, order) -> tuple:
                         F.length("text").alias("_len"))
     shift = running_total(sized, ["_group"], "_order", "_len", "_shift")
     place = cut_lineage(row_numbers(shift, ["_group"], "_order", "_doc_no").drop("_len", "_order"))
+    # Lines of a document come after all lines of the documents before it.
+    lines = None
+    for df in so.tables().values():
+        part = df.groupBy("doc_id").agg(F.max("line_no").alias("_lines"))
+        lines = part if lines is None else lines.unionByName(part)
+    lines = lines.groupBy("doc_id").agg((F.max("_lines") + 1).cast("long").alias("_lines"))
+    place = place.join(lines, "doc_id", "left").withColumn("_lines", F.coalesce("_lines", F.lit(0)))
+    place = cut_lineage(running_total(place, ["_group"], "_doc_no", "_lines", "_line_shift").drop("_lines"))
     prefix = F.regexp_extract("ann_id", "^([A-Za-z]+|#[A-Za-z]*)", 1)
     number = F.regexp_extract("ann_id", "([0-9]+)", 1).cast("long")
     ids = None
@@ -515,8 +523,7 @@ def concat_documents(docs: DataFrame, so: Standoff, group, order) -> tuple:
     first = ids.groupBy("_group", "ann_id").agg(F.min("_doc_no").alias("_first"))
     later = ids.join(first, ["_group", "ann_id"]).filter("_doc_no > _first")
     top = ids.groupBy("_group", "_prefix").agg(F.max("_num").alias("_top"))
-    later = later.withColumn("_place", F.col("_doc_no") * 10_000_000 + F.col("_num"))
-    fresh = row_numbers(later, ["_group", "_prefix"], "_place", "_n", chunk=10_000_000, tie=["ann_id"])
+    fresh = row_numbers(later, ["_group", "_prefix"], "_doc_no", "_n", tie=["_num", "ann_id"])
     renamed = cut_lineage(
         fresh.join(top, ["_group", "_prefix"]).select(
             "doc_id",
@@ -541,7 +548,7 @@ def concat_documents(docs: DataFrame, so: Standoff, group, order) -> tuple:
                     "end": F.col("end") + by,
                 }
             )
-        moved = moved.withColumn("line_no", F.col("_doc_no") * 10_000_000 + F.col("line_no"))
+        moved = moved.withColumn("line_no", F.col("_line_shift") + F.col("line_no"))
         return moved.withColumn("doc_id", F.col("_group")).select(*df.columns)
 
     joined = docs.groupBy(F.col(group).alias("doc_id")).agg(

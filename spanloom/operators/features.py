@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import TYPE_ACCENTS, language_model_text
+from spanloom.session import cut_lineage
 
 # Word pattern, n-gram range, vocabulary size; share of masked tokens, length of a row, special tokens.
 WORD = "[\\p{L}\\p{N}_]{2,}"
@@ -38,31 +39,29 @@ def tfidf(docs: DataFrame, key="doc_id", text="text", ngram=NGRAMS, max_features
           fit_on: DataFrame = None) -> DataFrame:
     """(key, term, tf, idf, weight): L2-normalized weights of the most frequent terms.
 
-    Texts are spread by key once; counting a document's terms and its norm then need no further shuffle. Term totals and
-    document frequencies are combined per task before they move. The vocabulary has at most ``max_features`` rows, so it
-    is broadcast, and other terms drop out before anything is counted per document. ``plus_one`` picks the smoothed form
-    with one added, the other form has none. ``fit_on`` restricts what the vocabulary comes from, such as a training
-    part.
+    Texts are spread by key and cut into n-grams once; the counts per document are written, and the term totals, the
+    document frequencies and the weights all come from that table. The vocabulary has at most ``max_features`` rows, the
+    most frequent terms. ``plus_one`` picks the smoothed form with one added, the other form has none. ``fit_on``
+    restricts what the vocabulary comes from, such as a training part.
     """
-    def terms(df):
+    def counted(df):
         # The tokens are a column of their own: inside the n-gram lambda they would be cut anew for every n-gram.
         spread = df.select(key, text).repartition(key).select(key, word_tokens(F.col(text)).alias("tokens"))
-        return spread.select(key, ngram_terms(F.col("tokens"), *ngram).alias("terms"))
+        terms = spread.select(key, ngram_terms(F.col("tokens"), *ngram).alias("terms"))
+        each = terms.select(key, F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+        return cut_lineage(each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
-    fitted = docs if fit_on is None else fit_on
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    totals = terms(fitted).select(F.explode_outer(F.concat(once, each)).alias("t")).filter("t IS NOT NULL").groupBy(F.col("t.term").alias("term")).agg(
-        F.sum("t.n").alias("total"), F.sum("t.d").alias("df")
+    counts = counted(docs)
+    totals = (counts if fit_on is None else counted(fit_on)).groupBy("term").agg(
+        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
     )
-    n = fitted.count()
+    n = (docs if fit_on is None else fit_on).count()
     idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + (1.0 if plus_one else 0.0)
     vocabulary = totals.orderBy(F.desc("total"), "term").limit(max_features).select("term", idf.alias("idf"))
-    known = terms(docs).select(key, F.explode_outer("terms").alias("term")).join(F.broadcast(vocabulary), "term")
-    counted = known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    known = counts.join(vocabulary, "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
-    return counted.select(key, "term", "tf", "idf", (raw / norm).alias("weight"))
+    return known.select(key, "term", "tf", "idf", (raw / norm).alias("weight"))
 
 
 class Vectorizer:
@@ -95,18 +94,24 @@ class Vectorizer:
 
 
 # M08
-def mask_tokens(df: DataFrame, key: str, fields, percent=MASK_PERCENT, max_len=MAX_TOKENS, seed=42) -> DataFrame:
-    """(key, input_tokens, labels, attention_mask): some tokens masked, the originals as labels, rows cut or padded.
+def mask_tokens(df: DataFrame, key: str, fields, percent=MASK_PERCENT, max_len=MAX_TOKENS, seed=42,
+                first_only=False) -> DataFrame:
+    """(key, chunk, input_tokens, labels, attention_mask): some tokens masked, the originals as labels, rows padded.
 
+    A text with more than ``max_len`` tokens gives several rows, numbered by chunk; ``first_only`` keeps the first one.
     Whether a token is masked depends on the row's key, its place and the seed, so a rerun gives the same rows. Field
     order is the order given.
     """
     text = language_model_text(*[F.col(f) for f in fields])
-    tokens = F.slice(F.filter(F.split(text, "\\s+"), lambda t: t != ""), F.lit(1), F.lit(max_len))
-    rows = df.select(F.col(key), tokens.alias("tokens"))
+    found = df.select(F.col(key), F.filter(F.split(text, "\\s+"), lambda t: t != "").alias("_all"))
+    last = F.greatest(F.ceil(F.size("_all") / max_len).cast("int") - 1, F.lit(0))
+    chunks = F.array(F.lit(0)) if first_only else F.sequence(F.lit(0), last)
+    rows = found.withColumn("chunk", F.explode(chunks))
+    rows = rows.withColumn("tokens", F.slice("_all", F.col("chunk") * max_len + 1, F.lit(max_len)))
 
     def masked(t, i):
-        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
+        place = (F.col("chunk") * max_len + i).cast("string")
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), place, F.lit(str(seed)))), 1, 8), 16, 10)
         return F.when(draw.cast("long") % 100 < percent, F.lit(MASK)).otherwise(t)
 
     padding = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size("tokens"))
@@ -114,6 +119,7 @@ def mask_tokens(df: DataFrame, key: str, fields, percent=MASK_PERCENT, max_len=M
     zeros = F.array_repeat(F.lit(0), F.lit(max_len) - F.size("tokens"))
     return rows.select(
         key,
+        "chunk",
         F.concat(F.transform("tokens", masked), padding).alias("input_tokens"),
         F.concat("tokens", padding).alias("labels"),
         F.concat(ones, zeros).alias("attention_mask"),

@@ -209,7 +209,7 @@ def duplicate_triggers(textbounds: DataFrame, event_types) -> DataFrame:
 
 
 # A15
-def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (src, dst), component being the least node reached.
 
     Alternates large-star and small-star rounds, which shorten paths geometrically. Each round is two partial
@@ -236,7 +236,7 @@ def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     current = cut_lineage(edges.filter(F.col("src") != F.col("dst")).distinct())
     seen = fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         wide = star(both, large=True)
         both = wide.unionByName(wide.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -245,8 +245,6 @@ def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("component search did not settle")
     roots = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -254,19 +252,17 @@ def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
 def merge_equivs(equivs: DataFrame) -> DataFrame:
     """Equivalence sets that share a member become one set, with the type and place of the earliest."""
     rows = equivs.select("doc_id", "line_no", "type", F.explode("members").alias("member"))
-    set_node = F.struct("doc_id", F.lpad(F.col("line_no").cast("string"), 12, "0").alias("name"))
-    member_node = F.struct("doc_id", F.concat(F.lit("m"), F.col("member")).alias("name"))
-    edges = rows.select(set_node.alias("src"), member_node.alias("dst"))
-    found = connected_components(edges)
+    # Sets sort before members, so the least node of a component is its earliest set.
+    line_no = F.col("line_no").cast("long").alias("line_no")
+    set_node = F.struct("doc_id", F.lit(0).alias("kind"), line_no, F.lit("").alias("member"))
+    member_node = F.struct("doc_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("line_no"), "member")
+    found = connected_components(rows.select(set_node.alias("src"), member_node.alias("dst")))
     members = (
-        found.filter(F.startswith(F.col("node.name"), F.lit("m")))
-        .select("component", F.substr(F.col("node.name"), F.lit(2)).alias("member"))
+        found.filter("node.kind = 1")
         .groupBy("component")
-        .agg(F.array_sort(F.collect_list("member")).alias("members"))
-    )
-    merged = members.select(
-        F.col("component.doc_id").alias("doc_id"), F.col("component.name").cast("long").alias("line_no"), "members"
+        .agg(F.array_sort(F.collect_list("node.member")).alias("members"))
     )
+    merged = members.select("component.doc_id", "component.line_no", "members")
     first = equivs.select("doc_id", "line_no", "ann_id", "type")
     return merged.join(first, ["doc_id", "line_no"]).select("doc_id", "ann_id", "line_no", "type", "members")
 

@@ -81,15 +81,40 @@ TOKEN_LAST = [
     (r"\}", " -RCB- "),
     (r" ('+)", " $1 "),
     (r"(?<![35'])('+) ", " $1 "),
-    (r"('[sSmMdD]|'ll|'re|'ve|n't|'LL|'RE|'VE|N'T) ", " $1 "),
-    (r" ([Cc]an)not ", " $1 not "),
-    (r" ([Dd]')ye ", " $1 ye "),
-    (r" ([Gg]im|[Ll]em)me ", " $1 me "),
-    (r" ([Gg]on|[Ww]an)na ", " $1 na "),
-    (r" ([Gg]ot)ta ", " $1 ta "),
-    (r" ([Mm]ore)('n) ", " $1 $2 "),
-    (r"('[Tt])is ", " $1 is "),
-    (r"('[Tt])was ", " $1 was "),
+    (r"'s ", " 's "),
+    (r"'S ", " 'S "),
+    (r"'m ", " 'm "),
+    (r"'M ", " 'M "),
+    (r"'d ", " 'd "),
+    (r"'D ", " 'D "),
+    (r"'ll ", " 'll "),
+    (r"'re ", " 're "),
+    (r"'ve ", " 've "),
+    (r"n't ", " n't "),
+    (r"'LL ", " 'LL "),
+    (r"'RE ", " 'RE "),
+    (r"'VE ", " 'VE "),
+    (r"N'T ", " N'T "),
+    (r" Cannot ", " Can not "),
+    (r" cannot ", " can not "),
+    (r" D'ye ", " D' ye "),
+    (r" d'ye ", " d' ye "),
+    (r" Gimme ", " Gim me "),
+    (r" gimme ", " gim me "),
+    (r" Gonna ", " Gon na "),
+    (r" gonna ", " gon na "),
+    (r" Gotta ", " Got ta "),
+    (r" gotta ", " got ta "),
+    (r" Lemme ", " Lem me "),
+    (r" lemme ", " lem me "),
+    (r" More'n ", " More 'n "),
+    (r" more'n ", " more 'n "),
+    (r"'Tis ", " 'T is "),
+    (r"'tis ", " 't is "),
+    (r"'Twas ", " 'T was "),
+    (r"'twas ", " 't was "),
+    (r" Wanna ", " Wan na "),
+    (r" wanna ", " wan na "),
     (r"  +", " "),
 ]
 

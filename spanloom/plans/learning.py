@@ -33,14 +33,15 @@ def _(t):
 
 @plan("m08_mask_tokens", r"""
 WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '. ') AS body FROM documents),
-k AS (SELECT doc_id, list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')[1:512] AS ts FROM c),
+k AS (SELECT doc_id, list_filter(string_split_regex(body, '\s+'), lambda x: x <> '') AS ts FROM c),
 e AS (SELECT doc_id, generate_subscripts(ts,1)-1 AS i, unnest(ts) AS tok FROM k WHERE len(ts)>0),
-z AS (SELECT doc_id, count(*) FILTER (CAST(concat('0x', substring(md5(concat(doc_id, ':', i, ':42')),1,8)) AS BIGINT) % 100 < 15) AS masked, count(*) AS real_tokens FROM e GROUP BY doc_id)
-SELECT doc_id, coalesce(masked,0) AS masked, coalesce(real_tokens,0) AS real_tokens, 512::BIGINT AS size FROM documents LEFT JOIN z USING (doc_id)""")
+z AS (SELECT doc_id, i // 512 AS chunk, count(*) FILTER (CAST(concat('0x', substring(md5(concat(doc_id, ':', i, ':42')),1,8)) AS BIGINT) % 100 < 15) AS masked, count(*) AS real_tokens FROM e GROUP BY doc_id, i // 512)
+SELECT doc_id, coalesce(chunk,0)::BIGINT AS chunk, coalesce(masked,0) AS masked, coalesce(real_tokens,0) AS real_tokens, 512::BIGINT AS size FROM documents LEFT JOIN z USING (doc_id)""")
 def _(t):
     rows = X.mask_tokens(t.documents, "doc_id", ["text"])
     return rows.select(
         "doc_id",
+        "chunk",
         F.size(F.filter("input_tokens", lambda x: x == X.MASK)).alias("masked"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("real_tokens"),
         F.size("input_tokens").alias("size"),
@@ -215,7 +216,7 @@ def _(t):
     from spanloom.streaming.flows import move_stream
 
     folder = _scratch(t.spark)
-    store = TieredStore(t.spark, f"{folder}/hot", f"{folder}/cold")
+    store = TieredStore(t.spark, f"{folder}/hot", f"{folder}/cold", content=6000)
     one = type("Streamed", (), {"pages": _stream(t, "pages")})()
     rows = articles(one).drop("page_id").withColumns({"categories": F.array().cast("array<string>"), "date": F.lit(None).cast("string")})
     move_stream(rows, store, f"{folder}/progress")

@@ -496,28 +496,41 @@ def _(t):
 
 
 @plan("s10_extract_articles", r"""
-SELECT url, regexp_extract(html, '(?s)<h1[^>]*>([^<]*)</h1>', 1) AS title,
+SELECT url, replace(replace(regexp_extract(html, '(?s)<h1[^>]*>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&') AS title,
  trim(array_to_string(list_transform(regexp_extract_all(regexp_extract(html,'(?s)<article>(.*?)</article>',1), '(?s)(<p>.*?</p>)', 1),
-  lambda p: replace(replace(replace(replace(replace(replace(regexp_replace(p, '(?s)<[^>]*>', '', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')), chr(10))) AS content,
+  lambda p: replace(replace(regexp_replace(p, '(?s)<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&')), chr(10))) AS content,
  '' AS author, len(regexp_extract_all(html, '(?s)<li><a href="[^"]*">([^<]*)', 1)) AS categories FROM pages""")
 def _(t):
     rule = {"title": "(?s)<h1[^>]*>([^<]*)</h1>", "date": "(?s)<time[^>]*>([^<]*)", "author": "(?s)rel=\"author\">([^<]*)",
-            "tags": "(?s)<li><a href=\"[^\"]*\">([^<]*)", "categories": "$a", "block": "(?s)<article>(.*?)</article>",
+            "tags": "(?s)<li><a href=\"[^\"]*\">([^<]*)", "categories": "$a", "block": ("<article>", "article", False),
             "body": "(?s)(<p>.*?</p>)"}
-    domains = t.pages.select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("domain")).distinct()
-    rules = domains.select("domain", *[F.lit(v).alias(f"{k}_rule") for k, v in rule.items()])
-    out = markup.extract_articles(t.pages, rules)
+    out = markup.extract_articles(t.pages, {"*": rule})
     return out.select("url", "title", "content", "author", F.size("categories").alias("categories"))
 
 
-def _sitemaps(t):
-    """Ten pages to a sitemap."""
-    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    entry = F.concat(F.lit("<url><loc> "), url, F.lit(" </loc><image:image><image:loc>https://img.example.com/x.png</image:loc></image:image></url>"))
-    return t.pages.groupBy(F.floor(F.col("page_id") / 10).alias("part")).agg(F.array_join(F.collect_list(entry), "").alias("body")).select(
-        F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'),
-                 "body", F.lit("</urlset>")).alias("xml"))
+@plan("s10_shipped_rules", r"""
+WITH h AS (SELECT page_id, replace(replace(regexp_extract(html, '(?s)<h1[^>]*>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&') AS head FROM pages)
+SELECT page_id, trim(head) AS title, 'Agua & luz ' || page_id || ' «así»' || chr(10) || head || '.' AS content, 'Ana' AS author, 2::BIGINT AS categories
+FROM h WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, head, head || '.' || chr(10) || 'dentro' || chr(10) || 'fin', 'Ana', 1 FROM h WHERE page_id % 2 = 1""")
+def _(t):
+    """Pages laid out like the two known sites, with a nested element in the article."""
+    head = F.regexp_extract("html", "(?s)<h1[^>]*>([^<]*)</h1>", 1)
+    first = F.concat(
+        F.lit('<h1 class="tdb-title-text">'), F.trim(head), F.lit('</h1><a class="tdb-author-name">Ana</a>'
+        '<a class="tdb-entry-category">Zulia</a><a href="/tag/agua">Agua</a><div><div id="bsf_rt_marker"><p>Agua &amp; luz '),
+        F.col("page_id").cast("string"), F.lit(" &laquo;as&#237;&raquo;</p><div class=\"ad\"><p>aviso</p></div><p>"), head,
+        F.lit(".</p></div><p>otra</p></div>"))
+    second = F.concat(
+        F.lit('<h1 class="title-single">'), head, F.lit('</h1><a class="author-link">Ana</a><span class="badge-primicia">Agua</span>'
+        '<div class="credit-photoleyends">foto</div><div class="text">'), head,
+        F.lit('.<div>dentro</div>fin</div><div>otra</div>'))
+    even = F.col("page_id") % 2 == 0
+    site = F.when(even, "https://elpitazo.net/").otherwise("https://primicia.com.ve/")
+    laid = t.pages.select(F.concat(site, F.col("page_id").cast("string")).alias("url"), F.when(even, first).otherwise(second).alias("html"))
+    out = markup.extract_articles(laid)
+    return out.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "title", "content", "author",
+                      F.size("categories").alias("categories"))
 
 
 @plan("s08_sitemap_index", "SELECT url FROM pages WHERE starts_with(url, 'https://blog.')")

@@ -245,9 +245,7 @@ def _(t):
     rows = t.orders.select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"),
                           "o_orderstatus")
     table = A.latest(rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"), ["url"], [F.desc("version")])
-    new = rows.drop("o_orderstatus").join(table.select("url", F.col("version").alias("old")), "url", "left").filter(
-        "old IS NULL OR version >= old").drop("old")
-    return A.upsert(table, new)
+    return A.upsert(table, rows.filter("o_orderstatus <> 'F'").drop("o_orderstatus"))
 
 
 @plan("k02_delete", sql("SELECT page_id, url FROM art WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE '%?%')"))
@@ -261,7 +259,7 @@ UNION ALL SELECT 'cold', page_id, least(length(content), 6000) FROM art WHERE ur
 UNION ALL SELECT 'cold', page_id, length(content) FROM art WHERE url NOT LIKE 'https:%' AND last_scraped IS NOT NULL"""))
 def _(t):
     hot, cold = _tiers(t)
-    cold, hot = A.move_ready(hot, cold)
+    cold, hot = A.move_ready(hot, cold, content=6000)
     parts = [df.select(F.lit(n).alias("tier"), "page_id", F.length("content").alias("size")) for n, df in (("cold", cold), ("hot", hot))]
     return parts[0].unionByName(parts[1])
 

@@ -56,11 +56,14 @@ def _(t):
 @plan(
     "c04_strip_tags",
     r"""
-SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS body FROM pages""",
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(html, '(?s)<[^>]*>', '', 'g') || ' Inundaci&oacute;n &#8220;hoy&#8221;',
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&oacute;', 'ó'),
+  '&#8220;', '“'), '&#8221;', '”').replace('&amp;', '&') AS body FROM pages""",
 )
 def _(t):
-    return t.pages.select("page_id", X.strip_tags(F.col("html")).alias("body"))
+    return t.pages.select("page_id", X.strip_tags(
+        F.concat("html", F.lit(" Inundaci&oacute;n &#8220;hoy&#8221;"))).alias("body"))
 
 
 @plan(

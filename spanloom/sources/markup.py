@@ -1,9 +1,13 @@
 """Web pages, sitemaps, parser XML, inline tags and tagger output as tables."""
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanloom.functions.text import escape_pos, ptb_unescape, strip_tags
+from spanloom.functions.text import drop_tags, escape_pos, ptb_unescape, unescaped
 from spanloom.functions.urls import netloc, should_scrape, url_allowed
 from spanloom.model import SPANS
 from spanloom.operators.ranges import row_numbers
@@ -17,7 +21,8 @@ SITEMAP_PREFIXES = {
 }
 SITE_PREFIXES = {"primicia.com.ve": "https://primicia.com.ve/"}
 
-# Where each site keeps the fields of an article; {} is a class name.
+# Where each site keeps the fields of an article; {} is a class name. The block starts after a pattern and
+# ends with the end of the element it lies in; the flag leaves out elements of the same name inside it.
 CLASS_TEXT = "(?s)<[^>]*class=\"[^\"]*(?<![\\w-]){}(?![\\w-])[^\"]*\"[^>]*>\\s*(?:<[^>]*>\\s*)*([^<]+)"
 ARTICLE_RULES = {
     "elpitazo.net": {
@@ -26,7 +31,7 @@ ARTICLE_RULES = {
         "author": CLASS_TEXT.format("tdb-author-name"),
         "tags": "(?s)<a[^>]*href=\"[^\"]*/tag/[^\"]*\"[^>]*>([^<]+)",
         "categories": CLASS_TEXT.format("tdb-entry-category"),
-        "block": "(?s)id=\"bsf_rt_marker\"[^>]*>(.*?)</div>",
+        "block": ("id=\"bsf_rt_marker\"[^>]*>", "div", True),
         "body": "(?s)(<p>.*?</p>)",
     },
     "primicia.com.ve": {
@@ -35,11 +40,10 @@ ARTICLE_RULES = {
         "author": CLASS_TEXT.format("author-link"),
         "tags": CLASS_TEXT.format("badge-primicia"),
         "categories": "$a",
-        "block": "(?s)credit-photoleyends.*?<div[^>]*>(.*?)</div>",
+        "block": ("(?s)credit-photoleyends.*?<div[^>]*>", "div", False),
         "body": "(?s)(?:^|>)([^<]+)",
     },
 }
-RULE_FIELDS = ["title", "date", "author", "tags", "categories", "block", "body"]
 
 # Concept-tagger output lines, and the tags of the inline format.
 CONCEPT_LINE = "^[0-9]+\\|"
@@ -66,46 +70,79 @@ def sitemap_urls(df: DataFrame, prefix=None, white=None, black=None) -> DataFram
 
 
 # S10
-def rule_frame(spark, rules=None) -> DataFrame:
-    """(domain, one pattern per field)"""
-    rules = ARTICLE_RULES if rules is None else rules
-    rows = [(d, *[r[f] for f in RULE_FIELDS]) for d, r in rules.items()]
-    return spark.createDataFrame(rows, "domain string, " + ", ".join(f"{f}_rule string" for f in RULE_FIELDS))
-
+def _block(start, tag, direct):
+    """Column function: what follows the first match of ``start`` up to the end of the element that it opened or lies in.
 
-def extract_articles(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    Elements named ``tag`` inside are counted, so a nested one doesn't end the block; ``direct`` leaves them out.
+    """
+    opening, tags = re.compile(start), re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I)
+
+    def cut(html):
+        found = opening.search(html)
+        if found is None:
+            return ""
+        kept, depth, at = [], 0, found.end()
+        for mark in tags.finditer(html, found.end()):
+            if not direct or depth == 0:
+                kept.append(html[at : mark.start() if direct else mark.end()])
+            at = mark.end()
+            depth += -1 if mark[1] else 1
+            if depth < 0:
+                if not direct:
+                    kept[-1] = kept[-1][: len(kept[-1]) - (mark.end() - mark.start())]
+                return "".join(kept)
+        return "".join([*kept, html[at:] if not direct or depth == 0 else ""])
+
+    @F.arrow_udf(T.StringType())
+    def block(pages: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else cut(x) for x in pages.to_pylist()], pa.string())
+
+    return block
+
+
+def extract_articles(pages: DataFrame, rules=None) -> DataFrame:
     """Fields of fetched pages (url, html) by the rules of their domain; a missing text is ''.
 
-    The body joins the paragraphs of the article block, tags stripped, with newlines. Pages of other domains are left
-    out.
+    ``rules`` maps a domain (``*``: any other) to its patterns. The body joins the paragraphs of the article block with
+    newlines; tags are dropped and character references resolved. Pages of other domains are left out.
     """
-    joined = pages.withColumn("domain", netloc(F.col("url"))).join(rules, "domain")
+    rules = ARTICLE_RULES if rules is None else rules
+    named = [d for d in rules if d != "*"]
+    domain = netloc(F.col("url"))
+    rule = F.when(domain.isin(named), domain) if named else F.lit(None).cast("string")
+    rows = pages.withColumn("_rule", F.coalesce(rule, F.lit("*")) if "*" in rules else rule).filter("_rule IS NOT NULL")
 
-    def every(html, field):
-        return F.regexp_extract_all(html, F.col(f"{field}_rule"), F.lit(1))
+    def by_domain(expression):
+        """The expression that each domain's rule gives, on that domain's pages."""
+        out = F.lit(None)
+        for d, r in rules.items():
+            out = F.when(F.col("_rule") == d, expression(r)).otherwise(out)
+        return out
+
+    blocks = [_block(*r["block"])(F.when(F.col("_rule") == d, F.col("html"))) for d, r in rules.items()]
+    rows = rows.withColumn("_block", F.coalesce(*blocks))
+
+    def every(source, field):
+        return by_domain(lambda r: F.regexp_extract_all(source, F.lit(r[field]), F.lit(1)))
 
     def first(field):
-        return F.coalesce(F.get(every(F.col("html"), field), F.lit(0)), F.lit("")).alias(field)
+        return unescaped(F.coalesce(F.get(every(F.col("html"), field), F.lit(0)), F.lit("")))
 
-    block = F.coalesce(F.get(every(F.col("html"), "block"), F.lit(0)), F.lit(""))
-    joined = joined.withColumn("_block", block)
-    paragraphs = F.transform(every(F.col("_block"), "body"), strip_paragraph)
-    tags, categories = every(F.col("html"), "tags"), every(F.col("html"), "categories")
-    return joined.select(
+    paragraphs = F.transform(every(F.col("_block"), "body"), drop_tags)
+    marks = F.concat(every(F.col("html"), "tags"), every(F.col("html"), "categories"))
+    joined = unescaped(F.array_join(marks, "\x1f"))
+    categories = F.when(F.size(marks) > 0, F.split(joined, "\x1f")).otherwise(F.array().cast("array<string>"))
+    return rows.select(
         "url",
-        first("title"),
-        F.trim(F.array_join(paragraphs, "\n")).alias("content"),
-        first("author"),
-        F.concat(tags, categories).alias("categories"),
-        first("date"),
+        first("title").alias("title"),
+        F.trim(unescaped(F.array_join(paragraphs, "\n"))).alias("content"),
+        first("author").alias("author"),
+        categories.alias("categories"),
+        first("date").alias("date"),
         F.lit("SCRAPING").alias("source"),
     )
 
 
-def strip_paragraph(p):
-    return strip_tags(p)
-
-
 # S17
 def read_pipe_concepts(lines: DataFrame) -> DataFrame:
     """Text-bounds from pipe-separated concept lines (doc_id, line_no, line); other lines are skipped.
@@ -189,7 +226,6 @@ PARSER_LAYERS = {
     "collapsed_dep": "collapsed-dependencies",
     "collapsed_ccproc_dep": "collapsed-ccprocessed-dependencies",
 }
-SENTENCE_STEP = 1_000_000
 
 
 def _parsed(df):
@@ -205,8 +241,8 @@ def xml_tokens(df: DataFrame) -> DataFrame:
         "doc_id", "sentence_no", F.col("t._id").alias("token_id"), F.col("t.word").alias("word"),
         F.col("t.CharacterOffsetBegin").alias("start"), F.col("t.CharacterOffsetEnd").alias("end"),
         escape_pos(F.col("t.POS")).alias("pos"), F.col("t.NER").alias("ner"),
-    ).withColumn("_place", F.col("sentence_no").cast("long") * SENTENCE_STEP + F.col("token_id"))
-    return row_numbers(rows, ["doc_id"], "_place", "token_no").drop("_place")
+    )
+    return row_numbers(rows, ["doc_id"], "sentence_no", "token_no", tie=["token_id"])
 
 
 def xml_sentence_offsets(df: DataFrame) -> DataFrame:
@@ -267,8 +303,7 @@ def read_parser_xml(df: DataFrame, layer: str) -> dict:
     )
     linked = linked.join(ids.toDF("doc_id", "sentence_no", "g", "arg1"), ["doc_id", "sentence_no", "g"])
     linked = linked.join(ids.toDF("doc_id", "sentence_no", "d", "arg2"), ["doc_id", "sentence_no", "d"])
-    linked = linked.withColumn("_place", F.col("sentence_no").cast("long") * SENTENCE_STEP + F.col("i"))
-    linked = row_numbers(linked, ["doc_id"], "_place", "_n")
+    linked = row_numbers(linked, ["doc_id"], "sentence_no", "_n", tie=["i"])
     relations = linked.select(
         "doc_id", F.concat(F.lit("R"), F.col("_n").cast("string")).alias("ann_id"), F.col("_n").alias("line_no"), "type",
         F.lit("Governor").alias("arg1_role"), "arg1", F.lit("Dependent").alias("arg2_role"), "arg2",
@@ -285,8 +320,7 @@ def _coreference(df, toks):
     starts = toks.select("doc_id", "sentence_no", F.col("token_id").alias("first"), "start")
     ends = toks.select("doc_id", "sentence_no", F.col("token_id").alias("last"), "end")
     rows = rows.join(starts, ["doc_id", "sentence_no", "first"]).join(ends, ["doc_id", "sentence_no", "last"])
-    rows = rows.withColumn("_place", F.col("chain").cast("long") * SENTENCE_STEP + F.col("i"))
-    rows = row_numbers(rows, ["doc_id"], "_place", "_n").withColumn("ann_id", F.concat(F.lit("T"), F.col("_n").cast("string")))
+    rows = row_numbers(rows, ["doc_id"], "chain", "_n", tie=["i"]).withColumn("ann_id", F.concat(F.lit("T"), F.col("_n").cast("string")))
     mentions = rows.select(
         "doc_id", "ann_id", F.col("_n").alias("line_no"), F.lit("Mention").alias("type"),
         _spans(F.col("start"), F.col("end")).alias("spans"), "start", "end",

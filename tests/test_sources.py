@@ -91,7 +91,7 @@ def test_pages_and_sitemaps(spark):
             '<div id="bsf_rt_marker"><p>One <b>two</b></p><p style="x">ad</p><p>Three &amp; four</p></div>'
             '<ul class="tdb-tags"><li><a href="https://elpitazo.net/tag/agua/">agua</a></li></ul><a class="tdb-entry-category" href="/c">News</a>')
     pages = spark.createDataFrame([("https://elpitazo.net/a", html), ("https://other.net/a", html)], "url string, html string")
-    got = markup.extract_articles(pages, markup.rule_frame(spark)).collect()
+    got = markup.extract_articles(pages).collect()
     assert len(got) == 1
     r = got[0]
     assert (r["title"], r["author"], r["date"], r["content"]) == ("A title", "Ana", "May 1", "One two\nThree & four")
