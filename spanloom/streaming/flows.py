@@ -1,7 +1,7 @@
 """Incremental flows: url discovery, moving ready articles, annotation time, classification of what is new.
 
 Each flow is a stream into foreachBatch or into keyed state. Writing a batch twice gives the same tables, so a restart
-after a failure is safe.
+after a failure is safe, and a batch rewrites only the buckets of its urls.
 """
 
 from collections.abc import Callable, Iterator
@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spanloom.operators import articles as A
 from spanloom.operators.classifying import classify
 from spanloom.operators.logs import CREATE, SELECTIONS
+from spanloom.session import cut_lineage
 from spanloom.sources.markup import sitemap_urls
 from spanloom.sources.store import ParquetStore, TieredStore
 
@@ -39,32 +40,34 @@ def discover_urls(sitemaps: DataFrame, store: ParquetStore, checkpoint: str, lim
                   on_batch: Callable[[DataFrame], None] = None, should_stop: Callable[[], bool] = None, **rules):
     """Saves the unknown urls of a stream of sitemaps (column xml) as unscraped articles, and runs to the end of the input.
 
-    Known urls are taken out before the limit counts. ``on_batch`` gets each batch of new urls; once ``should_stop`` says
-    so, or the limit is reached, later batches are skipped.
+    Every unknown url is saved, so none is lost when a batch is passed over. ``on_batch`` gets each batch of new urls, in
+    all ``limit`` of them at most in one run; once ``should_stop`` says so, or the limit is reached, later urls are saved
+    but not handed on. They wait in the store as unscraped. Returns how many urls were handed on.
     """
     if limit is not None and limit <= 0:
         raise ValueError("the crawl limit must be positive")
-    state = {"saved": 0}
+    state = {"handed": 0}
 
     def step(batch: DataFrame, _batch_id: int):
-        if should_stop is not None and should_stop():
-            return
-        left = None if limit is None else limit - state["saved"]
-        if left is not None and left <= 0:
+        fresh = cut_lineage(store.filter_known_urls(batch))
+        if fresh.isEmpty():
             return
-        fresh = store.filter_known_urls(batch).orderBy("url")
-        fresh = fresh if left is None else fresh.limit(left)
-        fresh = fresh.persist()
-        state["saved"] += fresh.count()
         store.save(unscraped(fresh, store.rows()))
+        if should_stop is not None and should_stop():
+            return
+        if limit is not None:
+            left = limit - state["handed"]
+            if left <= 0:
+                return
+            fresh = fresh.orderBy("url").limit(left)
+        state["handed"] += fresh.count()
         if on_batch is not None:
             on_batch(fresh)
-        fresh.unpersist()
 
     urls = sitemap_urls(sitemaps, **rules)
     query = urls.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return state["saved"]
+    return state["handed"]
 
 
 # T02
@@ -81,10 +84,15 @@ def move_stream(articles: DataFrame, store: TieredStore, checkpoint: str):
 # T03
 OUT_SCHEMA = "user string, document string, line_no bigint, seconds double"
 STATE_SCHEMA = "picked timestamp, starts map<string,timestamp>"
+LATENESS = "30 days"
+EXPIRE_MS = 7 * 24 * 3600 * 1000  # a user who does nothing in a document for a week after that starts anew
 
 
 def _follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Follows one user in one document: remembers open actions and the last finished selection."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     picked, starts = state.get if state.exists else (None, {})
     starts = dict(starts or {})
     rows, out = pd.concat(list(batches)).sort_values("line_no"), []
@@ -99,14 +107,16 @@ def _follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
                 out.append((*key, row.line_no, (row.time.to_pydatetime() - picked).total_seconds()))
                 picked = None
     state.update((picked, starts))
+    last = int(rows["time"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + EXPIRE_MS)
     yield pd.DataFrame(out, columns=["user", "document", "line_no", "seconds"])
 
 
 def annotation_time_stream(log: DataFrame) -> DataFrame:
     """Seconds per created span, as a stream, from a stream of log rows with line_no, time, user, document, state, action."""
-    rows = log.select("line_no", "time", "user", "document", "state", "action")
+    rows = log.select("line_no", "time", "user", "document", "state", "action").withWatermark("time", LATENESS)
     return rows.groupBy("user", "document").applyInPandasWithState(
-        _follow, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        _follow, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
