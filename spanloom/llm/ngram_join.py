@@ -30,6 +30,7 @@ PERCENT = 80
 FLUSH_ENTRIES = 1 << 20
 BLOCK_COLUMNS = ["bucket", "high", "low", "classes", "repeats"]
 BROADCAST_IDS = 1_000_000
+NEAREST_ROUNDS = 1
 U = np.uint64
 
 
@@ -237,7 +238,7 @@ def _shared_signatures(batches):
 
 
 def _sketch_bits(size):
-    return 1 << int(np.ceil(np.log2(max(64, min(8 * size, 1024 + size)))))
+    return 1 << int(np.log2(max(64, 2 * size)))
 
 
 def _sketch(elements):
@@ -333,28 +334,60 @@ def _folded(sketch, bits):
     return sketch
 
 
-def _open_pairs(percent):
+def _open_pairs(percent, nearest):
     """Pairs of classes in different components under one signature whose sketches allow a link.
 
-    Rows come sorted by (signature, component); a component's rows are compared with the rows after it in blocks.
+    Rows come sorted by (signature, component); a component's rows are compared with the rows after it in blocks. With
+    ``nearest``, each component gives only the one pair that its sketches show as most similar.
     """
 
-    def pairs_of(classes, component, size, sketch):
+    def hits_of(component, size, sketch):
         bits = min(len(x) * 8 for x in sketch)
         table = np.stack([_words_of(x, bits) for x in sketch])
         at = np.flatnonzero(np.append(True, component[1:] != component[:-1]))
         end = np.repeat(np.append(at[1:], len(component)), np.diff(np.append(at, len(component))))
-        for i in range(len(classes)):
-            rest = slice(int(end[i]), None)
-            if end[i] >= len(classes):
+        for i in range(len(component)):
+            if end[i] >= len(component):
                 break
+            rest = slice(int(end[i]), None)
             hit = np.flatnonzero(_near(percent, size[rest], size[i], table[rest], table[i])) + rest.start
             if len(hit):
-                a, b = np.minimum(classes[hit], classes[i]), np.maximum(classes[hit], classes[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield i, hit, np.bitwise_count(table[hit] ^ table[i]).sum(axis=1) / (size[hit] + size[i])
+
+    def pairs_of(classes, component, size, sketch):
+        if nearest:
+            number = np.cumsum(np.append(False, component[1:] != component[:-1]))
+            best, pair = np.full(number[-1] + 1, np.inf), np.zeros((number[-1] + 1, 2), dtype=np.int64)
+            for i, hit, gap in hits_of(component, size, sketch):
+                order = np.argsort(gap, kind="stable")
+                place, first = np.unique(number[hit[order]], return_index=True)
+                found, least = hit[order][first], gap[order][first]
+                better = least < best[place]
+                best[place[better]] = least[better]
+                pair[place[better]] = np.column_stack([np.full(int(better.sum()), i), found[better]])
+                if gap[order[0]] < best[number[i]]:
+                    best[number[i]], pair[number[i]] = gap[order[0]], (i, hit[order[0]])
+            pairs = pair[np.isfinite(best)]
+            x, y = classes[pairs[:, 0]], classes[pairs[:, 1]]
+            yield np.minimum(x, y), np.maximum(x, y)
+        else:
+            for i, hit, _ in hits_of(component, size, sketch):
+                yield np.minimum(classes[hit], classes[i]), np.maximum(classes[hit], classes[i])
 
     def run(batches):
-        now, held = None, []
+        now, held, seen = None, [], set()
+
+        def new(group):
+            # Signatures share most of their classes; a task hands on each pair once.
+            for x, y in pairs_of(*_gathered(group)):
+                pairs = [p for p in zip(x.tolist(), y.tolist()) if p not in seen]
+                seen.update(pairs)
+                if pairs:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+                        ["a", "b"],
+                    )
+
         for batch in batches:
             columns = [batch.column(c) for c in ("signature", "class", "component", "n", "sketch")]
             signature = columns[0].to_numpy()
@@ -362,11 +395,11 @@ def _open_pairs(percent):
             for a, b in zip(at, np.append(at[1:], len(signature))):
                 if signature[a] != now:
                     if held:
-                        yield from pairs_of(*_gathered(held))
+                        yield from new(held)
                     now, held = signature[a], []
                 held.append([x.slice(a, b - a) for x in columns[1:]])
         if held:
-            yield from pairs_of(*_gathered(held))
+            yield from new(held)
 
     return run
 
@@ -376,6 +409,21 @@ def _gathered(held):
     return *numbers, [x for h in held for x in h[3].to_pylist()]
 
 
+def _members(entries, first, owners):
+    """Classes of the signatures that still join different components, sorted by signature and component."""
+    placed = entries.join(first.withColumnRenamed("node", "class"), "class", "left").select(
+        "signature", "class", F.coalesce("root", "class").alias("component")
+    )
+    mixed = placed.groupBy("signature").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
+    )
+    # The least class of a signature was compared with all others, so two classes are settled.
+    mixed = mixed.filter("low < high AND members > 2").select("signature")
+    members = placed.join(mixed, "signature").join(owners, "class")
+    members = members.select("signature", "class", "component", "n", "sketch")
+    return members.repartition("signature").sortWithinPartitions("signature", "component", "class")
+
+
 def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class) for every row of ``documents`` (doc_id, text).
 
@@ -412,21 +460,15 @@ def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Data
     stars = stars.join(left, "a").join(right, "b").mapInArrow(_possible(percent), "a long, b long")
     first = components(_links(cut_lineage(stars), texts, owners, width, percent))
 
-    placed = entries.join(first.withColumnRenamed("node", "class"), "class", "left").select(
-        "signature", "class", F.coalesce("root", "class").alias("component")
-    )
-    mixed = placed.groupBy("signature").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
-    )
-    # The least class of a signature was compared with all others, so two classes are settled.
-    mixed = mixed.filter("low < high AND members > 2").select("signature")
-    members = placed.join(mixed, "signature").join(owners, "class")
-    members = members.select("signature", "class", "component", "n", "sketch")
-    ordered = members.repartition("signature").sortWithinPartitions("signature", "component", "class")
-    more = cut_lineage(ordered.mapInArrow(_open_pairs(percent), "a long, b long").distinct())
-    if not more.isEmpty():
+    # The nearest pair of each component settles most of the rest; what stays open after that is checked completely.
+    for nearest in [True] * NEAREST_ROUNDS + [False]:
+        found = _members(entries, first, owners).mapInArrow(_open_pairs(percent, nearest), "a long, b long")
+        more = cut_lineage(found.distinct())
         found = _links(more, texts, owners, width, percent)
-        first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        if not found.isEmpty():
+            first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        elif nearest and more.isEmpty():
+            break
 
     grouped = digests.join(first.withColumnRenamed("node", "class"), "class", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "class"))

@@ -226,7 +226,7 @@ def write_token_files(documents: DataFrame, definition: str, folder: str = None,
     """Write the token files of ``documents`` (doc_id, text) and their manifest; returns the folder.
 
     ``definition`` is the JSON text of a tokenizer. Every document gets ``end_id`` after its tokens. Order: doc_id (null
-    first), then text; repeated rows are written as often as they occur, a null text counts as empty. Further columns are
+    first), then a hash of the text; repeated rows are written as often as they occur, a null text counts as empty. Further columns are
     ignored; an empty table gives files without documents. Without ``folder``, a new one in the shared checkpoint folder
     is taken.
     """
@@ -236,8 +236,10 @@ def write_token_files(documents: DataFrame, definition: str, folder: str = None,
     fs.create_dir(root, recursive=True)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "text") if parts > 1 else rows.coalesce(1)
-    written = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(
+    # The range bounds go through the driver, so repeated ids are told apart by a hash and not by their texts.
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange(parts, F.col("doc_id"), tie) if parts > 1 else rows.coalesce(1)
+    written = ordered.sortWithinPartitions(F.col("doc_id"), tie, F.col("text")).mapInArrow(
         _writer(folder, spark.sparkContext.broadcast(definition), end_id),
         "part long, documents long, tokens long, width long",
     )
