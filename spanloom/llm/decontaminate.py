@@ -106,18 +106,22 @@ def templates(data, offsets):
 
 
 def _window_hashes(value, kind, row, size):
-    """(first token, hash) of all windows of ``size`` tokens inside one row."""
+    """(first token, hash) of all windows of ``size`` tokens inside one row.
+
+    A window with enough literal words stands for its template, any other one for its very tokens.
+    """
     count = len(value) - size + 1
     if count <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     sign = np.where(kind == LITERAL, value, _PLACEHOLDER[kind])
-    total = np.full(count, U(size), dtype=U)
+    total, exact = np.full(count, U(size), dtype=U), np.full(count, U(size + 1000), dtype=U)
     for i in range(size):
         total = total * U(0x9E3779B97F4A7C15) + sign[i : i + count]
+        exact = exact * U(0x9E3779B97F4A7C15) + value[i : i + count]
     literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
     enough = (literals[size:] - literals[:-size]) * WINDOW >= LITERALS * size
-    at = np.flatnonzero((row[:count] == row[size - 1 :]) & enough)
-    return at, A.mix(total[at])
+    at = np.flatnonzero(row[:count] == row[size - 1 :])
+    return at, A.mix(np.where(enough, total, exact)[at])
 
 
 def _slots(value, kind, first, size):
@@ -187,8 +191,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_
 
     n_windows counts the item's template windows found in order, item_windows all it has, n_slots the distinct values
     behind placeholders; exact tells whether all values are the item's own. A match needs ``min_windows`` windows (all of
-    an item that has fewer) at the same distance and consistent values. Windows with few literal words, and items with
-    fewer than five tokens, are no evidence. Items with equal texts are reported under the least item_id. Null texts
+    an item that has fewer) at the same distance and consistent values. Windows with few literal words only match token
+    by token, and items with fewer than five tokens are no evidence. Items with equal texts are reported under the least item_id. Null texts
     hold nothing; rows without doc_id are left out, repeated rows count once; further columns are ignored; empty tables
     give an empty result.
     """

@@ -481,7 +481,7 @@ def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Data
 def one_per_component(documents: DataFrame, width=WIDTH, percent=PERCENT) -> DataFrame:
     """``documents`` with one row per component kept: a row of its least doc_id.
 
-    Columns stay as they are. Of repeated rows with that doc_id one is kept; rows without words are no copies of each
+    Columns stay as they are. Of rows equal in doc_id and text one is kept; rows without words are no copies of each
     other, and rows without doc_id are kept.
     """
     found = ngram_components(documents, width, percent)
@@ -497,5 +497,5 @@ def one_per_component(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Dat
     rest = again.select(F.col("doc_id").alias(key))
     same = F.col("doc_id").cast("long") == F.col(key)
     return left.join(rest, same, "left_anti").unionByName(
-        left.join(rest, same, "left_semi").dropDuplicates(["doc_id"])
+        left.join(rest, same, "left_semi").dropDuplicates(["doc_id", "text"])
     )
