@@ -118,7 +118,19 @@ def _(t):
     return verifying.check_attributes(standoff(t.documents), SCHEMA).select("doc_id", "ann_id", "description")
 
 
-@plan("v10_verify")
+@plan("v10_verify", over_standoff(
+    """SELECT 'check_equivs' AS "check", 'AnnotationError' AS severity, count(*) AS n
+FROM (SELECT r.*, least(x.type,y.type) AS lo_, greatest(x.type,y.type) AS hi_ FROM r JOIN t x ON x.doc_id=r.doc_id AND x.ann_id=r.arg1
+  JOIN t y ON y.doc_id=r.doc_id AND y.ann_id=r.arg2), LATERAL (SELECT DISTINCT a.v AS t1, b.v AS t2 FROM (VALUES (lo_),(hi_)) a(v), (VALUES (lo_),(hi_)) b(v)
+  WHERE a.v <= b.v AND NOT (a.v='Person' AND b.v='Person')), (VALUES (1), (2)) both_members(k)
+UNION ALL SELECT 'check_relations', 'AnnotationError', count(*)
+FROM r JOIN t x ON x.doc_id=r.doc_id AND x.ann_id=r.arg1 JOIN t y ON y.doc_id=r.doc_id AND y.ann_id=r.arg2
+WHERE NOT (x.type='Person' AND y.type IN ('Place','Org'))
+UNION ALL SELECT 'check_missing_args', 'AnnotationIncomplete', count(*) FROM e WHERE theme IS NULL
+UNION ALL SELECT 'check_disallowed_args', 'AnnotationError', count(*)
+FROM ea JOIN t x ON x.doc_id=ea.doc_id AND x.ann_id=ea.arg WHERE role='Theme' AND x.type='Org'
+UNION ALL SELECT 'check_attributes', 'AnnotationError', count(*)
+FROM a JOIN t x ON x.doc_id=a.doc_id AND x.ann_id=a.target WHERE x.type='Place'"""))
 def _(t):
     return verifying.verify(standoff(t.documents), SCHEMA).groupBy("check", "severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -123,7 +123,7 @@ def _(t):
 @plan("m09_evaluate_models")
 def _(t):
     train, test = _split(t)
-    performance, _ = C.evaluate_models(train, test, LABELS, estimators=("Bayes BernoulliNB", "LogisticR"))
+    performance, _ = C.evaluate_models(train, test, LABELS)
     return performance
 
 
@@ -140,11 +140,13 @@ def _(t):
 
 @plan("k07_performance_report")
 def _(t):
-    from spanloom.operators.metrics import order_report
+    """The written report, read back: performance by accuracy, then the sources and the analysis next to it."""
+    from spanloom.sources.reports import save_reports
 
     train, test = _split(t)
-    performance, _ = C.evaluate_models(train, test, LABELS, estimators=("Bayes BernoulliNB",), with_knn=False)
-    return order_report(performance)
+    performance, analysis = C.evaluate_models(train, test, LABELS, estimators=("Bayes BernoulliNB",), with_knn=False)
+    name = save_reports(performance, analysis, [f"{t.folder}/documents.parquet"], _scratch(t.spark), test.count())
+    return t.spark.read.csv(f"{name}-performance", header=True, schema=performance.schema)
 
 
 @plan("k08_sample_lines", r"""

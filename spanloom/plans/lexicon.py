@@ -4,8 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import logs, metrics, norms, ontology, similarity
-from spanloom.plans.derived import TYPES, over_standoff, standoff, textbounds, token_rows
+from spanloom.operators.textual import whitespace_tokens
+from spanloom.plans.derived import TYPES, over_standoff, standoff, textbounds
 from spanloom.plans.registry import plan
+from spanloom.plans.texts import WS_TOKENS
 from spanloom.sources import conll, dictionary, markup
 from spanloom.sources import standoff as S
 
@@ -419,18 +421,19 @@ def _(t):
 
 
 def _bio(t):
-    toks = token_rows(t.documents).filter(F.rlike("w", F.lit("^\\S+\\z")))
+    toks = whitespace_tokens(t.documents).withColumnsRenamed({"text": "w", "token_no": "i", "start": "st"})
     big = F.rlike("w", F.lit("^[A-Z][a-z]+\\z"))
     kind = F.when(F.length("w") % 2 == 0, F.lit("Even")).otherwise(F.lit("Odd"))
     tag = F.when(big, F.concat(F.lit("B-"), kind)).otherwise(F.lit("O"))
     return toks.withColumn("tag", tag)
 
 
-BIO_SQL = r"""SELECT doc_id, CASE length(w)%2 WHEN 0 THEN 'Even' ELSE 'Odd' END AS type, st AS start, st+length(w) AS "end", w AS text FROM tof
-WHERE regexp_matches(w, '^\S+\z') AND regexp_matches(w,'^[A-Z][a-z]+\z')"""
+BIO_SQL = over_standoff(
+    r"""SELECT doc_id, CASE length(w)%2 WHEN 0 THEN 'Even' ELSE 'Odd' END AS type, st AS start, en AS "end", w AS text FROM (SELECT doc_id, text AS w, st, en FROM tk) WHERE regexp_matches(w,'^[A-Z][a-z]+\z')""",
+    WS_TOKENS.strip())
 
 
-@plan("s11_read_bio_offsets", over_standoff(BIO_SQL))
+@plan("s11_read_bio_offsets", BIO_SQL)
 def _(t):
     line = F.concat_ws("\t", F.col("st").cast("string"), (F.col("st") + F.length("w")).cast("string"), "w",
                        F.lit("_"), F.lit("_"), F.lit("_"), "tag")
@@ -438,12 +441,8 @@ def _(t):
     return conll.read_bio_offsets(lines, t.documents).select("doc_id", "type", "start", "end", "text")
 
 
-@plan("s12_read_bio_aligned", over_standoff(
-    r"""SELECT doc_id, CASE length(w)%2 WHEN 0 THEN 'Even' ELSE 'Odd' END AS type, st AS start, en AS "end", w AS text FROM (SELECT doc_id, text AS w, st, en FROM tk) WHERE regexp_matches(w,'^[A-Z][a-z]+\z')""",
-    __import__("spanloom.plans.texts", fromlist=["WS_TOKENS"]).WS_TOKENS.strip()))
+@plan("s12_read_bio_aligned", BIO_SQL)
 def _(t):
-    from spanloom.operators.textual import whitespace_tokens
-
     toks = whitespace_tokens(t.documents).withColumnsRenamed({"text": "w", "token_no": "i"})
     big = F.rlike("w", F.lit("^[A-Z][a-z]+\\z"))
     kind = F.when(F.length("w") % 2 == 0, F.lit("Even")).otherwise(F.lit("Odd"))

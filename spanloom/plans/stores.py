@@ -379,7 +379,8 @@ def _(t):
     """SELECT DISTINCT concat(title, chr(10), content) AS x, CASE label_relevance WHEN 'IRRELEVANTE' THEN 0 ELSE 1 END::BIGINT AS y
 FROM art WHERE label_relevance IN ('IRRELEVANTE','PROBLEMA DEL SERVICIO')"""))
 def _(t):
-    a = articles(t).filter(F.col("label_relevance").isin(L.RELEVANCE_LABELS)).select("title", "content", "label_relevance")
+    label = F.when(F.col("label_relevance").isin(L.RELEVANCE_LABELS), F.col("label_relevance"))
+    a = articles(t).select("title", "content", label.alias("label_relevance"))
     return D.training_frame(a, ["title", "content"], "label_relevance", L.RELEVANCE_LABELS)
 
 

@@ -71,74 +71,89 @@ class Schema:
         return groups.get(wildcard, [wildcard])
 
 
-def _repeat(suffix):
-    if suffix in REPEATS:
-        return REPEATS[suffix]
-    m = re.match(r"\{(\d+)(?:-(\d+))?\}$", suffix)
-    if not m:
-        raise SchemaError(f"bad repetition {suffix!r}")
-    low = int(m.group(1))
-    high = int(m.group(2)) if m.group(2) is not None else low
-    if low > high or high == 0:
-        raise SchemaError(f"bad repetition range {suffix!r}")
-    return low, high
-
-
-def _arguments(items):
-    """Roles as {role: (types, min, max)} in order, and the reserved keys as {key: value}."""
-    roles, special = {}, {}
-    for item in items:
-        m = re.match(r"^(\S*?):(\S*)$", item)
-        if not m:
-            raise SchemaError(f"bad argument {item!r}")
-        key, value = m.groups()
+def _count(text):
+    """(role, least, most) of a role as written: its name and how often it may stand."""
+    name, brace, inside = text.partition("{")
+    if not brace:
+        name = text.rstrip("?*+")
+        sign = text[len(name) :]
+        if sign not in REPEATS:
+            raise SchemaError(f"bad repetition {sign!r}")
+        return name, *REPEATS[sign]
+    bounds = inside.removesuffix("}").split("-")
+    if not inside.endswith("}") or len(bounds) > 2 or not all(b.isdigit() for b in bounds):
+        raise SchemaError(f"bad repetition {brace + inside!r}")
+    least, most = int(bounds[0]), int(bounds[-1])
+    if least > most or most == 0:
+        raise SchemaError(f"bad repetition range {brace + inside!r}")
+    return name, least, most
+
+
+class _Entry:
+    """One line of a section: a type with its other names, and its arguments."""
+
+    def __init__(self, line, section):
+        body = line.lstrip()
+        self.depth = len(line) - len(body)
+        head, _, tail = body.partition("\t")
+        # Names may hold single blanks if a tab ends them; else the first white space does.
+        if section != "attributes" and ("\t" not in body or " " not in head.strip() or "  " in head):
+            head, tail = (body.split(None, 1) + [""])[:2]
+        names = [n.strip() for n in head.split("|") if n.strip()]
+        self.unused = any(n[0] == "!" for n in names)
+        first = names[0].lstrip("!")
+        plain = "".join(c if c.isascii() and (c.isalnum() or c in "_-") else "_" for c in first)
+        self.name = first if first in (OVERLAP, NESTING) else plain
+        self.roles, self.special = {}, {}
+        for part in filter(None, map(str.strip, tail.split(","))):
+            self._add(part)
+
+    def _add(self, part):
+        key, colon, value = part.partition(":")
+        if not colon or len(part.split()) != 1:
+            raise SchemaError(f"bad argument {part!r}")
         if key in RESERVED_KEYS:
-            special[key] = value
-            continue
-        m = re.match(r"^(\S+?)(\{\S+\}|\?|\*|\+|)$", key)
-        if not m:
-            raise SchemaError(f"bad argument {item!r}")
-        role, suffix = m.groups()
-        low, high = _repeat(suffix)
-        if high > 1 and role[-1].isdigit():
-            raise SchemaError(f"a role that ends with a digit cannot repeat: {item!r}")
-        names = value.split("|")
-        if role in roles or "" in [n.strip() for n in names]:
-            raise SchemaError(f"bad argument {item!r}")
-        roles[role] = (names, low, high)
-    return roles, special
+            self.special[key] = value
+            return
+        role, least, most = _count(key)
+        types = value.split("|")
+        if not role or role in self.roles or not all(types):
+            raise SchemaError(f"bad argument {part!r}")
+        if most > 1 and role[-1].isdigit():
+            raise SchemaError(f"a role that ends with a digit cannot repeat: {part!r}")
+        self.roles[role] = (types, least, most)
+
+
+def _expanded(line, macros):
+    """The line with macros in place; any other name in angle brackets must be a reserved one."""
+    def value(found):
+        name = found[0]
+        if name not in macros and name not in RESERVED_NAMES:
+            raise SchemaError(f"undefined macro {name}")
+        return macros.get(name, name)
+
+    return re.sub("<[^<>]*>", value, line)
 
 
 def _nodes(lines, section):
     """(type, parent, unused, depth, roles, special) per line of a section; the indent gives the parent."""
-    macros, last = {}, {}
+    macros, above = {}, []
     for line in lines:
-        if not line.strip() or line.lstrip().startswith("#") or re.match(r"^\s*-+\s*$", line):
+        shown = line.strip()
+        if not shown or shown[0] == "#" or set(shown) == {"-"}:
             continue
-        m = re.match(r"^<([a-zA-Z_-]+)>=\s*(.*?)\s*$", line)
-        if m:
-            name = f"<{m.group(1)}>"
-            if name in RESERVED_NAMES:
-                raise SchemaError(f"{name} is a reserved name")
-            macros[name] = m.group(2)
+        name, defines, value = line.partition(">=")
+        if defines and line[0] == "<" and name[1:].replace("-", "").replace("_", "").isalpha():
+            if f"{name}>" in RESERVED_NAMES:
+                raise SchemaError(f"{name}> is a reserved name")
+            macros[f"{name}>"] = _expanded(value.strip(), macros)
             continue
-        for name, value in macros.items():
-            line = line.replace(name, value)
-        unknown = [x for x in re.findall(r"<.*?>", line) if x not in RESERVED_NAMES]
-        if unknown:
-            raise SchemaError(f"undefined macro {unknown[0]}")
-        by_tab = section == "attributes" or re.search(r"\S \S.*\t", line)
-        m = re.match(r"^(\s*)([^\t]+)(?:\t(.*))?$" if by_tab else r"^(\s*)(\S+)(?:\s+(.*))?$", line)
-        depth = len(m.group(1))
-        terms = [t.strip() for t in m.group(2).split("|") if t.strip()]
-        name = terms[0].lstrip("!")
-        if name not in (OVERLAP, NESTING):
-            name = re.sub(r"[^a-zA-Z0-9_-]", "_", name.replace(" ", "_"))
-        roles, special = _arguments([a.strip() for a in (m.group(3) or "").split(",") if a.strip()])
-        if depth and depth - 1 not in last:
-            raise SchemaError(f"no parent for {name!r}")
-        yield name, last.get(depth - 1), any(t.startswith("!") for t in terms), depth, roles, special
-        last[depth] = name
+        entry = _Entry(_expanded(line, macros), section)
+        if entry.depth > len(above):
+            raise SchemaError(f"no parent for {entry.name!r}")
+        above = [*above[: entry.depth], entry.name]
+        parent = above[-2] if entry.depth else None
+        yield entry.name, parent, entry.unused, entry.depth, entry.roles, entry.special
 
 
 def parse_schema(text) -> Schema:

@@ -1,14 +1,19 @@
 """Table, text and url-list readers; JSON records."""
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 # S05
-def read_table(spark: SparkSession, path, schema) -> DataFrame:
-    """CSV with an explicit schema (ids stay whole numbers), quoted multi-line fields allowed."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', mode="FAILFAST")
+def read_table(spark: SparkSession, path, schema, multi_line=True) -> DataFrame:
+    """CSV with an explicit schema (ids stay whole numbers).
+
+    Quoted fields may span lines; a file is then read by one task, so turn ``multi_line`` off for large files without.
+    """
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, escape='"', mode="FAILFAST")
 
 
 def read_table_or_empty(spark: SparkSession, path, schema) -> DataFrame:
@@ -37,6 +42,22 @@ def read_documents(spark: SparkSession, path) -> DataFrame:
     return df.select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
+def write_documents(docs: DataFrame, folder: str) -> None:
+    """One text file <doc_id>.txt per row of (doc_id, text); tasks write straight into the shared folder."""
+    def write(batches):
+        where = folder if "://" in folder or folder.startswith("/") else folder.replace(":", "://", 1)
+        fs, root = pafs.FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                with fs.open_output_stream(f"{root}/{name}.txt") as file:
+                    file.write((text or "").encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")], ["doc_id"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs.select("doc_id", "text").mapInArrow(write, f"doc_id {kind}").write.format("noop").mode("overwrite").save()
+
+
 # S28
 def read_url_list(spark: SparkSession, paths) -> DataFrame:
     """One url per line, trimmed, blank lines dropped."""
