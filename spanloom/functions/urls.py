@@ -25,7 +25,7 @@ IRRELEVANT_SECTIONS = [
 ]
 
 # Name-based id namespace for urls, and the default lists.
-URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
+URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 ALL_URLS = [".*"]
 NO_URLS = ["a^"]
 
@@ -70,7 +70,7 @@ def is_irrelevant_url(col: Column, sections=None) -> Column:
 # C21
 def url_key(col: Column) -> Column:
     """Name-based id (version 3) of a url: MD5 over the namespace bytes and the url, with version and variant set."""
-    digest = F.md5(F.concat(F.unhex(F.lit(URL_NAMESPACE_HEX)), F.encode(col, "UTF-8")))
+    digest = F.md5(F.concat(F.unhex(F.lit(URL_NAMESPACE.replace("-", ""))), F.encode(col, "UTF-8")))
     variant = F.lower(
         F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8)))
     )

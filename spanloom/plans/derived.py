@@ -38,28 +38,42 @@ def textbounds(docs):
     )
 
 
-def _numbered(df, prefix):
-    return df.withColumn("line_no", F.row_number().over(by_start()).cast("long")).withColumn(
-        "ann_id", F.concat(F.lit(prefix), F.col("line_no").cast("string"))
-    )
+#: The spans that also give a relation, an event, an attribute, a note or a normalization.
+KINDS = {
+    "R": "type <> 'Action' AND p_type <> 'Action' AND start - p_end <= 40",
+    "E": "type = 'Action'",
+    "A": "type <> 'Action' AND start % 5 = 0",
+    "#": "start % 7 = 0",
+    "N": "type <> 'Action' AND start % 3 = 0",
+}
+
+
+def _numbered(nb, prefix):
+    """The rows of one kind with their id and number, the span's own id becoming ``tid``."""
+    number = F.col(f"no_{prefix}")
+    rows = nb.filter(KINDS[prefix]).withColumnRenamed("ann_id", "tid")
+    return rows.withColumns({"line_no": number, "ann_id": F.concat(F.lit(prefix), number.cast("string"))})
+
+
+TEXTBOUND_COLUMNS = ["doc_id", "ann_id", "line_no", "type", "spans", "start", "end", "text"]
 
 
 def standoff(docs) -> Standoff:
-    # Written once, as annotation tables would be; every other table is read off it.
-    t = cut_lineage(textbounds(docs))
-    nb = t.select(
-        "doc_id",
-        F.col("ann_id").alias("tid"),
-        "type",
-        "start",
-        F.lag("ann_id").over(by_start()).alias("p_id"),
-        F.lag("type").over(by_start()).alias("p_type"),
-        F.lag("end").over(by_start()).alias("p_end"),
-        F.lead("ann_id").over(by_start()).alias("n_id"),
-        F.lead("type").over(by_start()).alias("n_type"),
+    # Neighbours and running numbers of all kinds in one pass over the spans, written once as annotation tables would be.
+    before = by_start().rowsBetween(Window.unboundedPreceding, 0)
+    near = textbounds(docs).withColumns(
+        {
+            "p_id": F.lag("ann_id").over(by_start()),
+            "p_type": F.lag("type").over(by_start()),
+            "p_end": F.lag("end").over(by_start()),
+            "n_id": F.lead("ann_id").over(by_start()),
+            "n_type": F.lead("type").over(by_start()),
+        }
     )
-    near = nb.filter("type <> 'Action' AND p_type <> 'Action' AND start - p_end <= 40")
-    relations = _numbered(near, "R").select(
+    numbers = {f"no_{k}": F.sum(F.when(F.expr(c), 1).otherwise(0)).over(before) for k, c in KINDS.items()}
+    nb = cut_lineage(near.withColumns(numbers))
+    t = nb.select(*TEXTBOUND_COLUMNS)
+    relations = _numbered(nb, "R").select(
         "doc_id",
         "ann_id",
         "line_no",
@@ -71,7 +85,7 @@ def standoff(docs) -> Standoff:
     )
     theme = F.when(F.col("p_type") != "Action", F.struct(F.lit("Theme").alias("role"), F.col("p_id").alias("arg")))
     cause = F.when(F.col("n_type") != "Action", F.struct(F.lit("Cause").alias("role"), F.col("n_id").alias("arg")))
-    events = _numbered(nb.filter("type = 'Action'"), "E").select(
+    events = _numbered(nb, "E").select(
         "doc_id",
         "ann_id",
         "line_no",
@@ -79,25 +93,24 @@ def standoff(docs) -> Standoff:
         F.col("tid").alias("trigger"),
         F.filter(F.array(theme, cause), lambda a: a.isNotNull()).alias("args"),
     )
-    flags = t.filter("type <> 'Action' AND start % 5 = 0").withColumnRenamed("ann_id", "target")
-    attributes = _numbered(flags, "A").select(
-        "doc_id", "ann_id", "line_no", F.lit("flag").alias("type"), "target", F.lit(None).cast("string").alias("value")
+    attributes = _numbered(nb, "A").select(
+        "doc_id", "ann_id", "line_no", F.lit("flag").alias("type"), F.col("tid").alias("target"),
+        F.lit(None).cast("string").alias("value"),
     )
-    marked = t.filter("start % 7 = 0").withColumnRenamed("ann_id", "target")
-    notes = _numbered(marked, "#").select(
-        "doc_id", "ann_id", "line_no", F.lit("AnnotatorNotes").alias("type"), "target", F.upper("text").alias("note")
+    notes = _numbered(nb, "#").select(
+        "doc_id", "ann_id", "line_no", F.lit("AnnotatorNotes").alias("type"), F.col("tid").alias("target"),
+        F.upper("text").alias("note"),
     )
     equivs = relations.select(
         "doc_id", F.lit("*").alias("ann_id"), "line_no", F.lit("Equiv").alias("type"),
         F.array("arg1", "arg2").alias("members"),
     )
-    linked = t.filter("type <> 'Action' AND start % 3 = 0").withColumnRenamed("ann_id", "target")
-    normalizations = _numbered(linked, "N").select(
+    normalizations = _numbered(nb, "N").select(
         "doc_id",
         "ann_id",
         "line_no",
         F.lit("Reference").alias("type"),
-        "target",
+        F.col("tid").alias("target"),
         F.lit("LEX").alias("refdb"),
         F.lower("text").alias("refid"),
         F.col("text").alias("reftext"),
