@@ -4,11 +4,13 @@ A task works on runs of rows of about ``CHUNK_BYTES``, so its memory follows the
 Hashes are 64 bits wide: word = polynomial over its bytes, mixed; shingle = weighted sum of five word hashes, mixed.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -45,6 +47,26 @@ def mix(x):
     return x ^ (x >> U(31))
 
 
+def give_back():
+    """Returns memory that was freed to the system: workers live on between tasks, next to an executor's own needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(function):
+    """Wraps a function over batches so that its task gives memory back at its end."""
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def as_long(x):
     return np.ascontiguousarray(x, dtype=U).view(np.int64)
 

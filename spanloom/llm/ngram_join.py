@@ -27,10 +27,10 @@ from spanloom.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 80
-FLUSH_ENTRIES = 1 << 20
+FLUSH_ENTRIES = 1 << 18
 BLOCK_COLUMNS = ["bucket", "high", "low", "classes", "repeats"]
 BROADCAST_IDS = 1_000_000
-NEAREST_ROUNDS = 1
+OPEN_PAIRS = 2
 U = np.uint64
 
 
@@ -136,7 +136,7 @@ def _digests(width):
                 ["doc_id", "n_shingles", "class", "sketch"],
             )
 
-    return run
+    return A.lean(run)
 
 
 def _bucket_labels(spark, parts):
@@ -192,7 +192,7 @@ def _signature_blocks(width, percent, labels):
         if parts:
             yield packed(parts)
 
-    return run
+    return A.lean(run)
 
 
 def _shared_signatures(batches):
@@ -263,7 +263,7 @@ def _sets(width):
                     [pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["class", "elements"]
                 )
 
-    return run
+    return A.lean(run)
 
 
 def _near(percent, size_x, size_y, table_x, table_y):
@@ -334,11 +334,12 @@ def _folded(sketch, bits):
     return sketch
 
 
-def _open_pairs(percent, nearest):
+def _open_pairs(percent, at_most):
     """Pairs of classes in different components under one signature whose sketches allow a link.
 
-    Rows come sorted by (signature, component); a component's rows are compared with the rows after it in blocks. With
-    ``nearest``, each component gives only the one pair that its sketches show as most similar.
+    Rows come sorted by (signature, component); a component's rows are compared with the rows after it in blocks. A
+    signature with more than ``at_most`` pairs for each of its rows only gives the one pair of each component that its
+    sketches show as most similar, and a row that names the signature: it has to be looked at again. None: all pairs.
     """
 
     def hits_of(component, size, sketch):
@@ -355,38 +356,46 @@ def _open_pairs(percent, nearest):
                 yield i, hit, np.bitwise_count(table[hit] ^ table[i]).sum(axis=1) / (size[hit] + size[i])
 
     def pairs_of(classes, component, size, sketch):
-        if nearest:
-            number = np.cumsum(np.append(False, component[1:] != component[:-1]))
-            best, pair = np.full(number[-1] + 1, np.inf), np.zeros((number[-1] + 1, 2), dtype=np.int64)
-            for i, hit, gap in hits_of(component, size, sketch):
-                order = np.argsort(gap, kind="stable")
-                place, first = np.unique(number[hit[order]], return_index=True)
-                found, least = hit[order][first], gap[order][first]
-                better = least < best[place]
-                best[place[better]] = least[better]
-                pair[place[better]] = np.column_stack([np.full(int(better.sum()), i), found[better]])
-                if gap[order[0]] < best[number[i]]:
-                    best[number[i]], pair[number[i]] = gap[order[0]], (i, hit[order[0]])
-            pairs = pair[np.isfinite(best)]
-            x, y = classes[pairs[:, 0]], classes[pairs[:, 1]]
-            yield np.minimum(x, y), np.maximum(x, y)
+        pairs, count = [], 0
+        for i, hit, _ in hits_of(component, size, sketch):
+            pairs.append((np.minimum(classes[hit], classes[i]), np.maximum(classes[hit], classes[i])))
+            count += len(hit)
+            if at_most is not None and count > at_most * len(classes):
+                break
         else:
-            for i, hit, _ in hits_of(component, size, sketch):
-                yield np.minimum(classes[hit], classes[i]), np.maximum(classes[hit], classes[i])
+            return pairs, False
+        number = np.cumsum(np.append(False, component[1:] != component[:-1]))
+        best, pair = np.full(number[-1] + 1, np.inf), np.zeros((number[-1] + 1, 2), dtype=np.int64)
+        for i, hit, gap in hits_of(component, size, sketch):
+            order = np.argsort(gap, kind="stable")
+            place, first = np.unique(number[hit[order]], return_index=True)
+            found, least = hit[order][first], gap[order][first]
+            better = least < best[place]
+            best[place[better]] = least[better]
+            pair[place[better]] = np.column_stack([np.full(int(better.sum()), i), found[better]])
+            if gap[order[0]] < best[number[i]]:
+                best[number[i]], pair[number[i]] = gap[order[0]], (i, hit[order[0]])
+        chosen = pair[np.isfinite(best)]
+        x, y = classes[chosen[:, 0]], classes[chosen[:, 1]]
+        return [(np.minimum(x, y), np.maximum(x, y))], True
+
+    def rows(pairs, left):
+        columns = [[p[0] for p in pairs] + [None] * len(left), [p[1] for p in pairs] + [None] * len(left)]
+        columns.append([None] * len(pairs) + left)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "again"])
 
     def run(batches):
         now, held, seen = None, [], set()
 
-        def new(group):
+        def new(signature, group):
             # Signatures share most of their classes; a task hands on each pair once.
-            for x, y in pairs_of(*_gathered(group)):
+            found, again = pairs_of(*_gathered(group))
+            for x, y in found:
                 pairs = [p for p in zip(x.tolist(), y.tolist()) if p not in seen]
-                seen.update(pairs)
-                if pairs:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
-                        ["a", "b"],
-                    )
+                if len(seen) < 1 << 18:
+                    seen.update(pairs)
+                if pairs or again:
+                    yield rows(pairs, [int(signature)] if again else [])
 
         for batch in batches:
             columns = [batch.column(c) for c in ("signature", "class", "component", "n", "sketch")]
@@ -395,13 +404,13 @@ def _open_pairs(percent, nearest):
             for a, b in zip(at, np.append(at[1:], len(signature))):
                 if signature[a] != now:
                     if held:
-                        yield from new(held)
+                        yield from new(now, held)
                     now, held = signature[a], []
                 held.append([x.slice(a, b - a) for x in columns[1:]])
         if held:
-            yield from new(held)
+            yield from new(now, held)
 
-    return run
+    return A.lean(run)
 
 
 def _gathered(held):
@@ -409,17 +418,23 @@ def _gathered(held):
     return *numbers, [x for h in held for x in h[3].to_pylist()]
 
 
-def _members(entries, first, owners):
-    """Classes of the signatures that still join different components, sorted by signature and component."""
-    placed = entries.join(first.withColumnRenamed("node", "class"), "class", "left").select(
+def _members(entries, first, owners, signatures=None):
+    """Classes of the signatures that still join different components, sorted by signature and component.
+
+    ``signatures`` restricts what is looked at. The small sides are sent to all tasks after a check of their size.
+    """
+    if signatures is not None:
+        entries = entries.join(with_bound(signatures, BROADCAST_IDS), "signature", "left_semi")
+    known = with_bound(first.withColumnRenamed("node", "class"), BROADCAST_IDS)
+    placed = entries.join(known, "class", "left").select(
         "signature", "class", F.coalesce("root", "class").alias("component")
     )
     mixed = placed.groupBy("signature").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
     )
     # The least class of a signature was compared with all others, so two classes are settled.
-    mixed = mixed.filter("low < high AND members > 2").select("signature")
-    members = placed.join(mixed, "signature").join(owners, "class")
+    mixed = cut_lineage(mixed.filter("low < high AND members > 2").select("signature"))
+    members = placed.join(with_bound(mixed, BROADCAST_IDS), "signature").join(owners, "class")
     members = members.select("signature", "class", "component", "n", "sketch")
     return members.repartition("signature").sortWithinPartitions("signature", "component", "class")
 
@@ -445,7 +460,7 @@ def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Data
         "bucket long, high binary, low binary, classes binary, repeats binary",
     )
     entries = cut_lineage(
-        blocks.repartition(parts, "bucket").mapInArrow(_shared_signatures, "signature long, class long, center long")
+        blocks.repartition(parts, "bucket").mapInArrow(A.lean(_shared_signatures), "signature long, class long, center long")
     )
 
     # One document stands for each class that shares a signature.
@@ -460,14 +475,17 @@ def ngram_components(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Data
     stars = stars.join(left, "a").join(right, "b").mapInArrow(_possible(percent), "a long, b long")
     first = components(_links(cut_lineage(stars), texts, owners, width, percent))
 
-    # The nearest pair of each component settles most of the rest; what stays open after that is checked completely.
-    for nearest in [True] * NEAREST_ROUNDS + [False]:
-        found = _members(entries, first, owners).mapInArrow(_open_pairs(percent, nearest), "a long, b long")
-        more = cut_lineage(found.distinct())
-        found = _links(more, texts, owners, width, percent)
+    # Where a dense group leaves many pairs open, the nearest pair of each component settles most of them first.
+    looked_at = None
+    for at_most in (OPEN_PAIRS, None):
+        members = _members(entries, first, owners, looked_at)
+        open_pairs = cut_lineage(members.mapInArrow(_open_pairs(percent, at_most), "a long, b long, again long"))
+        pairs = cut_lineage(open_pairs.filter("a IS NOT NULL").select("a", "b").distinct())
+        found = _links(pairs, texts, owners, width, percent)
         if not found.isEmpty():
             first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-        elif nearest and more.isEmpty():
+        looked_at = open_pairs.filter("again IS NOT NULL").select(F.col("again").alias("signature"))
+        if looked_at.isEmpty():
             break
 
     grouped = digests.join(first.withColumnRenamed("node", "class"), "class", "left")
@@ -487,14 +505,14 @@ def one_per_component(documents: DataFrame, width=WIDTH, percent=PERCENT) -> Dat
     found = ngram_components(documents, width, percent)
     gone = cut_lineage(found.filter("doc_id <> component_id").select("doc_id").distinct())
     key = fresh(documents, "gone")
-    drop = gone.withColumnRenamed("doc_id", key)
+    drop = with_bound(gone.withColumnRenamed("doc_id", key), BROADCAST_IDS)
     left = documents.join(drop, F.col("doc_id").cast("long") == F.col(key), "left_anti")
     again = found.filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
     if again.isEmpty():
         return left
-    rest = again.select(F.col("doc_id").alias(key))
+    rest = with_bound(again.select(F.col("doc_id").alias(key)), BROADCAST_IDS)
     same = F.col("doc_id").cast("long") == F.col(key)
     return left.join(rest, same, "left_anti").unionByName(
         left.join(rest, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -38,6 +38,7 @@ from spanloom.session import cut_lineage, ensure_checkpoint_dir
 END_ID = 2
 NO_ID = -(1 << 63)
 CACHED_PIECES = 1_000_000
+TEXTS_AT_ONCE = 1 << 20  # bytes
 U = np.uint64
 
 #: Scripts whose characters have had their classes for long: Latin to Cyrillic, general punctuation, currency signs.
@@ -202,7 +203,7 @@ def _writer(folder, definition, end_id):
             upto = np.concatenate([[0], np.cumsum(sizes)])
             first = 0
             while first < len(sizes):
-                last = max(int(np.searchsorted(upto, upto[first] + A.CHUNK_BYTES, "right")) - 1, first + 1)
+                last = max(int(np.searchsorted(upto, upto[first] + TEXTS_AT_ONCE, "right")) - 1, first + 1)
                 ids, counts = encoder.many(text.slice(first, last - first).to_pylist())
                 ends = np.cumsum(counts)
                 ids = np.insert(ids.astype(kind), ends, kind.type(end_id))
