@@ -30,7 +30,7 @@ PERCENT = 80
 FLUSH_ENTRIES = 1 << 18
 BLOCK_COLUMNS = ["bucket", "high", "low", "classes", "repeats"]
 BROADCAST_IDS = 1_000_000
-OPEN_PAIRS = 2
+OPEN_PAIRS = 0.1
 U = np.uint64
 
 
@@ -238,7 +238,7 @@ def _shared_signatures(batches):
 
 
 def _sketch_bits(size):
-    return 1 << int(np.log2(max(64, 2 * size)))
+    return 1 << int(np.log2(max(64, 2 * size, min(8 * size, 2048))))
 
 
 def _sketch(elements):
@@ -423,8 +423,6 @@ def _members(entries, first, owners, signatures=None):
 
     ``signatures`` restricts what is looked at. The small sides are sent to all tasks after a check of their size.
     """
-    if signatures is not None:
-        entries = entries.join(with_bound(signatures, BROADCAST_IDS), "signature", "left_semi")
     known = with_bound(first.withColumnRenamed("node", "class"), BROADCAST_IDS)
     placed = entries.join(known, "class", "left").select(
         "signature", "class", F.coalesce("root", "class").alias("component")
@@ -433,7 +431,10 @@ def _members(entries, first, owners, signatures=None):
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
     )
     # The least class of a signature was compared with all others, so two classes are settled.
-    mixed = cut_lineage(mixed.filter("low < high AND members > 2").select("signature"))
+    mixed = mixed.filter("low < high AND members > 2").select("signature")
+    if signatures is not None:
+        mixed = mixed.join(with_bound(signatures, BROADCAST_IDS), "signature", "left_semi")
+    mixed = cut_lineage(mixed)
     members = placed.join(with_bound(mixed, BROADCAST_IDS), "signature").join(owners, "class")
     members = members.select("signature", "class", "component", "n", "sketch")
     return members.repartition("signature").sortWithinPartitions("signature", "component", "class")
