@@ -106,13 +106,13 @@ def templates(data, offsets):
 
 
 def _window_hashes(value, kind, row, size):
-    """(first token, hash) of all windows of ``size`` tokens inside one row.
+    """(first token, hash, is exact) of all windows of ``size`` tokens inside one row.
 
-    A window with enough literal words stands for its template, any other one for its very tokens.
+    Every window stands for its very tokens, and one with enough literal words also for its template.
     """
     count = len(value) - size + 1
     if count <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
     sign = np.where(kind == LITERAL, value, _PLACEHOLDER[kind])
     total, exact = np.full(count, U(size), dtype=U), np.full(count, U(size + 1000), dtype=U)
     for i in range(size):
@@ -120,12 +120,17 @@ def _window_hashes(value, kind, row, size):
         exact = exact * U(0x9E3779B97F4A7C15) + value[i : i + count]
     literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
     enough = (literals[size:] - literals[:-size]) * WINDOW >= LITERALS * size
-    at = np.flatnonzero(row[:count] == row[size - 1 :])
-    return at, A.mix(np.where(enough, total, exact)[at])
+    whole = row[:count] == row[size - 1 :]
+    typed, every = np.flatnonzero(whole & enough), np.flatnonzero(whole)
+    at = np.concatenate([typed, every])
+    return at, A.mix(np.concatenate([total[typed], exact[every]])), np.arange(len(at)) >= len(typed)
 
 
-def _slots(value, kind, first, size):
-    return [A.as_long(value[a : a + size][kind[a : a + size] != LITERAL]).tolist() for a in first]
+def _slots(value, kind, first, size, exact):
+    """Values behind the placeholders of windows; none for windows that match token by token."""
+    return [
+        [] if e else A.as_long(value[a : a + size][kind[a : a + size] != LITERAL]).tolist() for a, e in zip(first, exact)
+    ]
 
 
 def _item_windows(window):
@@ -139,14 +144,14 @@ def _item_windows(window):
                 tokens = np.bincount(row, minlength=len(offsets) - 1)
                 starts = np.concatenate([[0], np.cumsum(tokens)])
                 for size in np.unique(np.minimum(tokens[tokens >= LITERALS], window)):
-                    at, hashed = _window_hashes(value, kind, row, int(size))
+                    at, hashed, exact = _window_hashes(value, kind, row, int(size))
                     mine = np.minimum(tokens[row[at]], window) == size
-                    at, hashed = at[mine], hashed[mine]
+                    at, hashed, exact = at[mine], hashed[mine], exact[mine]
                     out[0] += [batch.column("item_id")[int(first + r)].as_py() for r in row[at]]
                     out[1] += (at - starts[row[at]]).tolist()
                     out[2] += [int(size)] * len(at)
                     out[3] += A.as_long(hashed).tolist()
-                    out[4] += _slots(value, kind, at, int(size))
+                    out[4] += _slots(value, kind, at, int(size), exact)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(out, types)], ["item_id", "item_at", "size", "window", "item_slots"]
@@ -166,19 +171,19 @@ def _document_windows(sizes, known):
                 tokens = np.bincount(row, minlength=len(offsets) - 1)
                 starts = np.concatenate([[0], np.cumsum(tokens)])
                 for size in sizes:
-                    at, hashed = _window_hashes(value, kind, row, size)
+                    at, hashed, exact = _window_hashes(value, kind, row, size)
                     if known is not None and len(at):
                         place = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
                         hit = known[place] == hashed if len(known) else np.zeros(len(at), dtype=bool)
-                        at, hashed = at[hit], hashed[hit]
+                        at, hashed, exact = at[hit], hashed[hit], exact[hit]
                     for a in range(0, len(at), 1 << 15):
-                        part, name = at[a : a + (1 << 15)], hashed[a : a + (1 << 15)]
+                        part, name, same = (x[a : a + (1 << 15)] for x in (at, hashed, exact))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 ids.take(pa.array(first + row[part])),
                                 pa.array(part - starts[row[part]]),
                                 pa.array(A.as_long(name)),
-                                pa.array(_slots(value, kind, part, size), pa.list_(pa.int64())),
+                                pa.array(_slots(value, kind, part, size, same), pa.list_(pa.int64())),
                             ],
                             ["doc_id", "doc_at", "window", "doc_slots"],
                         )
@@ -189,8 +194,8 @@ def _document_windows(sizes, known):
 def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_windows=MIN_WINDOWS) -> DataFrame:
     """One row per (doc_id, item_id) where the document holds the item's question, maybe with other values.
 
-    n_windows counts the item's template windows found in order, item_windows all it has, n_slots the distinct values
-    behind placeholders; exact tells whether all values are the item's own. A match needs ``min_windows`` windows (all of
+    n_windows counts the item's windows found in order, as a template or token by token whatever the case, item_windows all
+    it has, n_slots the distinct values behind placeholders; exact tells whether all values are the item's own. A match needs ``min_windows`` windows (all of
     an item that has fewer) at the same distance and consistent values. Windows with few literal words only match token
     by token, and items with fewer than five tokens are no evidence. Items with equal texts are reported under the least item_id. Null texts
     hold nothing; rows without doc_id are left out, repeated rows count once; further columns are ignored; empty tables
@@ -225,7 +230,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_
             F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))
         ).alias("slots"),
     )
-    totals = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    totals = asked.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"))
     values = F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))
     aligned = aligned.join(with_bound(totals, BROADCAST_IDS), "item_id").filter(
         (F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows")))

@@ -127,6 +127,19 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.without_contaminated(odd, bench).count() == odd.count()
 
 
+CASED = ("The teacher Maria asked whether the clever Ines and the quiet Pablo would bring 12 apples to the school in Madrid "
+         "before the winter began")
+
+
+def test_decontamination_finds_copies_in_any_case(spark):
+    bench = spark.createDataFrame([(1, CASED)], "item_id long, text string")
+    copies = [CASED.upper(), CASED.title(), CASED.lower(), CASED]
+    docs = spark.createDataFrame([(i, "Some words. " + c + ". More.") for i, c in enumerate(copies)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3}
+    assert all(r["n_windows"] == r["item_windows"] and r["exact"] for r in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No title</title><style>p{}</style><script>var a="<p>no</p>";</script></head>
 <body class="has-sidebar"><header><a href="/">Site</a><p>Slogan, for all.</p></header>
 <nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
