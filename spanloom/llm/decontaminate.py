@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names and units turn into typed placeholders, every other word into its lower-cased form.
-Windows of a benchmark item's template are joined with windows of the documents' templates by hash. The values behind
-the placeholders must then be consistent along the match: one value of the item stands for one value of the document. A
-question asked again with other numbers or names is found that way, and a chance match of its frame with changing values
-is not.
+Placeholders of one type that touch are one, so that "25" stands for "twenty five" and "Ann" for "Mary Ann". What is a
+name can't be told at the start of a sentence or in a text in capitals, so templates are made in several readings, and the
+very tokens are one more. Windows of a benchmark item are joined with windows of the documents by hash. The values behind
+the placeholders must then be consistent along a run of windows: one value of the item stands for one value of the
+document. A question asked again with other numbers or names is found that way, and a chance match of its frame with
+changing values is not.
 """
 
 import numpy as np
@@ -35,6 +37,11 @@ UNITS = (
 
 U = np.uint64
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+READINGS = EXACT, NAMED, OPENED, PLAIN = 0, 1, 2, 3
+_SLOTS = pa.list_(pa.list_(pa.int64()))
+_ITEM_NAMES = "item_id reading size window item_at item_raw total literals item_slots".split()
+_ITEM_TYPES = [pa.int64()] * 7 + [pa.list_(pa.int64()), _SLOTS]
+_ITEM_SCHEMA = ", ".join(f"{n} long" for n in _ITEM_NAMES[:7]) + ", literals array<long>, item_slots array<array<long>>"
 _PLACEHOLDER = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], dtype=U)
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -43,26 +50,34 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 13, 33, 46, 58, 63]] = True
+_JOINT = A.BLANK.copy()
+_JOINT[45] = True
+_NO_FLAGS = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
 
 
 def _hashes_of(words):
     data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
     ends = np.cumsum([len(w) for w in words])
-    return np.sort(A.span_hashes(data, ends - [len(w) for w in words], ends))
+    return A.span_hashes(data, ends - [len(w) for w in words], ends)
 
 
-_NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
+_NUMBER_HASHES, _UNIT_HASHES = np.sort(_hashes_of(NUMBER_WORDS)), np.sort(_hashes_of(UNITS))
+_NUMBER_VALUES = dict(zip(
+    _hashes_of(NUMBER_WORDS).tolist(),
+    [*range(21), 30, 40, 50, 60, 70, 80, 90, 100, 1000, 10**6, 10**9],
+))
 
 
 def templates(data, offsets):
-    """(word hash, kind, row) of every token of a run of texts.
+    """(word hash, kind, row, opens a sentence with a capital, follows the token before with only blanks or a hyphen
+    between) of every token of a run of texts.
 
     A token is a run of letters, or of digits with points and commas between digits. A number is such a run of digits or
     a number word; a unit is a unit word right after a number; a name is a capitalised word that doesn't open a sentence.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int64), *_NO_FLAGS
     after = np.append(data[1:], 0)
     digit = _DIGIT[data]
     if n > 2:
@@ -90,7 +105,7 @@ def templates(data, offsets):
     row = np.concatenate([words[2], numbers[2]])[order]
     value = A.span_hashes(low, start, end)
     if not len(start):
-        return value, np.zeros(0, dtype=np.int8), row
+        return value, np.zeros(0, dtype=np.int8), row, *_NO_FLAGS
     is_number = digit[start] | np.isin(value, _NUMBER_HASHES)
     same_row = np.append(False, row[1:] == row[:-1])
     is_unit = np.append(False, is_number[:-1]) & same_row & np.isin(value, _UNIT_HASHES) & ~is_number
@@ -100,93 +115,211 @@ def templates(data, offsets):
     upper = ((data[start] >= 65) & (data[start] <= 90)) | (
         (data[start] == 0xC3) & (follows >= 0x80) & (follows <= 0x9E) & (follows != 0x97)
     )
-    is_name = upper & ~opens & ~is_number & ~is_unit
-    kind = np.where(is_number, NUMBER, np.where(is_unit, UNIT, np.where(is_name, NAME, LITERAL))).astype(np.int8)
-    return value, kind, row
+    capital = upper & ~is_number & ~is_unit
+    kind = np.where(is_number, NUMBER, np.where(is_unit, UNIT, np.where(capital & ~opens, NAME, LITERAL))).astype(np.int8)
+    apart = np.concatenate([[0], np.cumsum(~_JOINT[data])])
+    joined = same_row & (apart[start] == np.append(0, apart[end[:-1]]))
+    return value, kind, row, capital & opens, joined
 
 
-def _window_hashes(value, kind, row, size):
-    """(first token, hash, is exact) of all windows of ``size`` tokens inside one row.
+class _Reading:
+    """The tokens of a run of texts in one reading, placeholders of one type that touch being one token.
 
-    Every window stands for its very tokens, and one with enough literal words also for its template.
+    EXACT has the very tokens. NAMED takes capitals inside sentences for names, OPENED those that open one as well, and
+    PLAIN none, so that texts in another case meet. ``start`` is the place of each token among the very tokens.
     """
-    count = len(value) - size + 1
-    if count <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
-    sign = np.where(kind == LITERAL, value, _PLACEHOLDER[kind])
-    total, exact = np.full(count, U(size), dtype=U), np.full(count, U(size + 1000), dtype=U)
-    for i in range(size):
-        total = total * U(0x9E3779B97F4A7C15) + sign[i : i + count]
-        exact = exact * U(0x9E3779B97F4A7C15) + value[i : i + count]
-    literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    enough = (literals[size:] - literals[:-size]) * WINDOW >= LITERALS * size
-    whole = row[:count] == row[size - 1 :]
-    typed, every = np.flatnonzero(whole & enough), np.flatnonzero(whole)
-    at = np.concatenate([typed, every])
-    return at, A.mix(np.concatenate([total[typed], exact[every]])), np.arange(len(at)) >= len(typed)
-
-
-def _slots(value, kind, first, size, exact):
-    """Values behind the placeholders of windows; none for windows that match token by token."""
-    return [
-        [] if e else A.as_long(value[a : a + size][kind[a : a + size] != LITERAL]).tolist() for a, e in zip(first, exact)
-    ]
+
+    def __init__(self, number, value, kind, row, opening, joined):
+        if number == OPENED:
+            kind = np.where(opening, NAME, kind)
+        elif number == PLAIN:
+            kind = np.where(kind == NAME, LITERAL, kind)
+        elif number == EXACT:
+            kind = np.full(len(kind), LITERAL)
+        first = np.ones(len(kind), dtype=bool)
+        first[1:] = ~(joined[1:] & (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)))
+        self.number, self.value = number, value
+        self.start = np.flatnonzero(first)
+        self.end = np.append(self.start[1:], len(kind))
+        self.kind, self.row = kind[self.start], row[self.start]
+        self.sign = np.where(self.kind == LITERAL, value[self.start], _PLACEHOLDER[self.kind])
+
+    def windows(self, size):
+        """(first token, hash) of all windows of ``size`` tokens inside one row that hold a literal word."""
+        count = len(self.sign) - size + 1
+        if count <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
+        total = np.full(count, U(size + 1000 * self.number), dtype=U)
+        for i in range(size):
+            total = total * U(0x9E3779B97F4A7C15) + self.sign[i : i + count]
+        literals = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
+        at = np.flatnonzero((self.row[:count] == self.row[size - 1 :]) & (literals[size:] > literals[:-size]))
+        return at, A.mix(total[at])
+
+    def slots(self, first, size):
+        """Values behind the placeholders of windows: a name's words, a number's value, a unit."""
+        out = []
+        for a in first:
+            places = a + np.flatnonzero(self.kind[a : a + size] != LITERAL)
+            out.append([self._value(p) for p in places])
+        return out
+
+    def _value(self, place):
+        words = self.value[self.start[place] : self.end[place]]
+        if self.kind[place] == NUMBER and all(int(w) in _NUMBER_VALUES for w in words):
+            total = part = 0
+            for v in (_NUMBER_VALUES[int(w)] for w in words):
+                if v >= 1000:
+                    total, part = total + max(part, 1) * v, 0
+                else:
+                    part = max(part, 1) * 100 if v == 100 else part + v
+            words = _hashes_of([str(total + part)])
+        elif self.kind[place] == NUMBER and len(words) > 1:
+            whole = U(len(words))
+            for w in words:
+                whole = A.mix(np.array([whole]) * U(0x9E3779B97F4A7C15) + w)[0]
+            words = np.array([whole])
+        return A.as_long(words).tolist()
 
 
 def _item_windows(window):
-    """Windows of an item; an item with fewer tokens is one window."""
+    """Windows of an item in every reading; a reading with fewer tokens is one window."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[] for _ in range(9)]
             for first, _, data, offsets in A.text_chunks(batch.column("text")):
-                value, kind, row = templates(data, offsets)
-                tokens = np.bincount(row, minlength=len(offsets) - 1)
-                starts = np.concatenate([[0], np.cumsum(tokens)])
-                for size in np.unique(np.minimum(tokens[tokens >= LITERALS], window)):
-                    at, hashed, exact = _window_hashes(value, kind, row, int(size))
-                    mine = np.minimum(tokens[row[at]], window) == size
-                    at, hashed, exact = at[mine], hashed[mine], exact[mine]
-                    out[0] += [batch.column("item_id")[int(first + r)].as_py() for r in row[at]]
-                    out[1] += (at - starts[row[at]]).tolist()
-                    out[2] += [int(size)] * len(at)
-                    out[3] += A.as_long(hashed).tolist()
-                    out[4] += _slots(value, kind, at, int(size), exact)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, types)], ["item_id", "item_at", "size", "window", "item_slots"]
-            )
+                tokens = templates(data, offsets)
+                very = np.bincount(tokens[2], minlength=len(offsets) - 1)
+                begins = np.concatenate([[0], np.cumsum(very)])
+                for number in READINGS:
+                    read = _Reading(number, *tokens)
+                    length = np.bincount(read.row, minlength=len(offsets) - 1)
+                    starts = np.concatenate([[0], np.cumsum(length)])
+                    for size in np.unique(np.minimum(length[length >= LITERALS], window)).tolist():
+                        at, hashed = read.windows(size)
+                        mine = np.minimum(length[read.row[at]], window) == size
+                        at, hashed = at[mine], hashed[mine]
+                        rows, raw = read.row[at], read.start[at] - begins[read.row[at]]
+                        out[0] += [batch.column("item_id")[int(first + r)].as_py() for r in rows]
+                        out[1] += [number] * len(at)
+                        out[2] += [size] * len(at)
+                        out[3] += A.as_long(hashed).tolist()
+                        out[4] += (at - starts[rows]).tolist()
+                        out[5] += raw.tolist()
+                        out[6] += np.bincount(rows, minlength=len(length))[rows].tolist()
+                        out[7] += [A.as_long(read.sign[a : a + size][read.kind[a : a + size] == LITERAL]).tolist() for a in at]
+                        out[8] += read.slots(at, size)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ITEM_TYPES)], _ITEM_NAMES)
 
     return run
 
 
-def _document_windows(sizes, known):
-    """Windows of the documents; ``known`` (sorted hashes, or None) leaves out those that no item has."""
+def _document_windows(kinds, known):
+    """Windows of the documents in the (reading, size) of ``kinds``; ``known`` (sorted hashes, or None) leaves out those
+    that no item has.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for first, _, data, offsets in A.text_chunks(batch.column("text")):
-                value, kind, row = templates(data, offsets)
-                tokens = np.bincount(row, minlength=len(offsets) - 1)
-                starts = np.concatenate([[0], np.cumsum(tokens)])
-                for size in sizes:
-                    at, hashed, exact = _window_hashes(value, kind, row, size)
-                    if known is not None and len(at):
-                        place = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
-                        hit = known[place] == hashed if len(known) else np.zeros(len(at), dtype=bool)
-                        at, hashed, exact = at[hit], hashed[hit], exact[hit]
-                    for a in range(0, len(at), 1 << 15):
-                        part, name, same = (x[a : a + (1 << 15)] for x in (at, hashed, exact))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                ids.take(pa.array(first + row[part])),
-                                pa.array(part - starts[row[part]]),
-                                pa.array(A.as_long(name)),
-                                pa.array(_slots(value, kind, part, size, same), pa.list_(pa.int64())),
-                            ],
-                            ["doc_id", "doc_at", "window", "doc_slots"],
-                        )
+                tokens = templates(data, offsets)
+                begins = np.searchsorted(tokens[2], np.arange(len(offsets)))
+                for number in sorted({n for n, _ in kinds}):
+                    read = _Reading(number, *tokens)
+                    starts = np.searchsorted(read.row, np.arange(len(offsets)))
+                    for size in (s for n, s in kinds if n == number):
+                        at, hashed = read.windows(size)
+                        if known is not None and len(at):
+                            place = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
+                            hit = known[place] == hashed if len(known) else np.zeros(len(at), dtype=bool)
+                            at, hashed = at[hit], hashed[hit]
+                        for a in range(0, len(at), 1 << 15):
+                            part, name = at[a : a + (1 << 15)], hashed[a : a + (1 << 15)]
+                            rows = read.row[part]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    ids.take(pa.array(first + rows)),
+                                    pa.array(A.as_long(name)),
+                                    pa.array(part - starts[rows]),
+                                    pa.array(read.start[part] - begins[rows]),
+                                    pa.array(read.slots(part, size), _SLOTS),
+                                ],
+                                ["doc_id", "window", "doc_at", "doc_raw", "doc_slots"],
+                            )
+
+    return run
+
+
+def _consistent(run):
+    """Whether one value of the item stands for one of the document along a run of windows.
+
+    The spellings of a name must share a word, as a first mention often has more of them.
+    """
+    seen = {}
+    for match in run:
+        for asked, got in zip(match["item_slots"], match["doc_slots"]):
+            words = seen.setdefault(tuple(asked), set(got))
+            if not words & set(got):
+                return False
+            words |= set(got)
+    return True
+
+
+def _judged(matches, item_windows, min_windows, window):
+    """(n_windows, exact, n_slots) of the best alignment of an item with a document, or None.
+
+    Runs of adjoining windows are judged one by one. Windows at the same distance count together, over the tokens of one
+    reading and over the very tokens of all readings.
+    """
+    aligned = {}
+    for match in matches:
+        aligned.setdefault((match["reading"], match["doc_at"] - match["item_at"]), []).append(match)
+    groups = {}
+    for key, found in aligned.items():
+        found.sort(key=lambda m: m["item_at"])
+        run = []
+        for i, match in enumerate(found):
+            run.append(match)
+            if i + 1 < len(found) and found[i + 1]["item_at"] <= match["item_at"] + 1:
+                continue
+            if _consistent(run):
+                groups.setdefault(key, []).extend(run)
+                for m in run:
+                    groups.setdefault((None, m["doc_raw"] - m["item_raw"]), []).append(m)
+            run = []
+    best = None
+    for (reading, _), found in groups.items():
+        at = {m["item_raw"] for m in found}
+        total = item_windows if reading is None else found[0]["total"]
+        if len(at) < min(min_windows, total):
+            continue
+        # A template rests on enough different literal words, or on the whole item if that has fewer.
+        words, size = set().union(*(m["literals"] for m in found)), found[0]["size"]
+        whole = reading is not None and len(at) == total and len(words) > 1
+        dense = size == window or len(found[0]["literals"]) * WINDOW >= LITERALS * size
+        if reading != EXACT and len(words) < LITERALS and not (whole and dense):
+            continue
+        slots = {(tuple(a), tuple(b)) for m in found for a, b in zip(m["item_slots"], m["doc_slots"])}
+        result = len(at), all(a == b for a, b in slots), len({a for a, _ in slots})
+        best = result if best is None else max(best, result)
+    return best
+
+
+def _matched(min_windows, window):
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(6)]
+            for row in range(batch.num_rows):
+                doc, item, total, matches = (c[row].as_py() for c in batch.columns)
+                best = _judged(matches, total, min_windows, window)
+                if best is not None:
+                    for column, x in zip(out, (doc, item, best[0], total, best[2], best[1])):
+                        column.append(x)
+            types = [pa.int64()] * 5 + [pa.bool_()]
+            names = ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "exact"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
     return run
 
@@ -195,19 +328,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_
     """One row per (doc_id, item_id) where the document holds the item's question, maybe with other values.
 
     n_windows counts the item's windows found in order, as a template or token by token whatever the case, item_windows all
-    it has, n_slots the distinct values behind placeholders; exact tells whether all values are the item's own. A match needs ``min_windows`` windows (all of
-    an item that has fewer) at the same distance and consistent values. Windows with few literal words only match token
-    by token, and items with fewer than five tokens are no evidence. Items with equal texts are reported under the least item_id. Null texts
-    hold nothing; rows without doc_id are left out, repeated rows count once; further columns are ignored; empty tables
-    give an empty result.
+    it has, n_slots the distinct values behind placeholders; exact tells whether all values are the item's own. A match
+    needs ``min_windows`` windows (all of an item that has fewer) at the same distance, in runs whose values are
+    consistent, and five different literal words in them or the whole item. Windows without a literal word only match token by
+    token, and items with fewer than five tokens are no evidence. Items with equal texts are reported under the least
+    item_id. Null texts hold nothing; rows without doc_id are left out, repeated rows count once; further columns are
+    ignored; empty tables give an empty result.
     """
     items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").groupBy(F.col("text").cast("string")).agg(
         F.min("item_id").cast("long").alias("item_id")
     )
     items = items.toDF("text", "item_id").select("item_id", "text")
-    schema = "item_id long, item_at long, size long, window long, item_slots array<long>"
-    asked = cut_lineage(items.mapInArrow(_item_windows(window), schema))
-    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most ``window`` rows
+    asked = cut_lineage(items.mapInArrow(_item_windows(window), _ITEM_SCHEMA))
+    # At most ``window`` rows for each reading.
+    kinds = sorted((r["reading"], r["size"]) for r in asked.select("reading", "size").distinct().collect())
 
     texts = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -218,34 +352,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_
         # A bounded list of hashes goes to the tasks; above the bound all windows are joined by shuffle instead.
         known = np.sort(A.as_hash([r["window"] for r in names.collect()]))
     found = texts.mapInArrow(
-        _document_windows(sizes, known), "doc_id long, doc_at long, window long, doc_slots array<long>"
+        _document_windows(kinds, known), "doc_id long, window long, doc_at long, doc_raw long, doc_slots array<array<long>>"
     )
     if known is not None:
         found = cut_lineage(found)
     pairs = found.join(with_bound(asked, BROADCAST_WINDOWS), "window")
-    pairs = pairs.withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("item_at").alias("n_windows"),
-        F.array_distinct(
-            F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))
-        ).alias("slots"),
-    )
-    totals = asked.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"))
-    values = F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))
-    aligned = aligned.join(with_bound(totals, BROADCAST_IDS), "item_id").filter(
-        (F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows")))
-        & (F.size("slots") == F.size(values))
+    match = F.struct(
+        "reading", "size", "item_at", "item_raw", "total", "literals", "item_slots", "doc_at", "doc_raw", "doc_slots"
     )
-    exact = F.forall("slots", lambda s: s["item_slots"] == s["doc_slots"])
-    best = F.max(F.struct("n_windows", exact.alias("exact"), F.size("slots").alias("n_slots"))).alias("best")
-    out = aligned.groupBy("doc_id", "item_id", "item_windows").agg(best)
-    return out.select(
-        "doc_id",
-        "item_id",
-        F.col("best.n_windows").alias("n_windows"),
-        "item_windows",
-        F.col("best.n_slots").cast("long").alias("n_slots"),
-        F.col("best.exact").alias("exact"),
+    together = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(match).alias("matches"))
+    totals = asked.filter(F.col("reading") == EXACT).groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    together = together.join(with_bound(totals, BROADCAST_IDS), "item_id")
+    return together.select("doc_id", "item_id", "item_windows", "matches").mapInArrow(
+        _matched(min_windows, window),
+        "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, exact boolean",
     )
 
 

@@ -140,6 +140,26 @@ def test_decontamination_finds_copies_in_any_case(spark):
     assert all(r["n_windows"] == r["item_windows"] and r["exact"] for r in got)
 
 
+def test_decontamination_finds_questions_with_other_values(spark):
+    asked = [
+        ("Maria buys 3 pens and pays 9 dollars today. Maria then sells 2 pens for 8 dollars each.",
+         "Ines buys 5 pens and pays 7 dollars today. Ines then sells 4 pens for 6 dollars each."),
+        ("Add 3 kg and 40 g to 5 kg and 60 g, then take 7 kg off.", "Add 8 kg and 10 g to 9 kg and 20 g, then take 4 kg off."),
+        ("After lunch the tailor cut 25 strips of cloth for Ann and sewed 25 of them into a long scarf.",
+         "After lunch the tailor cut thirty one strips of cloth for Mary Ann and sewed 31 of them into a long scarf."),
+        ("The baker sold 12 loaves of bread before noon and the same 12 loaves again after the long break.",
+         "THE BAKER SOLD 15 LOAVES OF BREAD BEFORE NOON AND THE SAME 15 LOAVES AGAIN AFTER THE LONG BREAK."),
+        # One run of windows with changing values doesn't spoil another.
+        ("When 4 boys share 4 apples among them nobody in the small village school has ever been left without a meal of 7 eggs",
+         "When 5 boys share 6 apples among them nobody in the large village school has ever been left without a meal of 9 eggs"),
+    ]
+    bench = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "Some words here. " + d + " More.") for i, (_, d) in enumerate(asked)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(i, i) for i in range(len(asked))}
+    assert not any(r["exact"] for i, r in got.items() if i[0] < 4)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No title</title><style>p{}</style><script>var a="<p>no</p>";</script></head>
 <body class="has-sidebar"><header><a href="/">Site</a><p>Slogan, for all.</p></header>
 <nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
