@@ -3,11 +3,14 @@
 A page's text nodes are grouped by their root-to-leaf tag path (tag names, with classes). Each path has the mean text
 length of its nodes and the mean number of punctuation marks; both are fused into one score, which falls with the share
 of link text, and is smoothed over the nodes in page order, so that a short paragraph between long ones keeps up with
-them. Paths that reach a threshold from the spread of the scores are content. The least element that holds nearly all of
-their text is the article, and its remaining blocks (headings, lists, emphasised words) belong to the text.
+them. Paths that reach a threshold from the spread of the scores are content. The article or main element that holds nearly all of
+their text, or else the least element that holds all of it, is the article; its remaining blocks (headings, lists,
+emphasised words) and the headings right before it belong to the text. Links are judged by block: only blocks that are
+nearly all links, and before or after the content, are left out.
 
 Ratios can't tell an advert of one sentence from a heading. Elements that say what they are therefore never count: menus,
-footers, forms and the like by tag name, role or by the words of their class and id.
+footers, forms and the like by tag name, role or by the words of their class and id. One that holds the larger part of
+the page's text, as a wrapper "with-sidebar" does, is no such element unless the page names its article elsewhere.
 """
 
 import html
@@ -61,7 +64,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…¿¡«»“”]")
 SMOOTHING = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
 SPREAD = 0.8
 COVER = 0.9
-LINK_SHARE = 0.5
+LINK_SHARE = 0.9
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def _named(tag, attributes):
@@ -96,12 +100,12 @@ class _Page:
         self.texts, self.blocks, self.paths, self.chains, self.linked = [], [], [], [], []
         self.tags = [""]  # by element number
         stack = []  # (tag, path, side, number)
+        sides = []  # per text node the elements around it that say they are no article
         block = number = 0
         for found in _TOKEN.finditer(source):
             raw, end, tag, attributes, end2, tag2, attributes2, text = found.groups()
             if text is not None:
-                if stack and stack[-1][2] or text.isspace() and not self.texts:
-                    continue
+                sides.append(tuple(e[3] for e in stack if e[2]))
                 self.texts.append(text)
                 self.blocks.append(block)
                 self.paths.append(stack[-1][1] if stack else "")
@@ -130,8 +134,33 @@ class _Page:
             number += 1
             self.tags.append(tag)
             step, side = _named(tag, attributes)
-            path, outer = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            stack.append((tag, f"{path}/{step}", side or outer, number))
+            path = stack[-1][1] if stack else ""
+            stack.append((tag, f"{path}/{step}", side, number))
+        self._leave_out(sides)
+
+    def _leave_out(self, sides):
+        """Drops the text nodes inside of side elements, and blanks before the first one that stays."""
+        size = [0 if a else len(t) - t.count(" ") for t, a in zip(self.texts, self.linked)]
+        held = {}
+        for n, around in zip(size, sides):
+            for e in around:
+                held[e] = held.get(e, 0) + n
+        large = {e for e, n in held.items() if 2 * n > sum(size)}
+        released = set()
+        for e in large:
+            named = {}
+            for n, chain, around in zip(size, self.chains, sides):
+                if e not in chain and not set(around) - large:
+                    for x in chain:
+                        if self.tags[x] in ("article", "main"):
+                            named[x] = named.get(x, 0) + n
+            if 4 * max(named.values(), default=0) < held[e]:
+                released.add(e)
+        keep = [i for i, around in enumerate(sides) if released.issuperset(around)]
+        first = next((k for k, i in enumerate(keep) if not self.texts[i].isspace()), len(keep))
+        for name in ("texts", "blocks", "paths", "chains", "linked"):
+            column = getattr(self, name)
+            setattr(self, name, [column[i] for i in keep[first:]])
 
     @staticmethod
     def _close(stack, names):
@@ -162,18 +191,37 @@ def path_scores(page):
 
 
 def _article(page, chosen, length):
-    """The least container that holds nearly all text of the content paths, or the article element around it."""
-    inside = {}
-    for i in np.flatnonzero(chosen):
+    """The article or main element with nearly all text of the content paths, or the least container with all of it."""
+    inside, nodes = {}, {}
+    places = np.flatnonzero(chosen)
+    for i in places:
         for element in page.chains[i]:
             inside[element] = inside.get(element, 0.0) + length[i]
+            nodes[element] = nodes.get(element, 0) + 1
     wanted = COVER * length[chosen].sum()
-    holders = sorted(e for e, size in inside.items() if size >= wanted and page.tags[e] in CONTAINERS)
     for tag in ("article", "main"):
-        named = [e for e in holders if page.tags[e] == tag]
+        named = [e for e, size in inside.items() if size >= wanted and page.tags[e] == tag]
         if named:
-            return named[-1]
-    return holders[-1] if holders else None
+            best = max(named)
+            outside = (page.chains[i] for i in places if best not in page.chains[i])
+            if not any(page.tags[e] == tag and e not in named for chain in outside for e in chain):
+                return best
+    return max((e for e, n in nodes.items() if n == len(places) and page.tags[e] in CONTAINERS), default=None)
+
+
+def _headings_before(page, article, first):
+    """Text nodes of the headings right before the article, or of the last main heading before one that has none."""
+    tags = [{page.tags[e] for e in chain} for chain in page.chains[:first]]
+    out, i = [], first - 1
+    while i >= 0 and (tags[i] & HEADINGS or page.texts[i].isspace()):
+        out += [i] if tags[i] & HEADINGS else []
+        i -= 1
+    within = (chain for chain in page.chains[first:] if article in chain)
+    if page.tags[article] not in ("article", "main") and not any(page.tags[e] == "h1" for c in within for e in c):
+        titles = [i for i in range(first) if "h1" in tags[i] and not page.linked[i] and not page.texts[i].isspace()]
+        if titles:
+            out += [i for i in range(first) if page.blocks[i] == page.blocks[titles[-1]]]
+    return set(out)
 
 
 def main_text(source):
@@ -183,23 +231,33 @@ def main_text(source):
     page = _Page(source)
     if not page.texts:
         return ""
-    clean, length, path, score, links = path_scores(page)
+    clean, length, path, score, _ = path_scores(page)
     content = (score > 0) & (score >= SPREAD * score.std())
     chosen = content[path] & (length > 0)
     if not chosen.any():
         return ""
     article = _article(page, chosen, length)
+    within = [i for i in range(len(clean)) if article is None or article in page.chains[i]]
+    before = _headings_before(page, article, within[0]) if article is not None else set()
+    places = np.flatnonzero(chosen)
+    # All of an article element is its flow; elsewhere it goes from the first to the last content.
+    flow = (0, len(clean)) if article is not None and page.tags[article] == "article" else (places[0], places[-1])
+    total, links = {}, {}
+    for i in within:
+        total[page.blocks[i]] = total.get(page.blocks[i], 0) + length[i]
+        links[page.blocks[i]] = links.get(page.blocks[i], 0) + length[i] * page.linked[i]
     out, last = [], None
-    for i, text in enumerate(clean):
-        if article is not None and article not in page.chains[i]:
-            continue
-        if links[path[i]] > LINK_SHARE and not content[path[i]] and "/p" not in page.paths[i]:
-            continue
-        if page.blocks[i] == last:
-            out[-1] += text
+    for i in sorted({*within, *before}):
+        block = page.blocks[i]
+        if not (flow[0] <= i <= flow[1] or i in before or content[path[i]] or "/p" in page.paths[i]):
+            heading = any(page.tags[e] in HEADINGS for e in page.chains[i])
+            if not heading and total[block] and links[block] >= LINK_SHARE * total[block]:
+                continue
+        if block == last:
+            out[-1] += clean[i]
         else:
-            out.append(text)
-            last = page.blocks[i]
+            out.append(clean[i])
+            last = block
     return " ".join(x for x in (" ".join(t.split()) for t in out) if x)
 
 

@@ -190,6 +190,30 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).isEmpty()
 
 
+def test_main_text_keeps_links_headings_and_wrappers():
+    long = "A long paragraph, with many words in it, goes on and on. It has sentences, too, as texts do."
+    body = "<p>%s</p>" % long * 4
+    # Words of links in any block, and lists of links between the paragraphs.
+    for tag in ("li", "td", "dd", "h2", "blockquote", "div"):
+        page = f"<body><article>{body}<{tag}>See <a href=x>the report</a> for more</{tag}>{body}</article></body>"
+        assert "See the report for more" in main_text.main_text(page)
+    links = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+    menu = "<ul><li><a href=3>Home</a></li><li><a href=4>Contact</a></li></ul>"
+    got = main_text.main_text(f"<body>{menu}<div>{body}{links}{body}</div>{menu}</body>")
+    assert "First source Second source" in got and "Home" not in got and "Contact" not in got
+    # The title beside the body, and a short section next to a long one.
+    got = main_text.main_text(f"<body>{menu}<div class=post><h1>The title</h1><div class=body>{body}</div></div></body>")
+    assert got == "The title " + " ".join([long] * 4)
+    short = "<div><p>%s</p></div>" % long.replace("long", "short")
+    got = main_text.main_text(f"<body><div>{body * 6}</div>{short}</body>")
+    assert "A short paragraph" in got and got.count("A long paragraph") == 24
+    # A wrapper that holds the page's text is no sidebar, whatever its class says.
+    for start, end in (("<div class='content with-sidebar'>", "</div>"), ("<form id=aspnetForm>", "</form>")):
+        assert main_text.main_text(f"<body>{start}<h1>The title</h1>{body}{end}</body>") == "The title " + " ".join([long] * 4)
+    comments = f"<section id=comments>{body * 6}</section>"
+    assert main_text.main_text(f"<body><main>{body * 3}</main>{comments}</body>") == " ".join([long] * 12)
+
+
 def test_main_text_equals_the_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in main_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
