@@ -5,6 +5,10 @@ k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), where G(x) is the set of byte n-g
 kernel values with them, times the inverse root of the landmarks' own kernel matrix, are its features. One ridge regressor
 per language is fitted on a bounded sample of labelled texts, at most ``PER_LANGUAGE`` each; its share of the landmarks
 is the same for every language. Scoring multiplies batches of presence vectors with one small matrix inside the tasks.
+
+Whether a language claims a text at all is another question, since the ridge outputs of a text without any likeness are
+the bias, which may be large. A text's likeness to a language is the mean log share of the language's sample texts that
+hold each of its n-grams; the cut lies below the likeness of sample texts to languages fitted without them.
 """
 
 import numpy as np
@@ -22,6 +26,9 @@ LANDMARKS = 160
 RIDGE = 1e-2
 ROWS_AT_ONCE = 512
 UNDETERMINED = "und"
+MARGIN = 0.5
+SHORT_MARGIN = 8.0
+LEAST_SHARE = 0.01
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -75,10 +82,11 @@ def _samples(batches):
 
 
 class LanguageModel:
-    """Languages, landmark rows and one weight column per language."""
+    """Languages, landmark rows and one weight column per language; log shares of the n-grams and the cut of likeness."""
 
-    def __init__(self, languages, landmarks, weights, bias):
+    def __init__(self, languages, landmarks, weights, bias, shares, floor):
         self.languages, self.landmarks, self.weights, self.bias = languages, landmarks, weights, bias
+        self.shares, self.floor = shares, floor
 
     def scores(self, seen):
         """Ridge outputs, one column per language, for a matrix of presence rows."""
@@ -86,6 +94,31 @@ class LanguageModel:
         size = np.maximum(x.sum(axis=1, keepdims=True), 1)
         return (x @ self.landmarks.T) / np.sqrt(size) @ self.weights + self.bias
 
+    def claimed(self, seen, margin=MARGIN):
+        """Whether some language is like each row, with more leeway the fewer n-grams a text has."""
+        size = np.maximum(seen.sum(axis=1), 1)
+        return _likeness(seen, self.shares) >= self.floor - margin - SHORT_MARGIN / np.sqrt(size)
+
+
+def _log_shares(rows, labels, languages):
+    """Log share of each language's rows that hold each bin."""
+    held = np.stack([rows[labels == i].sum(axis=0, dtype=np.float64) for i in range(languages)])
+    return np.log((held + 0.5) / (np.bincount(labels, minlength=languages)[:, None] + 1)).astype(np.float32)
+
+
+def _likeness(seen, shares):
+    x = seen.astype(np.float32)
+    return (x @ shares.T).max(axis=1) / np.maximum(x.sum(axis=1), 1)
+
+
+def _floor(languages, labels, rows):
+    """Likeness that all but ``LEAST_SHARE`` of the sample texts reach, each half scored by the other half's shares."""
+    half = np.arange(len(rows)) % 2 == 0
+    if len(rows) < 2:
+        return -np.inf
+    found = [_likeness(rows[part], _log_shares(rows[~part], labels[~part], len(languages))) for part in (half, ~half)]
+    return float(np.quantile(np.concatenate(found), LEAST_SHARE))
+
 
 def _fitted(languages, labels, rows, landmarks, ridge):
     x = rows.astype(np.float32)
@@ -105,7 +138,9 @@ def _fitted(languages, labels, rows, landmarks, ridge):
         centered.T @ centered + ridge / len(order) * np.eye(len(order)),
         centered.T @ ((targets - level) * np.sqrt(weight)[:, None]),
     )
-    return LanguageModel(languages, marks, (root @ solved).astype(np.float32), (level - mean @ solved).astype(np.float32))
+    bias = (level - mean @ solved).astype(np.float32)
+    shares, floor = _log_shares(rows, labels, len(languages)), _floor(languages, labels, rows)
+    return LanguageModel(languages, marks, (root @ solved).astype(np.float32), bias, shares, floor)
 
 
 def draw_of(key):
@@ -162,18 +197,23 @@ def letters(column):
     return out
 
 
-def _predicted(model):
+def _predicted(model, margin=None):
+    """lang_pred and score after the columns but the first; with a ``margin`` only for rows that a language claims."""
+
     def run(batches):
         for batch in batches:
             text = batch.column("text")
             best, score = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch))
+            claimed = np.ones(len(batch), dtype=bool)
             if model.value is not None:
                 for first, seen in _batches(text):
                     found = model.value.scores(seen)
                     part = slice(first, first + len(seen))
                     best[part] = found.argmax(axis=1)
                     score[part] = np.clip((found.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
-            known = letters(text) & (model.value is not None)
+                    if margin is not None:
+                        claimed[part] = model.value.claimed(seen, margin)
+            known = letters(text) & claimed & (model.value is not None)
             names = np.array([UNDETERMINED] if model.value is None else model.value.languages, dtype=object)
             names = np.where(known, names[best], UNDETERMINED)
             yield pa.RecordBatch.from_arrays(
@@ -200,13 +240,16 @@ def predict(documents: DataFrame, model) -> DataFrame:
     return rows.mapInArrow(_predicted(held), schema)
 
 
-def keep_identified(documents: DataFrame, model, least=0.3) -> DataFrame:
-    """``documents`` without the rows that are ``und`` or whose score is below ``least``; all columns stay."""
+def keep_identified(documents: DataFrame, model, margin=MARGIN) -> DataFrame:
+    """``documents`` without the rows that are ``und`` or that no learned language claims; all columns stay.
+
+    ``margin`` is how far the likeness may lie below that of the sample texts; short texts have more leeway.
+    """
     held = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     marked = [f"_c{i}" for i in range(len(names))]  # so that no column of the table clashes with the prediction's
     renamed = documents.select(F.col("text").cast("string"), "*").toDF("text", *marked)
     schema = T.StructType(renamed.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
-    out = renamed.mapInArrow(_predicted(held), schema)
-    kept = out.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    out = renamed.mapInArrow(_predicted(held, margin), schema)
+    kept = out.filter(F.col("lang_pred") != UNDETERMINED)
     return kept.select(*[F.col(m).alias(n) for m, n in zip(marked, names)])

@@ -36,6 +36,22 @@ def test_languages_on_held_out_rows(spark, odd, nothing):
     assert {r["lang_pred"] for r in langid.predict(docs.limit(3), None).collect()} == {"und"}
 
 
+def test_texts_of_unlearned_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = random.Random(1)
+    foreign = [
+        "我们今天去市场买了很多新鲜的蔬菜和水果，然后回家做了一顿丰盛的晚餐。", "我们今天去市场",
+        "Сегодня мы пошли на рынок и купили много свежих овощей и фруктов, а потом вернулись домой.", "Сегодня мы пошли",
+        "今日は市場へ行って新鮮な野菜と果物をたくさん買いました。それから家に帰りました。",
+        "Dzisiaj poszliśmy na rynek i kupiliśmy dużo świeżych warzyw i owoców, a potem wróciliśmy do domu.",
+        " ".join("".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)),
+    ]
+    clean = ["Re.", "The", "One", "Of of of"]
+    rows = [(i, t) for i, t in enumerate(foreign + clean)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), langid.fit(docs)).collect()
+    assert [r["text"] for r in sorted(kept)] == clean
+
+
 def test_presence_equals_plain_sets():
     texts = ["Abc, abç", "", "x", "été 12 ABC"]
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
