@@ -210,6 +210,8 @@ def _scored(plan, k):
         sizes = np.diff(np.append(at, len(keys)))
         numbers, limit = asked.column("query_id").to_numpy(), asked.column("effort").to_numpy()
         queries = _matrix(asked.column("query"))
+        by_name = np.argsort(names, kind="stable")
+        starts = np.flatnonzero(np.append(True, names[by_name][1:] != names[by_name][:-1]))
         out = [[], [], []]
         step = max(1, (1 << 22) // len(names))
         for a in range(0, len(queries), step):
@@ -218,8 +220,10 @@ def _scored(plan, k):
             score = part @ vectors.T
             score[~np.repeat(visited, sizes, axis=1)] = -np.inf
             score[who[:, None] == names[None, :]] = -np.inf
-            width = min(k, len(names))
-            floor = np.partition(score, len(names) - width, axis=1)[:, len(names) - width]
+            # The place of a row counts only for the best row of its vec_id.
+            best = np.maximum.reduceat(score[:, by_name], starts, axis=1) if len(starts) < len(names) else score
+            width = min(k, len(starts))
+            floor = np.partition(best, len(starts) - width, axis=1)[:, len(starts) - width]
             for i in range(len(part)):
                 # Rows within rounding of the last place are scored again in a fixed order of additions.
                 near = np.flatnonzero(score[i] >= floor[i] - 1e-9 * (1 + abs(floor[i])) if np.isfinite(floor[i])
@@ -264,6 +268,7 @@ def search(embeddings: DataFrame, is_query, k=20) -> DataFrame:
     rows = usable(embeddings)
     shapes = rows.groupBy(F.size("vector").alias("d")).agg(
         F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct("vec_id").alias("ids"),
         F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("norm"),
     )
     shape = shapes.orderBy(F.desc("n"), F.desc("d")).first()
@@ -274,16 +279,19 @@ def search(embeddings: DataFrame, is_query, k=20) -> DataFrame:
     index = Index(shape["d"], shape["norm"])
 
     drawn = rows.filter(draw_of(F.col("vec_id")) < F.lit(min(1.0, SAMPLE / shape["n"]))).limit(2 * SAMPLE)
-    sample = drawn.toPandas().sort_values("vec_id")["vector"].tolist()  # about SAMPLE rows
+    sample = drawn.toPandas().sort_values("vec_id").drop_duplicates("vec_id")["vector"].tolist()  # about SAMPLE rows
     if len(sample) > 1:
-        index.share = _calibrated(index, np.array(sample, dtype=np.float64), k, shape["n"])
+        index.share = _calibrated(index, np.array(sample, dtype=np.float64), k, shape["ids"])
 
     kind = f"vec_id long, vector {rows.schema['vector'].dataType.simpleString()}, table long, key long"
     keyed = cut_lineage(rows.mapInArrow(_keyed(spark.sparkContext.broadcast(index)), kind))
     # At most TABLES * (2 * SLOTS) ** HASHES rows, however large the table is.
-    counts = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["table", "key"])
-    buckets = [(g["key"].to_numpy(), g["n"].to_numpy()) for _, g in counts.groupby("table")]
-    first, number = _packed(buckets, CHUNK_ROWS)
+    # How far a query goes is counted in vectors, so that copies don't take the place of others.
+    counts = keyed.groupBy("table", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("vec_id").alias("ids")
+    ).toPandas().sort_values(["table", "key"])
+    buckets = [(g["key"].to_numpy(), g["ids"].to_numpy()) for _, g in counts.groupby("table")]
+    first, number = _packed([(g["key"].to_numpy(), g["n"].to_numpy()) for _, g in counts.groupby("table")], CHUNK_ROWS)
     plan = spark.sparkContext.broadcast((index, buckets, first, number))
 
     places = counts.assign(first=first, number=number)[["table", "key", "first", "number"]]

@@ -126,6 +126,19 @@ def test_neighbours_small_tables_are_exact(spark):
     assert few.count() == 3
 
 
+@pytest.mark.parametrize("copies", [2, 25])
+def test_neighbours_count_repeated_rows_once(spark, copies):
+    r = np.random.default_rng(6)
+    vectors = r.normal(size=(100, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    repeated = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    got = {}
+    for x in neighbours.search(repeated, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    want = exact_neighbours(range(100), vectors.astype(np.float64))
+    assert got == {q: [v for v, _ in found] for q, found in want.items()}
+
+
 def test_neighbours_recall(spark):
     table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
     query = F.col("vec_id") % 400 == 0
