@@ -183,7 +183,7 @@ def _(t):
 
 @plan("t03_annotation_time_stream", "WITH " + LOG_SQL + " SELECT CAST(user_id AS varchar) AS user, event_id AS line_no, round(seconds,3) AS seconds FROM sec")
 def _(t):
-    from spanloom.streaming.flows import annotation_time_stream
+    from spanloom.streaming.flows import annotation_time_stream, latest_spans
 
     folder = _scratch(t.spark)
     kind = F.col("event_type")
@@ -195,7 +195,8 @@ def _(t):
     query = out.writeStream.format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(f"{folder}/out").select("user", "line_no", F.round("seconds", 3).alias("seconds"))
+    told = t.spark.read.schema(out.schema).parquet(f"{folder}/out")
+    return latest_spans(told).select("user", "line_no", F.round("seconds", 3).alias("seconds"))
 
 
 @plan("t04_classify_stream", sql("""SELECT url, CASE WHEN last_scraped IS NOT NULL AND label_relevance IS NULL THEN CASE WHEN length(title) > 40 THEN 'PROBLEMA DEL SERVICIO' ELSE 'IRRELEVANTE' END ELSE label_relevance END AS label_relevance FROM art"""))

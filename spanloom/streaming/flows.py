@@ -82,44 +82,84 @@ def move_stream(articles: DataFrame, store: TieredStore, checkpoint: str):
 
 
 # T03
-OUT_SCHEMA = "user string, document string, line_no bigint, seconds double"
-STATE_SCHEMA = "picked timestamp, starts map<string,timestamp>"
-LATENESS = "30 days"
-EXPIRE_MS = 7 * 24 * 3600 * 1000  # a user who does nothing in a document for a week after that starts anew
-
-
-def _follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Follows one user in one document: remembers open actions and the last finished selection."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    picked, starts = state.get if state.exists else (None, {})
-    starts = dict(starts or {})
-    rows, out = pd.concat(list(batches)).sort_values("line_no"), []
-    for row in rows.itertuples():
-        if row.state == "START":
-            starts[row.action] = row.time.to_pydatetime()
-        elif row.action in starts:
-            begun = starts.pop(row.action)
-            if row.action in SELECTIONS:
+OUT_SCHEMA = "user string, document string, line_no bigint, seconds double, revision bigint"
+STATE_SCHEMA = (
+    "lines array<bigint>, times array<bigint>, begins array<boolean>, actions array<string>, "
+    "told array<bigint>, seconds array<double>, revision bigint"
+)
+
+
+def _spans(rows):
+    """{line_no: seconds} of the spans created along rows (line_no, microseconds, is a start, action) in line order."""
+    picked, starts, out = None, {}, {}
+    for line, time, begin, action in rows:
+        if begin:
+            starts[action] = time
+        elif action in starts:
+            begun = starts.pop(action)
+            if action in SELECTIONS:
                 picked = begun
-            elif row.action == CREATE and picked is not None:
-                out.append((*key, row.line_no, (row.time.to_pydatetime() - picked).total_seconds()))
+            elif picked is not None:
+                out[line] = (time - picked) / 1e6
                 picked = None
-    state.update((picked, starts))
-    last = int(rows["time"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + EXPIRE_MS)
-    yield pd.DataFrame(out, columns=["user", "document", "line_no", "seconds"])
+    return out
 
 
-def annotation_time_stream(log: DataFrame) -> DataFrame:
-    """Seconds per created span, as a stream, from a stream of log rows with line_no, time, user, document, state, action."""
-    rows = log.select("line_no", "time", "user", "document", "state", "action").withWatermark("time", LATENESS)
+def _follow(expire_ms):
+    """Follows one user in one document: remembers the actions that spans come from, and what was told of them."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *old, told, seconds, revision = state.get if state.exists else ([], [], [], [], [], [], 0)
+        rows = pd.concat(list(batches))
+        latest = int(rows["time"].max().timestamp() * 1000)
+        rows = rows[rows["action"].isin([*SELECTIONS, CREATE])]
+        times = rows["time"].astype("datetime64[us]").astype("int64").tolist()
+        new = zip(rows["line_no"].tolist(), times, (rows["state"] == "START").tolist(), rows["action"].tolist())
+        # A line that comes late, or twice, takes its place among the lines already seen.
+        known = sorted({*zip(*old), *new})
+        before, after = dict(zip(told, seconds)), _spans(known)
+        gone = [line for line in before if line not in after]
+        fresh = [line for line in after if before.get(line) != after[line]]
+        revision += 1
+        if known:
+            columns = [list(x) for x in zip(*known)]
+            state.update((*columns, list(after), list(after.values()), revision))
+            if expire_ms is not None:
+                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + expire_ms)
+        out = [(*key, line, after.get(line), revision) for line in [*gone, *fresh]]
+        yield pd.DataFrame(out, columns=["user", "document", "line_no", "seconds", "revision"])
+
+    return run
+
+
+def annotation_time_stream(log: DataFrame, lateness: str | None = None, expire_ms: int | None = None) -> DataFrame:
+    """Seconds per created span, as a stream, from a stream of log rows with line_no, time, user, document, state, action.
+
+    Rows may come in any order and be split into batches anyhow: a late row changes what was told before, by a row with a
+    higher revision, whose seconds are null if there is no span after all; ``latest_spans`` takes the last revisions.
+    Nothing is forgotten, so the state grows with the log. With ``lateness`` rows further behind the latest time seen
+    are dropped, and with ``expire_ms`` besides, users who do nothing in a document for that long after it start anew.
+    """
+    if expire_ms is not None and lateness is None:
+        raise ValueError("an expiry needs a lateness")
+    rows = log.select("line_no", "time", "user", "document", "state", "action")
+    if lateness is not None:
+        rows = rows.withWatermark("time", lateness)
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.EventTimeTimeout
     return rows.groupBy("user", "document").applyInPandasWithState(
-        _follow, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+        _follow(expire_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout
     )
 
 
+def latest_spans(told: DataFrame) -> DataFrame:
+    """(user, document, line_no, seconds): the last revision of every span in the written stream that still stands."""
+    last = told.groupBy("user", "document", "line_no").agg(F.max_by("seconds", "revision").alias("seconds"))
+    return last.filter("seconds IS NOT NULL")
+
+
 # T04
 def classify_stream(articles: DataFrame, store: ParquetStore, scorer, kind: str, labels, checkpoint: str, text_columns=("title",)):
     """Labels what waits for a label in each batch of a stream of articles and saves the result."""
