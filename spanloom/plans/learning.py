@@ -141,12 +141,19 @@ def _(t):
 @plan("k07_performance_report")
 def _(t):
     """The written report, read back: performance by accuracy, then the sources and the analysis next to it."""
-    from spanloom.sources.reports import save_reports
+    from spanloom.operators.metrics import order_report
+    from spanloom.sources.reports import read_report, save_reports
 
     train, test = _split(t)
-    performance, analysis = C.evaluate_models(train, test, LABELS, estimators=("Bayes BernoulliNB",), with_knn=False)
+    performance, analysis = C.evaluate_models(train, test, LABELS)
     name = save_reports(performance, analysis, [f"{t.folder}/documents.parquet"], _scratch(t.spark), test.count())
-    return t.spark.read.csv(f"{name}-performance", header=True, schema=performance.schema)
+    models = ["model_name", "model_class_name"]
+    written = read_report(t.spark, name, performance.schema, analysis.schema)
+    per_model = written[2].groupBy(*models).agg(F.count(F.lit(1)).alias("analysis_rows"))
+    sources = written[1].agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    out = written[0].join(per_model, models, "left").crossJoin(sources)
+    out = order_report(out)
+    return out.select(*performance.columns, F.array_join("sources", ",").alias("sources"), "analysis_rows")
 
 
 @plan("k08_sample_lines", r"""

@@ -25,6 +25,14 @@ def save_reports(performance: DataFrame, analysis: DataFrame, sources, folder: s
     return name
 
 
+def read_report(spark, name: str, performance_schema, analysis_schema):
+    """The three parts of a written report: performance, sources, analysis. Texts of the analysis may span lines."""
+    performance = spark.read.csv(f"{name}-performance", header=True, schema=performance_schema)
+    sources = spark.read.csv(f"{name}-sources", header=True, schema="source string")
+    analysis = spark.read.csv(f"{name}-analysis", schema=analysis_schema, escape='"', multiLine=True)
+    return performance, sources, analysis
+
+
 # K08
 def sample_lines(sample: DataFrame, text: str) -> DataFrame:
     """Cleaned texts of a sample, one line each, a blank line after each."""
