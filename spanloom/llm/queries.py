@@ -4,9 +4,10 @@ import pathlib
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, main_text, mixing, neighbours, ngram_join, sharding, token_files
-from spanloom.llm import toxicity, url_filter
+from spanloom.llm import clusters, codes, decontaminate, langid, main_text, minhash, mixing, neighbours, ngram_join
+from spanloom.llm import sharding, token_files, toxicity, url_filter
 from spanloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from spanloom.llm.rounds_sql import clusters_sql, codes_sql
 
 
 def byte_bpe_definition():
@@ -112,3 +113,41 @@ def _(t):
 @query("op10_url_words")
 def _(t):
     return url_filter.judge(t.pages)
+
+
+@query("op11_vector_codes", codes_sql(codes.PARTS, codes.ENTRIES, codes.ROUNDS, codes.SCALE))
+def _(t):
+    return codes.compress(t.embeddings)
+
+
+@query(
+    "op12_ptolemaic_clusters",
+    clusters_sql(clusters.CENTROIDS, clusters.ROUNDS, clusters.SCALE, clusters.COMPONENTS, clusters.SEED),
+)
+def _(t):
+    return clusters.cluster(t.embeddings)
+
+
+@query("op13_minhash_duplicates", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2
+    THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sized AS (SELECT * FROM s JOIN n USING (doc_id)),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
+""")
+def _(t):
+    return minhash.near_duplicates(t.documents)

@@ -27,6 +27,22 @@ def with_bound(df, rows):
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def lookup(df, keyed, key, count, how="inner", hot_share=10_000):
+    """``df`` joined with ``keyed``, which has one row per ``key`` and in ``count`` the number of rows of ``df`` with it.
+
+    A key that holds more than one in ``hot_share`` of all rows would make one task too large. There are at most
+    ``hot_share`` such keys, so they are sent to all tasks and their rows stay where they are; the rest is shuffled.
+    ``count`` is not part of the result; with ``how`` "left", rows of ``df`` without a match are kept. Both are read
+    twice, so they should be written tables or cheap.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keyed.filter(F.col(count) * hot_share > total))
+    cold = keyed.filter(F.col(count) * hot_share <= total).drop(count)
+    frequent = df.join(hot.drop(count), key)
+    rare = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return frequent.unionByName(rare)
+
+
 def _local_forest(batches):
     """Spanning forest of the edges of one partition: (node, least node of its local tree)."""
     import numpy as np
