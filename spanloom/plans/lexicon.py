@@ -116,7 +116,32 @@ def _(t):
     return similarity.superstrings(*_words(t), 0.5).select("query", "value", F.round("score", 6).alias("score"))
 
 
-@plan("j12_weighted_distance")
+# The table row by row; an element of the inner list is (equal, best of deletion and replacement, insertion).
+WEIGHTED_SQL = """WITH RECURSIVE pr AS (SELECT DISTINCT p_name, p_type FROM part),
+pb AS (SELECT p_name, p_type, 'whole' AS kind, string_split(p_name, '') AS a, string_split(p_type, '') AS b FROM pr
+  UNION ALL SELECT p_name, p_type, 'local', string_split(lower(p_type), ''), string_split(p_name, '') FROM pr),
+tb AS (
+  SELECT *, 0 AS i, list_reduce(list_transform(b, lambda y: [CASE WHEN kind = 'local' THEN 1 WHEN y IN (' ', '-') THEN 10 ELSE 100 END]),
+    lambda acc, e: list_append(acc, acc[len(acc)] + e[1]), [0]) AS r FROM pb
+  UNION ALL
+  SELECT p_name, p_type, kind, a, b, i + 1, list_reduce(
+    list_transform(range(1, len(b) + 1), lambda j: [
+      (a[i + 1] = b[j])::INTEGER,
+      CASE WHEN a[i + 1] = b[j] THEN r[j] ELSE least(r[j + 1] + CASE WHEN a[i + 1] IN (' ', '-') THEN 10 ELSE 100 END,
+        r[j] + CASE WHEN (a[i + 1] BETWEEN 'a' AND 'z' AND b[j] = upper(a[i + 1])) OR (a[i + 1] BETWEEN 'A' AND 'Z' AND b[j] = lower(a[i + 1]))
+          OR (a[i + 1] = ' ' AND b[j] = '-') OR (a[i + 1] = '-' AND b[j] = '_') THEN 10 ELSE 50 END) END,
+      CASE WHEN b[j] IN (' ', '-') THEN 10 ELSE 100 END]),
+    lambda acc, e: list_append(acc, CASE WHEN e[1] = 1 THEN e[2] ELSE least(e[2], acc[len(acc)] + e[3]) END),
+    [r[1] + CASE WHEN a[i + 1] IN (' ', '-') THEN 10 ELSE 100 END])
+  FROM tb WHERE i < len(a)),
+fin AS (SELECT * FROM tb WHERE i = len(a))
+SELECT p_name, p_type, w.r[len(w.b) + 1]::BIGINT AS distance,
+  (CASE WHEN contains(p_name, lower(p_type)) THEN length(p_name) - length(p_type)
+    ELSE list_min(list_transform(range(1, len(l.b) + 2), lambda j: l.r[j] + len(l.b) + 1 - j)) END)::BIGINT AS local
+FROM fin w JOIN fin l USING (p_name, p_type) WHERE w.kind = 'whole' AND l.kind = 'local'"""
+
+
+@plan("j12_weighted_distance", WEIGHTED_SQL)
 def _(t):
     pairs = t.part.select("p_name", "p_type").distinct()
     a, b = F.col("p_name"), F.col("p_type")
@@ -542,7 +567,11 @@ def _(t):
 
 @plan("s09_sitemap_urls", "SELECT url FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '^.*utm_source')")
 def _(t):
-    return markup.sitemap_urls(_sitemaps(t), "https://", black=[".*utm_source"])
+    """One sitemap per page, with an image's address beside the page's own."""
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), url,
+                   F.lit("</loc><image:image><image:loc>"), url, F.lit("/i.png</image:loc></image:image></url></urlset>"))
+    return markup.sitemap_urls(t.pages.select(xml.alias("xml")), "https://", black=[".*utm_source"])
 
 
 @plan("s17_read_pipe_concepts", over_standoff("SELECT doc_id, type, st AS start, en AS \"end\", text FROM t"))

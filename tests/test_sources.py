@@ -134,20 +134,27 @@ def test_store_contract(spark, tmp_path):
         load_store("collections", "OrderedDict")
 
 
-def test_move_and_discover(spark, tmp_path):
+def test_move_keeps_or_cuts_contents(spark, tmp_path):
+    for name, content, kept in (("whole", None, 7000), ("cut", 6000, 6000)):
+        store = TieredStore(spark, str(tmp_path / name / "hot"), str(tmp_path / name / "cold"), content=content)
+        store.save(frame(spark, article("u1", 1, content="x" * 7000, relevance="IRRELEVANTE"), article("u2", 2)))
+        store.move()
+        store.move()
+        assert rows(store.rows(), "url") == [("u2",)]
+        assert rows(store.cold.read().withColumn("n", F.length("content")), "url", "n") == [("u1", kept)]
+
+
+def test_discover_saves_all_and_hands_on_some(spark, tmp_path):
     store = TieredStore(spark, str(tmp_path / "hot"), str(tmp_path / "cold"))
-    store.save(frame(spark, article("u1", 1, content="x" * 7000, relevance="IRRELEVANTE"), article("u2", 2)))
-    store.move()
-    store.move()
-    assert rows(store.rows(), "url") == [("u2",)]
-    assert rows(store.cold.read().withColumn("n", F.length("content")), "url", "n") == [("u1", 6000)]
+    store.save(frame(spark, article("u1", 1)))
     maps = tmp_path / "maps"
     maps.mkdir()
     (maps / "a.xml").write_text("<urlset><url><loc>u1</loc></url><url><loc>u5</loc></url><url><loc>u6</loc></url></urlset>")
     stream = spark.readStream.schema("value string").option("wholetext", "true").text(str(maps)).withColumnRenamed("value", "xml")
     seen = []
-    assert discover_urls(stream, store, str(tmp_path / "cp"), limit=1, on_batch=lambda b: seen.append(b.count())) == 1
-    assert seen == [1] and rows(store.rows(), "url") == [("u2",), ("u5",)]
+    assert discover_urls(stream, store, str(tmp_path / "cp"), limit=1, on_batch=lambda b: seen.append(rows(b, "url"))) == 1
+    assert seen == [[("u5",)]] and rows(store.rows(), "url") == [("u1",), ("u5",), ("u6",)]
+    assert rows(store.get_all(scraped=False), "url") == [("u5",), ("u6",)]
     loss = spark.createDataFrame([(0.2,), (0.3,)], "loss double")
     assert should_retrain(loss) and not should_retrain(loss, 0.5)
 
