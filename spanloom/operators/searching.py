@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import text_match
 from spanloom.model import Standoff
 from spanloom.operators import ranges
+from spanloom.operators.mentions import mentions
 from spanloom.operators.selecting import comments, entities, type_filter
 from spanloom.operators.spans import contains_spans
 from spanloom.session import cut_lineage
-from spanloom.operators.textual import search_tokens, text_occurrences, whitespace_tokens
+from spanloom.operators.textual import text_occurrences
 
 ANY = "ANY"
 
@@ -165,55 +166,10 @@ def concordance(matches: DataFrame, docs: DataFrame, n=50) -> DataFrame:
 
 
 # J10
-def first_tokens(text):
-    """The search tokens a marked text can begin with, where it stands at token boundaries of a document.
-
-    A leading run of non-word characters is one token, or all but its last character when nothing else is in the word.
-    """
-    word = F.regexp_extract(text, "^\\S+", 0)
-    run = F.regexp_extract(word, "(?U)^\\W+", 0)
-    core = F.regexp_extract(word, "(?U)^.*\\w", 0)
-    short = F.substr(run, F.lit(1), F.length(run) - 1)
-    alone = (run == word) & (F.length(run) > 1)
-    return F.when(run == "", F.array(core)).when(alone, F.array(run, short)).otherwise(F.array(run))
-
-
-def unmarked_mentions(docs: DataFrame, textbounds: DataFrame, restrict=(), ignore=()) -> DataFrame:
-    """Token sequences equal to some marked text that no single annotation covers.
-
-    A candidate starts at a token that can open a marked text and has the length of such a text, so candidates grow with
-    the tokens, not with tokens times marked texts. Only candidates of several tokens go back to the document text.
-    """
+def unmarked_mentions(docs: DataFrame, textbounds: DataFrame, restrict=(), ignore=(), **bounds) -> DataFrame:
+    """Token sequences equal to some marked text that no single annotation covers."""
     marked = type_filter(textbounds, restrict, ignore).filter(F.rlike("text", F.lit("^\\S"))).select("text").distinct()
-    lengths = (
-        marked.withColumn("token", F.explode(first_tokens(F.col("text"))))
-        .groupBy("token")
-        .agg(F.collect_set(F.length("text")).alias("lengths"))
-    )
-    toks = search_tokens(whitespace_tokens(docs))
-    tries = (
-        toks.select("doc_id", "start", F.col("text").alias("token"))
-        .join(lengths, "token")
-        .select("doc_id", "start", "token", F.explode("lengths").alias("length"))
-        .withColumn("end", F.col("start") + F.col("length"))
-    )
-    # Few tokens open a marked text; written once, so the documents are tokenized once.
-    tries = cut_lineage(tries)
-    candidates = tries.filter(F.col("length") == F.length("token")).select(
-        "doc_id", "start", "end", F.col("token").alias("text")
-    )
-    several = tries.filter(F.col("length") > F.length("token"))
-    if several.limit(1).count():
-        ends = toks.select("doc_id", "end").distinct()
-        several = several.join(ends, ["doc_id", "end"], "left_semi")
-        several = several.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").select(
-            "doc_id",
-            "start",
-            "end",
-            F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length")).alias("text"),
-        )
-        candidates = candidates.unionByName(several)
-    candidates = candidates.join(marked, "text", "left_semi")
+    candidates = mentions(docs, marked, **bounds)
     inside = F.exists(
         "outer.spans", lambda s: (s["start"] <= F.col("inner.start")) & (s["end"] > F.col("inner.start"))
     ) & F.exists("outer.spans", lambda s: (s["start"] < F.col("inner.end")) & (s["end"] >= F.col("inner.end")))

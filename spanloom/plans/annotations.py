@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import searching, selecting, spans, textual
 from spanloom.plans.derived import ENTITY_TYPES, TYPES, over_standoff, second_textbounds, standoff, textbounds, widened
 from spanloom.plans.registry import plan
+from spanloom.session import cut_lineage
 
 
 @plan("f17_entities", over_standoff(
@@ -186,7 +187,8 @@ WHERE NOT cut OR tagged <> (nt>nu) OR rn <= 5""",
     """men AS (SELECT doc_id, start, en, text, false AS tagged FROM un
   UNION ALL SELECT doc_id, st, en, text, true FROM t2 WHERE text IN (SELECT text FROM un))"""))
 def _(t):
-    return searching.partially_marked(t.documents, second_textbounds(textbounds(t.documents)))
+    marked = cut_lineage(second_textbounds(textbounds(t.documents)))
+    return searching.partially_marked(t.documents, marked)
 
 
 @plan("w06_compress", over_standoff(
