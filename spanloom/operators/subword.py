@@ -20,14 +20,20 @@ def word_vocabulary(words: DataFrame, column="word") -> DataFrame:
     return counts.select(spaced.alias("symbols"), "freq")
 
 
+def _pairs_of(symbols):
+    """The neighbouring symbols of a word as an array of structs."""
+    parts = F.split(symbols, " ")
+    return F.zip_with(
+        F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("first"), b.alias("second")),
+    )
+
+
 # A18
 def pair_counts(vocab: DataFrame) -> DataFrame:
     """(first, second, freq): neighbouring symbols weighted by the frequency of their words."""
-    parts = F.split("symbols", " ")
-    n = F.size(parts)
-    pairs = F.zip_with(F.slice(parts, F.lit(1), n - 1), F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(0))),
-                       lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-    rows = vocab.filter(F.size(parts) > 1).select("freq", F.explode(pairs).alias("p"))
+    rows = vocab.filter(F.contains("symbols", F.lit(" "))).select("freq", F.explode(_pairs_of("symbols")).alias("p"))
     return rows.groupBy("p.first", "p.second").agg(F.sum("freq").alias("freq"))
 
 
@@ -38,21 +44,63 @@ def merge_pair(vocab: DataFrame, first: str, second: str) -> DataFrame:
     return vocab.withColumn("symbols", F.regexp_replace("symbols", pattern, joined))
 
 
+def _safe_run(top, room, known):
+    """The first pairs of ``top``, in order, that come one after the other whatever the earlier ones change.
+
+    Merging (a, b) only lowers counts of pairs that end in a or begin with b, and makes new pairs that are no more
+    frequent than such a pair. So pairs can be taken together as long as none of them begins with the end, or ends with
+    the beginning, of one before it. A run also ends before a pair whose frequency such a pair shares, as a new pair may
+    come in between, and after a pair of equal symbols or whose merged symbol is ``known``: there counts can rise.
+    ``top`` (first, second, freq) shows whether a frequency goes on only if something less frequent follows.
+    """
+    chosen, ends, begins = [], set(), set()
+    for i, (first, second, freq) in enumerate(top):
+        if len(chosen) == room or first in ends or second in begins:
+            break
+        tied = [p for p in top[i + 1 :] if p[2] == freq]
+        if chosen and (any(p[0] in ends or p[1] in begins for p in tied) or (tied and top[-1][2] == freq)):
+            break
+        chosen.append((first, second))
+        ends.add(second)
+        begins.add(first)
+        if first == second or first + second in known:
+            break
+        known.add(first + second)
+    return chosen
+
+
 # U02
-def learn_merges(vocab: DataFrame, k: int):
-    """The first k merges, most frequent pair first (ties by pair), as a list; the vocabulary stays distributed.
+def learn_merges(vocab: DataFrame, k: int, look_ahead=256):
+    """The first k merges, most frequent pair first (ties by pair), as a list; and the vocabulary after them.
 
-    Each round is one aggregation over the distinct words; only its top row comes to the driver.
+    Pair frequencies are kept as a table. A round takes the run of top pairs that no merge in it can reorder, merges them
+    all at once in the words that hold one, and corrects the frequencies by what those words lose and gain; other words
+    only pass a filter. The driver sees the ``look_ahead`` most frequent pairs of a round, and once the symbols of
+    several characters that the vocabulary starts with.
     """
-    merges = []
-    vocab = cut_lineage(vocab)
-    for i in range(k):
-        top = pair_counts(vocab).orderBy(F.desc("freq"), "first", "second").limit(1).collect()
-        if not top:
+    merges, rounds = [], 0
+    vocab = cut_lineage(vocab.select("symbols", "freq"))
+    symbols = vocab.select(F.explode(F.split("symbols", " ")).alias("s")).filter(F.length("s") > 1).distinct()
+    known = {r["s"] for r in symbols.collect()}
+    counts = cut_lineage(pair_counts(vocab))
+    while len(merges) < k:
+        top = counts.orderBy(F.desc("freq"), "first", "second").limit(look_ahead).collect()
+        run = _safe_run([tuple(r) for r in top], k - len(merges), known)
+        if not run:
             break
-        merges.append((top[0]["first"], top[0]["second"]))
-        vocab = merge_pair(vocab, *merges[-1])
-        if (i + 1) % ROUNDS_PER_CUT == 0:
+        merges += run
+        wanted = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in run])
+        touched = F.contains("symbols", F.lit(" ")) & F.arrays_overlap(_pairs_of("symbols"), wanted)
+        merged = old = vocab.filter(touched)
+        for pair in run:
+            merged = merge_pair(merged, *pair)
+        change = old.select("symbols", (-F.col("freq")).alias("freq")).unionByName(merged)
+        change = cut_lineage(change)
+        counts = counts.unionByName(pair_counts(change)).groupBy("first", "second").agg(F.sum("freq").alias("freq"))
+        counts = cut_lineage(counts.filter("freq > 0"))
+        vocab = vocab.filter(~touched).unionByName(change.filter("freq > 0"))
+        rounds += 1
+        if rounds % ROUNDS_PER_CUT == 0:
             vocab = cut_lineage(vocab)
     return merges, vocab
 

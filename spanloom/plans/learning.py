@@ -62,15 +62,38 @@ def _(t):
     return subword.pair_counts(subword.word_vocabulary(_words(t)))
 
 
-@plan("u02_learn_merges")
+MERGES = 20
+
+
+def merges_sql():
+    """One pair of tables per merge: the best pair, and the words with it written as one symbol.
+
+    Symbols stand between two marks, so that a pair of them is a plain substring and equal symbols merge from the left.
+    """
+    steps = ["""v0 AS MATERIALIZED (SELECT w, freq, concat(chr(2), array_to_string(list_append(string_split(w, ''), '</w>'), chr(3) || chr(2)),
+  chr(3)) AS s FROM wc)"""]
+    for i in range(MERGES):
+        steps.append(f"""p{i} AS (SELECT freq, unnest(list_zip(y[1:len(y)-1], y[2:len(y)])) AS p FROM (
+  SELECT freq, string_split(trim(s, chr(2) || chr(3)), chr(3) || chr(2)) AS y FROM v{i}) WHERE len(y) > 1),
+b{i} AS MATERIALIZED (SELECT p[1] AS a, p[2] AS b FROM p{i} GROUP BY p ORDER BY sum(freq) DESC, a, b LIMIT 1),
+v{i + 1} AS MATERIALIZED (SELECT w, freq, replace(s, concat(chr(2), a, chr(3), chr(2), b, chr(3)), concat(chr(2), a, b, chr(3))) AS s
+  FROM v{i} LEFT JOIN b{i} ON true)""")
+    return ",\n".join(["WITH " + VOCAB_SQL.strip(), *steps])
+
+
+SYMBOLS_SQL = "replace(trim(s, chr(2) || chr(3)), chr(3) || chr(2), ' ')"
+
+
+@plan("u02_learn_merges", merges_sql() + f" SELECT {SYMBOLS_SQL} AS symbols, freq FROM v{MERGES}")
 def _(t):
-    _, vocab = subword.learn_merges(subword.word_vocabulary(_words(t)), 20)
+    _, vocab = subword.learn_merges(subword.word_vocabulary(_words(t)), MERGES)
     return vocab
 
 
-@plan("u03_encode")
+@plan("u03_encode", merges_sql() + f"""
+SELECT w AS word, CASE WHEN length(w) = 1 THEN w ELSE {SYMBOLS_SQL} END AS symbols FROM v{MERGES}""")
 def _(t):
-    merges, _ = subword.learn_merges(subword.word_vocabulary(_words(t)), 20)
+    merges, _ = subword.learn_merges(subword.word_vocabulary(_words(t)), MERGES)
     coded = subword.encode(_words(t).distinct(), merges)
     return coded.select("word", F.concat_ws(" ", "symbols").alias("symbols"))
 
