@@ -4,12 +4,14 @@ Each flow is a stream into foreachBatch or into keyed state. Writing a batch twi
 after a failure is safe, and a batch rewrites only the buckets of its urls.
 """
 
-from collections.abc import Callable, Iterator
+import bisect
+from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from spanloom.operators import articles as A
 from spanloom.operators.classifying import classify
@@ -83,15 +85,22 @@ def move_stream(articles: DataFrame, store: TieredStore, checkpoint: str):
 
 # T03
 OUT_SCHEMA = "user string, document string, line_no bigint, seconds double, revision bigint"
-STATE_SCHEMA = (
-    "lines array<bigint>, times array<bigint>, begins array<boolean>, actions array<string>, "
-    "told array<bigint>, seconds array<double>, revision bigint"
+LINES_PER_PAGE = 256
+PAGE_SCHEMA = (
+    "lines array<bigint>, times array<bigint>, begins array<boolean>, actions array<string>, told array<bigint>, "
+    "seconds array<double>, open_picked bigint, open_actions array<string>, open_times array<bigint>"
 )
+BOOK_SCHEMA = (
+    "pages array<bigint>, revision bigint, latest bigint, timer bigint, open_picked bigint, open_actions array<string>, "
+    "open_times array<bigint>"
+)
+NOTHING_OPEN = (None, (), ())
 
 
-def _spans(rows):
-    """{line_no: seconds} of the spans created along rows (line_no, microseconds, is a start, action) in line order."""
-    picked, starts, out = None, {}, {}
+def _spans(rows, opened=NOTHING_OPEN):
+    """{line_no: seconds} of the spans created along rows (line_no, microseconds, is a start, action) in line order, and
+    what is open after them: the start of a selection no span was made of yet, and the starts of unfinished actions."""
+    picked, starts, out = opened[0], dict(zip(opened[1], opened[2])), {}
     for line, time, begin, action in rows:
         if begin:
             starts[action] = time
@@ -102,55 +111,155 @@ def _spans(rows):
             elif picked is not None:
                 out[line] = (time - picked) / 1e6
                 picked = None
-    return out
+    return out, (picked, tuple(sorted(starts)), tuple(starts[a] for a in sorted(starts)))
 
 
-def _follow(expire_ms):
-    """Follows one user in one document: remembers the actions that spans come from, and what was told of them."""
+class SpanTimes(StatefulProcessor):
+    """Follows one user in one document.
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *old, told, seconds, revision = state.get if state.exists else ([], [], [], [], [], [], 0)
-        rows = pd.concat(list(batches))
+    Its lines are kept in pages by number, each with the spans told of it and with what is open after its last line. New
+    lines change their own pages; the pages after them are only gone through as long as what is open changes. The book
+    has the numbers of the pages, what was open before the first of them, and the latest time seen.
+    """
+
+    def __init__(self, settle, expire_ms, lines_per_page):
+        self.settle, self.expire_ms, self.lines_per_page = settle, expire_ms, lines_per_page
+
+    def init(self, handle):
+        self.handle = handle
+        self.pages = handle.getMapState("pages", "page bigint", PAGE_SCHEMA)
+        self.book = handle.getValueState("book", BOOK_SCHEMA)
+
+    def _page(self, number):
+        value = self.pages.getValue((number,)) if self.pages.containsKey((number,)) else None
+        if value is None:
+            return [], {}, None
+        lines, times, begins, actions, told, seconds, *opened = value
+        return list(zip(lines, times, begins, actions)), dict(zip(told, seconds)), _opened(opened)
+
+    def _book(self):
+        if not self.book.exists():
+            return [], 0, None, None, NOTHING_OPEN
+        numbers, revision, latest, timer, *opened = self.book.get()
+        return list(numbers), revision, latest, timer, _opened(opened)
+
+    def _put(self, number, rows, spans, opened):
+        columns = [list(x) for x in zip(*rows)] or [[], [], [], []]
+        self.pages.updateValue((number,), (*columns, list(spans), list(spans.values()), *_stored(opened)))
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = pd.concat(list(rows))
         latest = int(rows["time"].max().timestamp() * 1000)
         rows = rows[rows["action"].isin([*SELECTIONS, CREATE])]
         times = rows["time"].astype("datetime64[us]").astype("int64").tolist()
-        new = zip(rows["line_no"].tolist(), times, (rows["state"] == "START").tolist(), rows["action"].tolist())
-        # A line that comes late, or twice, takes its place among the lines already seen.
-        known = sorted({*zip(*old), *new})
-        before, after = dict(zip(told, seconds)), _spans(known)
-        gone = [line for line in before if line not in after]
-        fresh = [line for line in after if before.get(line) != after[line]]
+        new = defaultdict(set)
+        for row in zip(rows["line_no"].tolist(), times, (rows["state"] == "START").tolist(), rows["action"].tolist()):
+            new[row[0] // self.lines_per_page].add(row)
+        numbers, revision, seen, timer, before = self._book()
+        latest = latest if seen is None else max(latest, seen)
+        numbers = sorted({*numbers, *new})
         revision += 1
-        if known:
-            columns = [list(x) for x in zip(*known)]
-            state.update((*columns, list(after), list(after.values()), revision))
-            if expire_ms is not None:
-                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + expire_ms)
-        out = [(*key, line, after.get(line), revision) for line in [*gone, *fresh]]
-        yield pd.DataFrame(out, columns=["user", "document", "line_no", "seconds", "revision"])
-
-    return run
-
-
-def annotation_time_stream(log: DataFrame, lateness: str | None = None, expire_ms: int | None = None) -> DataFrame:
+        told, carried = [], False
+        at = bisect.bisect_left(numbers, min(new)) if new else len(numbers)
+        opened = self._page(numbers[at - 1])[2] if 0 < at < len(numbers) else before
+        while at < len(numbers):
+            number = numbers[at]
+            known, spans, left = self._page(number)
+            left = opened if left is None else left  # a page that was not there changed nothing
+            if number in new or carried:
+                known = sorted({*known, *new.pop(number, ())})
+                after, opened = _spans(known, opened)
+                told += [(line, None) for line in spans if line not in after]
+                told += [(line, after[line]) for line in after if spans.get(line) != after[line]]
+                carried = opened != left
+                self._put(number, known, after, opened)
+                at += 1
+            elif new:  # on to the next page with new lines
+                at = bisect.bisect_left(numbers, min(new))
+                opened = self._page(numbers[at - 1])[2]
+            else:
+                break
+        if self.settle:
+            numbers, before = self._settled(numbers, before, timerValues.getCurrentWatermarkInMs())
+            timer = self._wait(timer, latest + 1 if numbers else latest + (self.expire_ms or 1))
+        self.book.update((numbers, revision, latest, timer, *_stored(before)))
+        yield pd.DataFrame(
+            [(*key, line, seconds, revision) for line, seconds in told],
+            columns=["user", "document", "line_no", "seconds", "revision"],
+        )
+
+    def _settled(self, numbers, before, watermark):
+        """Drops the first pages as long as all their lines lie behind the watermark; keeps what they leave open."""
+        while numbers:
+            rows, _, opened = self._page(numbers[0])
+            if any(time >= watermark * 1000 for _, time, _, _ in rows):
+                break
+            before = opened
+            self.pages.removeKey((numbers.pop(0),))
+        return numbers, before
+
+    def _wait(self, timer, until):
+        if timer is not None and timer != until:
+            self.handle.deleteTimer(timer)
+        if timer != until:
+            self.handle.registerTimer(until)
+        return until
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.book.exists():
+            numbers, revision, latest, _, before = self._book()
+            watermark = timerValues.getCurrentWatermarkInMs()
+            if self.expire_ms is not None and watermark >= latest + self.expire_ms:
+                self.book.clear()
+                self.pages.clear()
+            else:
+                numbers, before = self._settled(numbers, before, watermark)
+                timer = None
+                if self.expire_ms is not None:
+                    timer = self._wait(None, latest + self.expire_ms)
+                self.book.update((numbers, revision, latest, timer, *_stored(before)))
+        yield pd.DataFrame([], columns=["user", "document", "line_no", "seconds", "revision"])
+
+    def close(self):
+        pass
+
+
+def _opened(stored):
+    return stored[0], tuple(stored[1]), tuple(stored[2])
+
+
+def _stored(opened):
+    return opened[0], list(opened[1]), list(opened[2])
+
+
+def annotation_time_stream(
+    log: DataFrame, lateness: str | None = None, expire_ms: int | None = None, lines_per_page=LINES_PER_PAGE
+) -> DataFrame:
     """Seconds per created span, as a stream, from a stream of log rows with line_no, time, user, document, state, action.
 
     Rows may come in any order and be split into batches anyhow: a late row changes what was told before, by a row with a
     higher revision, whose seconds are null if there is no span after all; ``latest_spans`` takes the last revisions.
-    Nothing is forgotten, so the state grows with the log. With ``lateness`` rows further behind the latest time seen
-    are dropped, and with ``expire_ms`` besides, users who do nothing in a document for that long after it start anew.
+    A batch costs what its own lines and the spans they change cost, not what was seen before.
+
+    Nothing is forgotten, so the state grows with the log. With ``lateness`` rows further behind the latest time seen are
+    dropped, and lines go once they and all before them are that far behind; what they leave open is kept, and a line that
+    comes with a smaller number later counts as following them. With ``expire_ms`` besides, users who do nothing in a
+    document for that long start anew. The state is kept by RocksDB, which is set for the session.
     """
     if expire_ms is not None and lateness is None:
         raise ValueError("an expiry needs a lateness")
+    log.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     rows = log.select("line_no", "time", "user", "document", "state", "action")
     if lateness is not None:
         rows = rows.withWatermark("time", lateness)
-    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("user", "document").applyInPandasWithState(
-        _follow(expire_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout
+    return rows.groupBy("user", "document").transformWithStateInPandas(
+        SpanTimes(lateness is not None, expire_ms, lines_per_page),
+        OUT_SCHEMA,
+        "Append",
+        "EventTime" if lateness else "None",
     )
 
 
