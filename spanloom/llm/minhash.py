@@ -9,8 +9,9 @@ is left is confirmed on the full sets.
 Equal sets are one class before anything is paired. Each class is first compared with the least class of its buckets, and
 only its likeliest partner is confirmed; the components that gives settle nearly all other pairs. Buckets that still join
 several components are then compared in full between components: the members outside of a bucket's largest component
-against all, cut into blocks of bounded size, so that a bucket of any size is many small tasks. Two passes confirm only the
-best partner of each component, the last one every pair that is left.
+against all, cut into blocks of bounded size, so that a bucket of any size is many small tasks. The sets of those members
+are made once, each with a parity sketch that bounds from below how far two sets differ: it spares confirming most
+strangers and never a link. The first passes confirm only the best partner of each component, the last one every pair left.
 """
 
 import numpy as np
@@ -143,22 +144,48 @@ def _confirmed(percent):
     return A.lean(run)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width, percent) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets reach the similarity."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = cut_lineage(classes.select("class", "doc_id").join(involved, "class", "left_semi"))
+def _sets_of(wanted: DataFrame, texts: DataFrame, width) -> DataFrame:
+    """(class, elements) of the wanted classes (class, doc_id); one document of each is read again."""
+    wanted = cut_lineage(wanted.select("class", "doc_id"))
     named = texts.join(with_bound(wanted.filter("doc_id IS NOT NULL"), BROADCAST_IDS), "doc_id").select("class", "text")
     nameless = texts.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("class"), "text")
     sets = named.unionByName(nameless).mapInArrow(_sets(width), "class long, elements binary")
     sets = cut_lineage(sets)
     if sets.count() > wanted.count():  # a doc_id, or none, stands on several rows
         sets = cut_lineage(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    return sets
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose full sets reach the similarity."""
     left = sets.select(F.col("class").alias("a"), F.col("elements").alias("elements_a"))
     right = sets.select(F.col("class").alias("b"), F.col("elements").alias("elements_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "elements_a", "elements_b")
     return cut_lineage(both.mapInArrow(_confirmed(percent), "a long, b long"))
 
 
+def sketch_of(elements):
+    """Parity of the number of elements in each bin; a power of two of bins, four to eight for each element."""
+    bits = 1 << int(np.ceil(np.log2(max(512, 4 * len(elements)))))
+    odd = np.bincount((A.mix(elements) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketched(batches):
+    for batch in batches:
+        sketches = [sketch_of(np.frombuffer(x, dtype=U)) for x in batch.column("elements").to_pylist()]
+        columns = [batch.column("class"), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["class", "sketch"])
+
+
+def _folded(sketch, words):
+    """Rows of sketch words, shortened by adding halves: bins fall together as if there had been fewer."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 def _crossing(percent, least, best_only):
     """Pairs of classes of different components within each (bucket, i, j): a block of outsiders and one of members.
 
@@ -166,20 +193,35 @@ def _crossing(percent, least, best_only):
     most equal bytes.
     """
 
-    def pairs(side, name, component, size, signature):
+    def pairs(side, name, component, size, signature, sketch):
         out, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        words = np.array([len(x) // 8 for x in sketch])
+        tables = {w: np.frombuffer(b"".join(sketch[k] for k in np.flatnonzero(words == w)), dtype=U) for w in np.unique(words)}
+        place = np.zeros(len(words), dtype=np.int64)
+        for w in tables:
+            tables[w] = tables[w].reshape(-1, w)
+            place[words == w] = np.arange(len(tables[w]))
         found = []
         for i in out if len(rest) else []:
             near = np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * percent
             near = rest[near & (component[rest] != component[i])]
             matches = (signature[near] == signature[i]).sum(axis=1)
-            if best_only:
-                if len(near) and matches.max() >= least:
-                    at = int(np.argmax(matches))
-                    found.append((component[i], matches[at], name[i], name[near[at]]))
-            else:
-                for j in near[matches >= least]:
-                    found.append((component[i], 0, name[i], name[j]))
+            near, matches = near[matches >= least], matches[matches >= least]
+            keep = np.zeros(len(near), dtype=bool)
+            own = tables[words[i]][place[i]]
+            for w in np.unique(words[near]):
+                some = words[near] == w
+                short = min(w, words[i])
+                other = _folded(tables[w][place[near[some]]], short)
+                odd = np.bitwise_count(other ^ _folded(own, short)).sum(axis=1, dtype=np.int64)
+                # No more bins differ in parity than elements differ, and linked sets differ in no more than this.
+                keep[some] = odd * (100 + percent) <= (size[near[some]] + size[i]) * (100 - percent)
+            near, matches = near[keep], matches[keep]
+            if best_only and len(near):
+                at = int(np.argmax(matches))
+                found.append((component[i], matches[at], name[i], name[near[at]]))
+            elif not best_only:
+                found += [(component[i], 0, name[i], name[j]) for j in near]
         if best_only:
             best = {}
             for f in found:
@@ -194,7 +236,7 @@ def _crossing(percent, least, best_only):
         def result():
             columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
             signature = np.frombuffer(b"".join(s for h in held for s in h[4]), dtype=np.uint8)
-            return pairs(*columns, signature.reshape(len(columns[0]), -1))
+            return pairs(*columns, signature.reshape(len(columns[0]), -1), [s for h in held for s in h[5]])
 
         def rows(found):
             return pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -210,15 +252,16 @@ def _crossing(percent, least, best_only):
                     if held:
                         yield rows(result())
                     now, held = tuple(keys[a]), []
-                held.append([*(x[a:b] for x in numbers), batch.column("signature").slice(a, b - a).to_pylist()])
+                texts = [batch.column(c).slice(a, b - a).to_pylist() for c in ("signature", "sketch")]
+                held.append([*(x[a:b] for x in numbers), *texts])
         if held:
             yield rows(result())
 
     return A.lean(run)
 
 
-def _blocks(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Both sides of all block pairs of the buckets whose members lie in several components."""
+def _mixed(members: DataFrame, roots: DataFrame):
+    """The members of buckets that join several components, with those, and facts of the buckets; both written."""
     placed = members.join(with_bound(roots, BROADCAST_IDS), "class", "left").select(
         "bucket", "class", F.coalesce("root", "class").alias("component")
     )
@@ -236,16 +279,18 @@ def _blocks(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFra
             F.ceil(F.col("total") / MEMBERS).cast("int").alias("wide"),
         )
     )
+    return cut_lineage(lookup(placed, mixed, "bucket", "rows", "inner"))
+
+
+def _blocks(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Both sides of all block pairs of mixed buckets."""
     at = F.xxhash64("class", F.lit(5))
-    found = cut_lineage(lookup(placed, mixed, "bucket", "rows", "inner"))
     i, j = F.pmod(at, F.col("high")).cast("int"), F.pmod(at, F.col("wide")).cast("int")
-    outside = found.filter("component <> largest").select(
-        "bucket", "class", "component", F.lit(0).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j")
-    )
-    inside = found.select(
-        "bucket", "class", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), j.alias("j")
-    )
-    facts = classes.select("class", "n", "signature")
+    columns = F.explode(F.sequence(F.lit(0), F.col("wide") - 1))
+    rows = F.explode(F.sequence(F.lit(0), F.col("high") - 1))
+    outside = found.filter("component <> largest")
+    outside = outside.select("bucket", "class", "component", F.lit(0).alias("side"), i.alias("i"), columns.alias("j"))
+    inside = found.select("bucket", "class", "component", F.lit(1).alias("side"), rows.alias("i"), j.alias("j"))
     sides = outside.unionByName(inside).join(facts, "class")
     return sides.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
@@ -296,18 +341,32 @@ def near_duplicates(documents: DataFrame, width=WIDTH, percent=PERCENT) -> DataF
     stars = members.filter("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     likely = stars.join(left, "a").join(right, "b").mapInArrow(_verified(percent, least), "a long, b long, matches int")
     likeliest = cut_lineage(likely.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")))
-    forest = _links(likeliest.select("a", "b"), texts, classes, width, percent)
-    roots = components(forest).withColumnRenamed("node", "class")
-
-    for best_only in (True, True, False):
-        sides = _blocks(members, roots, classes)
-        pairs = cut_lineage(sides.mapInArrow(_crossing(percent, least, best_only), "a long, b long").distinct())
-        if pairs.isEmpty():
+    # One document of each class that may have a link is read again, once.
+    involved = likeliest.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = _sets_of(classes.join(involved, "class", "left_semi"), texts, width)
+    roots = components(_links(likeliest.select("a", "b"), sets, percent)).withColumnRenamed("node", "class")
+
+    found, facts, settled = _mixed(members, roots), None, False
+    for best_only in (True, True, True, False):
+        if found.isEmpty():
             break
-        found = _links(pairs, texts, classes, width, percent)
-        if not found.isEmpty():
+        if best_only and settled:
+            continue
+        if facts is None:
+            others = found.select("class").distinct().join(sets.select("class"), "class", "left_anti")
+            sets = sets.unionByName(_sets_of(classes.join(others, "class", "left_semi"), texts, width))
+            open_sets = sets.join(found.select("class").distinct(), "class", "left_semi")
+            facts = open_sets.mapInArrow(_sketched, "class long, sketch binary")
+            facts = cut_lineage(facts.join(classes.select("class", "n", "signature"), "class"))
+        sides = _blocks(found, facts)
+        pairs = cut_lineage(sides.mapInArrow(_crossing(percent, least, best_only), "a long, b long").distinct())
+        links = _links(pairs, sets, percent)
+        settled = links.isEmpty()
+        if not settled:
             tree = roots.select(F.col("class").alias("a"), F.col("root").alias("b"))
-            roots = components(tree.union(found)).withColumnRenamed("node", "class")
+            roots = components(tree.union(links)).withColumnRenamed("node", "class")
+            if best_only:
+                found = _mixed(members, roots)
 
     owned = roots.join(classes.select("class", "doc_id", "rows"), "class")
     owned = cut_lineage(owned)
