@@ -1,11 +1,14 @@
 """Text features: TF-IDF as a table and as vectors, and masked token rows."""
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import TYPE_ACCENTS, language_model_text
-from spanloom.session import cut_lineage
+from spanloom.session import cut_lineage, spread
 
 # Word pattern, n-gram range, vocabulary size; share of masked tokens, length of a row, special tokens.
 WORD = "[\\p{L}\\p{N}_]{2,}"
@@ -34,22 +37,50 @@ def _grams(tokens, starts, n):
     return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]))
 
 
+def count_ngrams(low, high, terms_at_once=1 << 16):
+    """Rows (key, term, tf) of the different n-grams of token arrays (key, tokens), as blank-separated terms."""
+
+    def rows(keys, places, terms, numbers):
+        columns = [keys.take(pa.array(places, pa.int64())), pa.array(terms, pa.string()), pa.array(numbers, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "term", "tf"])
+
+    def run(batches):
+        for batch in batches:
+            keys, tokens = batch.column("key"), batch.column("tokens")
+            places, terms, numbers = [], [], []
+            for row in range(len(batch)):
+                words, found = tokens[row].as_py(), Counter()
+                for n in range(low, high + 1) if words else ():
+                    found.update(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)))))
+                places += [row] * len(found)
+                terms += found.keys()
+                numbers += found.values()
+                if len(terms) >= terms_at_once:
+                    yield rows(keys, places, terms, numbers)
+                    places, terms, numbers = [], [], []
+            yield rows(keys, places, terms, numbers)
+
+    return run
+
+
 # M01
 def tfidf(docs: DataFrame, key="doc_id", text="text", ngram=NGRAMS, max_features=MAX_FEATURES, plus_one=True,
           fit_on: DataFrame = None) -> DataFrame:
     """(key, term, tf, idf, weight): L2-normalized weights of the most frequent terms.
 
-    Texts are spread by key and cut into n-grams once; the counts per document are written, and the term totals, the
-    document frequencies and the weights all come from that table. The vocabulary has at most ``max_features`` rows, the
-    most frequent terms. ``plus_one`` picks the smoothed form with one added, the other form has none. ``fit_on``
+    A text is cut into n-grams and its terms are counted in its own row, so no text or term of a document is shuffled; the
+    counts are written, and the term totals, the document frequencies and the weights all come from that table. Rows with
+    the same key count as one document. The vocabulary has at most ``max_features`` rows, the most frequent terms, and is
+    sent to all tasks. ``plus_one`` picks the smoothed form with one added, the other form has none. ``fit_on``
     restricts what the vocabulary comes from, such as a training part.
     """
     def counted(df):
-        # The tokens are a column of their own: inside the n-gram lambda they would be cut anew for every n-gram.
-        spread = df.select(key, text).repartition(key).select(key, word_tokens(F.col(text)).alias("tokens"))
-        terms = spread.select(key, ngram_terms(F.col("tokens"), *ngram).alias("terms"))
-        each = terms.select(key, F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-        return cut_lineage(each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+        found = spread(df.select(key, text)).select(F.col(key).alias("key"), word_tokens(F.col(text)).alias("tokens"))
+        kind = found.schema["key"].dataType.simpleString()
+        each = found.mapInArrow(count_ngrams(*ngram), f"key {kind}, term string, tf long").withColumnRenamed("key", key)
+        if not df.groupBy(key).count().filter("count > 1").isEmpty():
+            each = each.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+        return cut_lineage(each)
 
     counts = counted(docs)
     totals = (counts if fit_on is None else counted(fit_on)).groupBy("term").agg(
@@ -58,7 +89,7 @@ def tfidf(docs: DataFrame, key="doc_id", text="text", ngram=NGRAMS, max_features
     n = (docs if fit_on is None else fit_on).count()
     idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + (1.0 if plus_one else 0.0)
     vocabulary = totals.orderBy(F.desc("total"), "term").limit(max_features).select("term", idf.alias("idf"))
-    known = counts.join(vocabulary, "term")
+    known = counts.join(F.broadcast(vocabulary), "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
     return known.select(key, "term", "tf", "idf", (raw / norm).alias("weight"))

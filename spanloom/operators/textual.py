@@ -1,7 +1,8 @@
 """Lines, occurrences, tokens and sentences of documents, all with character offsets.
 
 Each document text is one row, and so are its pieces until they are exploded: arrays of pieces and of their offsets are
-made inside the row, so neither texts nor pieces are shuffled.
+made inside the row, so neither texts nor pieces are shuffled; only a table that is small as a whole is first dealt out to
+all cores.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.offsets import exclusive_sums, sentence_bounds, solid_places
 from spanloom.functions.text import BRACKET_ESCAPES, match_pattern, replace_all, split_token
 from spanloom.operators.ranges import points_in_intervals
+from spanloom.session import spread
 
 # Fixed value: end of a sentence after a first non-blank character: terminal marks before space, a newline, text end.
 SENTENCE = "(?s)\\S.*?(?::?(?::?[.!?。！？]+(?=\\s+))|:?(?=\\n+)|:?(?=\\s*\\z))"
@@ -161,7 +163,7 @@ def _exploded(df, keep, arrays, number):
 
 def split_with_offsets(docs: DataFrame, separator: str, number, piece, start) -> DataFrame:
     """The pieces of each text between a separator of one character, with their starts."""
-    cut = docs.select("doc_id", F.split("text", separator).alias(piece))
+    cut = spread(docs.select("doc_id", "text")).select("doc_id", F.split("text", separator).alias(piece))
     placed = cut.withColumn(start, exclusive_sums(F.transform(piece, lambda x: F.length(x) + 1)))
     return _exploded(placed, ["doc_id"], [piece, start], number)
 
@@ -178,7 +180,7 @@ def _with_occurrences(docs, pattern, start="start", hit="text", source="text"):
 
     What lies between matches comes from a split on the same pattern; running lengths of both give the starts.
     """
-    cut = docs.withColumns(
+    cut = spread(docs).withColumns(
         {
             "_gaps": F.transform(F.split(source, pattern, -1), F.length),
             "_hits": F.regexp_extract_all(source, F.lit(pattern), F.lit(0)),
