@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.textual import search_tokens, whitespace_tokens
-from spanloom.session import cut_lineage
+from spanloom.session import cut_lineage, spread
 
 PIECE_CHARS = 2_000_000  # of the texts in one automaton, which takes some tens of bytes for each
 MAX_PIECES = 8
@@ -56,6 +56,8 @@ def starts_token(text, at):
 
 def ends_token(text, end):
     """Whether a search token ends before ``end``: there the text or the word ends, or another token starts."""
+    if text[end - 1] in BLANK:
+        return False
     return end == len(text) or text[end] in BLANK or starts_token(text, end)
 
 
@@ -76,13 +78,13 @@ def _automaton(key, texts):
     return _automata[key]
 
 
-def _found(key, texts, schema):
+def _found(key, texts):
     def run(batches):
         automaton = _automaton(key, texts)
         for batch in batches:
             rows, starts, ends, hits = [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for last, length in automaton.iter(text) if text else ():
+                for last, length in automaton.iter(text) if text and len(automaton) else ():
                     start, end = last + 1 - length, last + 1
                     if starts_token(text, start) and ends_token(text, end):
                         rows.append(row)
@@ -100,12 +102,12 @@ def _by_automata(docs, texts, pieces):
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, end long, text string"
     texts = texts.withColumn("_piece", F.pmod(F.xxhash64("text"), F.lit(pieces)))
-    parts = []
+    parts, docs = [], spread(docs.select("doc_id", "text"))
     for piece in range(pieces):
         rows = texts.filter(F.col("_piece") == piece).select("text").toArrow()  # of bounded size
         shared = spark.sparkContext.broadcast(sorted(rows.column("text").to_pylist()))
-        run = _found(uuid.uuid4().hex, shared, schema)
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        run = _found(uuid.uuid4().hex, shared)
+        parts.append(docs.mapInArrow(run, schema))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

@@ -10,7 +10,7 @@ from spanloom.functions.text import quoted
 from spanloom.session import cut_lineage
 
 END = "</w>"
-ROUNDS_PER_CUT = 10
+ROUNDS_PER_CUT = 4
 
 
 def word_vocabulary(words: DataFrame, column="word") -> DataFrame:
@@ -37,11 +37,18 @@ def pair_counts(vocab: DataFrame) -> DataFrame:
     return rows.groupBy("p.first", "p.second").agg(F.sum("freq").alias("freq"))
 
 
-def merge_pair(vocab: DataFrame, first: str, second: str) -> DataFrame:
+def merge_pair(symbols, first: str, second: str):
     """Every occurrence of the pair written as one symbol; only whole symbols count."""
     pattern = "(?<!\\S)" + quoted(f"{first} {second}") + "(?!\\S)"
     joined = re.sub(r"([\\$])", r"\\\1", first + second)
-    return vocab.withColumn("symbols", F.regexp_replace("symbols", pattern, joined))
+    return F.regexp_replace(symbols, pattern, joined)
+
+
+def _comes_first(tied, pair, chosen):
+    """Whether merging ``chosen`` can make a pair out of ``tied`` that is as frequent as ``pair`` and sorted before it."""
+    left = {tied[0], *[a + b for a, b in chosen if b == tied[0]]}
+    right = {tied[1], *[a + b for a, b in chosen if a == tied[1]]}
+    return any((a, b) < pair for a in left for b in right if (a, b) != tied)
 
 
 def _safe_run(top, room, known):
@@ -49,16 +56,16 @@ def _safe_run(top, room, known):
 
     Merging (a, b) only lowers counts of pairs that end in a or begin with b, and makes new pairs that are no more
     frequent than such a pair. So pairs can be taken together as long as none of them begins with the end, or ends with
-    the beginning, of one before it. A run also ends before a pair whose frequency such a pair shares, as a new pair may
-    come in between, and after a pair of equal symbols or whose merged symbol is ``known``: there counts can rise.
-    ``top`` (first, second, freq) shows whether a frequency goes on only if something less frequent follows.
+    the beginning, of one before it. A run also ends where a new pair of the same frequency may come in between, and after
+    a pair of equal symbols or whose merged symbol is ``known``: there counts can rise. ``top`` (first, second, freq) shows
+    all pairs of a frequency only if something less frequent follows.
     """
     chosen, ends, begins = [], set(), set()
     for i, (first, second, freq) in enumerate(top):
         if len(chosen) == room or first in ends or second in begins:
             break
-        tied = [p for p in top[i + 1 :] if p[2] == freq]
-        if chosen and (any(p[0] in ends or p[1] in begins for p in tied) or (tied and top[-1][2] == freq)):
+        tied = [p for p in top[i + 1 :] if p[2] == freq] if chosen else []
+        if tied and (top[-1][2] == freq or any(_comes_first(p[:2], (first, second), chosen) for p in tied)):
             break
         chosen.append((first, second))
         ends.add(second)
@@ -70,7 +77,7 @@ def _safe_run(top, room, known):
 
 
 # U02
-def learn_merges(vocab: DataFrame, k: int, look_ahead=256):
+def learn_merges(vocab: DataFrame, k: int, look_ahead=1000):
     """The first k merges, most frequent pair first (ties by pair), as a list; and the vocabulary after them.
 
     Pair frequencies are kept as a table. A round takes the run of top pairs that no merge in it can reorder, merges them
@@ -91,14 +98,18 @@ def learn_merges(vocab: DataFrame, k: int, look_ahead=256):
         merges += run
         wanted = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in run])
         touched = F.contains("symbols", F.lit(" ")) & F.arrays_overlap(_pairs_of("symbols"), wanted)
-        merged = old = vocab.filter(touched)
+        merged = F.col("symbols")
         for pair in run:
             merged = merge_pair(merged, *pair)
-        change = old.select("symbols", (-F.col("freq")).alias("freq")).unionByName(merged)
-        change = cut_lineage(change)
-        counts = counts.unionByName(pair_counts(change)).groupBy("first", "second").agg(F.sum("freq").alias("freq"))
-        counts = cut_lineage(counts.filter("freq > 0"))
-        vocab = vocab.filter(~touched).unionByName(change.filter("freq > 0"))
+        if len(merges) < k:
+            both = F.array(
+                F.struct("symbols", (-F.col("freq")).alias("freq")), F.struct(merged.alias("symbols"), F.col("freq").alias("freq"))
+            )
+            change = vocab.filter(touched).select(F.explode(both).alias("c")).select("c.symbols", "c.freq")
+            counts = counts.unionByName(pair_counts(change)).groupBy("first", "second").agg(F.sum("freq").alias("freq"))
+            counts = cut_lineage(counts.filter("freq > 0"))
+        # Words without such a pair pass through unchanged; each pattern reads the one before it once.
+        vocab = vocab.select(merged.alias("symbols"), "freq")
         rounds += 1
         if rounds % ROUNDS_PER_CUT == 0:
             vocab = cut_lineage(vocab)
