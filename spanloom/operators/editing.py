@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import role_base, span_text, split_role
 from spanloom.model import ARGS, Standoff
-from spanloom.operators.ranges import row_numbers, running_total
+from spanloom.operators.ranges import overlapping_pairs, row_numbers, running_total
 from spanloom.operators.selecting import new_ids, references
 from spanloom.session import cut_lineage
 
@@ -495,10 +495,12 @@ def renumber(so: Standoff) -> Standoff:
 
 # W09
 def concat_documents(docs: DataFrame, so: Standoff, group, order) -> tuple:
-    """Documents of a group joined to one in the given order, with offsets shifted and ids kept unique.
+    """Documents of a group laid end to end in the given order, with offsets shifted and ids kept unique.
 
     ``docs`` has (doc_id, text, group, order). The first document that uses an id keeps it; later ones get the next free
-    number of that letter, and their references follow. Returns (documents, annotations) keyed by the group.
+    number of that letter, and their references follow. Returns (pieces, annotations) keyed by the group: a group's text
+    stays in pieces (doc_id, piece_no, start, text), one for each of its documents, so that no group has to fit into a
+    row; :func:`join_pieces` makes one string of them, :func:`cut_spans` finds the text of spans in them.
     """
     sized = docs.select("doc_id", F.col(group).alias("_group"), F.col(order).alias("_order"),
                         F.length("text").alias("_len"))
@@ -551,12 +553,34 @@ def concat_documents(docs: DataFrame, so: Standoff, group, order) -> tuple:
         moved = moved.withColumn("line_no", F.col("_line_shift") + F.col("line_no"))
         return moved.withColumn("doc_id", F.col("_group")).select(*df.columns)
 
-    joined = docs.groupBy(F.col(group).alias("doc_id")).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))), lambda x: x["text"]), ""
-        ).alias("text")
-    )
-    return joined, out.map(move)
+    at = place.select("doc_id", F.col("_group"), (F.col("_doc_no") - 1).alias("piece_no"), F.col("_shift").alias("start"))
+    pieces = docs.select("doc_id", "text").join(at, "doc_id")
+    return pieces.select(F.col("_group").alias("doc_id"), "piece_no", "start", "text"), out.map(move)
+
+
+def join_pieces(pieces: DataFrame) -> DataFrame:
+    """(doc_id, text): the pieces of each document as one string, which has to fit into a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("piece_no", "text")))
+    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
+
+
+def cut_spans(spans: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, start, end, text): what stands in the pieces of a document from ``start`` to ``end``, also across pieces.
+
+    Spans and pieces meet by offsets alone; then each touched piece gives only the characters of the span.
+    """
+    wanted = spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    places = pieces.select("doc_id", "piece_no", "start", (F.col("start") + F.length("text")).alias("end"))
+    met = overlapping_pairs(wanted.distinct(), places, ["doc_id"], suffixes=("", "_piece"))
+    met = met.withColumnRenamed("piece_no_piece", "piece_no").drop("end_piece")
+    low = F.greatest(F.col("start") - F.col("start_piece"), F.lit(0)).cast("int")
+    high = (F.col("end") - F.col("start_piece")).cast("int")
+    texts = pieces.select("doc_id", "piece_no", F.col("text").alias("_text"))
+    cut = met.join(texts, ["doc_id", "piece_no"]).select(
+        "doc_id", "start", "end", F.struct("piece_no", F.substr("_text", low + 1, high - low).alias("text")).alias("part")
+    )
+    ordered = F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"])
+    return cut.groupBy("doc_id", "start", "end").agg(F.array_join(ordered, "").alias("text"))
 
 
 def _picking(columns):

@@ -327,14 +327,17 @@ def _(t):
 
 
 @plan("w09_concat_documents", over_standoff(
-    """SELECT t.doc_id//4 AS doc_id, st + off AS start, en + off AS "end", text,
+    """SELECT t.doc_id//4 AS doc_id, st + off AS start, en + off AS "end", text, text AS cut,
   count(*) OVER (PARTITION BY t.doc_id//4) AS total FROM t JOIN (SELECT doc_id, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id//4 ORDER BY doc_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS off FROM documents) o ON o.doc_id=t.doc_id"""))
 def _(t):
     docs = t.documents.select("doc_id", "text", F.floor(F.col("doc_id") / 4).alias("part"), F.col("doc_id").alias("place"))
-    _, out = editing.concat_documents(docs, standoff(t.documents), "part", "place")
+    """``cut`` is the text of each moved span as the pieces of its joined document hold it."""
+    pieces, out = editing.concat_documents(docs, standoff(t.documents), "part", "place")
     ids = out.textbounds.groupBy("doc_id").agg(F.count_distinct("ann_id").alias("total"))
-    return out.textbounds.join(ids, "doc_id").select("doc_id", "start", "end", "text", "total")
+    cut = editing.cut_spans(out.textbounds, pieces).withColumnRenamed("text", "cut")
+    return out.textbounds.join(ids, "doc_id").join(cut, ["doc_id", "start", "end"]).select(
+        "doc_id", "start", "end", "text", "cut", "total")
 
 
 @plan("u15_match_spans", over_standoff(
