@@ -108,28 +108,63 @@ def _cuts(slim, weights, cap, share):
         with_bound(last, BROADCAST_ROWS),
         (F.struct("source") == F.col("key")) & (F.col("_mix_place.slice") == F.col("slice")),
     )
-    running = F.col("before") + F.sum("size").over(
-        Window.partitionBy("source").orderBy("_mix_place").rowsBetween(Window.unboundedPreceding, 0)
+    # Equal rows share a place; the last place may be taken by some of them only.
+    places = inside.groupBy("key", "slice", "before", "rest", "_mix_place", "size").agg(F.count(F.lit(1)).alias("equal"))
+    earlier = Window.partitionBy("key").orderBy("_mix_place").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("equal")).over(earlier), F.lit(0))
+    first = (used + F.col("size") - F.col("size") / 2 <= F.col("rest")).cast("long")
+    several = F.floor((F.col("rest") - used) / F.col("size") + 0.5)
+    several = F.least(F.greatest(several, F.lit(0)), F.col("equal"))
+    all_alike = (F.col("equal") == 1) | (F.col("size") == 0)
+    places = places.withColumn("equal_taken", F.when(all_alike, first * F.col("equal")).otherwise(several))
+    ends = places.groupBy("key", "slice").agg(
+        F.max(F.when(F.col("equal_taken") > 0, F.struct(F.col("_mix_place").alias("place"), "equal_taken", "equal"))).alias("end")
     )
-    taken = inside.withColumn("taken", running - F.col("size") / 2 <= F.col("rest"))
-    ends = taken.groupBy("key", "slice").agg(F.max(F.when(F.col("taken"), F.col("_mix_place"))).alias("end_place"))
     cuts = targets.join(ends, "key", "left")
     return cuts.select(
-        F.col("key").alias("_mix_key"), F.struct("source_size", "target", "epochs", "slice", "end_place").alias("_mix_cut")
+        F.col("key").alias("_mix_key"), F.struct("source_size", "target", "epochs", "slice", "end").alias("_mix_cut")
     )
 
 
+def _splits_equal(cut):
+    """Whether a row stands at the last place of its source's budget and only some of the rows equal to it are taken."""
+    there = F.col("_mix_place") == cut["end"]["place"]
+    return F.coalesce(there & (cut["end"]["equal_taken"] < cut["end"]["equal"]), F.lit(False))
+
+
 def _copies(cut):
     """How often the mix takes a row: the whole epochs, and once more before the end of the budget."""
     in_part = (
         cut["slice"].isNull()
         | (F.col("_mix_place.slice") < cut["slice"])
-        | F.coalesce(F.col("_mix_place") <= cut["end_place"], F.lit(False))
+        | F.coalesce(F.col("_mix_place") <= cut["end"]["place"], F.lit(False))
     )
     more = in_part & (cut["target"] > cut["epochs"] * cut["source_size"])
     return (cut["epochs"] + more.cast("long")).cast("int")
 
 
+def _with_copies(rows, cuts, key):
+    """``rows`` (with _mix_place) and their _mix_cut and _mix_copies.
+
+    Rows that are equal at the end of a budget are numbered, by the parts of a written table, and the first ones taken.
+    """
+    joined = rows.join(with_bound(cuts, BROADCAST_ROWS), key == F.col("_mix_key"))
+    cut = F.col("_mix_cut")
+    whole = joined.filter(~_splits_equal(cut)).withColumn("_mix_copies", _copies(cut))
+    if cuts.filter("_mix_cut.end.equal_taken < _mix_cut.end.equal").isEmpty():
+        return whole
+    equal = joined.filter(_splits_equal(cut)).withColumn("_mix_number", F.monotonically_increasing_id())
+    equal = cut_lineage(equal).withColumn("_mix_part", F.shiftright("_mix_number", 33))
+    sizes = equal.groupBy("_mix_key", "_mix_part").agg(F.count(F.lit(1)).alias("_mix_size"))
+    before = Window.partitionBy("_mix_key").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_mix_key", "_mix_part", F.coalesce(F.sum("_mix_size").over(before), F.lit(0)).alias("_mix_base"))
+    in_part = F.row_number().over(Window.partitionBy("_mix_key", "_mix_part").orderBy("_mix_number"))
+    equal = equal.withColumn("_mix_number", in_part).join(bases, ["_mix_key", "_mix_part"])
+    first = F.col("_mix_base") + F.col("_mix_number") <= cut["end"]["equal_taken"]
+    equal = equal.withColumn("_mix_copies", (cut["epochs"] + first.cast("long")).cast("int"))
+    return whole.unionByName(equal.select(*whole.columns))
+
+
 def _planned(documents, quality, weights, cap, share, values, seed):
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     drawn = _drawn(rows, quality, values, seed).withColumn("size", words(F.col("text").cast("string")))
@@ -143,13 +178,12 @@ def mix_plan(documents, quality=None, weights=WEIGHTS, cap=CAP, share=1.0, value
     size counts ``[^\\x20\\x09-\\x0D]+``, 0 for a null text; taken = copies * size. The partial epoch ends where the sum
     is nearest to the target, so a source misses its target by half a document at most. ``quality`` (doc_id, quality)
     gives the weights of ``values``; documents without a label weigh 1. A null source is a source of its own, the last
-    one. Rows equal in doc_id and text are taken or left together; documents without words have taken 0. Draws depend on
-    doc_id and ``seed`` only, so reruns agree. Further columns are ignored; an empty table gives an empty result.
+    one. Of rows equal in doc_id and text where the budget ends, as many are taken as fit; documents without words have
+    taken 0. Draws depend on doc_id and ``seed`` only, so reruns agree. Further columns are ignored; an empty table gives an empty result.
     """
     slim, cuts = _planned(documents, quality, weights, cap, share, values, seed)
-    joined = slim.join(with_bound(cuts, BROADCAST_ROWS), F.struct("source") == F.col("_mix_key"))
-    cut = F.col("_mix_cut")
-    copies = _copies(cut)
+    joined = _with_copies(slim, cuts, F.struct("source"))
+    cut, copies = F.col("_mix_cut"), F.col("_mix_copies")
     return joined.select(
         "doc_id", "size", cut["source_size"].alias("source_size"), cut["target"].alias("target"),
         (copies * F.col("size")).alias("taken"), copies.alias("copies"),
@@ -164,6 +198,6 @@ def mix(documents, quality=None, weights=WEIGHTS, cap=CAP, share=1.0, values=QUA
     _, cuts = _planned(documents, quality, weights, cap, share, values, seed)
     drawn = _drawn(documents, quality, values, seed)
     key = F.struct(F.col("source").cast("string").alias("source"))
-    joined = drawn.join(with_bound(cuts, BROADCAST_ROWS), key == F.col("_mix_key"))
-    repeated = F.explode(F.array_repeat(F.lit(0), _copies(F.col("_mix_cut"))))
+    joined = _with_copies(drawn, cuts, key)
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies")))
     return joined.withColumn("_mix_copy", repeated).select(*[F.col(f"`{c}`") for c in documents.columns])
