@@ -28,6 +28,7 @@ SEEDS = tuple(
     "pills poker porn sex slots spam tracker viagra warez xxx".split()
 )
 LONGEST_WORD = 24
+RUN_CHARACTERS = 1 << 15
 SEED_COUNT = 100
 SMOOTHING = 1.0
 BROADCAST_ROWS = 1_000_000
@@ -63,26 +64,45 @@ def _names(text):
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\p{N}+)"), 1)
 
 
-def _pieces(batches):
-    """(name, start, end, word) of all parts of a name up to the longest word."""
-    for batch in batches:
-        for name in batch.column("name").to_pylist():
-            data = np.frombuffer(name.encode("utf-32-le"), dtype=np.uint32)
-            n = len(data)
-            start = np.concatenate([np.full(min(LONGEST_WORD, n - i), i) for i in range(n)])
-            end = start + np.concatenate([np.arange(1, min(LONGEST_WORD, n - i) + 1) for i in range(n)])
-            words = [name[a:b] for a, b in zip(start, end)]
-            for a in range(0, n and len(words), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(words[part])),
-                        pa.array(start[part], pa.int64()),
-                        pa.array(end[part], pa.int64()),
-                        pa.array(A.as_long(_word_hashes(words[part]))),
-                    ],
-                    ["name", "start", "end", "word"],
-                )
+def _runs_of_names(batch, most):
+    """(first row, names, UTF-8 bytes, byte offset of every character, character offsets of names) of runs of names."""
+    names = batch.column("name").to_pylist()
+    first = 0
+    while first < len(names):
+        last, held = first, 0
+        while last < len(names) and (last == first or held + len(names[last]) <= most):
+            held += len(names[last])
+            last += 1
+        data = np.frombuffer("".join(names[first:last]).encode(), dtype=np.uint8)
+        starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        yield first, names[first:last], data, starts, np.cumsum([0] + [len(x) for x in names[first:last]])
+        first = last
+
+
+def _part_hashes(data, starts, bounds, low, high, longest):
+    """For each length up to ``longest``: places in [low, high) from which that many characters lie in one name, hashes."""
+    ends = bounds[np.searchsorted(bounds, np.arange(low, high), "right")] if high > low else bounds[:0]
+    # Hashes only depend on the bytes of the part, so the bytes of the stretch are enough.
+    edge = min(high + longest, len(starts) - 1)
+    stretch, shift = data[starts[low] : starts[edge]], starts[low]
+    for n in range(1, longest + 1):
+        at = np.arange(low, high)
+        at = at[at + n <= ends]
+        yield n, at, A.span_hashes(stretch, starts[at] - shift, starts[at + n] - shift)
+
+
+def _parts(longest):
+    """(word): hashes of all parts of names up to ``longest`` characters, each once per run of names."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, starts, bounds in _runs_of_names(batch, RUN_CHARACTERS):
+                for low in range(0, bounds[-1], RUN_CHARACTERS):
+                    high = min(low + RUN_CHARACTERS, bounds[-1])
+                    for _, _, found in _part_hashes(data, starts, bounds, low, high, longest):
+                        yield pa.RecordBatch.from_arrays([pa.array(A.as_long(np.unique(found)))], ["word"])
+
+    return A.lean(run)
 
 
 def _word_hashes(words):
@@ -125,49 +145,114 @@ def _word_counts(known):
     return run
 
 
-def best_split(name, counts, total):
-    """The most probable split of ``name``; counts: {(start, end): count} of the words known in it."""
-    n = len(name)
-    if n == 0:
-        return []
-    best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-    for end in range(1, n + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
-            count = counts.get((start, end), 0)
-            word = np.log(count / total) if count else np.log(1 / total) - 2.5 * (end - start)
-            if best[start] + word > best[end]:
-                best[end], back[end] = best[start] + word, start
-    words, end = [], n
-    while end:
-        words.append(name[back[end] : end])
-        end = back[end]
-    return words[::-1]
-
-
-def _split_names(total):
+def _splits(names, data, starts, bounds, words, counts, total, longest):
+    """The most probable split of each name; ``words`` are sorted hashes with their ``counts``.
+
+    Viterbi over the characters of the run: weights of all parts that start in a stretch are looked up at once, and the
+    best split up to a place follows from those of the places before it.
+    """
+    size = int(bounds[-1])
+    best, back = np.full(size + 1, -np.inf), np.zeros(size + 1, dtype=np.int64)
+    best[bounds[:-1]] = 0.0
+    unknown = np.log(1 / total) - 2.5 * np.arange(longest + 1)
+    logs = np.log(counts / total)
+    for low in range(0, size, RUN_CHARACTERS):
+        high = min(low + RUN_CHARACTERS, size)
+        # Row: place a part starts at, from the longest that may reach back; column: its length.
+        base = max(low - longest, 0)
+        weight = np.full((high - base, longest + 1), -np.inf)
+        for n, at, found in _part_hashes(data, starts, bounds, base, high, longest):
+            value = np.full(len(at), unknown[n])
+            if len(words):
+                place = np.minimum(np.searchsorted(words, found), len(words) - 1)
+                hit = words[place] == found
+                value[hit] = logs[place[hit]]
+            weight[at - base, n] = value
+        name = np.searchsorted(bounds, np.arange(low + 1, high + 1), "left") - 1
+        for end, begin in zip(range(low + 1, high + 1), bounds[name].tolist()):
+            first = max(begin, end - longest)
+            rows = np.arange(first, end)
+            found = best[first:end] + weight[rows - base, end - rows]
+            if first == begin:  # the split of a name starts anew; its first place also ends the name before it
+                found[0] = weight[begin - base, end - begin]
+            k = int(np.argmax(found))
+            best[end], back[end] = found[k], first + k
+    out = []
+    for name, begin, end in zip(names, bounds[:-1].tolist(), bounds[1:].tolist()):
+        cut = [end - begin]
+        while cut[-1]:
+            cut.append(int(back[begin + cut[-1]]) - begin)
+        out.append([name[a:b] for b, a in zip(cut[-2::-1], cut[:0:-1])])
+    return out
+
+
+def best_split(name, words, total, longest=LONGEST_WORD):
+    """The most probable split of one name; ``words``: {word: count}."""
+    keys = _word_hashes(list(words)) if words else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(keys)
+    counts = np.array(list(words.values()), dtype=np.int64)[order]
+    batch = pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+    (_, names, *run_of), = _runs_of_names(batch, RUN_CHARACTERS)
+    return _splits(names, *run_of, keys[order], counts, total, longest)[0]
+
+
+def _split_names(words, counts, total, longest):
     def run(batches):
         for batch in batches:
-            out = []
-            for name, known in zip(batch.column("name").to_pylist(), batch.column("known").to_pylist()):
-                counts = {(k["start"], k["end"]): k["n"] for k in known or ()}
-                out.append(best_split(name, counts, total))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"]
-            )
+            for first, names, *run_of in _runs_of_names(batch, RUN_CHARACTERS):
+                out = _splits(names, *run_of, words, counts, total, longest)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("name").slice(first, len(names)), pa.array(out, pa.list_(pa.string()))], ["name", "words"]
+                )
 
-    return run
+    return A.lean(run)
+
+
+def _split_known(total, longest):
+    """As :func:`_split_names` for names that bring the words known in them, as hashes with counts."""
+
+    def run(batches):
+        for batch in batches:
+            known = batch.column("known").to_pylist()
+            for row, (_, names, *run_of) in enumerate(_runs_of_names(batch, 0)):
+                pairs = sorted((k["word"] & ((1 << 64) - 1), k["n"]) for k in known[row] or ())
+                words = np.array([w for w, _ in pairs], dtype=np.uint64)
+                counts = np.array([n for _, n in pairs], dtype=np.int64)
+                out = _splits(names, *run_of, words, counts, total, longest)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names), pa.array(out, pa.list_(pa.string()))], ["name", "words"]
+                )
+
+    return A.lean(run)
+
+
+def _named_parts(longest):
+    """(name, word): as :func:`_parts`, with the name; each part once per name."""
+
+    def run(batches):
+        for batch in batches:
+            for _, names, data, starts, bounds in _runs_of_names(batch, 0):
+                for low in range(0, bounds[-1], RUN_CHARACTERS):
+                    high = min(low + RUN_CHARACTERS, bounds[-1])
+                    for _, _, found in _part_hashes(data, starts, bounds, low, high, longest):
+                        words = pa.array(A.as_long(np.unique(found)))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(names[0], len(words)), words], ["name", "word"])
+
+    return A.lean(run)
 
 
-def segment(names: DataFrame, pages: DataFrame, seeds=SEEDS) -> DataFrame:
+def segment(names: DataFrame, pages: DataFrame, seeds=SEEDS, longest=LONGEST_WORD, held=BROADCAST_ROWS) -> DataFrame:
     """(name, words): the most probable split of every row of ``names`` (distinct, non-empty ``name``).
 
-    Word counts are taken over all ``pages`` (html); ``seeds`` count as if they had occurred ``SEED_COUNT`` times more.
+    Word counts are taken over all ``pages`` (html); ``seeds`` count as if they had occurred ``SEED_COUNT`` times more. A
+    word has at most ``longest`` characters; longer runs come out as several words. Up to ``held`` different words that
+    are both part of a name and on a page are sent to all tasks; beyond that each name gets its own by a join, with the
+    same result.
     """
     spark = names.sparkSession
-    pieces = cut_lineage(names.mapInArrow(_pieces, "name string, start long, end long, word long"))
-    wanted = pieces.select("word").distinct()
+    wanted = cut_lineage(names.mapInArrow(_parts(longest), "word long").distinct())
     known = None
-    if is_small(wanted, BROADCAST_ROWS):
+    if is_small(wanted, held):
         known = np.sort(A.as_hash([r["word"] for r in wanted.collect()]))  # bounded by the check
     texts = pages.filter("html IS NOT NULL").select(F.col("html").cast("string").alias("html"))
     counted = texts.mapInArrow(_word_counts(known), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -177,10 +262,19 @@ def segment(names: DataFrame, pages: DataFrame, seeds=SEEDS) -> DataFrame:
     extra = spark.createDataFrame(
         [(int(w), SEED_COUNT) for w in A.as_long(_word_hashes(list(seeds)))], "word long, n long"
     )
-    weights = counted.filter("word <> 0").union(extra).groupBy("word").agg(F.sum("n").alias("n"))
-    found = pieces.join(weights, "word").groupBy("name").agg(F.collect_list(F.struct("start", "end", "n")).alias("known"))
+    weights = counted.filter("word <> 0").join(wanted, "word", "left_semi").union(extra)
+    weights = cut_lineage(weights.groupBy("word").agg(F.sum("n").alias("n")))
+    if is_small(weights, held):
+        rows = sorted((r["word"] & ((1 << 64) - 1), r["n"]) for r in weights.collect())  # bounded by the check
+        words = np.array([w for w, _ in rows], dtype=np.uint64)
+        counts = np.array([n for _, n in rows], dtype=np.int64)
+        return names.select("name").mapInArrow(
+            _split_names(words, counts, total, longest), "name string, words array<string>"
+        )
+    parts = names.select("name").mapInArrow(_named_parts(longest), "name string, word long").distinct()
+    found = parts.join(weights, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     return names.join(found, "name", "left").select("name", "known").mapInArrow(
-        _split_names(total), "name string, words array<string>"
+        _split_known(total, longest), "name string, words array<string>"
     )
 
 
