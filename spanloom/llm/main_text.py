@@ -57,6 +57,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
+_TAIL = re.compile(r"[^<]+|<")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…¿¡«»“”]")
@@ -93,24 +94,64 @@ def _named(tag, attributes):
     return step, side
 
 
+class _Open:
+    """The open elements of a page, innermost last. Every question about them is answered without going through them."""
+
+    def __init__(self):
+        self.tags, self.numbers = [], []
+        self.places, self.fences = {}, []  # places of each tag, and of the elements an implied end does not pass
+
+    def push(self, tag, number):
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in FENCES:
+            self.fences.append(len(self.tags))
+        self.tags.append(tag)
+        self.numbers.append(number)
+
+    def _cut(self, place):
+        for tag in self.tags[place:]:
+            self.places[tag].pop()
+            if tag in FENCES:
+                self.fences.pop()
+        del self.tags[place:], self.numbers[place:]
+
+    def end(self, tag):
+        """An end tag closes the innermost element of its name with all inside."""
+        if self.places.get(tag):
+            self._cut(self.places[tag][-1])
+
+    def close(self, names):
+        """An implied end closes the innermost element of one of the names, unless a fence stands inside of it."""
+        place = max((self.places[n][-1] for n in names if self.places.get(n)), default=None)
+        if place is not None and (not self.fences or self.fences[-1] <= place):
+            self._cut(place)
+
+
 class _Page:
-    """Text nodes of one page: text, block number, path, chain of elements, whether inside a link."""
+    """Elements and text nodes of one page.
+
+    Elements are numbered from 1 in page order, so an element and what it holds have the numbers ``e`` to ``last[e]``. A
+    text node has the number of its element, its block and its path; what holds for all inside of an element (link,
+    heading, paragraph) is noted at the element. Sizes of elements are sums from the last number to the first.
+    """
 
     def __init__(self, source):
-        self.texts, self.blocks, self.paths, self.chains, self.linked = [], [], [], [], []
-        self.tags = [""]  # by element number
-        stack = []  # (tag, path, side, number)
-        sides = []  # per text node the elements around it that say they are no article
-        block = number = 0
+        self.texts, self.blocks, self.elements = [], [], []
+        self.tags, self.parents, self.path_of, self.sides = [""], [0], [0], [False]
+        self.in_link, self.in_heading, self.in_title, self.in_paragraph = [False], [False], [False], [False]
+        paths = {}
+        opened = _Open()
+        block = 0
+        tags_end = source.rfind(">")
         for found in _TOKEN.finditer(source):
+            if found.start() > tags_end:  # no tag can follow, whatever begins one
+                tail = source[found.start() :].split("<!--", 1)[0]
+                parts = _TAIL.findall(tail)
+                self._add(parts, block, opened)
+                break
             raw, end, tag, attributes, end2, tag2, attributes2, text = found.groups()
             if text is not None:
-                sides.append(tuple(e[3] for e in stack if e[2]))
-                self.texts.append(text)
-                self.blocks.append(block)
-                self.paths.append(stack[-1][1] if stack else "")
-                self.chains.append(tuple(e[3] for e in stack))
-                self.linked.append(any(e[0] == "a" for e in stack))
+                self._add([text], block, opened)
                 continue
             if tag is None:
                 tag, end, attributes = tag2, end2, attributes2
@@ -120,56 +161,80 @@ class _Page:
             if tag in BLOCKS:
                 block += 1
             if end:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                opened.end(tag)
                 continue
             if tag in ENDS_PARAGRAPH:
-                self._close(stack, {"p"})
+                opened.close({"p"})
             if tag in ENDS:
-                self._close(stack, ENDS[tag])
+                opened.close(ENDS[tag])
             if tag in VOID or attributes.endswith("/"):
                 continue
-            number += 1
-            self.tags.append(tag)
             step, side = _named(tag, attributes)
-            path = stack[-1][1] if stack else ""
-            stack.append((tag, f"{path}/{step}", side, number))
-        self._leave_out(sides)
+            parent = opened.numbers[-1] if opened.numbers else 0
+            opened.push(tag, len(self.tags))
+            self.tags.append(tag)
+            self.parents.append(parent)
+            self.sides.append(side)
+            self.path_of.append(paths.setdefault((self.path_of[parent], step), len(paths) + 1))
+            self.in_link.append(self.in_link[parent] or tag == "a")
+            self.in_heading.append(self.in_heading[parent] or tag in HEADINGS)
+            self.in_title.append(self.in_title[parent] or tag == "h1")
+            self.in_paragraph.append(self.in_paragraph[parent] or step.startswith("p"))
+        self.last = np.arange(len(self.tags))
+        for e in range(len(self.tags) - 1, 0, -1):
+            self.last[self.parents[e]] = max(self.last[self.parents[e]], self.last[e])
+        self._leave_out()
+
+    def _add(self, texts, block, opened):
+        self.texts += texts
+        self.blocks += [block] * len(texts)
+        self.elements += [opened.numbers[-1] if opened.numbers else 0] * len(texts)
 
-    def _leave_out(self, sides):
+    def sums(self, values):
+        """Per element the sum of ``values`` (one per text node) over all text inside of it."""
+        out = np.bincount(self.elements, values, minlength=len(self.tags)) if self.elements else np.zeros(len(self.tags))
+        out = out.tolist()
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return np.array(out)
+
+    def within(self, element):
+        """Whether each text node lies in the element."""
+        at = np.array(self.elements, dtype=np.int64)
+        return (at >= element) & (at <= self.last[element])
+
+    def _leave_out(self):
         """Drops the text nodes inside of side elements, and blanks before the first one that stays."""
-        size = [0 if a else len(t) - t.count(" ") for t, a in zip(self.texts, self.linked)]
-        held = {}
-        for n, around in zip(size, sides):
-            for e in around:
-                held[e] = held.get(e, 0) + n
-        large = {e for e, n in held.items() if 2 * n > sum(size)}
+        linked = [self.in_link[e] for e in self.elements]
+        size = np.array([0 if a else len(t) - t.count(" ") for t, a in zip(self.texts, linked)], dtype=float)
+        held = self.sums(size)
+        large = {e for e, side in enumerate(self.sides) if side and held[e] > 0 and 2 * held[e] > size.sum()}
+        small = [False] * len(self.tags)  # inside a side element that is not large
+        for e in range(1, len(self.tags)):
+            small[e] = small[self.parents[e]] or (self.sides[e] and e not in large)
         released = set()
+        named = np.array([e for e, tag in enumerate(self.tags) if tag in ("article", "main")], dtype=np.int64)
+        if large and len(named):
+            free = self.sums(np.where([small[e] for e in self.elements], 0.0, size))
         for e in large:
-            named = {}
-            for n, chain, around in zip(size, self.chains, sides):
-                if e not in chain and not set(around) - large:
-                    for x in chain:
-                        if self.tags[x] in ("article", "main"):
-                            named[x] = named.get(x, 0) + n
-            if 4 * max(named.values(), default=0) < held[e]:
+            elsewhere = 0.0
+            if len(named):
+                # What an article holds outside of e: all, nothing if it lies in e, all but e if e lies in it.
+                around = (named <= e) & (self.last[named] >= e)
+                inside = (named > e) & (named <= self.last[e])
+                elsewhere = float(np.where(inside, 0.0, free[named] - np.where(around, free[e], 0.0)).max())
+            if 4 * elsewhere < held[e]:
                 released.add(e)
-        keep = [i for i, around in enumerate(sides) if released.issuperset(around)]
+        gone = [False] * len(self.tags)
+        for e in range(1, len(self.tags)):
+            gone[e] = gone[self.parents[e]] or (self.sides[e] and e not in released)
+        keep = [i for i, e in enumerate(self.elements) if not gone[e]]
         first = next((k for k, i in enumerate(keep) if not self.texts[i].isspace()), len(keep))
-        for name in ("texts", "blocks", "paths", "chains", "linked"):
+        for name in ("texts", "blocks", "elements"):
             column = getattr(self, name)
             setattr(self, name, [column[i] for i in keep[first:]])
-
-    @staticmethod
-    def _close(stack, names):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in FENCES:
-                return
+        self.linked = [self.in_link[e] for e in self.elements]
+        self.paths = [self.path_of[e] for e in self.elements]
 
 
 def path_scores(page):
@@ -177,7 +242,7 @@ def path_scores(page):
     clean = [html.unescape(t) if "&" in t else t for t in page.texts]
     length = np.array([len(t) - t.count(" ") for t in clean], dtype=float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t in clean], dtype=float)
-    names, path = np.unique(np.array(page.paths, dtype=object).astype(str), return_inverse=True)
+    _, path = np.unique(page.paths, return_inverse=True)
     count = np.bincount(path)
     total = np.bincount(path, length)
     ratio, punctuation = total / count, np.bincount(path, marks) / count
@@ -192,33 +257,32 @@ def path_scores(page):
 
 def _article(page, chosen, length):
     """The article or main element with nearly all text of the content paths, or the least container with all of it."""
-    inside, nodes = {}, {}
-    places = np.flatnonzero(chosen)
-    for i in places:
-        for element in page.chains[i]:
-            inside[element] = inside.get(element, 0.0) + length[i]
-            nodes[element] = nodes.get(element, 0) + 1
+    inside, nodes = page.sums(np.where(chosen, length, 0.0)), page.sums(chosen.astype(float))
     wanted = COVER * length[chosen].sum()
     for tag in ("article", "main"):
-        named = [e for e, size in inside.items() if size >= wanted and page.tags[e] == tag]
-        if named:
-            best = max(named)
-            outside = (page.chains[i] for i in places if best not in page.chains[i])
-            if not any(page.tags[e] == tag and e not in named for chain in outside for e in chain):
+        all_of = np.array([e for e, t in enumerate(page.tags) if t == tag], dtype=np.int64)
+        named = all_of[inside[all_of] >= wanted]
+        if len(named):
+            best = int(named.max())
+            others = all_of[(inside[all_of] < wanted) & (nodes[all_of] > 0)]
+            if ((others > best) & (others <= page.last[best])).all():
                 return best
-    return max((e for e, n in nodes.items() if n == len(places) and page.tags[e] in CONTAINERS), default=None)
+    full = np.flatnonzero(nodes == chosen.sum())
+    return max((int(e) for e in full if page.tags[e] in CONTAINERS), default=None)
 
 
 def _headings_before(page, article, first):
     """Text nodes of the headings right before the article, or of the last main heading before one that has none."""
-    tags = [{page.tags[e] for e in chain} for chain in page.chains[:first]]
     out, i = [], first - 1
-    while i >= 0 and (tags[i] & HEADINGS or page.texts[i].isspace()):
-        out += [i] if tags[i] & HEADINGS else []
+    while i >= 0 and (page.in_heading[page.elements[i]] or page.texts[i].isspace()):
+        out += [i] if page.in_heading[page.elements[i]] else []
         i -= 1
-    within = (chain for chain in page.chains[first:] if article in chain)
-    if page.tags[article] not in ("article", "main") and not any(page.tags[e] == "h1" for c in within for e in c):
-        titles = [i for i in range(first) if "h1" in tags[i] and not page.linked[i] and not page.texts[i].isspace()]
+    within = np.flatnonzero(page.within(article))
+    if page.tags[article] not in ("article", "main") and not any(page.in_title[page.elements[k]] for k in within):
+        titles = [
+            i for i in range(first)
+            if page.in_title[page.elements[i]] and not page.linked[i] and not page.texts[i].isspace()
+        ]
         if titles:
             out += [i for i in range(first) if page.blocks[i] == page.blocks[titles[-1]]]
     return set(out)
@@ -237,7 +301,7 @@ def main_text(source):
     if not chosen.any():
         return ""
     article = _article(page, chosen, length)
-    within = [i for i in range(len(clean)) if article is None or article in page.chains[i]]
+    within = list(range(len(clean))) if article is None else np.flatnonzero(page.within(article)).tolist()
     before = _headings_before(page, article, within[0]) if article is not None else set()
     places = np.flatnonzero(chosen)
     # All of an article element is its flow; elsewhere it goes from the first to the last content.
@@ -249,8 +313,8 @@ def main_text(source):
     out, last = [], None
     for i in sorted({*within, *before}):
         block = page.blocks[i]
-        if not (flow[0] <= i <= flow[1] or i in before or content[path[i]] or "/p" in page.paths[i]):
-            heading = any(page.tags[e] in HEADINGS for e in page.chains[i])
+        if not (flow[0] <= i <= flow[1] or i in before or content[path[i]] or page.in_paragraph[page.elements[i]]):
+            heading = page.in_heading[page.elements[i]]
             if not heading and total[block] and links[block] >= LINK_SHARE * total[block]:
                 continue
         if block == last:
