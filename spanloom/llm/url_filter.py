@@ -45,15 +45,18 @@ def split_url(url):
 
 
 def _host_rules(hosts, rules):
-    """(host, rules): for each host the rules that fit it or a domain above it, longest first."""
+    """(host_id, fit): for each host the rules that fit it or a domain above it, longest first."""
     rows = [(r, v, r.split("/", 1)[0], "/" + r.split("/", 1)[1] if "/" in r else "") for v, r in rules]
     table = hosts.sparkSession.createDataFrame(rows, "rule string, verdict string, domain string, start string")
     labels = F.split("host", r"\.")
+    # No rule fits by more labels than the longest one has.
+    most = max((domain.count(".") + 1 for _, _, domain, _ in rows), default=1)
     above = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    fitting = hosts.select("host", F.explode(above).alias("domain")).join(with_bound(table, BROADCAST_ROWS), "domain")
-    found = fitting.groupBy("host").agg(
+    fitting = hosts.select("host_id", F.explode(above).alias("domain")).join(with_bound(table, BROADCAST_ROWS), "domain")
+    found = fitting.groupBy("host_id").agg(
         F.sort_array(F.collect_list(F.struct(F.length("rule").alias("n"), "rule", "start", "verdict")), asc=False).alias("fit")
     )
     return found
@@ -293,15 +296,16 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """
     host, path = split_url(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = cut_lineage(rows)
-    # All work on words is done once for each distinct host and each distinct path with its numbers left out.
-    shape = F.regexp_replace("path", r"\p{N}+", "0")
-    hosts = cut_lineage(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
-    shapes = cut_lineage(rows.groupBy("host", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n")))
-    paths = shapes.select("shape").distinct()
-
-    parts = hosts.select("host", F.posexplode(_names(F.col("host"))).alias("at", "name"))
-    tails = paths.select("shape", F.posexplode(_names(F.col("shape"))).alias("at", "name"))
+    # All work on words is done once for each distinct host and each distinct path with its numbers left out. Rows of
+    # single words carry a digest of these, as a host or path may be very long.
+    pattern = F.regexp_replace("path", r"\p{N}+", "0")
+    rows = cut_lineage(rows.withColumns({"host_id": F.md5(F.col("host").cast("binary")), "shape": F.md5(pattern.cast("binary"))}))
+    hosts = cut_lineage(rows.groupBy("host_id").agg(F.first("host").alias("host"), F.count(F.lit(1)).alias("n")))
+    shapes = cut_lineage(rows.groupBy("host_id", "shape").agg(F.count(F.lit(1)).alias("n")))
+    paths = rows.groupBy("shape").agg(F.first(pattern).alias("pattern"))
+
+    parts = hosts.select("host_id", F.posexplode(_names(F.col("host"))).alias("at", "name"))
+    tails = paths.select("shape", F.posexplode(_names(F.col("pattern"))).alias("at", "name"))
     names = parts.select("name").union(tails.select("name")).distinct()
     words = cut_lineage(segment(names, pages, seeds))
 
@@ -309,15 +313,16 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
         found = df.join(words, "name").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("all"))
         return found.select(key, F.flatten(F.col("all.words")).alias("words"))
 
-    host_words = cut_lineage(hosts.join(joined(parts, "host"), "host", "left").select(
-        "host", F.coalesce("words", F.array().cast("array<string>")).alias("words")
+    host_words = cut_lineage(hosts.select("host_id").join(joined(parts, "host_id"), "host_id", "left").select(
+        "host_id", F.coalesce("words", F.array().cast("array<string>")).alias("words")
     ))
     seeded = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds]))
-    labelled = host_words.select("host", seeded.cast("int").alias("bad"), _tokens(F.col("words"), "h:").alias("tokens"))
-    path_tokens = paths.join(joined(tails, "shape"), "shape").select("shape", _tokens(F.col("words"), "p:").alias("tokens"))
+    labelled = host_words.select("host_id", seeded.cast("int").alias("bad"), _tokens(F.col("words"), "h:").alias("tokens"))
+    path_tokens = joined(tails, "shape").select("shape", _tokens(F.col("words"), "p:").alias("tokens"))
+    path_tokens = cut_lineage(path_tokens)
 
-    by_host = hosts.join(labelled, "host")
-    by_path = shapes.join(labelled.select("host", "bad"), "host").groupBy("shape", "bad").agg(F.sum("n").alias("n"))
+    by_host = hosts.select("host_id", "n").join(labelled, "host_id")
+    by_path = shapes.join(labelled.select("host_id", "bad"), "host_id").groupBy("shape", "bad").agg(F.sum("n").alias("n"))
     heard = by_host.select("bad", "n", F.explode("tokens").alias("token")).unionByName(
         by_path.join(path_tokens, "shape").select("bad", "n", F.explode("tokens").alias("token"))
     )
@@ -343,11 +348,11 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
         found = df.select(key, F.explode("tokens").alias("token")).join(table, "token")
         return found.groupBy(key).agg(F.sum("odds").alias(name))
 
-    fit = _host_rules(hosts.select("host"), rules)
-    host_side = host_words.join(scored(labelled, "host", "host_odds"), "host", "left").join(fit, "host", "left")
+    fit = _host_rules(hosts.select("host_id", "host"), rules)
+    host_side = host_words.join(scored(labelled, "host_id", "host_odds"), "host_id", "left").join(fit, "host_id", "left")
     host_side = cut_lineage(host_side)
     path_side = cut_lineage(scored(path_tokens, "shape", "path_odds"))
-    out = rows.withColumn("shape", shape).join(with_bound(host_side, BROADCAST_ROWS), "host", "left")
+    out = rows.join(with_bound(host_side, BROADCAST_ROWS), "host_id", "left")
     out = out.join(with_bound(path_side, BROADCAST_ROWS), "shape", "left")
     longest = F.get(F.filter("fit", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0))
     total = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
