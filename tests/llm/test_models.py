@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,7 +141,12 @@ def test_neighbours_count_repeated_rows_once(spark, copies):
 
 
 def test_neighbours_recall(spark):
-    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    r = np.random.default_rng(12)
+    centers = r.normal(size=(40, 32))
+    vectors = centers[r.integers(0, 40, 12_000)] + 0.5 * r.normal(size=(12_000, 32))
+    table = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))], "vec_id long, embedding array<float>"
+    )
     query = F.col("vec_id") % 400 == 0
     found = neighbours.search(table, query)
     assert neighbours.recall(found, neighbours.exact_search(table, query)) >= 0.9
@@ -226,7 +232,6 @@ def test_urls(spark):
 @pytest.mark.parametrize("name", ["thecat", "abcab", "x", "catthethe"])
 def test_best_split_equals_all_splits(name):
     words = {"the": 50, "cat": 20, "a": 30, "ab": 10, "cab": 7, "he": 9, "t": 4, "b": 1}
-    counts = {(i, j): words[name[i:j]] for i, j in itertools.combinations(range(len(name) + 1), 2) if name[i:j] in words}
 
     def cost(split):
         return sum(np.log(words[w] / 1000) if w in words else np.log(1 / 1000) - 2.5 * len(w) for w in split)
@@ -235,4 +240,56 @@ def test_best_split_equals_all_splits(name):
     for cuts in itertools.product([0, 1], repeat=len(name) - 1):
         places = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
         splits.append([name[a:b] for a, b in zip(places, places[1:])])
-    assert abs(cost(url_filter.best_split(name, counts, 1000)) - max(map(cost, splits))) < 1e-9
+    assert abs(cost(url_filter.best_split(name, words, 1000)) - max(map(cost, splits))) < 1e-9
+
+
+@pytest.mark.parametrize("longest,run", [(24, 1 << 15), (5, 7), (24, 10)])
+def test_splits_of_runs_equal_the_plain_recurrence(monkeypatch, longest, run):
+    """Names next to each other, and stretches of any length, don't change a split."""
+    monkeypatch.setattr(url_filter, "RUN_CHARACTERS", run)
+    r = random.Random(2)
+    words = {"".join(r.choice("abé") for _ in range(r.randrange(1, 5))): r.randrange(1, 500) for _ in range(25)}
+
+    def plain(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            options = []
+            for start in range(max(0, end - longest), end):
+                word = name[start:end]
+                value = np.log(words[word] / 1000) if word in words else np.log(1 / 1000) - 2.5 * len(word)
+                options.append((best[start][0] + value, -start, [*best[start][1], word]))
+            top = max(options, key=lambda o: (o[0], o[1]))
+            best.append((top[0], top[2]))
+        return best[-1]
+
+    names = ["".join(r.choice("abé") for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    keys = url_filter._word_hashes(list(words))
+    order = np.argsort(keys)
+    counts = np.array(list(words.values()))[order]
+    batch = pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+    for _, part, *run_of in url_filter._runs_of_names(batch, 100):
+        for name, found in zip(part, url_filter._splits(part, *run_of, keys[order], counts, 1000, longest)):
+            assert "".join(found) == name
+            value = sum(np.log(words[w] / 1000) if w in words else np.log(1 / 1000) - 2.5 * len(w) for w in found)
+            assert abs(value - plain(name)[0]) < 1e-9
+
+
+def test_segment_alike_with_and_without_a_held_vocabulary(spark):
+    pages = spark.createDataFrame([("<p>the cat sat on the mat and the dog</p>",)] * 3, "html string")
+    names = spark.createDataFrame([("thecatsat",), ("dogmat",), ("x" * 50,), ("ondog" * 30,)], "name string")
+    one, two = (
+        sorted(map(tuple, url_filter.segment(names, pages, held=held).select("name", F.array_join("words", " ")).collect()))
+        for held in (10**6, 3)
+    )
+    assert one == two and ("thecatsat", "the cat sat") in one
+
+
+def test_a_url_of_a_megabyte_is_judged(spark):
+    long = "http://host.org/" + "houseandgarden" * 70_000
+    page = "<p>" + "the house and garden " * 5 + "</p>"
+    rows_of = [(1, long, page), (2, "http://the.org/" + "q" * 20_000, page),
+               (3, "http://" + "a." * 100_000 + "org/" + "b/" * 100_000, page)]
+    df = spark.createDataFrame(rows_of, "page_id long, url string, html string")
+    got = url_filter.judge(df).select("page_id", F.length("path"), F.length("host_words"), "verdict").collect()
+    assert sorted(r[:2] for r in map(tuple, got)) == [(1, 980_001), (2, 20_001), (3, 200_001)]
+    assert all(r["verdict"] in ("allow", "block") for r in got)

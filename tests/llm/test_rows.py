@@ -1,9 +1,11 @@
 """Mixing, shards, decontamination and page text against brute force and planted cases."""
 
 import html
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -62,6 +64,25 @@ def test_good_documents_are_taken_more_often(spark):
     assert shares[1] > 1.5 * shares[0]
 
 
+def test_mix_equal_rows_meet_the_target(spark):
+    """One source is mostly copies of one row: as many of them are taken as the budget has room for."""
+    data = [(1, "ten words " * 5, "en", "a", 1)] * 300 + [(i, "w%d " % i * 10, "en", "a", 1) for i in range(2, 102)]
+    data += [(1000 + i, "v%d " % i * 10, "en", "b", 1) for i in range(317)]
+    df = spark.createDataFrame(data, DOCUMENTS).repartition(5)
+    for seed in ("mix", "b", "c", "d"):
+        plan = mixing.mix_plan(df, seed=seed).join(df.select("doc_id", "source").distinct(), "doc_id").collect()
+        taken, target = Counter(), {}
+        for r in plan:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+            assert r["taken"] <= 3 * r["size"]
+        assert all(abs(taken[s] - target[s]) <= 10 for s in target)
+        copies = Counter((r["doc_id"], r["copies"]) for r in plan)
+        mixed = Counter(r["doc_id"] for r in mixing.mix(df, seed=seed).select("doc_id").collect())
+        assert mixed[1] == sum(n * c for (d, n), c in copies.items() if d == 1)
+    assert len({n for d, n in copies if d == 1}) <= 2
+
+
 def test_mix_odd_rows(spark, odd, nothing):
     wide = odd.withColumns({"slice": F.lit(1), "taken": F.lit("x")})
     plan = mixing.mix_plan(wide)
@@ -222,3 +243,19 @@ def test_main_text_equals_the_articles(spark):
         for tag in ("<p>", "</p>", "<h1>", "</h1>", "<br>"):
             plain = plain.replace(tag, " ")
         assert r["text"] == " ".join(html.unescape(plain).split())
+
+
+@pytest.mark.parametrize("page,words", [
+    ("<a '" * 250_000, None),
+    ("<a '" * 250_000 + ">", None),
+    ("<b>x" * 100_000, 1),
+    ("<b>x" * 50_000 + "</i>" * 50_000 + "<h1>y</h1>" * 50_000, None),
+    ("<p><td>" + "<b>" * 50_000 + "<h1></h1>" * 50_000, 0),
+    ("<nav>x" * 10_000 + "<article>y" * 10_000, None),
+    ("<!--" + "<p>some words, here.</p>" * 20_000, 0),
+])
+def test_broken_pages_end_within_seconds(page, words):
+    begun = time.time()
+    found = main_text.main_text(page)
+    assert time.time() - begun < 20
+    assert words is None or len(found.split()) == words
