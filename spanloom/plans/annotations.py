@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from spanloom.operators import searching, selecting, spans, textual
-from spanloom.plans.derived import ENTITY_TYPES, TYPES, over_standoff, second_textbounds, standoff, textbounds, widened
+from spanloom.plans.derived import (
+    ENTITY_TYPES, TYPES, only_spans, over_standoff, second_textbounds, standoff, textbounds, widened,
+)
 from spanloom.plans.registry import plan
 from spanloom.session import cut_lineage
 
@@ -228,9 +230,9 @@ def _(t):
  AND x.ann_id<>w.ann_id AND x.type='Person' AND x.st>=w.st AND x.en<=w.en)""",
     "tx AS (SELECT * FROM tw WHERE type<>'Person' UNION ALL SELECT doc_id, ann_id, type, st, en, text FROM t WHERE type='Person')"))
 def _(t):
-    so = standoff(t.documents)
-    wide = widened(so.textbounds.filter("type <> 'Person'"), t.documents)
-    so = so.with_tables(textbounds=wide.unionByName(so.textbounds.filter("type = 'Person'")))
+    ann = cut_lineage(textbounds(t.documents))
+    wide = widened(ann.filter("type <> 'Person'"), t.documents)
+    so = only_spans(wide.unionByName(ann.filter("type = 'Person'")))
     found = searching.search_entities(so, "e", ["Place", "Org"], nested=["Person"], mode="regex")
     return searching.order_matches(found).select("doc_id", "ann_id", "start", "end")
 
@@ -289,8 +291,7 @@ def _(t):
   substring(d.text, st+1, en-st) AS hit, substring(d.text, en+1, 50) AS right_context
 FROM t JOIN documents d USING (doc_id) WHERE type='Person'"""))
 def _(t):
-    so = standoff(t.documents)
-    found = searching.search_entities(so, restrict=["Person"])
+    found = searching.search_entities(only_spans(textbounds(t.documents)), restrict=["Person"])
     return searching.concordance(found, t.documents).select(
         "doc_id", "ann_id", "left_context", "hit", "right_context")
 

@@ -7,7 +7,7 @@ Every table grows with the documents.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.model import Standoff, textbound
+from spanloom.model import ARGS, Standoff, textbound
 from spanloom.operators.textual import occurrences, split_with_offsets
 from spanloom.session import cut_lineage
 
@@ -118,6 +118,20 @@ def standoff(docs) -> Standoff:
     return Standoff(t, relations, events, attributes, normalizations, equivs, notes)
 
 
+def only_spans(t) -> Standoff:
+    """Annotations of which only the text-bounds ``t`` matter."""
+    empty = {
+        "relations": "type string, arg1_role string, arg1 string, arg2_role string, arg2 string",
+        "events": f"type string, trigger string, args {ARGS}",
+        "attributes": "type string, target string, value string",
+        "normalizations": "type string, target string, refdb string, refid string, reftext string",
+        "equivs": "type string, members array<string>",
+        "notes": "type string, target string, note string",
+    }
+    key = f"doc_id {t.schema['doc_id'].dataType.simpleString()}, ann_id string, line_no bigint"
+    return Standoff(t, **{k: t.sparkSession.createDataFrame([], f"{key}, {v}") for k, v in empty.items()})
+
+
 def second_textbounds(t):
     """A second annotator: some spans missing, some retyped."""
     other = F.when(F.col("start") % 13 == 0, F.lit("Other")).otherwise(F.col("type"))

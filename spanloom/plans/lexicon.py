@@ -7,6 +7,7 @@ from spanloom.operators import logs, metrics, norms, ontology, similarity
 from spanloom.operators.textual import whitespace_tokens
 from spanloom.plans.derived import TYPES, over_standoff, standoff, textbounds
 from spanloom.plans.registry import plan
+from spanloom.session import cut_lineage
 from spanloom.plans.texts import WS_TOKENS
 from spanloom.sources import conll, dictionary, markup
 from spanloom.sources import standoff as S
@@ -323,7 +324,7 @@ def _predicted(t):
     from spanloom.operators.textual import lines_with_offsets
     from spanloom.plans.derived import second_textbounds
 
-    ann = textbounds(t.documents).drop("line_no")
+    ann = cut_lineage(textbounds(t.documents).drop("line_no"))
     second = second_textbounds(ann).select("doc_id", "ann_id", F.col("type").alias("second"))
     rows = annotations_to_lines(ann, lines_with_offsets(t.documents)).join(second, ["doc_id", "ann_id"], "left")
     aggs = []
