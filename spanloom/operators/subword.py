@@ -1,12 +1,9 @@
 """Byte-pair merges: counting pairs, learning, encoding."""
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import quoted
 from spanloom.session import cut_lineage
 
 END = "</w>"
@@ -37,11 +34,20 @@ def pair_counts(vocab: DataFrame) -> DataFrame:
     return rows.groupBy("p.first", "p.second").agg(F.sum("freq").alias("freq"))
 
 
-def merge_pair(symbols, first: str, second: str):
-    """Every occurrence of the pair written as one symbol; only whole symbols count."""
-    pattern = "(?<!\\S)" + quoted(f"{first} {second}") + "(?!\\S)"
-    joined = re.sub(r"([\\$])", r"\\\1", first + second)
-    return F.regexp_replace(symbols, pattern, joined)
+def _apart(symbols):
+    """Symbols with blanks of their own on both sides, so that a pair is a plain piece of text and repeats don't overlap."""
+    return F.concat(F.lit(" "), F.replace(symbols, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def _together(apart):
+    return F.replace(F.trim(apart), F.lit("  "), F.lit(" "))
+
+
+def merge_pairs(apart, pairs):
+    """Every occurrence of each pair, from the left, written as one symbol."""
+    for first, second in pairs:
+        apart = F.replace(apart, F.lit(f" {first}  {second} "), F.lit(f" {first}{second} "))
+    return apart
 
 
 def _comes_first(tied, pair, chosen):
@@ -86,34 +92,31 @@ def learn_merges(vocab: DataFrame, k: int, look_ahead=1000):
     several characters that the vocabulary starts with.
     """
     merges, rounds = [], 0
-    vocab = cut_lineage(vocab.select("symbols", "freq"))
-    symbols = vocab.select(F.explode(F.split("symbols", " ")).alias("s")).filter(F.length("s") > 1).distinct()
+    vocab = cut_lineage(vocab.select(_apart(F.col("symbols")).alias("word"), "freq"))
+    symbols = vocab.select(F.explode(F.split(_together(F.col("word")), " ")).alias("s")).filter(F.length("s") > 1).distinct()
     known = {r["s"] for r in symbols.collect()}
-    counts = cut_lineage(pair_counts(vocab))
+    counts = cut_lineage(pair_counts(vocab.select(_together(F.col("word")).alias("symbols"), "freq")))
     while len(merges) < k:
         top = counts.orderBy(F.desc("freq"), "first", "second").limit(look_ahead).collect()
         run = _safe_run([tuple(r) for r in top], k - len(merges), known)
         if not run:
             break
         merges += run
-        wanted = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in run])
-        touched = F.contains("symbols", F.lit(" ")) & F.arrays_overlap(_pairs_of("symbols"), wanted)
-        merged = F.col("symbols")
-        for pair in run:
-            merged = merge_pair(merged, *pair)
+        merged = merge_pairs(F.col("word"), run)
         if len(merges) < k:
+            touched = vocab.select("word", merged.alias("merged"), "freq").filter("word <> merged")
             both = F.array(
-                F.struct("symbols", (-F.col("freq")).alias("freq")), F.struct(merged.alias("symbols"), F.col("freq").alias("freq"))
+                F.struct(F.col("word").alias("w"), (-F.col("freq")).alias("freq")),
+                F.struct(F.col("merged").alias("w"), F.col("freq").alias("freq")),
             )
-            change = vocab.filter(touched).select(F.explode(both).alias("c")).select("c.symbols", "c.freq")
+            change = touched.select(F.explode(both).alias("c")).select(_together(F.col("c.w")).alias("symbols"), "c.freq")
             counts = counts.unionByName(pair_counts(change)).groupBy("first", "second").agg(F.sum("freq").alias("freq"))
             counts = cut_lineage(counts.filter("freq > 0"))
-        # Words without such a pair pass through unchanged; each pattern reads the one before it once.
-        vocab = vocab.select(merged.alias("symbols"), "freq")
+        vocab = vocab.select(merged.alias("word"), "freq")
         rounds += 1
         if rounds % ROUNDS_PER_CUT == 0:
             vocab = cut_lineage(vocab)
-    return merges, vocab
+    return merges, vocab.select(_together(F.col("word")).alias("symbols"), "freq")
 
 
 def _encode_word(word, ranks):

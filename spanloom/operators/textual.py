@@ -371,4 +371,4 @@ def sentence_newlines(docs: DataFrame, sentence_table: DataFrame) -> DataFrame:
             (i > 0) & F.rlike(F.substring(p, 1, 1), F.lit("^\\s")), F.concat(F.lit("\n"), F.substr(p, F.lit(2)))
         ).otherwise(p),
     )
-    return joined.withColumn("text", F.array_join(marked, "")).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(marked, ""))).select(*docs.columns)

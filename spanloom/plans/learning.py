@@ -13,7 +13,7 @@ from spanloom.operators import subword
 from spanloom.plans.lexicon import LOG_SQL
 from spanloom.plans.registry import plan
 from spanloom.plans.stores import articles, sql
-from spanloom.session import ensure_checkpoint_dir
+from spanloom.session import ensure_checkpoint_dir, spread
 
 TFIDF_SQL = r"""
 tk AS (SELECT doc_id, regexp_extract_all(translate(lower(text), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ','AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
@@ -52,7 +52,8 @@ VOCAB_SQL = r"""wc AS (SELECT w, count(*) AS freq FROM (SELECT unnest(string_spl
 
 
 def _words(t):
-    return t.documents.select(F.explode(F.split("text", "\\s+")).alias("word")).filter("word <> ''")
+    texts = spread(t.documents.select("text"))
+    return texts.select(F.explode(F.split("text", "\\s+")).alias("word")).filter("word <> ''")
 
 
 @plan("a18_pair_counts", "WITH " + VOCAB_SQL + r""", s AS (SELECT w, freq, unnest(generate_series(1, length(w))) AS i FROM wc)
