@@ -28,15 +28,14 @@ SAMPLE_QUERIES = 256
 RECALL = 0.955
 CHUNK_ROWS = 16384
 QUERY_ROWS = 16384
-LEAST_VISITED = 4000
 
 
 class Index:
     """Projections, occupied buckets with their first chunk and number of chunks, and the share of rows to visit."""
 
-    def __init__(self, dimension, scale, seed=7):
+    def __init__(self, dimension, scale, least, seed=7):
         rng = np.random.default_rng(seed)
-        self.scale = scale
+        self.scale, self.least = scale, least
         self.lines = rng.normal(size=(dimension + 1, TABLES * HASHES))
         self.offsets = rng.uniform(0, WIDTH, size=TABLES * HASHES)
         self.share = 1.0
@@ -79,7 +78,7 @@ class Index:
         rows = np.concatenate([counts for _, counts in buckets])
         order = np.argsort(cost, axis=1, kind="stable")
         upto = np.cumsum(rows[order], axis=1)
-        wanted = max(self.share * rows.sum(), min(LEAST_VISITED * TABLES, rows.sum()))
+        wanted = max(self.share * rows.sum(), min(self.least * TABLES, rows.sum()))
         place = np.minimum((upto < wanted).sum(axis=1), len(rows) - 1)
         return np.take_along_axis(cost, np.take_along_axis(order, place[:, None], 1), 1)[:, 0]
 
@@ -255,13 +254,15 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
 
 
-def search(embeddings: DataFrame, is_query, k=20) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k=20, least_visited=0) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which the Column ``is_query`` holds.
 
     ``embeddings`` has (vec_id, embedding). Nearness is the inner product in double precision, ties go to the smaller
     vec_id, and a row is never its own neighbour. Rows with the same vec_id count as one vector whose score is the best
     of theirs. Vectors that are null, zero, hold a null or non-finite number, or have another length than most take no
-    part. Queries with fewer than ``k`` candidates get all of them. Further columns are ignored; an empty table gives an
+    part. Queries with fewer than ``k`` candidates get all of them. A query visits the fitted share of the rows, but at
+    least ``least_visited`` rows, and in any case more than ``k``; a number above the table's size gives exact results.
+    Further columns are ignored; an empty table gives an
     empty result.
     """
     spark = embeddings.sparkSession
@@ -276,7 +277,7 @@ def search(embeddings: DataFrame, is_query, k=20) -> DataFrame:
     if shape is None or shape["n"] < 2:
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("vector") == shape["d"])
-    index = Index(shape["d"], shape["norm"])
+    index = Index(shape["d"], shape["norm"], max(least_visited, k + 1))
 
     drawn = rows.filter(draw_of(F.col("vec_id")) < F.lit(min(1.0, SAMPLE / shape["n"]))).limit(2 * SAMPLE)
     sample = drawn.toPandas().sort_values("vec_id").drop_duplicates("vec_id")["vector"].tolist()  # about SAMPLE rows
