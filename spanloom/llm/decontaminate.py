@@ -182,8 +182,11 @@ class _Reading:
         return A.as_long(words).tolist()
 
 
-def _item_windows(window):
-    """Windows of an item in every reading; a reading with fewer tokens is one window."""
+def _item_windows(window, least_tokens):
+    """Windows of an item in every reading; a reading with fewer tokens is one window.
+
+    Fewer than five tokens are no template, only the very tokens of an item that has at least ``least_tokens``.
+    """
 
     def run(batches):
         for batch in batches:
@@ -196,7 +199,8 @@ def _item_windows(window):
                     read = _Reading(number, *tokens)
                     length = np.bincount(read.row, minlength=len(offsets) - 1)
                     starts = np.concatenate([[0], np.cumsum(length)])
-                    for size in np.unique(np.minimum(length[length >= LITERALS], window)).tolist():
+                    least = max(least_tokens, 1) if number == EXACT else LITERALS
+                    for size in np.unique(np.minimum(length[length >= least], window)).tolist():
                         at, hashed = read.windows(size)
                         mine = np.minimum(length[read.row[at]], window) == size
                         at, hashed = at[mine], hashed[mine]
@@ -324,14 +328,16 @@ def _matched(min_windows, window):
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_windows=MIN_WINDOWS) -> DataFrame:
+def contaminated(
+    documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_windows=MIN_WINDOWS, least_tokens=1
+) -> DataFrame:
     """One row per (doc_id, item_id) where the document holds the item's question, maybe with other values.
 
     n_windows counts the item's windows found in order, as a template or token by token whatever the case, item_windows all
     it has, n_slots the distinct values behind placeholders; exact tells whether all values are the item's own. A match
     needs ``min_windows`` windows (all of an item that has fewer) at the same distance, in runs whose values are
     consistent, and five different literal words in them or the whole item. Windows without a literal word only match token by
-    token, and items with fewer than five tokens are no evidence. Items with equal texts are reported under the least
+    token, and so do items with fewer than five tokens, as a whole; those with fewer than ``least_tokens`` are left out. Items with equal texts are reported under the least
     item_id. Null texts hold nothing; rows without doc_id are left out, repeated rows count once; further columns are
     ignored; empty tables give an empty result.
     """
@@ -339,7 +345,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_
         F.min("item_id").cast("long").alias("item_id")
     )
     items = items.toDF("text", "item_id").select("item_id", "text")
-    asked = cut_lineage(items.mapInArrow(_item_windows(window), _ITEM_SCHEMA))
+    asked = cut_lineage(items.mapInArrow(_item_windows(window, least_tokens), _ITEM_SCHEMA))
     # At most ``window`` rows for each reading.
     kinds = sorted((r["reading"], r["size"]) for r in asked.select("reading", "size").distinct().collect())
 
@@ -369,10 +375,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_
     )
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_windows=MIN_WINDOWS):
-    """``documents`` without those that hold a benchmark question; all columns stay, rows without doc_id are kept."""
+def without_contaminated(
+    documents: DataFrame, benchmark: DataFrame, window=WINDOW, min_windows=MIN_WINDOWS, least_tokens=LITERALS, least_found=1
+):
+    """``documents`` without those that hold a benchmark question; all columns stay, rows without doc_id are kept.
+
+    Questions of one to four words stand in many texts by chance, so here they are left out unless ``least_tokens`` says
+    otherwise. ``least_found`` is the number of windows a document has to share with a question to go.
+    """
     key = fresh(documents, "leak")
-    found = cut_lineage(
-        contaminated(documents, benchmark, window, min_windows).select(F.col("doc_id").alias(key)).distinct()
-    )
+    found = contaminated(documents, benchmark, window, min_windows, least_tokens).filter(F.col("n_windows") >= least_found)
+    found = cut_lineage(found.select(F.col("doc_id").alias(key)).distinct())
     return documents.join(with_bound(found, BROADCAST_IDS), F.col("doc_id").cast("long") == F.col(key), "left_anti")
