@@ -114,7 +114,7 @@ def test_neighbours_small_tables_are_exact(spark):
     odd = [(1000, None, 1), (1020, [0.0] * 6, 1), (1040, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (1060, [float("nan")] * 6, 1),
            (1080, [float("inf")] * 6, 1), (1100, [1.0], 1), (None, [1.0] * 6, 1)]
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>, score int")
-    got = neighbours.search(df, F.col("vec_id") % 20 == 0).collect()
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0, least_visited=1000).collect()
     keep = [i for i in range(300) if vectors[i].any()]
     want = exact_neighbours(keep, vectors.astype(np.float64)[keep])
     found = {}
@@ -127,6 +127,17 @@ def test_neighbours_small_tables_are_exact(spark):
     assert few.count() == 3
 
 
+@pytest.mark.parametrize("rows", [25, 60, 500, 3000])
+def test_neighbours_of_small_tables_come_from_the_index(spark, rows):
+    """No size is searched whole for the sake of its size; what is found suffices at all of them."""
+    r = np.random.default_rng(rows)
+    centers = r.normal(size=(10, 16))
+    vectors = centers[r.integers(0, 10, rows)] + 0.6 * r.normal(size=(rows, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))], "vec_id long, embedding array<float>")
+    query = F.col("vec_id") % 20 == 0
+    assert neighbours.recall(neighbours.search(df, query), neighbours.exact_search(df, query)) >= 0.9
+
+
 @pytest.mark.parametrize("copies", [2, 25])
 def test_neighbours_count_repeated_rows_once(spark, copies):
     r = np.random.default_rng(6)
@@ -134,7 +145,7 @@ def test_neighbours_count_repeated_rows_once(spark, copies):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     repeated = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     got = {}
-    for x in neighbours.search(repeated, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for x in neighbours.search(repeated, F.col("vec_id") % 20 == 0, least_visited=1000).orderBy("query_id", "rank").collect():
         got.setdefault(x["query_id"], []).append(x["vec_id"])
     want = exact_neighbours(range(100), vectors.astype(np.float64))
     assert got == {q: [v for v, _ in found] for q, found in want.items()}

@@ -152,6 +152,22 @@ CASED = ("The teacher Maria asked whether the clever Ines and the quiet Pablo wo
          "before the winter began")
 
 
+def test_short_questions_match_as_a_whole(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "Osmosis"), (3, "two plus two"), (4, "?!")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, text(1, 40) + " who wrote HAMLET? " + text(2, 40)), (2, "Who wrote the Hamlet"), (3, "About osmosis."),
+         (4, "Two plus, two!"), (5, "2 plus 2"), (6, "")], "doc_id long, text string")
+    assert rows(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "exact") == [(1, 1, True), (3, 2, True), (4, 3, True)]
+    assert rows(decontaminate.contaminated(docs, bench, least_tokens=3), "doc_id", "item_id") == [(1, 1), (4, 3)]
+    assert decontaminate.without_contaminated(docs, bench).count() == 6
+    assert rows(decontaminate.without_contaminated(docs, bench, least_tokens=2), "doc_id") == [(2,), (3,), (5,), (6,)]
+    many = [(10, " ".join(["a", "b"] + [f"word{i}" for i in range(20)]))]
+    long = spark.createDataFrame([(9, many[0][1][:60])], "item_id long, text string")
+    held = spark.createDataFrame(many, "doc_id long, text string")
+    assert decontaminate.without_contaminated(held, long).count() == 0
+    assert decontaminate.without_contaminated(held, long, least_found=50).count() == 1
+
+
 def test_decontamination_finds_copies_in_any_case(spark):
     bench = spark.createDataFrame([(1, CASED)], "item_id long, text string")
     copies = [CASED.upper(), CASED.title(), CASED.lower(), CASED]
