@@ -41,8 +41,8 @@ def _draw(key, name, weight, seed):
 def _chosen(key, names, weights, results, seed):
     """The result of the child with the least draw; children of weight 0 are never chosen."""
     live = [(n, w, r) for n, w, r in zip(names, weights, results) if w > 0]
-    if len(live) == 1:
-        return live[0][2]
+    if len(live) < 2:
+        return live[0][2] if live else None
     draws = [F.struct(_draw(key, n, w, seed).alias("draw"), F.lit(i).alias("child")) for i, (n, w, _) in enumerate(live)]
     child = F.array_min(F.array(*draws))["child"]
     out = live[-1][2]
