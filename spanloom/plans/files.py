@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from spanloom.plans.registry import plan
+from spanloom.plans.texts import CLEAN_SQL
 from spanloom.session import ensure_checkpoint_dir
 from spanloom.sources import reports, standoff, tables
 
@@ -49,12 +50,11 @@ def _(t):
     return tables.read_url_list(t.spark, folder)
 
 
-@plan("k08_write_sample", "SELECT count(*) AS lines FROM documents")
+@plan("k08_write_sample", f"SELECT value FROM (SELECT {CLEAN_SQL} AS value FROM documents) WHERE value <> ''")
 def _(t):
-    """The sample's lines, written with an empty annotation file next to them, and counted from the files."""
+    """The sample's lines, written with an empty annotation file next to them, and read from both files."""
     name = reports.write_sample(t.documents, "text", _folder(t, "sample"), "ana", 10, 1)
-    written = t.spark.read.text([f"{name}.txt", f"{name}.ann"])
-    return written.filter("value <> ''").agg(F.count(F.lit(1)).alias("lines"))
+    return t.spark.read.text([f"{name}.txt", f"{name}.ann"], lineSep="\n").filter("value <> ''")
 
 
 @plan("u05_batch_callback", "SELECT url FROM pages WHERE starts_with(url, 'https://') ORDER BY url LIMIT 20")

@@ -13,6 +13,7 @@ from spanloom.operators import subword
 from spanloom.plans.lexicon import LOG_SQL
 from spanloom.plans.registry import plan
 from spanloom.plans.stores import articles, sql
+from spanloom.plans.texts import CLEAN_SQL
 from spanloom.session import ensure_checkpoint_dir, spread
 
 TFIDF_SQL = r"""
@@ -180,9 +181,7 @@ def _(t):
     return out.select(*performance.columns, F.array_join("sources", ",").alias("sources"), "analysis_rows")
 
 
-@plan("k08_sample_lines", r"""
-SELECT concat(regexp_replace(replace(regexp_replace(regexp_replace(replace(translate(lower(text), 'úùüóòíìéèáà', 'uuuooiieeaa'), 'ñ', 'gn'),
-  '[.\-:,?]', ' ', 'g'), 'http.+', ' ', 'g'), chr(10), ''), '[^\x00-\x7F]', '', 'g'), chr(10)) AS value FROM documents ORDER BY md5(concat(CAST(doc_id AS varchar), ':42')) LIMIT 100""")
+@plan("k08_sample_lines", f"SELECT concat({CLEAN_SQL}, chr(10)) AS value FROM documents ORDER BY md5(concat(CAST(doc_id AS varchar), ':42')) LIMIT 100")
 def _(t):
     from spanloom.sources.reports import sample_lines
 

@@ -3,12 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import weighted_similarity
 from spanloom.operators import logs, metrics, norms, ontology, similarity
 from spanloom.operators.textual import whitespace_tokens
 from spanloom.plans.derived import TYPES, over_standoff, standoff, textbounds
 from spanloom.plans.registry import plan
-from spanloom.session import cut_lineage
 from spanloom.plans.texts import WS_TOKENS
+from spanloom.session import cut_lineage
 from spanloom.sources import conll, dictionary, markup
 from spanloom.sources import standoff as S
 
@@ -142,6 +143,14 @@ SELECT p_name, p_type, w.r[len(w.b) + 1]::BIGINT AS distance,
 FROM fin w JOIN fin l USING (p_name, p_type) WHERE w.kind = 'whole' AND l.kind = 'local'"""
 
 
+@plan("c11_weighted_similarity", f"""SELECT p_name, p_type, round(1 - distance / (100.0 * greatest(length(p_name), length(p_type))), 6)::DOUBLE
+  AS similarity FROM ({WEIGHTED_SQL})""")
+def _(t):
+    pairs = t.part.select("p_name", "p_type").distinct()
+    distance = similarity.weighted_distance(F.col("p_name"), F.col("p_type"))
+    return pairs.select("p_name", "p_type", F.round(weighted_similarity(distance, F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+
+
 @plan("j12_weighted_distance", WEIGHTED_SQL)
 def _(t):
     pairs = t.part.select("p_name", "p_type").distinct()
@@ -410,13 +419,15 @@ def _(t):
 
 
 # Files rebuilt from the tables and read back.
-@plan("k04_standoff_lines", over_standoff(
-    """SELECT doc_id, concat(ann_id, chr(9), type, ' ', st, ' ', en, chr(9), text) AS line FROM t
+LINES_SQL = """SELECT doc_id, concat(ann_id, chr(9), type, ' ', st, ' ', en, chr(9), text) AS line FROM t
 UNION ALL SELECT doc_id, concat(ann_id, chr(9), 'near Arg1:', arg1, ' Arg2:', arg2) FROM r
 UNION ALL SELECT doc_id, concat(ann_id, chr(9), 'Action:', trig, CASE WHEN theme IS NULL THEN '' ELSE concat(' Theme:', theme) END, CASE WHEN cause IS NULL THEN '' ELSE concat(' Cause:', cause) END) FROM e
 UNION ALL SELECT doc_id, concat(ann_id, chr(9), 'flag ', target) FROM a UNION ALL SELECT doc_id, concat(ann_id, chr(9), 'AnnotatorNotes ', target, chr(9), note) FROM n
 UNION ALL SELECT doc_id, concat('*', chr(9), 'Equiv ', arg1, ' ', arg2) FROM r
-UNION ALL SELECT doc_id, concat(ann_id, chr(9), 'Reference ', target, ' LEX:', refid, chr(9), reftext) FROM nm"""))
+UNION ALL SELECT doc_id, concat(ann_id, chr(9), 'Reference ', target, ' LEX:', refid, chr(9), reftext) FROM nm"""
+
+
+@plan("k04_standoff_lines", over_standoff(LINES_SQL))
 def _(t):
     return S.standoff_lines(standoff(t.documents)).select("doc_id", "line")
 
@@ -439,11 +450,12 @@ def _(t):
 
 
 @plan("k06_split_by_type", over_standoff(
-    "SELECT part, count(*) AS n FROM (SELECT CASE WHEN type IN ('Person','Org') THEN 'a1' ELSE 'a2' END AS part FROM t UNION ALL SELECT 'a2' FROM r UNION ALL SELECT 'a2' FROM r UNION ALL SELECT 'a2' FROM e UNION ALL SELECT 'a2' FROM a UNION ALL SELECT 'a2' FROM n UNION ALL SELECT 'a2' FROM nm) GROUP BY part"))
+    r"""SELECT doc_id, line, CASE WHEN regexp_extract(line, '^[^#\t][^\t]*\t([^\s:]+)', 1) IN ('Person', 'Org') THEN 'a1' ELSE 'a2' END AS part FROM lines""",
+    "lines AS (" + LINES_SQL + ")"))
 def _(t):
     lines = S.standoff_lines(standoff(t.documents))
     mapping = S.type_map(["Person", "Org"], [S.DEFAULT_TYPE])
-    return S.split_by_type(lines, mapping).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return S.split_by_type(lines, mapping).select("doc_id", "line", "part")
 
 
 def _bio(t):
@@ -498,17 +510,24 @@ def _(t):
 
 @plan("s14_read_conllx", r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text,chr(10)),1) AS s, unnest(string_split(text,chr(10))) AS line FROM documents),
-w AS (SELECT doc_id, s, unnest(regexp_extract_all(line, '\S+')) AS w FROM l)
-SELECT doc_id, count(*) AS tokens, sum(length(w))::BIGINT AS chars FROM w WHERE NOT starts_with(w, '#') GROUP BY doc_id""")
-def _(t):
-    blank = F.lit("_")
+w0 AS (SELECT doc_id, s, regexp_extract_all(line, '\S+') AS ws FROM l),
+w AS (SELECT doc_id, s, generate_subscripts(ws,1) AS i, unnest(ws) AS w FROM w0)
+SELECT b.doc_id, CASE WHEN b.i = 1 THEN 'ROOT' ELSE h.w END AS head, b.w AS dependent, CASE WHEN b.i = 1 THEN 'root' ELSE 'after' END AS type
+FROM w b LEFT JOIN w h ON h.doc_id = b.doc_id AND h.s = b.s AND h.i = b.i - 1
+WHERE NOT starts_with(b.w, '#') AND (b.i = 1 OR NOT starts_with(h.w, '#'))""")
+def _(t):
+    """Every word hangs on the word before it, the first one on the root."""
+    blank, number = F.lit("_"), F.col("i").cast("string")
     line = F.when(F.startswith("w", F.lit("#")), F.lit("# a comment")).otherwise(F.concat_ws(
         "\t", (F.col("i") + 1).cast("string"), F.regexp_replace("w", "\\s", ""), blank, blank, F.lit("N<N>"), blank,
-        F.when(F.col("i") == 0, F.lit("0")).otherwise(F.lit("_")), F.lit("root"), blank, blank))
-    docs, toks, rels = conll.read_conllx(_column_lines(t, line))
+        number, F.when(F.col("i") == 0, F.lit("root")).otherwise(F.lit("after")), blank, blank))
+    _, toks, rels = conll.read_conllx(_column_lines(t, line))
+    toks, rels = cut_lineage(toks), cut_lineage(rels)
+    heads = toks.select("doc_id", F.col("ann_id").alias("arg1"), F.col("text").alias("head"))
+    words = toks.select("doc_id", F.col("ann_id").alias("arg2"), F.col("text").alias("dependent"))
     base = F.regexp_extract("doc_id", "^(.*)-doc-[0-9]+$", 1).cast("long")
-    return toks.filter("text <> 'ROOT'").groupBy(base.alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum(F.length("text")).alias("chars"))
+    return rels.join(heads, ["doc_id", "arg1"]).join(words, ["doc_id", "arg2"]).select(
+        base.alias("doc_id"), "head", "dependent", "type")
 
 
 @plan("s15_malt_to_conllx", r"""

@@ -9,6 +9,10 @@ from spanloom.plans.registry import plan
 
 TW = "doc_id, text"
 
+# A cleaned post on one line without characters beyond ASCII.
+CLEAN_SQL = r"""regexp_replace(replace(regexp_replace(regexp_replace(replace(translate(lower(text), 'úùüóòíìéèáà', 'uuuooiieeaa'), 'ñ', 'gn'),
+  '[.\-:,?]', ' ', 'g'), 'http.+', ' ', 'g'), chr(10), ''), '[^\x00-\x7F]', '', 'g')"""
+
 
 @plan(
     "s03_lines_with_offsets",
