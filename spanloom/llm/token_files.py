@@ -37,7 +37,7 @@ from spanloom.session import cut_lineage, ensure_checkpoint_dir
 
 END_ID = 2
 NO_ID = -(1 << 63)
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 1_000_000
 TEXTS_AT_ONCE = 1 << 20  # bytes
 U = np.uint64
 
@@ -129,7 +129,7 @@ class Encoder:
 
     def _forget(self):
         self.names = np.zeros(0, dtype=U)
-        self.begin, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.begin, self.count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def whole(self, text):
@@ -138,7 +138,8 @@ class Encoder:
     def _learn(self, names, pieces):
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.array([len(x) for x in found], dtype=np.int64)
-        begin = len(self.ids) + np.cumsum(count) - count
+        begin = (len(self.ids) + np.cumsum(count) - count).astype(np.int32)
+        count = count.astype(np.int32)
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
         at = np.searchsorted(self.names, names)
         self.names = np.insert(self.names, at, names)
@@ -166,16 +167,17 @@ class Encoder:
         starts = np.flatnonzero(_piece_starts(points, rows))
         ends = np.append(starts[1:], len(points))
         names, example, which = np.unique(A.span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        if len(self.names) + len(names) > self.cached:
-            self._forget()
         at = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
         new = self.names[at] != names if len(self.names) else np.ones(len(names), dtype=bool)
+        before = self.names, self.begin, self.count, self.ids
         if new.any():
             self._learn(names[new], [joined[starts[i] : ends[i]] for i in example[new]])
         at = np.searchsorted(self.names, names)[which]
-        count = self.count[at]
+        count = self.count[at].astype(np.int64)
         total = np.cumsum(count)
         ids = self.ids[np.repeat(self.begin[at] - (total - count), count) + np.arange(total[-1])]
+        if len(self.names) > self.cached:  # full: the pieces met first, the frequent ones among them, stay
+            self.names, self.begin, self.count, self.ids = before
         upto = np.concatenate([[0], total])[np.searchsorted(starts, rows)]
         return ids, np.diff(upto)
 
@@ -226,7 +228,7 @@ def _writer(folder, definition, end_id):
             ["part", "documents", "tokens", "width"],
         )
 
-    return run
+    return A.lean(run)
 
 
 def write_token_files(documents: DataFrame, definition: str, folder: str = None, end_id=END_ID) -> str:
