@@ -51,11 +51,13 @@ def spread(df: DataFrame, bytes_per_core=64 << 20) -> DataFrame:
     """``df`` dealt out to all cores if it is small; a large table is left as it is read.
 
     A small table often lies in one file that a single task reads, and all work on its rows would stay there. Beyond
-    ``bytes_per_core`` a table has enough parts of its own, and its texts are not worth moving. A table of unknown size, or
-    a stream, is left alone.
+    ``bytes_per_core``, or with a file for each core, a table has enough parts of its own, and its texts are not worth
+    moving. A table of unknown size, or a stream, is left alone.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= cores * bytes_per_core else df
+    if size > cores * bytes_per_core or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)

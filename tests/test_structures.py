@@ -7,7 +7,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from spanloom.operators import editing, features, ontology, subword
+from spanloom.operators import editing, features, mentions, ontology, subword
+from spanloom.session import spread
 from spanloom.sources import standoff as S
 
 
@@ -185,3 +186,23 @@ def test_terms_are_counted_in_their_rows(spark):
         for n in (1, 2, 3):
             one.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
     assert got == sorted(((1, t, n) for t, n in one.items()), key=repr)
+
+
+# Work stays where the rows are
+def test_only_small_tables_in_few_files_are_dealt_out(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).repartition(16).write.parquet(f"{tmp_path}/many")
+    one, many = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("one", "many"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many and spread(one, bytes_per_core=0) is one
+    assert spread(spark.createDataFrame([(1,)], "id int").rdd.toDF()).count() == 1
+
+
+def test_marked_texts_and_terms_move_no_text(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some marked text").alias("text")).repartition(16).write.parquet(
+        f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = mentions.mentions(docs, spark.createDataFrame([("marked",), ("some",)], "text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    assert found.count() == 80
