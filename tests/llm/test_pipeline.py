@@ -49,4 +49,4 @@ def test_stages_take_odd_rows_and_nothing(spark, odd, nothing):
 def test_names():
     names = entry.queries()
     assert {"pipeline", *QUERIES} <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
