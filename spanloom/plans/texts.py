@@ -32,8 +32,8 @@ def _(t):
 def _(t):
     toks = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     placed = textual.running_offsets(toks, "doc_id", "i", "w")
-    same = F.substr("text", (F.col("start") + 1).cast("int"), F.length("w")) == F.col("w")
-    return placed.join(t.documents.select("doc_id", "text"), "doc_id").select(
+    same = textual.text_at(F.col("blocks"), F.col("start"), F.length("w")) == F.col("w")
+    return placed.join(t.documents.select("doc_id", textual.text_blocks(F.col("text")).alias("blocks")), "doc_id").select(
         "doc_id", "i", "start", "end", same.alias("same")
     )
 
@@ -206,10 +206,10 @@ def _(t):
 @plan("c15_treebank_tokens")
 def _(t):
     toks = textual.tokens(t.documents, "treebank")
-    same = F.substr("text", (F.col("start") + 1).cast("int"), F.length("token")) == F.col("token")
+    same = textual.text_at(F.col("blocks"), F.col("start"), F.length("token")) == F.col("token")
     return (
         toks.withColumnRenamed("text", "token")
-        .join(t.documents.select("doc_id", "text"), "doc_id")
+        .join(t.documents.select("doc_id", textual.text_blocks(F.col("text")).alias("blocks")), "doc_id")
         .select("doc_id", "token_no", "start", "end", "token", same.alias("same"))
     )
 
