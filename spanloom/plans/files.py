@@ -68,6 +68,8 @@ def _(t):
     url = F.replace("url", F.lit("&"), F.lit("&amp;"))
     entry = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), url, F.lit("</loc></url></urlset>"))
     store = ParquetStore(t.spark, f"{folder}/articles")
+    # Nothing may be handed over; the table is there all the same.
+    t.spark.createDataFrame([], "url string").write.parquet(f"{folder}/handed")
     discover_urls(
         _stream(t, "pages").select(entry.alias("xml")), store, f"{folder}/progress", limit=20, prefix="https://",
         on_batch=lambda urls: urls.select("url").write.mode("append").parquet(f"{folder}/handed"),
