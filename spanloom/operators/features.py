@@ -1,11 +1,15 @@
 """Text features: TF-IDF as a table and as vectors, and masked token rows."""
 
+import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+import pyarrow.compute as pc
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.text import TYPE_ACCENTS, language_model_text
 from spanloom.session import cut_lineage, spread
@@ -63,33 +67,137 @@ def count_ngrams(low, high, terms_at_once=1 << 16):
     return run
 
 
+def _total_ngrams(n, parts, rows_at_once=1024):
+    """Rows (term, total, df) of the n-grams of token arrays, summed over many texts before they leave the task.
+
+    With ``parts``, only n-grams that both begin and end with one of these are counted.
+    """
+    often = None if parts is None else pa.array(parts, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), rows_at_once):
+                tokens = batch.column("tokens").slice(at, rows_at_once)
+                words = tokens.flatten().dictionary_encode()
+                place = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+                # Numbers of the grams at each place, and the grams they stand for, one word longer in each step.
+                gram, terms = words.indices.to_numpy().astype(np.int64), words.dictionary.cast(pa.string())
+                word, names, size = gram, terms, max(1, len(terms))
+                for length in range(2, n + 1):
+                    inside = place[length - 1 :] == place[: len(place) - length + 1]
+                    if often is not None and length == n:
+                        known = pc.is_in(terms, often).to_numpy(zero_copy_only=False)
+                        inside = inside & known[gram[:-1]] & known[gram[1:]] if len(terms) else inside
+                    pairs = np.where(inside, gram[: len(inside)] * size + word[length - 1 :], -1)
+                    kept, gram = np.unique(pairs, return_inverse=True)
+                    left, right = np.maximum(kept, 0) // size, np.maximum(kept, 0) % size
+                    terms = pc.binary_join_element_wise(terms.take(pa.array(left)), names.take(pa.array(right)), " ")
+                    terms = pc.if_else(pa.array(kept >= 0), terms, pa.scalar(None, pa.string()))
+                if not len(gram):
+                    continue
+                total = np.bincount(gram, minlength=len(terms))
+                pairs = np.unique(place[: len(gram)] * len(terms) + gram)
+                seen = np.bincount(pairs % len(terms), minlength=len(terms))
+                made = pa.RecordBatch.from_arrays([terms, pa.array(total, pa.int64()), pa.array(seen, pa.int64())], ["term", "total", "df"])
+                yield made.filter(terms.is_valid())
+
+    return run
+
+
+def _ngrams(words, n):
+    return words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n))))
+
+
+MAX_PARTS = 500_000
+
+
+def _most_frequent(texts: DataFrame, ngram, max_features) -> DataFrame:
+    """(term, total, df) of the most frequent n-grams of token arrays, exactly.
+
+    An n-gram is no more frequent than the n-grams one word shorter inside it. So once ``max_features`` terms are known,
+    longer ones are only counted where both shorter ones are as frequent as the last of these. If too many are to send them
+    to the tasks, all are counted.
+    """
+    texts, best, parts = cut_lineage(texts), None, None
+    for n in range(ngram[0], ngram[1] + 1):
+        counted = texts.mapInArrow(_total_ngrams(n, parts), "term string, total long, df long")
+        found = cut_lineage(counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")))
+        best = found if best is None else best.unionByName(found)
+        best = cut_lineage(best.orderBy(F.desc("total"), "term").limit(max_features))
+        bound = best.agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
+        parts = None
+        if bound["n"] == max_features and n < ngram[1]:
+            often = [r[0] for r in found.filter(F.col("total") >= bound["least"]).select("term").limit(MAX_PARTS + 1).collect()]
+            parts = often if len(often) <= MAX_PARTS else None
+    return best
+
+
+def _weigh(low, high, idf):
+    """Rows (key, term, tf, idf, weight) of the known n-grams of token arrays (key, tokens), weighed in the row."""
+
+    def rows(keys, places, found):
+        terms, numbers, idfs, weights = zip(*found) if found else ((), (), (), ())
+        columns = [keys.take(pa.array(places, pa.int64())), pa.array(terms, pa.string()), pa.array(numbers, pa.int64())]
+        columns += [pa.array(idfs, pa.float64()), pa.array(weights, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "term", "tf", "idf", "weight"])
+
+    def run(batches):
+        for batch in batches:
+            keys, tokens = batch.column("key"), batch.column("tokens")
+            places, found = [], []
+            for row in range(len(batch)):
+                words = tokens[row].as_py() or []
+                counts = Counter(g for n in range(low, high + 1) for g in _ngrams(words, n) if g in idf)
+                norm = math.sqrt(sum((tf * idf[t]) ** 2 for t, tf in counts.items()))
+                places += [row] * len(counts)
+                found += [(t, tf, idf[t], tf * idf[t] / norm if norm else None) for t, tf in counts.items()]
+                if len(found) >= 1 << 16:
+                    yield rows(keys, places, found)
+                    places, found = [], []
+            yield rows(keys, places, found)
+
+    return run
+
+
 # M01
 def tfidf(docs: DataFrame, key="doc_id", text="text", ngram=NGRAMS, max_features=MAX_FEATURES, plus_one=True,
           fit_on: DataFrame = None) -> DataFrame:
     """(key, term, tf, idf, weight): L2-normalized weights of the most frequent terms.
 
-    A text is cut into n-grams and its terms are counted in its own row, so no text or term of a document is shuffled; the
-    counts are written, and the term totals, the document frequencies and the weights all come from that table. Rows with
-    the same key count as one document. The vocabulary has at most ``max_features`` rows, the most frequent terms, and is
-    sent to all tasks. ``plus_one`` picks the smoothed form with one added, the other form has none. ``fit_on``
-    restricts what the vocabulary comes from, such as a training part.
+    The vocabulary has at most ``max_features`` rows, the most frequent terms, and is sent to all tasks. With it, a text is
+    cut into n-grams, counted and weighed in its own row, so no text or term of a document is shuffled. Rows with the same
+    key count as one document; where there are such rows, their counts meet by key. ``plus_one`` picks the smoothed form
+    with one added, the other form has none. ``fit_on`` restricts what the vocabulary comes from, such as a training part.
     """
+    def cut(df):
+        return spread(df.select(key, text)).select(F.col(key).alias("key"), word_tokens(F.col(text)).alias("tokens"))
+
+    def repeated(df):
+        return not df.groupBy(key).count().filter("count > 1").isEmpty()
+
     def counted(df):
-        found = spread(df.select(key, text)).select(F.col(key).alias("key"), word_tokens(F.col(text)).alias("tokens"))
+        found = cut(df)
         kind = found.schema["key"].dataType.simpleString()
-        each = found.mapInArrow(count_ngrams(*ngram), f"key {kind}, term string, tf long").withColumnRenamed("key", key)
-        if not df.groupBy(key).count().filter("count > 1").isEmpty():
-            each = each.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
-        return cut_lineage(each)
-
-    counts = counted(docs)
-    totals = (counts if fit_on is None else counted(fit_on)).groupBy("term").agg(
-        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
-    )
-    n = (docs if fit_on is None else fit_on).count()
+        each = found.mapInArrow(count_ngrams(*ngram), f"key {kind}, term string, tf long")
+        return cut_lineage(each.groupBy("key", "term").agg(F.sum("tf").alias("tf")))
+
+    source = docs if fit_on is None else fit_on
+    if repeated(source):
+        totals = counted(source).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+        best = totals.orderBy(F.desc("total"), "term").limit(max_features)
+    else:
+        best = _most_frequent(cut(source).select("tokens"), ngram, max_features)
+    n = source.count()
     idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + (1.0 if plus_one else 0.0)
-    vocabulary = totals.orderBy(F.desc("total"), "term").limit(max_features).select("term", idf.alias("idf"))
-    known = counts.join(F.broadcast(vocabulary), "term")
+    vocabulary = best.select("term", idf.alias("idf"))
+    if not repeated(docs):
+        found = cut(docs)
+        kind = found.schema["key"].dataType.simpleString()
+        # At most ``max_features`` rows.
+        known = {r["term"]: r["idf"] for r in vocabulary.collect()}
+        made = found.mapInArrow(_weigh(*ngram, known), f"key {kind}, term string, tf long, idf double, weight double")
+        return made.withColumnRenamed("key", key)
+    known = counted(docs).withColumnRenamed("key", key).join(F.broadcast(vocabulary), "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
     return known.select(key, "term", "tf", "idf", (raw / norm).alias("weight"))
@@ -99,29 +207,34 @@ class Vectorizer:
     """TF-IDF vectors for Spark ML, fitted on one table and applied to others."""
 
     def __init__(self, text="text", ngram=NGRAMS, max_features=MAX_FEATURES, out="features"):
-        self.text, self.ngram, self.out = text, ngram, out
-        self.counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=1)
+        self.text, self.ngram, self.out, self.max_features = text, ngram, out, max_features
         self.idf = IDF(inputCol="_counts", outputCol="_weights")
         self.norm = Normalizer(inputCol="_weights", outputCol=out, p=2.0)
 
-    def _terms(self, df):
-        return df.withColumn("_tokens", word_tokens(F.col(self.text))).withColumn(
-            "_terms", ngram_terms(F.col("_tokens"), *self.ngram)
-        )
+    def _counted(self, df):
+        low, high = self.ngram
+        known = frozenset(self.vocabulary)
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def known_terms(tokens: pa.Array) -> pa.Array:
+            """Only the n-grams of the vocabulary, in the row."""
+            rows = ([g for n in range(low, high + 1) for g in _ngrams(ws or [], n) if g in known] for ws in tokens.to_pylist())
+            return pa.array(rows, pa.list_(pa.string()))
+
+        return self.count_model.transform(df.withColumn("_terms", known_terms(word_tokens(F.col(self.text)))))
 
     def fit(self, df: DataFrame) -> "Vectorizer":
-        terms = self._terms(df)
-        self.count_model = self.counter.fit(terms)
-        self.idf_model = self.idf.fit(self.count_model.transform(terms))
+        texts = spread(df.select(word_tokens(F.col(self.text)).alias("tokens")))
+        # At most ``max_features`` rows.
+        best = _most_frequent(texts, self.ngram, self.max_features).orderBy(F.desc("total"), "term")
+        self.vocabulary = [r["term"] for r in best.select("term").collect()]
+        self.count_model = CountVectorizerModel.from_vocabulary(self.vocabulary, "_terms", "_counts")
+        self.idf_model = self.idf.fit(self._counted(df))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.norm.transform(self.idf_model.transform(self.count_model.transform(self._terms(df))))
-        return out.drop("_tokens", "_terms", "_weights")
-
-    @property
-    def vocabulary(self):
-        return self.count_model.vocabulary
+        out = self.norm.transform(self.idf_model.transform(self._counted(df)))
+        return out.drop("_terms", "_weights")
 
 
 # M08

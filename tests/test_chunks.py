@@ -71,3 +71,23 @@ def test_words_are_looked_up_in_blocks(spark):
     for name in ("w01_running_offsets", "c15_treebank_tokens", "s13_read_conll_ner"):
         plan = PLANS[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
         assert "slice(" in plan
+
+
+def test_vocabulary_is_exact_when_longer_terms_are_left_out(spark):
+    from collections import Counter
+
+    from spanloom.operators import features
+
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices(["aa", "bb", "cc", "dd", "ee", "ff"], [9, 5, 3, 2, 1, 1], k=draw.randint(0, 12))) for _ in range(60)]
+    totals, seen = Counter(), Counter()
+    for text in texts:
+        ws = text.split()
+        grams = [" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)]
+        totals.update(grams)
+        seen.update(set(grams))
+    df = spark.createDataFrame([(t.split(),) for t in texts] + [(None,)], "tokens array<string>")
+    for size in (4, 9, 40, 10_000):
+        got = features._most_frequent(df, (1, 3), size)
+        want = sorted(totals, key=lambda g: (-totals[g], g))[:size]
+        assert rows(got, "term", "total", "df") == sorted(((g, totals[g], seen[g]) for g in want), key=repr)
