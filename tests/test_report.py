@@ -14,3 +14,15 @@ def test_performance_report_has_all_models_and_rows(spark):
     assert len(got) == len({(r["model_name"], r["model_class_name"]) for r in got}) == 13
     assert {r["analysis_rows"] for r in got} == {test.count()}
     assert {r["sources"] for r in got} == {f"{FOLDER}/documents.parquet"}
+
+
+def test_all_models_meet_the_texts_in_one_join(spark):
+    from spanloom.operators.metrics import prediction_analysis
+
+    truth = spark.createDataFrame([(1, "one", 1), (2, "two", 0)], "k long, text string, y int")
+    preds = {(f"m{i}", "C"): spark.createDataFrame([(1, i % 2), (2, 1)], "k long, pred_y int") for i in range(3)}
+    made = prediction_analysis(truth, preds, ["y"], key="k")
+    assert made.columns == ["k", "text", "y", "pred_y", "assert_y", "model_name", "model_class_name"]
+    want = sorted(r for i in range(3) for r in ((1, "one", 1, i % 2, i % 2, f"m{i}", "C"), (2, "two", 0, 1, 0, f"m{i}", "C")))
+    assert sorted(map(tuple, made.collect())) == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
