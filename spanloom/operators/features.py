@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,33 +204,35 @@ def tfidf(docs: DataFrame, key="doc_id", text="text", ngram=NGRAMS, max_features
 
 
 class Vectorizer:
-    """TF-IDF vectors for Spark ML, fitted on one table and applied to others."""
+    """TF-IDF vectors for Spark ML, fitted on one table and applied to others.
+
+    The vocabulary is that of :func:`tfidf`: of equally frequent terms the first in order stay, however the table is cut.
+    Applied, a text is cut and weighed in its row.
+    """
 
     def __init__(self, text="text", ngram=NGRAMS, max_features=MAX_FEATURES, out="features"):
-        self.text, self.ngram, self.out = text, ngram, out
-        self.counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=1)
-        self.idf = IDF(inputCol="_counts", outputCol="_weights")
+        self.text, self.ngram, self.out, self.max_features = text, ngram, out, max_features
         self.norm = Normalizer(inputCol="_weights", outputCol=out, p=2.0)
 
-    def _terms(self, df):
-        return df.withColumn("_tokens", word_tokens(F.col(self.text))).withColumn(
-            "_terms", ngram_terms(F.col("_tokens"), *self.ngram)
-        )
+    def _tokens(self, df):
+        return df.withColumn("_tokens", word_tokens(F.col(self.text)))
 
     def fit(self, df: DataFrame) -> "Vectorizer":
-        terms = self._terms(df)
-        self.count_model = self.counter.fit(terms)
-        self.idf_model = self.idf.fit(self.count_model.transform(terms))
+        texts = spread(self._tokens(df).select(F.col("_tokens").alias("tokens")))
+        best = _most_frequent(texts, self.ngram, self.max_features).orderBy(F.desc("total"), "term")
+        # At most ``max_features`` rows.
+        known, n = best.select("term", "df").collect(), df.count()
+        self.vocabulary = [r["term"] for r in known]
+        self.count_model = CountVectorizerModel.from_vocabulary(self.vocabulary, "_terms", "_counts")
+        idf = Vectors.dense([math.log((n + 1.0) / (r["df"] + 1.0)) for r in known])
+        self.idf_model = ElementwiseProduct(scalingVec=idf, inputCol="_counts", outputCol="_weights")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.norm.transform(self.idf_model.transform(self.count_model.transform(self._terms(df))))
+        terms = self._tokens(df).withColumn("_terms", ngram_terms(F.col("_tokens"), *self.ngram))
+        out = self.norm.transform(self.idf_model.transform(self.count_model.transform(terms)))
         return out.drop("_tokens", "_terms", "_weights")
 
-    @property
-    def vocabulary(self):
-        return self.count_model.vocabulary
-
 
 # M08
 def mask_tokens(df: DataFrame, key: str, fields, percent=MASK_PERCENT, max_len=MAX_TOKENS, seed=42,

@@ -1,11 +1,14 @@
 """Multi-label models against plain numpy, explanations, reports, and the plan of every registered query."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from spanloom.operators import classifying as C
 from spanloom.operators import features
@@ -160,6 +163,24 @@ def test_vectors_equal_the_table_of_weights(spark):
             assert abs(weights[row["doc_id"], vectors.vocabulary[place]] - value) < 1e-9
 
 
+def test_vocabulary_of_vectors_does_not_depend_on_partitions(spark):
+    """Spark's own counter keeps any of the equally frequent terms at the end; all other terms are the same."""
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{min(draw.randrange(400), draw.randrange(400))}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [features.Vectorizer(max_features=300).fit(docs.repartition(n)) for n in (1, 7)]
+    assert found[0].vocabulary == found[1].vocabulary
+    terms = docs.select(features.ngram_terms(features.word_tokens(F.col("text"))).alias("terms"))
+    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=300, minDF=1).fit(terms)
+    idf = dict(zip(counter.vocabulary, IDF(inputCol="counts", outputCol="w").fit(counter.transform(terms)).idf, strict=True))
+    totals = Counter(t for r in terms.collect() for t in r["terms"])
+    least = min(totals[t] for t in found[0].vocabulary)
+    settled = {t for t, n in totals.items() if n > least}
+    assert settled < set(found[0].vocabulary) and settled < set(counter.vocabulary)
+    made = dict(zip(found[0].vocabulary, found[0].idf_model.getScalingVec(), strict=True))
+    assert all(abs(made[t] - idf[t]) < 1e-12 for t in settled)
+
+
 # S13
 BRACKETS = {"-LRB-": "(", "-RRB-": ")", "``": '"', "''": '"', "\\/": "/"}
 
