@@ -3,6 +3,7 @@
 import functools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import ranges, textual
@@ -52,6 +53,33 @@ def test_files_longer_than_a_chunk_read_the_same(spark, monkeypatch):
     assert read() == whole and all(whole)
 
 
+def test_aligned_tokens_cross_chunks_and_only_tagged_ones_are_written(spark, monkeypatch):
+    draw, lines, texts, tagged = random.Random(8), [], [], 0
+    for d in ("a", "b", "c"):
+        words = ["".join(draw.choices("aé😀", k=draw.randrange(1, 6))) for _ in range(60)]
+        texts.append((d, "".join(w + draw.choice([" ", "  ", "\n"]) for w in words)))
+        pieces = [p for w in words for p in ([w] if draw.random() < 0.7 else [w[:1], w[1:]]) if p]
+        tags = [draw.choice(["O", "O", "B-P", "I-P", "I-Q"]) for _ in pieces]
+        tagged += sum(t != "O" for t in tags)
+        lines += [(d, n, f"x\ty\t{p}\t{t}") for n, (p, t) in enumerate(zip(pieces, tags))]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    df = spark.createDataFrame(lines, "doc_id string, line_no long, line string")
+    written = []
+    monkeypatch.setattr(conll, "cut_lineage", lambda made: written.append(made.count()) or made)
+    for policy in ("recover", "io", "discard"):
+        monkeypatch.setattr(conll, "Chunks", ranges.Chunks)
+        whole = conll.read_bio_aligned(df, docs, policy=policy).drop("spans")
+        whole = rows(whole, *whole.columns)
+        assert written[-1] == (tagged if policy != "discard" else len(lines))
+        monkeypatch.setattr(conll, "Chunks", functools.partial(ranges.Chunks, chunk=7))
+        cut = conll.read_bio_aligned(df, docs, policy=policy)
+        assert rows(cut, *cut.drop("spans").columns) == whole and whole
+        assert all(dict(texts)[r["doc_id"]][r["start"] : r["end"]] == r["text"] for r in cut.collect())
+    wrong = df.withColumn("line", F.regexp_replace("line", "a", "b"))
+    with pytest.raises(Exception, match="text mismatch"):
+        conll.read_bio_aligned(wrong, docs).collect()
+
+
 def test_readers_shuffle_their_lines_once(spark):
     df = spark.createDataFrame([("a", n, "Go\tV\t0\troot") for n in range(9)], "doc_id string, line_no long, line string")
     plan = conll.malt_to_conllx(df)._jdf.queryExecution().executedPlan().toString()
