@@ -80,6 +80,31 @@ def test_aligned_tokens_cross_chunks_and_only_tagged_ones_are_written(spark, mon
         conll.read_bio_aligned(wrong, docs).collect()
 
 
+def test_relations_are_made_in_the_row_of_their_document(spark, monkeypatch):
+    draw, lines, want = random.Random(9), [], set()
+    for sentence in range(25):
+        size = draw.randrange(1, 7)
+        rows_of = [(str(draw.randrange(1, 5)), f"w{sentence}.{i}", draw.choice(["_", "0", "1", "2", "3", "9"])) for i in range(size)]
+        lines += [f"{n}\t{w}\t_\t_\tN\t_\t{h}\tdep\t_\t_" for n, w, h in rows_of] + [""]
+        named = [("0", "ROOT"), *[(n, w) for n, w, _ in rows_of]]
+        want |= {(f"d-doc-{sentence // 10 + 1}", sentence, w, head) for _, w, h in rows_of for n, head in named if h != "_" and n == h}
+    df = spark.createDataFrame([("d", n, line) for n, line in enumerate(lines)], "doc_id string, line_no long, line string")
+    for cut in (ranges.Chunks, functools.partial(ranges.Chunks, chunk=7)):
+        monkeypatch.setattr(conll, "Chunks", cut)
+        _, toks, rels = conll.read_conllx(df)
+        words = {(r["doc_id"], r["ann_id"]): r["text"] for r in toks.collect()}
+        found = rels.collect()
+        made = [(r["doc_id"], words[r["doc_id"], r["arg2"]], words[r["doc_id"], r["arg1"]]) for r in found]
+        assert sorted(made) == sorted((d, w, head) for d, _, w, head in want)
+        for d in {r["doc_id"] for r in found}:
+            numbered = sorted((r["line_no"], int(r["arg2"][1:]), r["ann_id"]) for r in found if r["doc_id"] == d)
+            assert [n for n, _, _ in numbered] == list(range(1, len(numbered) + 1))
+            assert [t for _, t, _ in numbered] == sorted(t for _, t, _ in numbered)
+        assert "Exchange" not in rels._jdf.queryExecution().executedPlan().toString()
+    _, _, rels = conll.read_conllx(df, with_root=False)
+    assert rels.count() == sum(head != "ROOT" for *_, head in want)
+
+
 def test_readers_shuffle_their_lines_once(spark):
     df = spark.createDataFrame([("a", n, "Go\tV\t0\troot") for n in range(9)], "doc_id string, line_no long, line string")
     plan = conll.malt_to_conllx(df)._jdf.queryExecution().executedPlan().toString()
