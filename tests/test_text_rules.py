@@ -140,3 +140,20 @@ def test_no_texts(spark):
     for operator in (textual.regex_sentences, textual.treebank_tokens, textual.newline_sentences):
         assert operator(none).count() == 0
     assert textual.sentence_newlines(none, textual.regex_sentences(none)).select(F.col("text")).first()[0] is None
+
+
+def test_spaced_texts_equal_the_rules_as_spark_expressions(spark, docs):
+    """Sentences of scraps, plain rules included; and the query places and compares its tokens without a join."""
+    from spanloom.plans import PLANS
+
+    padded = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace("text", " *(\\n*)\\z", ""), F.lit(" ")), "([ (\\[{<])\"", "$1 \" ")
+    want = textual.apply_rules(padded, textual.TOKEN_FIRST)
+    want = textual.until_stable(want, textual.TOKEN_BRACKETS, F.lit(100))
+    want = F.replace(textual.apply_rules(want, textual.TOKEN_LAST), F.lit('"'), F.lit(' " '))
+    for bracket, name in BRACKET_ESCAPES.items():
+        want = F.replace(want, F.lit(name), F.lit(bracket))
+    more = [(len(docs), "cannot cannot Gonna gonna  'Tis 'tis 'Twas more'n D'ye don'T WE'LL 3' 's $$ a$b -->x <-- =/>> ((a)b)-c (q)- \"(\" '' .. ...)\"")]
+    df = textual.treebank_text(frame(spark, docs + more))
+    assert df.filter(~F.col("spaced").eqNullSafe(want)).count() == 0
+    plan = PLANS["c15_treebank_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
