@@ -111,6 +111,13 @@ def test_readers_shuffle_their_lines_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_filter_does_not_make_lines_again(spark):
+    df = spark.createDataFrame([("a", n, "Go\tV\t0\troot") for n in range(9)], "doc_id string, line_no long, line string")
+    made = conll.malt_to_conllx(df).filter("line <> ''")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert rows(made, "line")[0] == ("1\tGo\t_\tV\tV\t_\t0\troot\t_\t_",)
+
+
 def test_pieces_of_texts_in_blocks(spark):
     text = "".join(random.Random(7).choices("aé😀\n ", k=5000))
     spots = [(0, 1), (1023, 2), (1024, 1024), (900, 3000), (4990, 10), (10, 0), (4999, 1)]
