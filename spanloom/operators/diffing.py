@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.model import Standoff
 from spanloom.operators.editing import _append
-from spanloom.operators.selecting import comments, entities, new_ids, triggers
+from spanloom.operators.selecting import comments, new_ids
 from spanloom.session import cut_lineage
 
 ADDED, MISSING, CHANGED = "AddedAnnotation", "MissingAnnotation", "ChangedAnnotation"
@@ -18,14 +18,22 @@ def span_key(df):
     return df.withColumn("span_key", F.array_sort(F.array_distinct("spans")).cast("string"))
 
 
-def match_spans(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(doc_id, type, span_key, first_id, second_id): spans of both versions by type and spans; null where missing."""
-    key = ["doc_id", "type", "span_key"]
+def match_spans(first: DataFrame, second: DataFrame, also=()) -> DataFrame:
+    """(doc_id, type, span_key, first_id, second_id): spans of both versions by type, spans and the columns of ``also``; null
+    where missing."""
+    key = ["doc_id", "type", "span_key", *also]
     a = span_key(first).groupBy(*key).agg(F.min_by("ann_id", "line_no").alias("first_id"))
     b = span_key(second).select(*key, F.col("ann_id").alias("second_id"))
     return a.join(b, key, "full_outer")
 
 
+def _told_apart(so):
+    """Text-bounds with ``is_trigger``: whether some event refers to them as its trigger."""
+    used = so.events.select("doc_id", F.col("trigger").alias("ann_id")).distinct().withColumn("_used", F.lit(True))
+    told = so.textbounds.join(used, ["doc_id", "ann_id"], "left")
+    return told.withColumn("is_trigger", F.coalesce("_used", F.lit(False))).drop("_used")
+
+
 def _marks(df, mark, target, reason):
     return df.select("doc_id", F.col(target).alias("target"), F.lit(mark).alias("type"), reason.alias("note"))
 
@@ -52,7 +60,7 @@ def match_events(first: Standoff, second: Standoff, id_map: DataFrame):
     b = second.events.select(
         "doc_id", "type", "trigger", F.col("ann_id").alias("second_event"), F.col("line_no").alias("second_line")
     )
-    pairs = a.join(b, ["doc_id", "type", "trigger"])
+    pairs = cut_lineage(a.join(b, ["doc_id", "type", "trigger"]))
     arg_map = id_map.select("doc_id", F.col("first_id").alias("arg"), F.col("second_id").alias("mapped_arg"))
     first_roles = roles(first, "first_event").join(arg_map, ["doc_id", "arg"], "left").select(
         "doc_id", "first_event", "role", F.col("arg").alias("first_arg"), F.col("mapped_arg")
@@ -106,21 +114,16 @@ def match_events(first: Standoff, second: Standoff, id_map: DataFrame):
 def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
     """The second version plus clones of what only the first has, and a note for every difference."""
     key = ["doc_id", "ann_id"]
-    same = match_spans(entities(first), entities(second)).unionByName(match_spans(triggers(first), triggers(second)))
-    same = cut_lineage(same)
-    marks = _marks(
-        same.filter("first_id IS NULL").join(
-            entities(second).select("doc_id", F.col("ann_id").alias("second_id")), ["doc_id", "second_id"], "left_semi"
-        ),
-        ADDED, "second_id", F.lit("Added entity"),
+    # Entities match entities and triggers match triggers, all in one join.
+    same = cut_lineage(match_spans(_told_apart(first), _told_apart(second), ["is_trigger"]))
+    marks = _marks(same.filter("first_id IS NULL AND NOT is_trigger"), ADDED, "second_id", F.lit("Added entity"))
+    gone = same.filter("second_id IS NULL").groupBy("doc_id", F.col("first_id").alias("ann_id")).agg(
+        F.max("is_trigger").alias("is_trigger")
     )
-    gone = same.filter("second_id IS NULL").select("doc_id", F.col("first_id").alias("ann_id"))
-    lost = first.textbounds.join(gone, key, "left_semi").withColumnRenamed("ann_id", "_old")
+    # Rows that get ids are read twice, so they are written before that.
+    lost = cut_lineage(first.textbounds.join(gone, key).withColumnRenamed("ann_id", "_old"))
     clones = cut_lineage(new_ids(second.textbounds, lost, "T", ["line_no"]))
-    is_trigger = triggers(first).select("doc_id", F.col("ann_id").alias("_old"))
-    marks = marks.unionByName(
-        _marks(clones.join(is_trigger, ["doc_id", "_old"], "left_anti"), MISSING, "ann_id", F.lit("Missing entity"))
-    )
+    marks = marks.unionByName(_marks(clones.filter("NOT is_trigger"), MISSING, "ann_id", F.lit("Missing entity")))
     # Several equal spans of the second version map to one of the first; the earliest stands for it.
     id_map = same.filter("first_id IS NOT NULL AND second_id IS NOT NULL").groupBy("doc_id", "first_id").agg(
         F.min("second_id").alias("second_id")
@@ -151,7 +154,7 @@ def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
     lost_events = first.events.join(
         pairs.select("doc_id", F.col("first_event").alias("ann_id")), key, "left_anti"
     ).withColumnRenamed("ann_id", "_old")
-    event_clones = cut_lineage(new_ids(second.events, lost_events, "E", ["line_no"]))
+    event_clones = cut_lineage(new_ids(second.events, cut_lineage(lost_events), "E", ["line_no"]))
     event_map = pairs.toDF("doc_id", "first_id", "second_id").unionByName(
         event_clones.select("doc_id", F.col("_old").alias("first_id"), F.col("ann_id").alias("second_id"))
     )
@@ -193,7 +196,7 @@ def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
         events=second.events.unionByName(event_rows),
     )
     result = result.with_tables(
-        attributes=second.attributes.unionByName(_append(result, "attributes", attributes, "A", ["line_no"]))
+        attributes=second.attributes.unionByName(_append(result, "attributes", cut_lineage(attributes), "A", ["line_no"]))
     )
     numbered = cut_lineage(marks).withColumn(
         "_place", F.coalesce(F.regexp_extract("target", "([0-9]+)$", 1).cast("long"), F.lit(0))
@@ -292,14 +295,16 @@ def _diff_relations(first, second, full_map):
 # U16
 def diff_collections(first: Standoff, second: Standoff, first_docs: DataFrame, second_docs: DataFrame):
     """Differences of the documents both sides have, and the documents only one side has."""
-    a = first_docs.select("doc_id").distinct()
-    b = second_docs.select("doc_id").distinct()
-    both = a.join(b, "doc_id", "left_semi")
-    lone = a.join(b, "doc_id", "left_anti").withColumn("only_in", F.lit("first")).unionByName(
-        b.join(a, "doc_id", "left_anti").withColumn("only_in", F.lit("second"))
-    )
+    # Each side's documents are told apart once, in one shuffle, however many tables and outputs ask for them.
+    sides = first_docs.select("doc_id", F.lit(1).alias("_side")).unionByName(second_docs.select("doc_id", F.lit(2).alias("_side")))
+    sides = cut_lineage(sides.groupBy("doc_id").agg(F.min("_side").alias("_low"), F.max("_side").alias("_high")))
+    both = sides.filter("_low < _high AND doc_id IS NOT NULL").select("doc_id")
+    # A document without an id is none of the other side's.
+    side = F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_side")
+    only = F.when(F.col("_side") == 1, F.lit("first")).otherwise(F.lit("second"))
+    lone = sides.filter("_low = _high OR doc_id IS NULL").select("doc_id", side).select("doc_id", only.alias("only_in"))
 
     def shared(_, df):
-        return df.join(both, "doc_id", "left_semi")
+        return cut_lineage(df.join(both, "doc_id", "left_semi"))
 
     return diff_annotations(first.map(shared), second.map(shared)), lone

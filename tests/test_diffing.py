@@ -8,6 +8,7 @@ from conftest import rows
 
 from spanloom.model import TABLE_COLUMNS, Standoff
 from spanloom.operators import diffing
+from spanloom.plans.derived import only_spans
 
 KINDS = {
     "textbounds": "type string, spans array<struct<start:int,end:int>>, start int, end int, text string",
@@ -19,6 +20,8 @@ KINDS = {
     "notes": "type string, target string, note string",
 }
 
+TEXTBOUNDS = f"doc_id string, ann_id string, line_no long, {KINDS['textbounds']}"
+
 
 def tables(spark, docs):
     """The Standoff of [{kind: rows without doc_id}], one document each."""
@@ -227,3 +230,11 @@ def test_marks_equal_plain_python(spark, versions):
         found.setdefault(r["doc_id"], []).append((r["target"], r["type"], r["note"]))
     for d, v in enumerate(versions):
         assert sorted(found.get(d, [])) == expected_marks(*v), d
+
+
+def test_sides_of_collections_are_told_apart_once(spark):
+    so, other = (only_spans(spark.createDataFrame([(d, "T1", 1, "A", [(0, 2)], 0, 2, "ab") for d in ds], TEXTBOUNDS)) for ds in (["a", "b"], ["b", "c"]))
+    docs = [spark.createDataFrame([(d,) for d in ds], "doc_id string") for ds in (["a", "b", "b", None], ["b", "c"])]
+    _, lone = diffing.diff_collections(so, other, *docs)
+    assert rows(lone, "doc_id", "only_in") == sorted([("a", "first"), ("c", "second"), (None, "first")], key=repr)
+    assert "Exchange" not in lone._jdf.queryExecution().executedPlan().toString()
