@@ -22,9 +22,8 @@ def _next_line(so: Standoff) -> DataFrame:
 def _append(so: Standoff, kind: str, rows: DataFrame, prefix: str, order) -> DataFrame:
     """New rows of a kind with ids and line numbers after those in use; ``order`` starts with an integer column."""
     existing = getattr(so, kind)
-    numbered = new_ids(existing, rows, prefix, order)
-    placed = row_numbers(numbered, ["doc_id"], order[0], "_rank", tie=order[1:])
-    placed = placed.join(_next_line(so), "doc_id", "left").withColumn(
+    numbered = new_ids(existing, rows, prefix, order, rank="_rank")
+    placed = numbered.join(_next_line(so), "doc_id", "left").withColumn(
         "line_no", F.coalesce("last_line", F.lit(0)) + F.col("_rank")
     )
     return placed.select(*existing.columns)

@@ -268,21 +268,26 @@ def merge_equivs(equivs: DataFrame) -> DataFrame:
 
 
 # W04
-def new_ids(existing: DataFrame, rows: DataFrame, prefix: str, order) -> DataFrame:
-    """Gives ``rows`` the next ids of ``prefix`` in their document: highest number in use plus a running number."""
+def new_ids(existing: DataFrame, rows: DataFrame, prefix: str, order, rank=None) -> DataFrame:
+    """Gives ``rows`` the next ids of ``prefix`` in their document: highest number in use plus a running number.
+
+    With ``rank`` the running number stays, in a column of that name.
+    """
     number = F.regexp_extract("ann_id", "^" + prefix + "([0-9]+)$", 1)
     top = (
         existing.filter(F.rlike("ann_id", F.lit("^" + prefix + "[0-9]+$")))
         .groupBy("doc_id")
         .agg(F.max(number.cast("long")).alias("_top"))
     )
-    numbered = row_numbers(rows, ["doc_id"], order[0], "_rank", tie=order[1:])
-    return (
+    place = rank or "_rank"
+    numbered = row_numbers(rows, ["doc_id"], order[0], place, tie=order[1:])
+    made = (
         numbered.join(top, "doc_id", "left")
-        .withColumn("_num", F.coalesce("_top", F.lit(0)) + F.col("_rank"))
+        .withColumn("_num", F.coalesce("_top", F.lit(0)) + F.col(place))
         .withColumn("ann_id", F.concat(F.lit(prefix), F.col("_num").cast("string")))
-        .drop("_rank", "_top", "_num")
+        .drop("_top", "_num")
     )
+    return made if rank else made.drop(place)
 
 
 # W10

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import diffing, editing, textual, verifying
 from spanloom.plans.derived import over_standoff, second_textbounds, standoff, textbounds, widened
 from spanloom.plans.registry import plan
+from spanloom.session import cut_lineage
 from spanloom.sources.schema import parse_schema
 
 SCHEMA = parse_schema(
@@ -348,6 +349,11 @@ def _(t):
     return diffing.match_spans(ann, second_textbounds(ann)).select("doc_id", "first_id", "second_id")
 
 
+def _second_written(so):
+    """The second version, written once as annotation tables would be."""
+    return _second(so).map(lambda _, df: cut_lineage(df))
+
+
 def _second(so):
     """A second version: fewer and retyped spans, fewer relations and attributes, some values changed."""
     kept = second_textbounds(so.textbounds)
@@ -371,7 +377,7 @@ def _second(so):
 @plan("u15_diff_annotations")
 def _(t):
     so = standoff(t.documents)
-    out = diffing.diff_annotations(so, _second(so)).notes
+    out = diffing.diff_annotations(so, _second_written(so)).notes
     return out.filter(F.endswith("type", F.lit("Annotation"))).select("doc_id", "ann_id", "type", "target", "note")
 
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from spanloom.model import TABLE_COLUMNS, Standoff
-from spanloom.operators import diffing
+from spanloom.operators import diffing, editing
 from spanloom.plans.derived import only_spans
 
 KINDS = {
@@ -238,3 +238,12 @@ def test_sides_of_collections_are_told_apart_once(spark):
     _, lone = diffing.diff_collections(so, other, *docs)
     assert rows(lone, "doc_id", "only_in") == sorted([("a", "first"), ("c", "second"), (None, "first")], key=repr)
     assert "Exchange" not in lone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_rows_are_ranked_once(spark):
+    """The running number of a row gives both its id and its line."""
+    so = only_spans(spark.createDataFrame([("a", "T4", 9, "A", [(0, 2)], 0, 2, "ab")], TEXTBOUNDS))
+    new = spark.createDataFrame([("a", n, "A", [(n, 9)], n, 9, "x") for n in (5, 3)], TEXTBOUNDS.replace("ann_id string, line_no long", "place long"))
+    made = editing._append(so, "textbounds", new, "T", ["place"])
+    assert rows(made, "ann_id", "line_no", "start") == [("T5", 10, 3), ("T6", 11, 5)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
