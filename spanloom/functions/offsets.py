@@ -104,6 +104,24 @@ def head_places(groups: pa.Array, names: pa.Array, heads: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
+LINKED = T.StructType().add("type", T.StringType()).add("one", T.IntegerType()).add("other", T.IntegerType())
+LINKED_ARROW = pa.struct([("type", pa.string()), ("one", pa.int32()), ("other", pa.int32())])
+
+
+@F.arrow_udf(T.ArrayType(LINKED))
+def linked_places(groups: pa.Array, names: pa.Array, link_groups: pa.Array, ones: pa.Array, others: pa.Array, types: pa.Array) -> pa.Array:
+    """For each link its type and the places of the two elements of its group it names; one with an unknown name gives none."""
+    out = []
+    for group, row, *links in zip(*(x.to_pylist() for x in (groups, names, link_groups, ones, others, types))):
+        places = {}
+        for place, key in enumerate(zip(group or (), row or ())):
+            if None not in key:
+                places.setdefault(key, []).append(place)
+        found = zip(*(x or () for x in links))
+        out.append([(kind, p, q) for g, a, b, kind in found for p in places.get((g, a), ()) for q in places.get((g, b), ())])
+    return pa.array(out, pa.list_(LINKED_ARROW))
+
+
 def _sentence_rows(starts, lengths, lines, newlines, size, blank):
     """Sentences of one text as (start, end) rows, cut at the text's own newlines."""
     if blank:

@@ -196,7 +196,7 @@ def lines_with_offsets(docs: DataFrame) -> DataFrame:
     return rows.withColumn("end", F.col("start") + F.length("line"))
 
 
-def _with_occurrences(docs, pattern, start="start", hit="text", source="text"):
+def with_occurrences(docs, pattern, start="start", hit="text", source="text"):
     """Adds arrays of the starts and texts of the matches of a pattern, where the texts are dealt out to all cores."""
     return with_matches(spread(docs), pattern, start, hit, source)
 
@@ -222,7 +222,7 @@ def with_matches(docs, pattern, start="start", hit="text", source="text"):
 # C12
 def occurrences(docs: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, occ_no, start, end, text) of the non-overlapping matches of a pattern that matches at least one character."""
-    found = _with_occurrences(docs.select("doc_id", F.col("text").alias("_text")), pattern, source="_text")
+    found = with_occurrences(docs.select("doc_id", F.col("text").alias("_text")), pattern, source="_text")
     rows = _exploded(found, ["doc_id"], ["start", "text"], "occ_no")
     return rows.select(
         "doc_id", "occ_no", "start", (F.col("start") + F.length("text")).cast("long").alias("end"), "text"
@@ -366,7 +366,7 @@ def regex_sentences(docs: DataFrame) -> DataFrame:
     back to the text by the sentence it falls in. A newline of the text ends a sentence; one that no sentence touches is
     an empty sentence of its own.
     """
-    found = _with_occurrences(docs.select("doc_id", "text"), SENTENCE, "_starts", "_sentences")
+    found = with_occurrences(docs.select("doc_id", "text"), SENTENCE, "_starts", "_sentences")
     solo = F.transform("_sentences", lambda s: F.replace(s, F.lit("\n"), F.lit(" ")))
     joined = found.withColumn("joined", F.array_join(solo, "\n"))
     breaks = F.length("joined") - F.length(F.replace("joined", F.lit("\n"), F.lit("")))

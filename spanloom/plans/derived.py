@@ -26,9 +26,13 @@ def token_rows(docs):
     return split_with_offsets(docs, " ", "i", "w", "st")
 
 
+def word_type(word):
+    return F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.length(word) % 4 + 1).cast("int"))
+
+
 def textbounds(docs):
     words = occurrences(docs, WORD)
-    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.length("text") % 4 + 1).cast("int"))
+    kind = word_type(F.col("text"))
     number = F.col("occ_no") + 1
     return words.select(
         *textbound(

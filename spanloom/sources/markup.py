@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions.offsets import linked_places
 from spanloom.functions.text import drop_tags, escape_pos, ptb_unescape, unescaped
 from spanloom.functions.urls import netloc, should_scrape, url_allowed
 from spanloom.model import SPANS
 from spanloom.operators.ranges import row_numbers
 from spanloom.operators.selecting import new_ids
 from spanloom.operators.spans import runs_to_spans, sentence_extents
+from spanloom.operators.textual import numbered_pieces
+from spanloom.session import cut_lineage
 
 # Sitemap prefixes of the two supported sites.
 SITEMAP_PREFIXES = {
@@ -232,17 +235,34 @@ def _parsed(df):
     return df.select("doc_id", F.from_xml("xml", PARSER_XML.replace("\n", "")).alias("x"))
 
 
+def _in_sentences(items, fields):
+    """The items of all sentences with an id as one array of structs, in the order of sentences and their first field."""
+    known = F.filter("x.document.sentences.sentence", lambda s: s["_id"].isNotNull() & items(s).isNotNull())
+
+    def each(s, k):
+        def cell(x, i):
+            first, *others = fields(x, i)
+            return F.struct(s["_id"].alias("sentence_no"), first, k.alias("_k"), i.alias("_i"), *others)
+
+        return F.transform(items(s), cell)
+
+    return F.array_sort(F.flatten(F.transform(known, each)))
+
+
 # S20
 def xml_tokens(df: DataFrame) -> DataFrame:
-    """(doc_id, sentence_no, token_id, token_no, word, start, end, pos, ner) of parser XML (doc_id, xml)."""
-    sents = _parsed(df).select("doc_id", F.explode("x.document.sentences.sentence").alias("s"))
-    toks = sents.select("doc_id", F.col("s._id").alias("sentence_no"), F.explode("s.tokens.token").alias("t"))
-    rows = toks.select(
-        "doc_id", "sentence_no", F.col("t._id").alias("token_id"), F.col("t.word").alias("word"),
-        F.col("t.CharacterOffsetBegin").alias("start"), F.col("t.CharacterOffsetEnd").alias("end"),
-        escape_pos(F.col("t.POS")).alias("pos"), F.col("t.NER").alias("ner"),
+    """(doc_id, sentence_no, token_id, token_no, word, start, end, pos, ner) of parser XML (doc_id, xml).
+
+    A document is one row of XML, so its tokens are numbered in the row.
+    """
+    toks = _in_sentences(lambda s: s["tokens"]["token"], lambda t, _: [
+        t["_id"].alias("token_id"), t["word"].alias("word"), t["CharacterOffsetBegin"].alias("start"),
+        t["CharacterOffsetEnd"].alias("end"), t["POS"].alias("pos"), t["NER"].alias("ner")])
+    rows = numbered_pieces(_parsed(df), ["doc_id"], toks, "_at", "_t")
+    return rows.select(
+        "doc_id", "_t.sentence_no", "_t.token_id", "_t.word", "_t.start", "_t.end", escape_pos(F.col("_t.pos")).alias("pos"),
+        "_t.ner", (F.col("_at") + 1).cast("long").alias("token_no"),
     )
-    return row_numbers(rows, ["doc_id"], "sentence_no", "token_no", tie=["token_id"])
 
 
 def xml_sentence_offsets(df: DataFrame) -> DataFrame:
@@ -292,18 +312,19 @@ def read_parser_xml(df: DataFrame, layer: str) -> dict:
         return _coreference(df, toks)
     if layer not in PARSER_LAYERS:
         raise ValueError(f"unknown layer {layer!r}")
-    sents = _parsed(df).select("doc_id", F.explode("x.document.sentences.sentence").alias("s"))
-    deps = sents.select(
-        "doc_id", F.col("s._id").alias("sentence_no"), F.posexplode(F.col("s").getField(PARSER_LAYERS[layer])["dep"]).alias("i", "d")
-    )
-    ids = toks.select("doc_id", "sentence_no", "token_id", tid.alias("_id"))
-    linked = deps.select(
-        "doc_id", "sentence_no", "i", F.col("d._type").alias("type"), F.col("d.governor._idx").alias("g"),
-        F.col("d.dependent._idx").alias("d"),
+    # Words and dependencies of a document meet in its row; a token's place is its number less one.
+    names = _in_sentences(lambda s: s["tokens"]["token"], lambda t, _: [t["_id"].alias("token_id")])
+    deps = _in_sentences(lambda s: s[PARSER_LAYERS[layer]]["dep"], lambda d, i: [
+        i.alias("i"), d["_type"].alias("type"), d["governor"]["_idx"].alias("g"), d["dependent"]["_idx"].alias("d")])
+
+    # Written as lists of numbers, so that the XML is read once.
+    packed = cut_lineage(_parsed(df).select("doc_id", names.alias("_t"), deps.alias("_d")))
+    fields = ("_t.sentence_no", "_t.token_id", "_d.sentence_no", "_d.g", "_d.d", "_d.type")
+    packed = packed.withColumn("_links", linked_places(*[F.col(f) for f in fields]))
+    linked = numbered_pieces(packed, ["doc_id"], "_links", "_i", "_l").select(
+        "doc_id", (F.col("_i") + 1).cast("long").alias("_n"), "_l.type",
+        *[F.concat(F.lit("T"), (F.col(f"_l.{c}") + 1).cast("string")).alias(a) for c, a in (("one", "arg1"), ("other", "arg2"))],
     )
-    linked = linked.join(ids.toDF("doc_id", "sentence_no", "g", "arg1"), ["doc_id", "sentence_no", "g"])
-    linked = linked.join(ids.toDF("doc_id", "sentence_no", "d", "arg2"), ["doc_id", "sentence_no", "d"])
-    linked = row_numbers(linked, ["doc_id"], "sentence_no", "_n", tie=["i"])
     relations = linked.select(
         "doc_id", F.concat(F.lit("R"), F.col("_n").cast("string")).alias("ann_id"), F.col("_n").alias("line_no"), "type",
         F.lit("Governor").alias("arg1_role"), "arg1", F.lit("Dependent").alias("arg2_role"), "arg2",

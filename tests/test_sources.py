@@ -84,6 +84,22 @@ def test_parser_xml(spark):
     assert rows(coref["equivs"], "members") == [(["T1", "T2"],)] and rows(coref["textbounds"], "end") == [(3,), (6,)]
 
 
+def test_parser_xml_is_read_in_its_row(spark):
+    """Sentences and tokens in any order, unknown and repeated ids; nothing of a document is shuffled."""
+    token = '<token id="{}"><word>w</word><CharacterOffsetBegin>{}</CharacterOffsetBegin><CharacterOffsetEnd>9</CharacterOffsetEnd><POS>N</POS><NER>O</NER></token>'
+    dep = '<dep type="{}"><governor idx="{}">g</governor><dependent idx="{}">d</dependent></dep>'
+    sentence = '<sentence id="{}"><tokens>{}</tokens><basic-dependencies>{}</basic-dependencies></sentence>'
+    parts = [sentence.format(2, token.format(2, 30) + token.format(1, 20), dep.format("a", 1, 2) + dep.format("b", 1, 7)),
+             sentence.format(1, token.format(1, 5), dep.format("c", 1, 1)), sentence.format(3, "", dep.format("d", 1, 1))]
+    xml = f"<root><document><sentences>{''.join(parts)}</sentences></document></root>"
+    df = spark.createDataFrame([("d", xml), ("none", None), ("odd", "<root><document>")], "doc_id string, xml string")
+    found = markup.read_parser_xml(df, "basic_dep")
+    assert rows(found["relations"], "ann_id", "line_no", "type", "arg1", "arg2") == [("R1", 1, "c", "T1", "T1"), ("R2", 2, "a", "T2", "T3")]
+    assert rows(found["textbounds"], "ann_id", "start") == [("T1", 5), ("T2", 20), ("T3", 30)]
+    for df in found.values():
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pages_and_sitemaps(spark):
     index = spark.createDataFrame([('<sitemapindex xmlns="http://s"><sitemap><loc>https://primicia.com.ve/post-sitemap1.xml</loc></sitemap><sitemap><loc>https://primicia.com.ve/page.xml</loc></sitemap></sitemapindex>',)], "xml string")
     assert rows(markup.sitemap_index(index, markup.SITEMAP_PREFIXES["primicia.com.ve"]), "url") == [("https://primicia.com.ve/post-sitemap1.xml",)]
