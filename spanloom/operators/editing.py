@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import role_base, span_text, split_role
+from spanloom.functions.text import role_base, split_role
 from spanloom.model import ARGS, Standoff
-from spanloom.operators.ranges import overlapping_pairs, row_numbers, running_total
+from spanloom.operators.ranges import DEFAULT_CHUNK, bucket_of, overlapping_pairs, row_numbers, running_total
 from spanloom.operators.selecting import new_ids, references
+from spanloom.operators.textual import numbered_pieces, text_at, text_blocks
 from spanloom.session import cut_lineage
 
 
@@ -86,27 +87,8 @@ def create_spans(so: Standoff, docs: DataFrame, edits: DataFrame, event_types) -
 
     Spans are cut at newlines. An event type reuses a trigger with the same spans and type, and gets an event.
     """
-    texts = docs.select("doc_id", F.col("text").alias("_text"))
-
-    def cut(span):
-        covered = F.substr("_text", span["start"] + 1, span["end"] - span["start"])
-        lines = F.split(covered, "\n")
-        ends = F.transform(
-            lines,
-            lambda line, i: F.aggregate(F.slice(lines, F.lit(1), i + 1), F.lit(0), lambda acc, x: acc + F.length(x)) + i,
-        )
-        pieces = F.zip_with(
-            lines,
-            ends,
-            lambda line, e: F.struct(
-                (span["start"] + e - F.length(line)).alias("start"), (span["start"] + e).alias("end")
-            ),
-        )
-        return F.filter(pieces, lambda p: p["end"] > p["start"])
-
-    rows = edits.join(texts, "doc_id").withColumn("given", F.col("spans"))
-    rows = rows.withColumn("spans", F.flatten(F.transform("given", cut)))
-    rows = rows.withColumn("text", span_text(F.col("_text"), F.col("spans"))).drop("_text")
+    # What is asked for is read several times; texts are met at the end, and once.
+    rows = cut_lineage(edits.join(docs.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("spans", "given"))
     is_event = F.col("type").isin(*event_types)
     same = (
         so.textbounds.filter(is_event)
@@ -119,26 +101,57 @@ def create_spans(so: Standoff, docs: DataFrame, edits: DataFrame, event_types) -
         F.min("edit_no").alias("maker")
     )
     rows = rows.join(first, ["doc_id", "type", "given"], "left").withColumn("maker", F.coalesce("maker", "edit_no"))
-    fresh = rows.filter("reused IS NULL AND maker = edit_no").withColumns(
-        {
-            "start": F.array_min(F.transform("spans", lambda s: s["start"])),
-            "end": F.array_max(F.transform("spans", lambda s: s["end"])),
-        }
-    )
-    made = cut_lineage(
-        new_ids(so.textbounds, fresh.select("doc_id", "edit_no", "type", "spans", "start", "end", "text"), "T", ["edit_no"])
-    )
-    lined = row_numbers(made, ["doc_id"], "edit_no", "_rank").join(_next_line(so), "doc_id", "left")
-    lined = lined.withColumn("line_no", F.coalesce("last_line", F.lit(0)) + F.col("_rank"))
-    textbounds = so.textbounds.unionByName(lined.select(*so.textbounds.columns))
+    fresh = rows.filter("reused IS NULL AND maker = edit_no").select("doc_id", "edit_no", "type", "given")
+    numbered = new_ids(so.textbounds, fresh, "T", ["edit_no"], rank="_rank").join(_next_line(so), "doc_id", "left")
+    line_no = (F.coalesce("last_line", F.lit(0)) + F.col("_rank")).alias("line_no")
+    made = cut_lineage(numbered.select("doc_id", "edit_no", "ann_id", line_no, "type", "given"))
+    textbounds = so.textbounds.unionByName(_cut_at_newlines(made, docs).select(*so.textbounds.columns))
     triggers = rows.filter(is_event).join(
         made.select("doc_id", F.col("edit_no").alias("maker"), F.col("ann_id").alias("made_id")), ["doc_id", "maker"], "left"
     )
     events = triggers.select(
         "doc_id", "edit_no", "type", F.coalesce("reused", "made_id").alias("trigger"), F.array().cast(ARGS).alias("args")
     )
-    grown = so.with_tables(textbounds=textbounds)
-    return grown.with_tables(events=so.events.unionByName(_append(grown, "events", events, "E", ["edit_no"])))
+    # The lines in use are known without the texts.
+    lines = so.textbounds.select("doc_id", "line_no").unionByName(made.select("doc_id", "line_no"))
+    appended = _append(so.with_tables(textbounds=lines), "events", events, "E", ["edit_no"])
+    return so.with_tables(textbounds=textbounds, events=so.events.unionByName(appended))
+
+
+def _cut_at_newlines(made, docs):
+    """Spans (``given``) cut at the newlines of their text, and what they cover; the spans of a document meet its text as one row."""
+    one = F.struct("ann_id", "line_no", "type", "given")
+    packed = made.groupBy("doc_id", bucket_of(F.col("line_no"), DEFAULT_CHUNK).alias("_chunk")).agg(F.collect_list(one).alias("_m"))
+    met = packed.join(docs.select("doc_id", "text"), "doc_id").withColumn("_blocks", text_blocks(F.col("text")))
+
+    def cut(span):
+        lines = F.split(text_at(F.col("_blocks"), span["start"], span["end"] - span["start"]), "\n")
+        ends = F.transform(
+            lines,
+            lambda line, i: F.aggregate(F.slice(lines, F.lit(1), i + 1), F.lit(0), lambda acc, x: acc + F.length(x)) + i,
+        )
+        pieces = F.zip_with(
+            lines,
+            ends,
+            lambda line, e: F.struct(
+                (span["start"] + e - F.length(line)).alias("start"), (span["start"] + e).alias("end"), line.alias("line")
+            ),
+        )
+        return F.filter(pieces, lambda p: p["end"] > p["start"])
+
+    def each(m):
+        fields = [m[c].alias(c) for c in ("ann_id", "line_no", "type")]
+        return F.struct(*fields, F.flatten(F.transform(m["given"], cut)).alias("p"))
+
+    rows = numbered_pieces(met, ["doc_id"], F.transform("_m", each), "_i", "_c").select("doc_id", "_c.*")
+    return rows.withColumns(
+        {
+            "spans": F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))),
+            "start": F.array_min("p.start"),
+            "end": F.array_max("p.end"),
+            "text": F.array_join("p.line", " "),
+        }
+    )
 
 
 def _replace_rows(df, changed, keys):

@@ -247,3 +247,28 @@ def test_new_rows_are_ranked_once(spark):
     made = editing._append(so, "textbounds", new, "T", ["place"])
     assert rows(made, "ann_id", "line_no", "start") == [("T5", 10, 3), ("T6", 11, 5)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+def test_texts_are_cut_last_and_not_written(spark, monkeypatch):
+    draw = random.Random(4)
+    text = "".join(draw.choices("aé😀\n ", [5, 2, 1, 1, 1], k=5000))
+    docs = spark.createDataFrame([("a", text), ("b", "x")], "doc_id string, text string")
+    asked = [(n, sorted(draw.sample(range(5000), 4))) for n in range(1, 60)]
+    data = [("a", n, "A", [(s[0], s[1]), (s[2], s[3])]) for n, s in asked] + [("none", 1, "A", [(0, 1)])]
+    edits = spark.createDataFrame(data, "doc_id string, edit_no long, type string, spans array<struct<start:int,end:int>>")
+    written = []
+    monkeypatch.setattr(editing, "cut_lineage", lambda df, keep=editing.cut_lineage: written.append(df.columns) or keep(df))
+    so = only_spans(spark.createDataFrame([("a", "T4", 9, "A", [(0, 2)], 0, 2, "ab")], TEXTBOUNDS))
+    made = editing.create_spans(so, docs, edits, ["E"]).textbounds.filter("ann_id <> 'T4'")
+    want = []
+    for n, (a, b, c, d) in asked:
+        spans = []
+        for start, end in ((a, b), (c, d)):
+            for line in text[start:end].split("\n"):
+                spans += [(start, start + len(line))] if line else []
+                start += len(line) + 1
+        cut = " ".join(text[s:e] for s, e in spans)
+        want.append((f"T{n + 4}", n + 9, [tuple(s) for s in spans], spans[0][0], spans[-1][1], cut))
+    got = [(r.ann_id, r.line_no, [tuple(s) for s in r.spans], r.start, r.end, r.text) for r in made.collect()]
+    assert sorted(got) == sorted(want)
+    assert written and not any("text" in columns for columns in written)
