@@ -1,11 +1,13 @@
 """Selections, references and counts over the annotation tables."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.text import role_base
 from spanloom.model import Standoff
-from spanloom.operators.ranges import row_numbers
+from spanloom.operators.ranges import DEFAULT_CHUNK, bucket_of, row_numbers
 from spanloom.session import cut_lineage
 
 STATUS = "STATUS"
@@ -249,12 +251,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def merge_equivs(equivs: DataFrame) -> DataFrame:
-    """Equivalence sets that share a member become one set, with the type and place of the earliest."""
-    rows = equivs.select("doc_id", "line_no", "type", F.explode("members").alias("member"))
+MERGED = T.StructType().add("line_no", T.LongType()).add("members", T.ArrayType(T.StringType()))
+
+
+@F.arrow_udf(T.ArrayType(MERGED))
+def merged_sets(lines: pa.Array, members: pa.Array) -> pa.Array:
+    """The sets of one row, those that share a member or a line as one, with their least line and their members in order."""
+    out = []
+    for numbers, sets in zip(lines.to_pylist(), members.to_pylist()):
+        above = {}
+
+        def root(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        for number, names in zip(numbers, sets):
+            for name in names:
+                # Lines sort before members, so the least node is a line.
+                low, high = sorted((root((0, number is not None, number or 0)), root((1, name is not None, name or ""))))
+                above[high] = low
+        found = {}
+        for node in above:
+            found.setdefault(root(node), []).append(node)
+        out.append([{"line_no": x[2] if x[1] else None, "members": sorted(m for kind, known, m in nodes if kind and known)}
+                    for x, nodes in found.items()])
+    return pa.array(out, pa.list_(pa.struct([("line_no", pa.int64()), ("members", pa.list_(pa.string()))])))
+
+
+def _joined_sets(sets):
+    """(doc_id, line_no, members) of sets that share a member, which may lie in any number of tasks."""
+    rows = sets.select("doc_id", "line_no", F.explode("members").alias("member"))
     # Sets sort before members, so the least node of a component is its earliest set.
-    line_no = F.col("line_no").cast("long").alias("line_no")
-    set_node = F.struct("doc_id", F.lit(0).alias("kind"), line_no, F.lit("").alias("member"))
+    set_node = F.struct("doc_id", F.lit(0).alias("kind"), "line_no", F.lit("").alias("member"))
     member_node = F.struct("doc_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("line_no"), "member")
     found = connected_components(rows.select(set_node.alias("src"), member_node.alias("dst")))
     members = (
@@ -262,7 +291,27 @@ def merge_equivs(equivs: DataFrame) -> DataFrame:
         .groupBy("component")
         .agg(F.array_sort(F.collect_list("node.member")).alias("members"))
     )
-    merged = members.select("component.doc_id", "component.line_no", "members")
+    return members.select("component.doc_id", "component.line_no", "members")
+
+
+def merge_equivs(equivs: DataFrame) -> DataFrame:
+    """Equivalence sets that share a member become one set, with the type and place of the earliest.
+
+    The sets of a chunk of a document are merged in one row. Only documents with several chunks need rounds, over what is
+    merged by then.
+    """
+    sets = equivs.filter(F.size("members") > 0).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "members")
+    chunk = bucket_of(F.col("line_no"), DEFAULT_CHUNK).alias("_chunk")
+    packed = sets.groupBy("doc_id", chunk).agg(F.collect_list(F.struct("line_no", "members")).alias("_s"))
+    merged = packed.withColumn("_m", merged_sets("_s.line_no", "_s.members"))
+    parts = cut_lineage(merged.select("doc_id", "_chunk", F.explode("_m").alias("_m")).select("doc_id", "_chunk", "_m.*"))
+    several = F.min("_chunk") < F.max("_chunk")
+    long = parts.groupBy("doc_id").agg((several | (F.count("_chunk") < F.count(F.lit(1)))).alias("_long")).filter("_long")
+    long = cut_lineage(long.select("doc_id"))
+    merged = parts.select("doc_id", "line_no", "members")
+    if not long.isEmpty():
+        rest = _joined_sets(merged.join(long, "doc_id", "left_semi"))
+        merged = merged.join(long, "doc_id", "left_anti").unionByName(rest)
     first = equivs.select("doc_id", "line_no", "ann_id", "type")
     return merged.join(first, ["doc_id", "line_no"]).select("doc_id", "ann_id", "line_no", "type", "members")
 

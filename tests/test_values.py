@@ -19,6 +19,31 @@ def test_equivalence_sets_with_large_line_numbers(spark):
     assert got == sorted([(1009317314560, ["T1", "T2", "T3"]), (2, ["T8", "T9"])], key=repr)
 
 
+def test_sets_of_a_chunk_merge_without_rounds(spark, monkeypatch):
+    import random
+
+    draw, schema = random.Random(11), "doc_id string, line_no long, ann_id string, type string, members array<string>"
+
+    def merged(sets):
+        groups = []
+        for line, members in sorted(sets):
+            near = [g for g in groups if g[1] & set(members)]
+            groups = [g for g in groups if g not in near] + [(min([line, *(g[0] for g in near)]), set(members).union(*(g[1] for g in near)))]
+        return [(line, sorted(ms)) for line, ms in groups]
+
+    def some(doc, step):
+        return [(doc, n * step, "*", "Equiv", [f"T{draw.randint(0, 60)}" for _ in range(draw.randint(1, 3))]) for n in range(40)]
+
+    short, long = some("a", 1) + some("b", 3) + [("b", 500, "*", "Equiv", [])], some("c", 30_000)
+    calls, rounds = [], selecting.connected_components
+    monkeypatch.setattr(selecting, "connected_components", lambda edges: calls.append(1) or rounds(edges))
+    for data, times in ((short, 0), (short + long, 1)):
+        got = rows(selecting.merge_equivs(spark.createDataFrame(data, schema)), "doc_id", "line_no", "members")
+        docs = {d for d, *_ in data}
+        want = [(d, *g) for d in docs for g in merged([(n, ms) for doc, n, _, _, ms in data if doc == d and ms])]
+        assert got == sorted(want, key=repr) and len(calls) == times
+
+
 def tokens_of(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = textual.treebank_tokens(docs).orderBy("token_no").collect()
