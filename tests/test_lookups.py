@@ -211,3 +211,16 @@ def test_norm_search_equals_plain_python(spark):
             got[row["query_id"]].append((row["entity_id"], row["score"]))
         assert got == want
     assert sum(map(bool, want.values())) > 20
+
+
+def test_words_are_found_in_one_pass(spark):
+    from spanloom.plans.derived import textbounds
+    from spanloom.plans.lexicon import _words
+    from spanloom.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    spans = {(r["type"], r["text"]) for r in textbounds(t.documents).select("type", "text").collect()}
+    want = sorted({w.lower() for k, w in spans if k == "Org"}), sorted({w for k, w in spans if k == "Person"})
+    for df, words in zip(_words(t), want, strict=True):
+        assert sorted(r[0] for r in df.collect()) == words and words
+        assert "documents.parquet" not in df._jdf.queryExecution().executedPlan().toString()
