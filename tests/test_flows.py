@@ -59,3 +59,13 @@ def test_annotation_time_forgets_what_can_not_change(spark, tmp_path):
     assert got == at_once(spark, data)
     # Two days are 48 of the 800 lines: three users with a few pages each, and a book each.
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 60
+
+
+@pytest.mark.parametrize("step", [1, 1000])
+def test_pages_hold_lines_however_far_apart(spark, tmp_path, step):
+    data = [(i * step, *rest) for i, *rest in log_rows(120, lambda i, r: BEGIN + timedelta(minutes=i))]
+    placed = sorted(data, key=lambda row: (row[0] // step * 37) % 120)
+    got, query = told(spark, str(tmp_path), placed, 3, lines_per_page=32)
+    assert got == at_once(spark, data) and got
+    # A page or two and a book for each of three users.
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 15
