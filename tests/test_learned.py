@@ -304,3 +304,19 @@ def test_all_labelled_rows_are_neighbours(spark):
     assert near.filter(F.floor(F.col("neighbour") / 4) == F.col("query")).count() == 4 * n
     counted = model._counts(near, model.base)
     assert [tuple(r) for r in counted.select("n_a", "n_b").distinct().collect()] == [(4, 1)]
+
+
+def test_compared_neighbours_come_from_all_rows(spark, monkeypatch):
+    """The comparison of models, which the written report is made of, leaves no labelled row out either."""
+    known = []
+
+    class Watched(C.MultilabelKnn):
+        def fit(self, train):
+            known.append(super().fit(train).base.count())
+            return self
+
+    monkeypatch.setattr(C, "MultilabelKnn", Watched)
+    rows = spark.range(10_300).select(F.col("id").alias("doc_id"), F.format_string("w%s w%s", F.col("id") % 97, F.col("id") % 89).alias("text"),
+                                      (F.col("id") % 2).cast("int").alias("a"))
+    performance, _ = C.evaluate_models(rows.filter("doc_id >= 200"), rows.filter("doc_id < 200"), ["a"], estimators=())
+    assert known == [10_100] and [r["model_name"] for r in performance.collect()] == ["Multi kNN"]
