@@ -18,8 +18,10 @@ def _folder(t, name):
 @plan("s02_read_documents", "SELECT CAST(doc_id AS varchar) AS doc_id, text FROM documents")
 def _(t):
     folder = _folder(t, "texts")
-    tables.write_documents(t.documents.select(F.col("doc_id").cast("string"), "text"), folder)
-    return tables.read_documents(t.spark, f"{folder}/*.txt")
+    docs = t.documents.select(F.col("doc_id").cast("string"), "text")
+    # So many folders that none gets too long to be listed by one task.
+    tables.write_documents(docs, folder, folders=1 + docs.count() // 10_000)
+    return tables.read_documents(t.spark, f"{folder}/*/*.txt")
 
 
 @plan("s05_read_table", "SELECT doc_id, source, text FROM documents")
