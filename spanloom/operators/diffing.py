@@ -3,6 +3,8 @@
 Every kind is a join on its natural key after the ids of the first version are mapped to the second.
 """
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,18 +114,21 @@ def match_events(first: Standoff, second: Standoff, id_map: DataFrame):
 
 
 def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
-    """The second version plus clones of what only the first has, and a note for every difference."""
+    """The second version plus clones of what only the first has, and a note for every difference.
+
+    The marks of each kind are written on their own: in one plan, the driver would hold the stages of all kinds at once.
+    """
     key = ["doc_id", "ann_id"]
     # Entities match entities and triggers match triggers, all in one join.
     same = cut_lineage(match_spans(_told_apart(first), _told_apart(second), ["is_trigger"]))
-    marks = _marks(same.filter("first_id IS NULL AND NOT is_trigger"), ADDED, "second_id", F.lit("Added entity"))
+    marks = [_marks(same.filter("first_id IS NULL AND NOT is_trigger"), ADDED, "second_id", F.lit("Added entity"))]
     gone = same.filter("second_id IS NULL").groupBy("doc_id", F.col("first_id").alias("ann_id")).agg(
         F.max("is_trigger").alias("is_trigger")
     )
     # Rows that get ids are read twice, so they are written before that.
     lost = cut_lineage(first.textbounds.join(gone, key).withColumnRenamed("ann_id", "_old"))
     clones = cut_lineage(new_ids(second.textbounds, lost, "T", ["line_no"]))
-    marks = marks.unionByName(_marks(clones.filter("NOT is_trigger"), MISSING, "ann_id", F.lit("Missing entity")))
+    marks.append(_marks(clones.filter("NOT is_trigger"), MISSING, "ann_id", F.lit("Missing entity")))
     # Several equal spans of the second version map to one of the first; the earliest stands for it.
     id_map = same.filter("first_id IS NOT NULL AND second_id IS NOT NULL").groupBy("doc_id", "first_id").agg(
         F.min("second_id").alias("second_id")
@@ -136,7 +141,7 @@ def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
     pairs, differences = match_events(first, second, id_map)
     texts = first.textbounds.select("doc_id", F.col("ann_id").alias("first_arg"), F.col("text").alias("_text"))
     changed = differences.join(texts, ["doc_id", "first_arg"], "left")
-    marks = marks.unionByName(
+    marks.append(
         _marks(
             changed, CHANGED, "second_event",
             F.when(
@@ -150,7 +155,7 @@ def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
         )
     )
     new_events = second.events.join(pairs.toDF("doc_id", "f", "ann_id"), key, "left_anti")
-    marks = marks.unionByName(_marks(new_events, ADDED, "ann_id", F.lit("Added event")))
+    marks.append(_marks(new_events, ADDED, "ann_id", F.lit("Added event")))
     lost_events = first.events.join(
         pairs.select("doc_id", F.col("first_event").alias("ann_id")), key, "left_anti"
     ).withColumnRenamed("ann_id", "_old")
@@ -163,8 +168,8 @@ def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
 
     renamed = full_map.toDF("doc_id", "_old", "_new")
     plain_clones = event_clones.drop("_old")
-    event_rows = _rewrite_args(_rewrite_column(plain_clones, renamed, "trigger"), renamed).select(*second.events.columns)
-    marks = marks.unionByName(_marks(event_clones, MISSING, "ann_id", F.lit("Missing event")))
+    event_rows = cut_lineage(_rewrite_args(_rewrite_column(plain_clones, renamed, "trigger"), renamed).select(*second.events.columns))
+    marks.append(_marks(event_clones, MISSING, "ann_id", F.lit("Missing event")))
     cloned = clones.select("doc_id", F.col("_old").alias("target")).unionByName(
         event_clones.select("doc_id", F.col("_old").alias("target"))
     )
@@ -175,30 +180,28 @@ def diff_annotations(first: Standoff, second: Standoff) -> Standoff:
         return df
 
     # notes and normalizations: by mapped target and content
-    marks = marks.unionByName(
+    marks.append(
         _diff_rows(
             mapped(comments(first), ["target"]), comments(second), ["doc_id", "target", "note"],
             F.format_string('%s: "%s"', F.col("type"), F.col("note")),
         )
     )
-    marks = marks.unionByName(
+    marks.append(
         _diff_rows(
             mapped(first.normalizations, ["target"]), second.normalizations, ["doc_id", "target", "refdb", "refid"],
             F.format_string('normalization %s:%s "%s"', F.col("refdb"), F.col("refid"), F.col("reftext")),
         )
     )
     attributes, attribute_marks = _diff_attributes(first, second, full_map, cloned)
-    marks = marks.unionByName(attribute_marks).unionByName(_diff_equivs(first, second, full_map))
-    marks = marks.unionByName(_diff_relations(first, second, full_map))
+    marks += [attribute_marks, _diff_equivs(first, second, full_map), _diff_relations(first, second, full_map)]
 
     result = second.with_tables(
         textbounds=second.textbounds.unionByName(clones.select(*second.textbounds.columns)),
         events=second.events.unionByName(event_rows),
     )
-    result = result.with_tables(
-        attributes=second.attributes.unionByName(_append(result, "attributes", cut_lineage(attributes), "A", ["line_no"]))
-    )
-    numbered = cut_lineage(marks).withColumn(
+    appended = cut_lineage(_append(result, "attributes", cut_lineage(attributes), "A", ["line_no"]))
+    result = result.with_tables(attributes=second.attributes.unionByName(appended))
+    numbered = functools.reduce(DataFrame.unionByName, map(cut_lineage, marks)).withColumn(
         "_place", F.coalesce(F.regexp_extract("target", "([0-9]+)$", 1).cast("long"), F.lit(0))
     )
     notes = _append(result, "notes", numbered, "#", ["_place", "target", "type", "note"])
@@ -212,11 +215,15 @@ def _rewrite_keep(df, full_map, column):
 
 
 def _diff_rows(first, second, key, what, target="target"):
-    added = second.join(first.select(*key), key, "left_anti")
-    missing = first.join(second.select(*key), key, "left_anti")
-    return _marks(added, CHANGED, target, F.concat(F.lit("Added "), what)).unionByName(
-        _marks(missing, CHANGED, target, F.concat(F.lit("Missing "), what))
-    )
+    return _one_sided(first.select(*key, what.alias("_what")), second.select(*key, what.alias("_what")), key, target)
+
+
+def _one_sided(first, second, key, target):
+    """Marks of what only one side has, for rows (key, _what): both sides are met once."""
+    a, b = first.withColumnRenamed("_what", "_old").withColumn("_first", F.lit(1)), second.withColumnRenamed("_what", "_new").withColumn("_second", F.lit(1))
+    lone = a.join(b, key, "full_outer").filter("_first IS NULL OR _second IS NULL")
+    added = F.col("_first").isNull()
+    return _marks(lone, CHANGED, target, F.when(added, F.concat(F.lit("Added "), "_new")).otherwise(F.concat(F.lit("Missing "), "_old")))
 
 
 def _diff_attributes(first, second, full_map, cloned):
@@ -247,9 +254,10 @@ def _diff_equivs(first, second, full_map):
     a = first.equivs.select("doc_id", F.col("line_no").alias("first_set"), F.explode("members").alias("member"))
     texts = first.textbounds.select("doc_id", F.col("ann_id").alias("member"), "text")
     named = a.join(texts, ["doc_id", "member"], "left")
-    a = _rewrite_keep(named, full_map, "member")
+    # Both are asked for several times.
+    a = cut_lineage(_rewrite_keep(named, full_map, "member"))
     b = second.equivs.select("doc_id", F.col("line_no").alias("second_set"), F.explode("members").alias("member"))
-    both = a.join(b, ["doc_id", "member"], "full_outer")
+    both = cut_lineage(a.join(b, ["doc_id", "member"], "full_outer"))
     sizes = both.filter("first_set IS NOT NULL AND second_set IS NOT NULL").groupBy(
         "doc_id", "first_set", "second_set"
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -280,16 +288,11 @@ def _diff_relations(first, second, full_map):
     a = _rewrite_keep(first.relations.join(texts, ["doc_id", "arg2"], "left"), full_map, "arg1")
     a = _rewrite_keep(a, full_map, "arg2")
     key = ["doc_id", "arg1", "arg2", "type"]
-    added = second.relations.select(*key).distinct().join(a.select(*key), key, "left_anti")
-    missing = a.select(*key, "_text").dropDuplicates(key).join(second.relations.select(*key), key, "left_anti")
-    return _marks(
-        added, CHANGED, "arg1", F.format_string("Added relation %s to %s", F.col("type"), F.col("arg2"))
-    ).unionByName(
-        _marks(
-            missing, CHANGED, "arg1",
-            F.format_string('Missing relation %s to %s "%s"', F.col("type"), F.col("arg2"), F.col("_text")),
-        )
-    )
+    plain = F.format_string("relation %s to %s", F.col("type"), F.col("arg2"))
+    given = second.relations.select(*key).distinct().withColumn("_what", plain)
+    lost = a.select(*key, "_text").dropDuplicates(key)
+    told = F.format_string('relation %s to %s "%s"', F.col("type"), F.col("arg2"), F.col("_text"))
+    return _one_sided(lost.select(*key, told.alias("_what")), given, key, "arg1")
 
 
 # U16

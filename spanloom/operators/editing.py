@@ -1,5 +1,7 @@
 """Batch edits of annotation tables. Each returns new tables; nothing is changed in place."""
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,8 @@ from spanloom.session import cut_lineage
 
 def _next_line(so: Standoff) -> DataFrame:
     """(doc_id, last_line): the last line in use of each document."""
-    out = None
-    for df in so.tables().values():
-        part = df.groupBy("doc_id").agg(F.max("line_no").alias("last_line"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id").agg(F.max("last_line").alias("last_line"))
+    lines = [df.select("doc_id", F.col("line_no").cast("long").alias("line_no")) for df in so.tables().values()]
+    return functools.reduce(DataFrame.unionByName, lines).groupBy("doc_id").agg(F.max("line_no").alias("last_line"))
 
 
 def _append(so: Standoff, kind: str, rows: DataFrame, prefix: str, order) -> DataFrame:

@@ -349,9 +349,9 @@ def _(t):
     return diffing.match_spans(ann, second_textbounds(ann)).select("doc_id", "first_id", "second_id")
 
 
-def _second_written(so):
-    """The second version, written once as annotation tables would be."""
-    return _second(so).map(lambda _, df: cut_lineage(df))
+def _written(so):
+    """Written once as annotation tables would be."""
+    return so.map(lambda _, df: cut_lineage(df))
 
 
 def _second(so):
@@ -376,8 +376,8 @@ def _second(so):
 
 @plan("u15_diff_annotations")
 def _(t):
-    so = standoff(t.documents)
-    out = diffing.diff_annotations(so, _second_written(so)).notes
+    so = _written(standoff(t.documents))
+    out = diffing.diff_annotations(so, _written(_second(so))).notes
     return out.filter(F.endswith("type", F.lit("Annotation"))).select("doc_id", "ann_id", "type", "target", "note")
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from spanloom.model import TABLE_COLUMNS, Standoff
 from spanloom.operators import diffing, editing
@@ -272,3 +273,32 @@ def test_texts_are_cut_last_and_not_written(spark, monkeypatch):
     got = [(r.ann_id, r.line_no, [tuple(s) for s in r.spans], r.start, r.end, r.text) for r in made.collect()]
     assert sorted(got) == sorted(want)
     assert written and not any("text" in columns for columns in written)
+
+
+def test_no_plan_of_a_diff_holds_the_stages_of_all_kinds(spark, monkeypatch):
+    """What the driver plans at once stays small: marks of each kind are written on their own."""
+    from pyspark.sql import DataFrameWriter
+
+    from spanloom.plans import PLANS
+
+    found, write = [], DataFrameWriter.parquet
+
+    def count(df):
+        found.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (count(self._df), write(self, *a, **k))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        count(PLANS["u15_diff_annotations"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(found) <= 20 and sum(found) < 138
+
+
+def test_rows_of_one_side_are_told_with_all_their_copies(spark):
+    schema = "doc_id long, target string, note string, type string"
+    first = spark.createDataFrame([(1, "T1", "a", "x"), (1, "T1", "a", "x"), (1, "T2", "b", "x"), (2, "T1", None, "x"), (3, "T1", "c", "x")], schema)
+    second = spark.createDataFrame([(1, "T2", "b", "y"), (1, "T2", "b", "y"), (2, "T1", "d", "z"), (2, "T1", "d", "z")], schema)
+    marks = diffing._diff_rows(first, second, ["doc_id", "target", "note"], F.concat("type", F.coalesce("note", F.lit("-"))))
+    got = sorted((r["doc_id"], r["target"], r["note"]) for r in marks.collect())
+    assert got == [(1, "T1", "Missing xa"), (1, "T1", "Missing xa"), (2, "T1", "Added zd"), (2, "T1", "Added zd"), (2, "T1", "Missing x-"), (3, "T1", "Missing xc")]
